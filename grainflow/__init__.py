@@ -1,0 +1 @@
+"""Polycrystal homogenisation and map analytics as Spark DataFrame operators."""
