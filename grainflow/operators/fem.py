@@ -20,6 +20,7 @@ from grainflow.functions import tensors as T
 PLACES = np.array([[1 / 3, 1 / 3, 1 / 3], [0.2, 0.6, 0.2], [0.2, 0.2, 0.6], [0.6, 0.2, 0.2]])
 WEIGHTS = np.array([-27 / 48, 25 / 48, 25 / 48, 25 / 48])
 SIDES = ((0, 1), (1, 2), (0, 2))
+TOLERANCE = 1e-9
 
 
 def shape_values(l: np.ndarray) -> np.ndarray:
@@ -47,8 +48,9 @@ def strain_matrix(g: np.ndarray) -> np.ndarray:
     return b
 
 
-def conjugate_gradients(stiff: np.ndarray, dofs: np.ndarray, right: np.ndarray, tolerance: float = 1e-9, most: int = 20_000) -> np.ndarray:
-    """x (dofs, r) of the sum of element matrices (e, n, n) for right sides (dofs, r), by a diagonal preconditioner.
+def conjugate_gradients(stiff: np.ndarray, dofs: np.ndarray, right: np.ndarray, goal: np.ndarray, most: int = 20_000) -> np.ndarray:
+    """x (dofs, r) of the sum of element matrices (e, n, n) for right sides (dofs, r), by a diagonal preconditioner,
+    to residuals of the sizes `goal` (r,).
 
     The matrix may be singular (rigid translations) as long as the right sides are in its range.
     """
@@ -65,7 +67,6 @@ def conjugate_gradients(stiff: np.ndarray, dofs: np.ndarray, right: np.ndarray,
     residual = right.copy()
     z = scale * residual
     p, rz = z.copy(), (residual * z).sum(0)
-    goal = tolerance * np.sqrt(np.maximum((right * right).sum(0), 1e-300))
     for _ in range(most):
         live = np.sqrt((residual * residual).sum(0)) > goal
         if not live.any():
@@ -101,8 +102,9 @@ def solve_cell(xy: np.ndarray, dofs: np.ndarray, material: np.ndarray, extra: np
     wb = weight[:, :, None, None] * np.swapaxes(b, 2, 3)
     stiff = np.einsum("eqni,eij,eqjm->enm", wb, material, b, optimize=True)
     force = np.einsum("eqni,eij->enj", wb, load)
-    right = np.stack([np.bincount(local.ravel(), force[:, :, k].ravel(), len(used)) for k in range(load.shape[2])], 1)
-    chi = conjugate_gradients(stiff, local, right)
+    total = lambda f: np.stack([np.bincount(local.ravel(), f[:, :, k].ravel(), len(used)) for k in range(load.shape[2])], 1)
+    # Forces that cancel leave rounding errors behind; the goal is set by what was added up.
+    chi = conjugate_gradients(stiff, local, total(force), TOLERANCE * np.linalg.norm(total(np.abs(force)), axis=0) + 1e-300)
     strain = np.einsum("eqin,enk->eqik", b, chi[local])
     hat = load[:, None] - np.einsum("eij,eqjk->eqik", material, strain)
     return weight, b, hat[..., : material.shape[-1]], hat[..., material.shape[-1] :]
