@@ -34,7 +34,7 @@ class JobConfig:
             (min(self.euler_column, self.xy_column, self.phase_column) >= 1, "columns count from 1"),
             (len({*range(self.euler_column, self.euler_column + 3), self.xy_column, self.xy_column + 1, self.phase_column}) == 6, "columns overlap"),
             (self.min_grain_pixels >= 0, "min_grain_pixels is negative"),
-            (self.mesh_type in (2, 3), "mesh_type must be 2 (hexagonal grid) or 3 (rectangular grid)"),
+            (self.mesh_type in (1, 2, 3), "mesh_type must be 1 (conforming), 2 (hexagonal grid) or 3 (rectangular grid)"),
             (self.target_elements >= 2, "target_elements must be 2 at least"),
             (self.element_method in ("nearest", "voigt", "reuss", "hill", "geometric"), "element_method is unknown"),
             (len(self.strain_or_stress) == 6, "strain_or_stress needs 6 components"),

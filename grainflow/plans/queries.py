@@ -596,3 +596,80 @@ def random_two_phase_map(spark, d):
     from grainflow.sources.maps import random_two_phase
 
     return random_two_phase(spark, 64, 0.4, 40)
+
+
+# --- elements' material, conforming meshes, further statistics ---------------------------------------------------------
+
+
+@query(f"WITH {MAP_SQL}, {_MESH_SQL}, c AS (SELECT elem_id, (x1 + x2 + x3) / 3 AS cx, (y1 + y2 + y3) / 3 AS cy FROM placed), p AS (SELECT * FROM points WHERE x < 9 AND y < 8), n AS (SELECT elem_id, phase, row_number() OVER (PARTITION BY elem_id ORDER BY (cx - x) * (cx - x) + (cy - y) * (cy - y), point_id) AS k FROM c, p) SELECT elem_id, phase FROM n WHERE k = 1")
+def element_phase_nearest(spark, d):
+    from grainflow.operators import elements as el
+
+    nodes, flat = _mesh(spark)
+    points = S.event_map(spark, d).where("x < 9 and y < 8")
+    return el.material(points, S.phases(spark), flat, nodes).select("elem_id", "phase")
+
+
+@query()
+def element_material_hill(spark, d):
+    from grainflow.operators import elements as el
+
+    nodes, flat = mesh.grid_mesh(spark, 0.0, 9.0, 0.0, 8.0, 3, 3)
+    return el.material(S.event_map(spark, d).where("x < 9 and y < 8"), S.phases(spark), flat, nodes, "hill")
+
+
+@query(f"""WITH {_RINGS_SQL}, {_EDGES_SQL}, p AS (SELECT s_suppkey AS point_id, (s_suppkey % 50) * 1.1 AS px, 12 + (s_suppkey % 17) * 1.3 AS py FROM supplier),
+t AS (SELECT *, least(greatest(((px - ax) * (bx - ax) + (py - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)), 0), 1) AS t FROM p, edges),
+g AS (SELECT point_id, ring, sqrt(min((px - ax - t * (bx - ax)) * (px - ax - t * (bx - ax)) + (py - ay - t * (b_y - ay)) * (py - ay - t * (b_y - ay)))) AS dist,
+  count(*) FILTER ((ay > py) <> (b_y > py) AND px < (bx - ax) * (py - ay) / (b_y - ay) + ax) AS n FROM t GROUP BY point_id, ring),
+s AS (SELECT point_id, ring, CASE WHEN n % 2 = 1 THEN -dist ELSE dist END AS distance FROM g)
+SELECT point_id, ring FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(distance, 9), ring) AS k FROM s) WHERE k = 1""")
+def deepest_ring(spark, d):
+    from grainflow.operators.elements import deepest
+
+    points = S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("point_id"), (F.col("s_suppkey") % 50 * 1.1).alias("x"), (12 + F.col("s_suppkey") % 17 * 1.3).alias("y"))
+    return deepest(spatial.signed_distance(points, _rings(spark, d), "ring").withColumn("distance", F.round("distance", 9)), "ring")
+
+
+@query(f"{_ROTATED}, e AS (SELECT point_id, (r11 + r22 + r33) / 3 AS m, r11, r22, r33, r12, r13, r23, sqrt((pow(r11 - (r11 + r22 + r33) / 3, 2) + pow(r22 - (r11 + r22 + r33) / 3, 2) + pow(r33 - (r11 + r22 + r33) / 3, 2) + 2 * (r12 * r12 + r13 * r13 + r23 * r23)) / 6) AS s FROM rotated), u AS (SELECT point_id, m, s, acos(least(greatest(((r11 - m) * ((r22 - m) * (r33 - m) - r23 * r23) - r12 * (r12 * (r33 - m) - r23 * r13) + r13 * (r12 * r23 - (r22 - m) * r13)) / (2 * s * s * s), -1), 1)) / 3 AS t FROM e) SELECT point_id, {_r('m + 2 * s * cos(t)', 'k1')}, {_r('m - 2 * s * cos(t) - 2 * s * cos(t + 2 * pi() / 3)', 'k2')}, {_r('m + 2 * s * cos(t + 2 * pi() / 3)', 'k3')} FROM u")
+def principal_conductivities(spark, d):
+    k = homogenize.rotated_conductivity(S.event_map(spark, d).select("point_id", "phase", "phi1", "phi", "phi2"), S.phases(spark))
+    e = T.symmetric_eigenvalues(*(F.col(f"k{i}{j}") for i, j in ((1, 1), (2, 2), (3, 3), (2, 3), (1, 3), (1, 2))))
+    return rounded(k.select("point_id", *(v.alias(f"k{i + 1}") for i, v in enumerate(e))))
+
+
+@query("SELECT s_suppkey, round(-least(x - 10, 40 - x, y - 5, 15 - y), 6) + 0.0 AS outside, round(greatest(-least(x - 10, 40 - x, y - 5, 15 - y), least(x - 20, 30 - x, y - 8, 12 - y)), 6) + 0.0 AS ring FROM (SELECT s_suppkey, (s_suppkey % 50)::DOUBLE AS x, (s_suppkey % 19)::DOUBLE AS y FROM supplier)")
+def rectangle_distance(spark, d):
+    x, y = (F.col("s_suppkey") % 50).cast("double"), (F.col("s_suppkey") % 19).cast("double")
+    outer, hole = spatial.rectangle_distance(x, y, 10, 40, 5, 15), spatial.rectangle_distance(x, y, 20, 30, 8, 12)
+    return rounded(S.table(spark, d, "supplier").select("s_suppkey", outer.alias("outside"), spatial.difference_distance(outer, hole).alias("ring")))
+
+
+def _corner_grains(spark, d, side: int = 20):
+    return grains.grains(S.event_map(spark, d).where((F.col("x") < side) & (F.col("y") < side)), ("phase",))
+
+
+@query()
+def conforming_mesh_quality(spark, d):
+    from grainflow.operators.conforming import conforming_mesh
+
+    nodes, flat = conforming_mesh(spark, _corner_grains(spark, d), 20, 20)
+    return mesh.statistics(mesh.corners(flat.drop("grain_id"), nodes))
+
+
+@query(f"{_GRAINS.replace('FROM events JOIN kinds USING (event_type), side WHERE event_id < w * w', 'FROM events JOIN kinds USING (event_type), side WHERE event_id < w * w AND event_id % w < 20 AND event_id // w < 20')}, seeds AS (SELECT DISTINCT x, y FROM corners), g AS (SELECT i, j FROM range(21) a(i), range(21) b(j)) SELECT i, j, {_r('min(0.5::DOUBLE + 0.25::DOUBLE * (least(abs(i - y), 21 - abs(i - y)) + least(abs(j - x), 21 - abs(j - x))))', 'h')} FROM g, seeds GROUP BY i, j")
+def mesh_size_field(spark, d):
+    from grainflow.operators.conforming import size_field
+
+    found = size_field(_corner_grains(spark, d), 0.5, 0.25)
+    return rounded(found.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "h"))
+
+
+@query(f"{_GRAINS} SELECT grain_id, count(*)::DOUBLE AS area FROM grained GROUP BY grain_id")
+def grain_outline_area(spark, d):
+    """The rings of each grain's boundary, holes running the other way round, enclose just its pixels."""
+    from grainflow.operators.conforming import outlines
+
+    rings = outlines(_grained(spark, d)).withColumn("key", F.concat_ws(":", "grain_id", "ring"))
+    parts = geometry.areas(rings, "key").select(F.split("key", ":")[0].cast("long").alias("grain_id"), F.when(F.col("ccw"), F.col("area")).otherwise(-F.col("area")).alias("area"))
+    return rounded(parts.groupBy("grain_id").agg(F.sum("area").alias("area")))
