@@ -83,8 +83,8 @@ def conjugate_gradients(stiff: np.ndarray, dofs: np.ndarray, right: np.ndarray,
     return x
 
 
-def solve_cell(xy: np.ndarray, dofs: np.ndarray, material: np.ndarray, extra: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(weights (e, 4), gradient matrix, localised material, localised extra) of one periodic cell.
+def solve_cell(xy: np.ndarray, dofs: np.ndarray, material: np.ndarray, extra: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(weights (e, 4), localised material, localised extra, degrees of freedom, characteristic functions) of one periodic cell.
 
     `material` is (e, 3, 3) conductivity or (e, 6, 6) stiffness; `extra` (e, 6), stress per degree, comes with the latter.
     Localised means what a uniform macroscopic gradient or strain turns into locally: D - D B chi.
@@ -107,7 +107,7 @@ def solve_cell(xy: np.ndarray, dofs: np.ndarray, material: np.ndarray, extra: np
     chi = conjugate_gradients(stiff, local, total(force), TOLERANCE * np.linalg.norm(total(np.abs(force)), axis=0) + 1e-300)
     strain = np.einsum("eqin,enk->eqik", b, chi[local])
     hat = load[:, None] - np.einsum("eij,eqjk->eqik", material, strain)
-    return weight, b, hat[..., : material.shape[-1]], hat[..., material.shape[-1] :]
+    return weight, hat[..., : material.shape[-1]], hat[..., material.shape[-1] :], used, chi
 
 
 def place_elements(elements: DataFrame, nodes: DataFrame, periodic: DataFrame, material: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def solve_conduction(elements: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("elem_id", ignore_index=True)
         xy, kappa = _stack(pdf["xy"], 3, 2), _stack(pdf["kappa"], 3, 3)
-        weight, _, hat, _ = solve_cell(xy, np.array(pdf["dofs"].tolist()), kappa, None)
+        weight, hat, _, _, _ = solve_cell(xy, np.array(pdf["dofs"].tolist()), kappa, None)
         return pd.DataFrame(_points(pdf, xy, weight) | {"kappa": list(np.repeat(kappa.reshape(-1, 9), 4, 0)), "hat": list(hat.reshape(-1, 9))})
 
     return elements.select("map_id", "elem_id", "dofs", "xy", "kappa").groupBy("map_id").applyInPandas(run, _POINT + "kappa array<double>, hat array<double>")
@@ -151,13 +151,34 @@ def solve_thermoelastic(elements: DataFrame) -> DataFrame:
         pdf = pdf.sort_values("elem_id", ignore_index=True)
         xy, c, alpha = _stack(pdf["xy"], 3, 2), _stack(pdf["stiffness"], 6, 6), _stack(pdf["alpha"], 6)
         scale = np.abs(c).max()
-        weight, _, hat, beta = solve_cell(xy, np.array(pdf["dofs"].tolist()), c / scale, np.einsum("eij,ej->ei", c, alpha) / scale)
+        weight, hat, beta, _, _ = solve_cell(xy, np.array(pdf["dofs"].tolist()), c / scale, np.einsum("eij,ej->ei", c, alpha) / scale)
         rows = lambda m, n: list(np.repeat(m.reshape(-1, n), 4, 0))
         return pd.DataFrame(_points(pdf, xy, weight) | {"stiffness": rows(c, 36), "alpha": rows(alpha, 6), "hat": list(scale * hat.reshape(-1, 36)), "beta_hat": list(scale * beta.reshape(-1, 6))})
 
     return elements.select("map_id", "elem_id", "dofs", "xy", "stiffness", "alpha").groupBy("map_id").applyInPandas(run, _POINT + "stiffness array<double>, alpha array<double>, hat array<double>, beta_hat array<double>")
 
 
+def characteristic_functions(elements: DataFrame, kind: str = "conduction") -> DataFrame:
+    """(map_id, node_id, dof, k, value): the k-th characteristic function (three for conduction; for `thermoelastic` six of strain and one
+    of temperature) at every node that is its own master. The mean of each over the nodes is zero."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("elem_id", ignore_index=True)
+        xy, dofs, width = _stack(pdf["xy"], 3, 2), np.array(pdf["dofs"].tolist()), 1
+        if kind == "conduction":
+            *_, used, chi = solve_cell(xy, dofs, _stack(pdf["kappa"], 3, 3), None)
+        else:
+            c, width = _stack(pdf["stiffness"], 6, 6), 3
+            scale = np.abs(c).max()
+            *_, used, chi = solve_cell(xy, dofs, c / scale, np.einsum("eij,ej->ei", c, _stack(pdf["alpha"], 6)) / scale)
+        chi = chi - chi.reshape(-1, width, chi.shape[1]).mean(0)[used % width]
+        n = chi.shape[1]
+        return pd.DataFrame({"map_id": pdf["map_id"].iloc[0], "node_id": np.repeat(used // width, n), "dof": np.repeat(used % width, n).astype(np.int32), "k": np.tile(np.arange(n, dtype=np.int32), len(used)), "value": chi.ravel()})
+
+    columns = ["kappa"] if kind == "conduction" else ["stiffness", "alpha"]
+    return elements.select("map_id", "elem_id", "dofs", "xy", *columns).groupBy("map_id").applyInPandas(run, "map_id string, node_id long, dof int, k int, value double")
+
+
 def _mean(column: str, size: int) -> Column:
     return F.array(*(F.sum(F.col(column)[i] * F.col("weight")) / F.sum("weight") for i in range(size))).alias(column)
 

@@ -43,3 +43,18 @@ def interpolate(field: DataFrame, targets: DataFrame, grain: str, values: list[s
 
     schema = f"`{grain}` {kind}, target_id long, x double, y double, " + ", ".join(f"{v} double" for v in values)
     return known.groupBy(grain).cogroup(targets.select(grain, F.col("target_id").cast("long").alias("target_id"), "x", "y").groupBy(grain)).applyInPandas(run, schema)
+
+
+def statistics(field: DataFrame, values: list[str]) -> DataFrame:
+    """(field, low, mean, high): of each of the fields its extremes and its mean over the area, one row each."""
+    each = field.select("weight", F.explode(F.array(*(F.struct(F.lit(v).alias("field"), F.col(v).alias("value")) for v in values))).alias("f"))
+    return each.groupBy("f.field").agg(F.min("f.value").alias("low"), (F.sum(F.col("f.value") * F.col("weight")) / F.sum("weight")).alias("mean"), F.max("f.value").alias("high"))
+
+
+def regular_grid(field: DataFrame, columns: int = 25) -> DataFrame:
+    """(target_id, x, y): the centres of square cells, `columns` of them across the field, for arrows and images."""
+    box = field.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    step = (F.col("x1") - F.col("x0")) / columns
+    rows = F.greatest(F.lit(1), F.ceil((F.col("y1") - F.col("y0")) / step).cast("int"))
+    cells = box.withColumn("step", step).withColumn("j", F.explode(F.sequence(F.lit(0), rows - 1))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    return cells.select((F.col("j") * columns + F.col("i")).cast("long").alias("target_id"), (F.col("x0") + (F.col("i") + 0.5) * F.col("step")).alias("x"), (F.col("y0") + (F.col("j") + 0.5) * F.col("step")).alias("y"))

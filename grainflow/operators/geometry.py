@@ -152,3 +152,15 @@ def rectangle(xc: float, yc: float, width: float, height: float, turn: float) ->
     c, s = np.cos(turn), np.sin(turn)
     for u, v in ((-1, -1), (1, -1), (1, 1), (-1, 1)):
         yield xc + c * u * width / 2 - s * v * height / 2, yc + s * u * width / 2 + c * v * height / 2
+
+
+def densify(rings: DataFrame, key: str) -> DataFrame:
+    """(key, seq, x, y): rings of points with whole coordinates, joined by horizontal, vertical or diagonal sides, with all whole points
+    on their sides; seq is in the order of the ring, with gaps."""
+    w = _order(key)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(whole))
+    sides = rings.select(key, "seq", "x", "y", (nxt("x") - F.col("x")).alias("dx"), (nxt("y") - F.col("y")).alias("dy"))
+    steps = F.greatest(F.abs("dx"), F.abs("dy"))
+    each = sides.withColumn("n", F.greatest(steps, F.lit(1)).cast("long")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return each.select(key, (F.col("seq") * 1_000_000 + F.col("k")).alias("seq"), (F.col("x") + F.col("k") * F.col("dx") / F.col("n")).alias("x"), (F.col("y") + F.col("k") * F.col("dy") / F.col("n")).alias("y"))

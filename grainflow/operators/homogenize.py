@@ -141,3 +141,11 @@ def engineering_properties(estimates: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows)
 
     return estimates.select("method", "stiffness").mapInArrow(run, "method string, name string, value double")
+
+
+def cleaned(df: DataFrame, column: str, size: int, ratio: float = 1e-6) -> DataFrame:
+    """`df` with the square matrix in an array column made symmetric and its entries under `ratio` of the largest set to zero."""
+    entries = [(F.col(column)[size * i + j] + F.col(column)[size * j + i]) / 2 for i in range(size) for j in range(size)]
+    whole = df.withColumn(column, F.array(*entries))
+    limit = ratio * F.array_max(F.transform(column, F.abs))
+    return whole.withColumn("__limit", limit).withColumn(column, F.transform(column, lambda x: F.when(F.abs(x) < F.col("__limit"), F.lit(0.0)).otherwise(x))).drop("__limit")

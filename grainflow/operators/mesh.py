@@ -158,3 +158,17 @@ def periodic_pairs(nodes: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     slaves = slaves.select("node_id", key(F.when(at("x", "x1"), F.col("x0")).otherwise(F.col("x"))).alias("kx"), key(F.when(at("y", "y1"), F.col("y0")).otherwise(F.col("y"))).alias("ky"))
     masters = both.where((at("x", "x0") | at("y", "y0")) & ~at("x", "x1") & ~at("y", "y1")).select(F.col("node_id").alias("master_id"), key(F.col("x")).alias("kx"), key(F.col("y")).alias("ky"))
     return slaves.join(masters, ["kx", "ky"]).select("node_id", "master_id")
+
+
+def cleanup(elements: DataFrame, nodes: DataFrame, tolerance: float = 1e-8) -> tuple[DataFrame, DataFrame]:
+    """Elements and nodes with nodes at one place merged (into the least id), elements without area dropped, clockwise ones turned round
+    and numbers made consecutive. Places are compared after rounding to `tolerance`."""
+    key = [F.round(F.col(c) / tolerance).cast("long").alias(f"k{c}") for c in "xy"]
+    merged = nodes.select("node_id", *key).groupBy("kx", "ky").agg(F.min("node_id").alias("kept"))
+    names = nodes.select("node_id", *key).join(merged, ["kx", "ky"]).select("node_id", "kept")
+    out = elements.select("elem_id", "n1", "n2", "n3")
+    for c in ("n1", "n2", "n3"):
+        out = out.join(names.withColumnRenamed("node_id", c), c).drop(c).withColumnRenamed("kept", c)
+    placed = corners(out.select("elem_id", "n1", "n2", "n3"), nodes).withColumn("area", signed_area()).where(F.abs("area") >= tolerance)
+    turned = placed.select("elem_id", "n1", F.when(F.col("area") < 0, F.col("n3")).otherwise(F.col("n2")).alias("n2"), F.when(F.col("area") < 0, F.col("n2")).otherwise(F.col("n3")).alias("n3"))
+    return compact(turned, nodes, ["n1", "n2", "n3"])

@@ -673,3 +673,51 @@ def grain_outline_area(spark, d):
     rings = outlines(_grained(spark, d)).withColumn("key", F.concat_ws(":", "grain_id", "ring"))
     parts = geometry.areas(rings, "key").select(F.split("key", ":")[0].cast("long").alias("grain_id"), F.when(F.col("ccw"), F.col("area")).otherwise(-F.col("area")).alias("area"))
     return rounded(parts.groupBy("grain_id").agg(F.sum("area").alias("area")))
+
+
+@query()
+def characteristic_functions(spark, d):
+    return fem.characteristic_functions(_cells(spark, d))
+
+
+@query(f"{_FIELD_SQL}, e AS (SELECT 'f' AS field, f AS v, weight FROM f UNION ALL SELECT 'x', x, weight FROM f) SELECT field, {_r('min(v)', 'low')}, {_r('sum(v * weight) / sum(weight)', 'mean')}, {_r('max(v)', 'high')} FROM e GROUP BY field")
+def field_statistics(spark, d):
+    return rounded(fields.statistics(_field(spark), ["f", "x"]))
+
+
+@query(f"WITH {PHASES_SQL}, e AS (SELECT phase, i, [k11, k12, k13, k21, k22, k23, k31, k32, k33][i + 1] AS v, [k11, k21, k31, k12, k22, k32, k13, k23, k33][i + 1] AS t FROM phases, range(9) r(i)), m AS (SELECT phase, max(abs((v + t) / 2)) AS m FROM e GROUP BY phase) SELECT phase, CAST(i AS INTEGER) AS i, CASE WHEN abs((v + t) / 2) < 0.08 * m THEN 0 ELSE round((v + t) / 2, 6) END AS value FROM e JOIN m USING (phase)")
+def clean_conductivity(spark, d):
+    """With a threshold high enough to act on some entries."""
+    return rounded(homogenize.cleaned(S.phases(spark), "kappa", 9 // 3, 0.08).select("phase", F.posexplode("kappa").alias("i", "value")))
+
+
+@query("WITH c AS (SELECT r_regionkey AS ring, k AS seq, r_regionkey * 10 + [0, 4, 4, 0][k + 1] AS x, [0, 0, 3, 3][k + 1] AS y, [4, 4, 0, 0][k + 1] - [0, 4, 4, 0][k + 1] AS dx, [0, 3, 3, 0][k + 1] - [0, 0, 3, 3][k + 1] AS dy FROM region, range(4) t(k)) SELECT ring, seq * 1000000 + k AS seq, (x + k * sign(dx))::DOUBLE AS x, (y + k * sign(dy))::DOUBLE AS y FROM c, range(4) t(k) WHERE k < greatest(abs(dx), abs(dy))")
+def densify_ring(spark, d):
+    k = F.col("id")
+    at = lambda v: F.element_at(F.array(*map(F.lit, v)), (k + 1).cast("int"))
+    rings = S.table(spark, d, "region").join(spark.range(4)).select(F.col("r_regionkey").alias("ring"), k.alias("seq"), (F.col("r_regionkey") * 10 + at([0, 4, 4, 0])).alias("x"), at([0, 0, 3, 3]).alias("y"))
+    return rounded(geometry.densify(rings, "ring"))
+
+
+@query(f"WITH {_MESH_SQL} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM elements) AS elements")
+def mesh_cleanup(spark, d):
+    """A mesh given twice, shifted in number and turned round, becomes itself again."""
+    nodes, flat = _mesh(spark)
+    twice = nodes.unionByName(nodes.withColumn("node_id", F.col("node_id") + 1000))
+    mixed = flat.select("elem_id", F.when(F.col("elem_id") % 2 == 0, F.col("n1")).otherwise(F.col("n1") + 1000).alias("n1"), F.col("n3").alias("n2"), F.col("n2").alias("n3"))
+    e, n = mesh.cleanup(mixed, twice)
+    return n.agg(F.count("*").alias("nodes")).join(e.agg(F.count("*").alias("elements")))
+
+
+@query()
+def wave_speed_projection(spark, d):
+    """Speeds at their places in the equal-area projection, for plotting."""
+    px, py = T.lambert(F.col("x"), F.col("y"), F.col("z"))
+    return phase_wave_speeds(spark, d).select("phase", "i", "j", px.alias("px"), py.alias("py"), "vp", "vs1", "vs2")
+
+
+@query()
+def field_on_grid(spark, d):
+    """The field inside each grain on a regular grid, as for arrows or images."""
+    field = _field(spark).withColumn("grain", F.lit(1).cast("long"))
+    return fields.interpolate(field, fields.regular_grid(field).withColumn("grain", F.lit(1).cast("long")), "grain", ["f"])
