@@ -20,7 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that the labelled ones teach."""
     model = crf.train(docs, "doc_id", "text", "lang")
     scored = crf.identify(docs, model, "text", list(docs.columns))
-    return scored.where((F.col("lang_pred") != crf.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    found, score = scored.columns[-2:]
+    return scored.where((F.col(found) != crf.UNKNOWN) & (F.col(score) >= LEAST_SHARE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +31,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates, and all without a key or words."""
-    found = neardup.near_duplicates(docs, "doc_id", "text", SIMILARITY)
-    return _without(docs, found.where(~F.col("kept") & F.col("component").isNotNull()).select("doc_id"))
+    """Keep one document of each group of near-duplicates, and all without a key or words; of rows that repeat both key and text, one."""
+    found = materialise(neardup.near_duplicates(docs, "doc_id", "text", SIMILARITY))
+    left = _without(docs, found.where(~F.col("kept") & F.col("component").isNotNull()).select("doc_id"))
+    again = found.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    again = materialise(again)
+    if again.isEmpty():
+        return left
+    repeated = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return _without(left, again).unionByName(repeated.select(*left.columns))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

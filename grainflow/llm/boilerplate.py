@@ -49,21 +49,22 @@ def drop_lines(docs: DataFrame, host: str, text: str, ratio: float = RATIO, min_
     found = materialise(boilerplate(docs, host, text, ratio, min_pages))
     hosts, entries = found.agg(F.count("*"), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
     low = found.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
-    same = docs[host].eqNullSafe(F.col("__host"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"))  # so that no column can clash
+    own_host, own_text = F.col(f"row.`{host}`"), F.col(f"row.`{text}`")
     if hosts + entries <= BROADCAST_ENTRIES:
-        joined = docs.join(F.broadcast(low), same, "left")
+        joined = packed.join(F.broadcast(low), own_host.eqNullSafe(F.col("__host")), "left")
     else:
         salted = low.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("__own", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
-        joined = joined.join(salted, joined[host].eqNullSafe(F.col("__host")) & (F.col("__own") == F.col("__salt")), "left")
-    kept = F.filter(_lines(F.col(text)), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__lines"), _hash(x)))
-    n_lines, n_dropped = fresh("n_lines", docs.columns), fresh("n_dropped", docs.columns)
-    lines = F.size(_lines(F.col(text)))
-    short = joined.withColumn("__kept", F.when(F.col("__lines").isNotNull(), kept))
-    count = F.when(F.col(text).isNull(), 0).otherwise(lines).cast("long")
+        packed = packed.withColumn("__own", F.pmod(F.xxhash64(own_text), F.lit(SALTS)).cast("int"))
+        joined = packed.join(salted, own_host.eqNullSafe(F.col("__host")) & (F.col("__own") == F.col("__salt")), "left")
+    kept = F.filter(_lines(own_text), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__lines"), _hash(x)))
+    done = joined.withColumn("__kept", F.when(F.col("__lines").isNotNull(), kept))
+    lines = F.size(_lines(own_text))
+    count = F.when(own_text.isNull(), 0).otherwise(lines).cast("long")
     dropped = F.when(F.col("__kept").isNull(), 0).otherwise(lines - F.size("__kept")).cast("long")
-    cleaned = F.when(F.col("__kept").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n"))
-    return short.select(*(cleaned.alias(c) if c == text else F.col(c) for c in docs.columns), count.alias(n_lines), dropped.alias(n_dropped))
+    cleaned = F.when(F.col("__kept").isNull(), own_text).otherwise(F.array_join("__kept", "\n"))
+    columns = [cleaned.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return done.select(*columns, count.alias(fresh("n_lines", docs.columns)), dropped.alias(fresh("n_dropped", docs.columns)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

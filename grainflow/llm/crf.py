@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import by_size, crc_bucket, short_batches, table
+from grainflow.llm.common import by_size, crc_bucket, fresh, short_batches, table
 
 BITS = 16
 #: Labelled texts of a language that are learned from, the characters of each, and languages at most.
@@ -235,7 +235,7 @@ def train(docs: DataFrame, key: str, text: str, language: str, sample: int = SAM
 def _kernel(model, key: str, text: str, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_size(batch, text, 4_000_000):
+            for part in by_size(batch, text, 2_000_000):
                 found, score = predict(model.value, part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c in key), pa.array(found, pa.string()), pa.array(score)], schema=schema)
 
@@ -243,7 +243,7 @@ def _kernel(model, key: str, text: str, schema: pa.Schema) -> Callable[[Iterator
 
 
 def identify(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
-    """The columns `keep` with lang_pred and score, for every row of `docs`; whole texts are read.
+    """The columns `keep` with lang_pred and score (under other names if `keep` has them, see `fresh`), for every row of `docs`; whole texts are read.
 
     A null or empty text, or one without a letter, is `und` with score 0. Repeated rows give the same
     answer. The model, of a fixed size, is broadcast.
@@ -257,7 +257,7 @@ def identify(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataF
 
     out = StructType([inner.schema[n] for n in names]).add("lang_pred", StringType()).add("score", DoubleType())
     done = inner.mapInArrow(_kernel(shared, names, "text", to_arrow_schema(out)), out)
-    return done.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "lang_pred", "score")
+    return done.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), *(F.col(n).alias(fresh(n, keep)) for n in ("lang_pred", "score")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

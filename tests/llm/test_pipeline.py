@@ -71,4 +71,17 @@ def test_stages_take_odd_documents(spark, tmp_path):
             assert got.columns == docs.columns
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+    # Of a row that is there twice, one stays.
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == ["1", "2", "3", "None"]
+
+
+def test_stages_keep_columns_with_their_own_names(spark):
+    names = ["score", "lang_pred", "row", "mix", "__host", "__kept", "copy", "position", "gone", "rank", "n_lines", "component", "item_id", "key", "id", "size"]
+    docs = documents(spark, [(i, "the thing and that " * 3 + str(i), "en", "a") for i in range(3)] + [(9, "der und nicht " * 5, "de", None)])
+    for n in names:
+        docs = docs.withColumn(n, F.lit(f"my {n}"))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        assert got.columns[: len(docs.columns)] == docs.columns and got.count() >= 1, name
+        assert all(got.first()[n] == f"my {n}" for n in names), name
     assert neardup.WORDS == 5
