@@ -1,7 +1,7 @@
 """Reader of phase property files: blocks that start with a keyword line.
 
 Keywords: *phase, *density, *stiffness_matrix, *thermal_expansion, *thermal_conductivity (any case). Text after #
-is a comment. What a file leaves out gets a default: the file's stem as name, density 1, unit stiffness,
+is a comment; a matrix may stand on one line, and short rows are filled up with 0. What a file leaves out gets a default: the file's stem as name, density 1, unit stiffness,
 no expansion, unit conductivity.
 """
 
@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from grainflow.sources.maps import NUMBER
 
-#: Block, result column, numbers that it holds, default.
+#: Block, result column, rows and columns that it holds, default.
 BLOCKS = (
-    ("density", "density", 1, [1.0]),
-    ("stiffness_matrix", "stiffness", 36, [float(i % 7 == 0) for i in range(36)]),
-    ("thermal_expansion", "alpha", 6, [0.0] * 6),
-    ("thermal_conductivity", "kappa", 9, [float(i % 4 == 0) for i in range(9)]),
+    ("density", "density", 1, 1, [1.0]),
+    ("stiffness_matrix", "stiffness", 6, 6, [float(i % 7 == 0) for i in range(36)]),
+    ("thermal_expansion", "alpha", 6, 1, [0.0] * 6),
+    ("thermal_conductivity", "kappa", 3, 3, [float(i % 4 == 0) for i in range(9)]),
 )
 SYMMETRY = 1e-6
 
@@ -37,10 +37,14 @@ def _one(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"#[^\n]*", "").alias("text"))
     block = lambda k: F.regexp_extract("text", rf"(?is)\*{k}\b([^*]*)", 1)
     columns = []
-    for keyword, name, size, default in BLOCKS:
-        numbers = F.transform(F.regexp_extract_all(block(keyword), F.lit(NUMBER), 0), lambda x: x.cast("double"))
-        value = F.when(F.size(numbers) == size, numbers).when(F.size(numbers) == 0, F.array(*map(F.lit, default))).otherwise(F.raise_error(F.lit(f"{path}: *{keyword} needs {size} numbers")).cast("array<double>"))
-        columns.append((value[0] if size == 1 else value).alias(name))
+    for keyword, name, rows, width, default in BLOCKS:
+        lines = F.filter(F.transform(F.split(block(keyword), "\n"), lambda x: F.transform(F.regexp_extract_all(x, F.lit(NUMBER), 0), lambda y: y.cast("double"))), lambda r: F.size(r) > 0)
+        flat = F.flatten(lines)
+        padded = F.flatten(F.transform(lines, lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(0.0), width)), 1, width)))  # noqa: B023
+        short = (F.size(lines) == rows) & F.forall(lines, lambda r: F.size(r) <= width)  # noqa: B023
+        wrong = F.raise_error(F.lit(f"{path}: *{keyword} needs {rows * width} numbers")).cast("array<double>")
+        value = F.when(F.size(flat) == rows * width, flat).when(F.size(flat) == 0, F.array(*map(F.lit, default))).when(short, padded).otherwise(wrong)
+        columns.append((value[0] if rows * width == 1 else value).alias(name))
     stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
     name = F.trim(F.regexp_replace(block("phase"), r"\s+", " "))
     return whole.select(F.when(name == "", stem).otherwise(name).alias("name"), *columns)

@@ -19,11 +19,12 @@ def test_maps(spark, tmp_path):
 def test_properties(spark, tmp_path):
     rows = "\n".join(" ".join(str(float(i == j) * 5) for j in range(6)) for i in range(6))
     (tmp_path / "iron.txt").write_text(f"# *density 3\n*Phase\nIron  alpha\n*DENSITY\n# source: [1]\n7.8e3\n*stiffness_matrix\n{rows}\n")
-    (tmp_path / "bare.txt").write_text("*phase\n\n")
+    (tmp_path / "bare.txt").write_text("*phase\n\n*thermal_expansion 1 2 3 4 5 6\n*thermal_conductivity # W\n1\n0 2\n0 0 3\n")
     (tmp_path / "bad.txt").write_text("*density 1 2\n")
     a, b = properties.read_properties(spark, [str(tmp_path / "iron.txt"), str(tmp_path / "bare.txt")]).orderBy("phase").collect()
     assert (a["name"], a["density"], a["stiffness"][7], a["alpha"]) == ("Iron alpha", 7800.0, 5.0, [0.0] * 6)
-    assert (b["name"], b["density"], b["kappa"]) == ("bare", 1.0, [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0])
+    assert (b["name"], b["density"], b["kappa"], b["alpha"]) == ("bare", 1.0, [1.0, 0, 0, 0, 2.0, 0, 0, 0, 3.0], [1.0, 2, 3, 4, 5, 6])
+    assert a["kappa"] == [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0]
     assert properties.asymmetric(properties.read_properties(spark, [str(tmp_path / "iron.txt")])).count() == 0
     with pytest.raises(Exception, match="needs 1 numbers"):
         properties.read_properties(spark, [str(tmp_path / "bad.txt")]).collect()
