@@ -110,3 +110,14 @@ def test_compact_closes_gaps(spark):
     wide, six = mesh.quadratic(elements, nodes)
     e, n = mesh.compact(six, wide, [f"n{i}" for i in range(1, 7)])
     assert sorted(r["node_id"] for r in n.collect()) == list(range(25)) and e.count() == 8
+
+
+def test_worst_mean_is_exact(spark):
+    rng = np.random.default_rng(3)
+    v = rng.random(1000) ** 3
+    df = spark.createDataFrame([(float(x),) for x in v], "quality double")
+    for share in (0.0001, 0.05, 0.5, 1.0):
+        n = max(1, int(np.ceil(share * 1000)))
+        assert mesh.worst_mean(df, share=share).first()["mean"] == pytest.approx(np.sort(v)[:n].mean())
+    assert mesh.worst_mean(df.limit(0)).count() == 0
+    assert mesh.worst_mean(spark.createDataFrame([(0.5,)] * 3, "quality double")).first()["mean"] == 0.5
