@@ -233,10 +233,10 @@ def components(edges: DataFrame, part: int = PART) -> DataFrame:
     before = None
     while parts > 1:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.where(F.col("a") != F.col("b")).distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialise(down.groupBy("a").agg(F.min("b").alias("m")))
         small = down.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -248,27 +248,23 @@ def components(edges: DataFrame, part: int = PART) -> DataFrame:
 
 
 def _blocks(percent: int) -> Callable:
-    """All links between two blocks of classes, or within one, that join different groups."""
+    """The links between two blocks of classes that join different components; rows of the first have part 0, of the second part 1, of one that meets itself part 2."""
     least = least_agreement(percent)
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        x, y = key[0].as_py(), key[1].as_py()
+    def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("component", "ascending"), ("class", "ascending")])
-        block, ids, comp = (t.column(c).to_numpy() for c in ("block", "class", "component"))
-        n = t.column("n").to_numpy()
+        part, ids, comp, n = (t.column(c).to_numpy() for c in ("part", "class", "component", "n"))
         sign = np.frombuffer(b"".join(t.column("sign").to_pylist()), np.uint32).reshape(-1, SLOTS)
         items = t.column("items")
-        left, right = (np.flatnonzero(block == b) for b in (x, y))
         groups, out = _Union(), []
-        for i in ids:
-            groups.find(int(i))
-        for i in left:
+        right = np.flatnonzero(part >= 1)
+        for i in np.flatnonzero(part != 1):
             others = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            if x == y:
-                others = others[others > i]
+            others = others[(part[others] == 1) | (others > i)]
             for j in others[(sign[others] == sign[i]).sum(1) >= least]:
-                if groups.find(int(comp[i])) != groups.find(int(comp[j])) and jaccard_at_least(np.frombuffer(items[int(i)].as_py(), np.uint64), np.frombuffer(items[int(j)].as_py(), np.uint64), percent):
-                    groups.join(int(comp[i]), int(comp[j]))
+                a, b = int(comp[i]), int(comp[j])
+                if groups.find(a) != groups.find(b) and jaccard_at_least(np.frombuffer(items[int(i)].as_py(), np.uint64), np.frombuffer(items[int(j)].as_py(), np.uint64), percent):
+                    groups.join(a, b)
                     out.append((int(ids[i]), int(ids[j])))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
@@ -293,7 +289,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, percent: int = 85, wor
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sign", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)))
     banded = prints.select("class", F.least(F.col("copies"), F.lit(1 << 20)).alias("copies"), F.explode(keys).alias("band"))
     order = F.col("copies") * (1 << 40) + F.shiftrightunsigned(F.xxhash64("class"), 24)
-    shared = banded.groupBy("band").agg(F.max_by("class", order).alias("pivot"), F.count("*").alias("members")).where(F.col("members") > 1)
+    # Small tables that hot keys are joined with are materialised, so that skewed joins can be split.
+    shared = materialise(banded.groupBy("band").agg(F.max_by("class", order).alias("pivot"), F.count("*").alias("members")).where(F.col("members") > 1))
     members = materialise(banded.join(shared, "band").select("band", "class", "pivot"))
     stars = members.where(F.col("class") != F.col("pivot")).select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
     side = lambda name: prints.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("sign").alias(f"sign_{name}"))
@@ -301,7 +298,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, percent: int = 85, wor
     links = components(_verify(source, prints, hopeful, percent, words))
     # Keys whose members still lie apart.
     placed = members.join(links, members["class"] == links["node"], "left").select("band", "class", F.coalesce("component", "class").alias("component"))
-    apart = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high"))
+    placed = materialise(placed)
+    apart = materialise(placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")))
     open_ = materialise(placed.join(apart, "band").select("class", "component", "band"))
     grouped = links
     if not open_.isEmpty():
@@ -323,20 +321,26 @@ def _verify(source: DataFrame, prints: DataFrame, pairs: DataFrame, percent: int
 def _between(source: DataFrame, prints: DataFrame, open_: DataFrame, percent: int, words: int) -> DataFrame:
     """Links between classes that share an open key but no component yet."""
     # Classes connected by open keys form one neighbourhood; classes of different ones share no band.
-    hub = open_.groupBy("band").agg(F.min("class").alias("hub"))
+    hub = materialise(open_.groupBy("band").agg(F.min("class").alias("hub")))
     near = components(open_.join(hub, "band").where(F.col("class") != F.col("hub")).select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct())
     area = open_.select("class", F.col("component").alias("own")).distinct().join(near.withColumnRenamed("component", "area"), F.col("class") == F.col("node")).select("class", "own", "area")
     area = materialise(area)
+    # Members of an area's largest component need not meet each other: they only meet the rest.
+    shares = materialise(area.groupBy("area", "own").agg(F.count("*").alias("size")))
+    sizes = materialise(shares.groupBy("area").agg(F.max_by("own", F.struct("size", "own")).alias("main"), F.max("size").alias("mains"), F.sum("size").alias("size")))
+    many = lambda c: F.ceil(c / BLOCK).cast("int")
     full = area.join(prints.select("class", "print", "n", "sign"), "class")
     sets = _full_sets(source, full.select("class", "print"), words)
-    sizes = area.groupBy("area").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = full.join(sets, "class").join(sizes, "area").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    # Block b meets every block c: the pair (least, greatest).
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select("area", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "class", F.col("own").alias("component"), "n", "sign", "items")
-    kernel = _blocks(percent)
-    return paired.groupBy("area", "x", "y").applyInArrow(lambda key, t: kernel((key[1], key[2]), t), "a long, b long")
+    dealt = full.join(sets, "class").join(sizes, "area").withColumn("in_main", F.col("own") == F.col("main")).withColumn("main_blocks", many(F.col("mains"))).withColumn("rest_blocks", many(F.col("size") - F.col("mains")))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class"), F.when(F.col("in_main"), F.col("main_blocks")).otherwise(F.col("rest_blocks"))).cast("int"))
+    block, numbers = F.col("block"), lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    meeting = lambda kind, x, y, part: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), part.cast("int").alias("part"))
+    with_rest = F.transform(numbers("rest_blocks"), lambda o: meeting("rest", F.least(block, o), F.greatest(block, o), F.when(o == block, 2).when(block < o, 0).otherwise(1)))
+    with_main = F.transform(numbers("main_blocks"), lambda o: meeting("main", block, o, F.lit(0)))
+    as_main = F.transform(numbers("rest_blocks"), lambda o: meeting("main", o, block, F.lit(1)))
+    met = dealt.withColumn("at", F.explode(F.when(F.col("in_main"), as_main).otherwise(F.concat(with_rest, with_main))))
+    paired = met.select("area", "at.kind", "at.x", "at.y", "at.part", "class", F.col("own").alias("component"), "n", "sign", "items")
+    return paired.groupBy("area", "kind", "x", "y").applyInArrow(_blocks(percent), "a long, b long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
