@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: The white space that ends a word: space and code points 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Rows in an Arrow batch sent to a Python worker. Texts may be long, so batches are short.
-ARROW_ROWS = 256
+#: Rows and bytes in an Arrow batch sent to a Python worker. Texts may be long, so batches are short.
+ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -25,6 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound what one Arrow batch of texts can hold in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ SLOTS = BANDS * ROWS
 #: Pairs whose signatures agree in fewer slots than expected at the threshold by this many standard deviations are given up.
 DEVIATIONS = 5.0
 #: Classes in a block of step 4, edges in a part of step 5.
-BLOCK, PART = 512, 200_000
+BLOCK, PART = 128, 200_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
