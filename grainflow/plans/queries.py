@@ -546,11 +546,12 @@ def qp_to_nodal(spark, d):
     return rounded(fields.to_nodes(_field(spark), _mesh(spark)[1], "f"))
 
 
-def _cells(spark, d, side: int = 12):
-    """The lower left corner of the event map as a periodic cell, two elements for each pixel."""
+def _cells(spark, d):
+    """The whole event map as one periodic cell, two elements for each pixel."""
+    side = S.map_side(spark, d)
     nodes, elements = mesh.grid_mesh(spark, 0.0, float(side), 0.0, float(side), side, side)
     wide, six = mesh.quadratic(elements, nodes)
-    points = S.event_map(spark, d).where((F.col("x") < side) & (F.col("y") < side)).withColumn("pixel", F.col("y") * side + F.col("x"))
+    points = S.event_map(spark, d).withColumn("pixel", F.col("y") * side + F.col("x"))
     turned = homogenize.rotated_conductivity(points, S.phases(spark))
     material = turned.select("pixel", F.array(*(f"k{i}{j}" for i, j in CELLS)).alias("kappa")).withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).select((2 * F.col("pixel") + F.col("half")).alias("elem_id"), "kappa")
     return fem.place_elements(six, wide, mesh.periodic_pairs(wide), material).withColumn("map_id", F.lit("map"))
@@ -566,10 +567,11 @@ def heat_flux_field(spark, d):
     return fem.heat_flux(fem.solve_conduction(_cells(spark, d)), (1.0, 0.0, 0.0))
 
 
-def _elastic(spark, d, side: int = 6):
-    cells = _cells(spark, d, side).drop("kappa")
+def _elastic(spark, d):
+    side = S.map_side(spark, d)
+    cells = _cells(spark, d).drop("kappa")
     properties = S.phases(spark).select("phase", "stiffness", "alpha")
-    points = S.event_map(spark, d).where((F.col("x") < side) & (F.col("y") < side)).withColumn("pixel", F.col("y") * side + F.col("x"))
+    points = S.event_map(spark, d).withColumn("pixel", F.col("y") * side + F.col("x"))
     each = points.join(F.broadcast(properties), "phase").withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
     return cells.join(each.select((2 * F.col("pixel") + F.col("half")).alias("elem_id"), "stiffness", "alpha"), "elem_id")
 

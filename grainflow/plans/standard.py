@@ -29,11 +29,16 @@ def phases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(phase_rows(), "phase int, name string, density double, stiffness array<double>, alpha array<double>, kappa array<double>")
 
 
+def map_side(spark: SparkSession, sf_dir: str) -> int:
+    """Points along a side of the event map."""
+    return int(table(spark, sf_dir, "events").count() ** 0.5)
+
+
 def event_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """points(point_id, x, y, phase, phi1, phi, phi2, value): events laid out row by row on a square, the last incomplete
     row left out; the type is the phase, and a user's number stands for an orientation."""
     events = table(spark, sf_dir, "events")
-    side = int(events.count() ** 0.5)
+    side = map_side(spark, sf_dir)
     kinds = events.select("event_type").distinct().withColumn("phase", F.row_number().over(Window.orderBy("event_type")))  # a few types
     angle = lambda step, whole: F.radians((F.col("user_id") * step % whole).cast("double"))
     return events.where(F.col("event_id") < side * side).join(F.broadcast(kinds), "event_type").select(
