@@ -313,6 +313,14 @@ def nearest_neighbor(spark, d):
     return rounded(spatial.nearest(asked, points.where("phase = 1"), 3, 2.0))
 
 
+@query()
+def nearest_neighbor_all(spark, d):
+    """nearest_neighbor for every point of the map; all pairs are too many for SQL."""
+    points = S.event_map(spark, d)
+    asked = points.select(F.col("point_id").alias("query_id"), (F.col("x") + 0.25).alias("x"), (F.col("y") + 0.125).alias("y"))
+    return rounded(spatial.nearest(asked, points.where("phase = 1"), 3, 2.0))
+
+
 _MESH_SQL = """nodes AS (SELECT id AS node_id, (id % 13) * 0.75 AS x, (id // 13) * 0.8 AS y FROM range(13 * 11) t(id)),
 elements AS (SELECT id AS elem_id, a AS n1, CASE id % 2 WHEN 0 THEN a + 1 ELSE a + 14 END AS n2, CASE id % 2 WHEN 0 THEN a + 14 ELSE a + 13 END AS n3
   FROM (SELECT id, (id // 2 // 12) * 13 + (id // 2) % 12 AS a FROM range(240) t(id))),

@@ -24,3 +24,16 @@ def test_flux_rows_cover_the_map(spark, side):
     q = core.heat_flux_field(spark, SF).toPandas()
     assert len(q) == 4 * 2 * side * side and q["weight"].sum() == pytest.approx(side * side)
     assert (q["q1"] * q["weight"]).sum() / q["weight"].sum() == pytest.approx(1.0)
+
+
+def test_every_point_gets_its_neighbours(spark):
+    """Against brute force; the distances are exact in binary, so ties are too."""
+    points = S.event_map(spark, SF).select("point_id", "x", "y", "phase").toPandas()
+    target = points[points["phase"] == 1]
+    want = set()
+    for p in points.itertuples():
+        d2 = (p.x + 0.25 - target["x"]) ** 2 + (p.y + 0.125 - target["y"]) ** 2
+        best = sorted(zip(d2, target["point_id"], strict=True))[:3]
+        want |= {(p.point_id, k + 1, i, round(d, 6)) for k, (d, i) in enumerate(best)}
+    got = [tuple(r) for r in core.nearest_neighbor_all(spark, SF).select("query_id", "rank", "point_id", "distance2").collect()]
+    assert len(got) == len(want) == 3 * len(points) and set(got) == want
