@@ -620,12 +620,23 @@ def element_phase_nearest(spark, d):
     return el.material(points, S.phases(spark), flat, nodes).select("elem_id", "phase")
 
 
+@query()
+def element_phase_nearest_all(spark, d):
+    """element_phase_nearest over the whole map, two elements for each pixel."""
+    from grainflow.operators import elements as el
+
+    side = S.map_side(spark, d)
+    nodes, flat = mesh.grid_mesh(spark, 0.0, float(side), 0.0, float(side), side, side)
+    return el.material(S.event_map(spark, d), S.phases(spark), flat, nodes).select("elem_id", "phase")
+
+
 @query()
 def element_material_hill(spark, d):
     from grainflow.operators import elements as el
 
-    nodes, flat = mesh.grid_mesh(spark, 0.0, 9.0, 0.0, 8.0, 3, 3)
-    return el.material(S.event_map(spark, d).where("x < 9 and y < 8"), S.phases(spark), flat, nodes, "hill")
+    side = S.map_side(spark, d)
+    nodes, flat = mesh.grid_mesh(spark, 0.0, float(side), 0.0, float(side), max(1, side // 3), max(1, side // 3))
+    return el.material(S.event_map(spark, d), S.phases(spark), flat, nodes, "hill")
 
 
 @query(f"""WITH {_RINGS_SQL}, {_EDGES_SQL}, p AS (SELECT s_suppkey AS point_id, (s_suppkey % 50) * 1.1 AS px, 12 + (s_suppkey % 17) * 1.3 AS py FROM supplier),
@@ -663,7 +674,8 @@ def _corner_grains(spark, d, side: int = 20):
 def conforming_mesh_quality(spark, d):
     from grainflow.operators.conforming import conforming_mesh
 
-    nodes, flat = conforming_mesh(spark, _corner_grains(spark, d), 20, 20)
+    side = S.map_side(spark, d)
+    nodes, flat = conforming_mesh(spark, _grained(spark, d), side, side)
     return mesh.statistics(mesh.corners(flat.drop("grain_id"), nodes))
 
 
@@ -675,6 +687,15 @@ def mesh_size_field(spark, d):
     return rounded(found.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "h"))
 
 
+@query()
+def mesh_size_field_all(spark, d):
+    """mesh_size_field over the whole map; all corners with all seeds are too many for SQL."""
+    from grainflow.operators.conforming import size_field
+
+    found = size_field(_grained(spark, d), 0.5, 0.25)
+    return rounded(found.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "h"))
+
+
 @query(f"{_GRAINS} SELECT grain_id, count(*)::DOUBLE AS area FROM grained GROUP BY grain_id")
 def grain_outline_area(spark, d):
     """The rings of each grain's boundary, holes running the other way round, enclose just its pixels."""

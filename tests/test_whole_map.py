@@ -1,5 +1,6 @@
 """Queries bound to the event map read all of it."""
 
+import numpy as np
 import pytest
 
 from grainflow.plans import queries as core
@@ -37,3 +38,30 @@ def test_every_point_gets_its_neighbours(spark):
         want |= {(p.point_id, k + 1, i, round(d, 6)) for k, (d, i) in enumerate(best)}
     got = [tuple(r) for r in core.nearest_neighbor_all(spark, SF).select("query_id", "rank", "point_id", "distance2").collect()]
     assert len(got) == len(want) == 3 * len(points) and set(got) == want
+
+
+def test_mesh_and_material_cover_the_map(spark, side):
+    q = core.conforming_mesh_quality(spark, SF).first()
+    assert q["elements"] == 2 * side * side and q["area_mean"] == pytest.approx(0.5) and q["area_min"] > 0
+    hill = core.element_material_hill(spark, SF).select("elem_id").toPandas()["elem_id"]
+    assert sorted(hill) == list(range(2 * (side // 3) ** 2))
+
+
+def test_elements_take_the_nearest_phase(spark, side):
+    points = S.event_map(spark, SF).select("point_id", "x", "y", "phase").toPandas().sort_values("point_id")
+    px, py = points["x"].to_numpy(float), points["y"].to_numpy(float)
+    want = {}
+    for e in range(2 * side * side):  # centres of the lower right and upper left half of each pixel
+        x, y = e // 2 % side + (2 / 3, 1 / 3)[e % 2], e // 2 // side + (1 / 3, 2 / 3)[e % 2]
+        want[e] = int(points["phase"].iloc[int(np.argmin(np.round((px - x) ** 2 + (py - y) ** 2, 9)))])
+    got = {r["elem_id"]: r["phase"] for r in core.element_phase_nearest_all(spark, SF).collect()}
+    assert got == want
+
+
+def test_size_field_covers_the_map(spark, side):
+    seeds = core.grains.corners(core._grained(spark, SF)).select("x", "y").distinct().toPandas()
+    i, j = np.mgrid[: side + 1, : side + 1]
+    di, dj = abs(i[..., None] - seeds["y"].to_numpy()), abs(j[..., None] - seeds["x"].to_numpy())
+    want = 0.5 + 0.25 * (np.minimum(di, side + 1 - di) + np.minimum(dj, side + 1 - dj)).min(-1)
+    got = core.mesh_size_field_all(spark, SF).toPandas().sort_values(["i", "j"])
+    assert len(got) == (side + 1) ** 2 and np.allclose(got["h"].to_numpy().reshape(side + 1, side + 1), want)
