@@ -4,7 +4,10 @@ A benchmark item is cut into overlapping patterns. A text region within k edits
 at least m + 1 - q (k + 1) of its q-grams, all on diagonals that differ by k at most. So: every q-gram of a text that some
 pattern has is a hit on a diagonal; hits are counted, one for each pattern position, in
 overlapping bands of diagonals; bands that reach the bound are kept, and each is verified by
-a banded alignment of the pattern to the text. Texts are compared in lower case, with each white space
+a banded alignment of the pattern to the text. A band whose pattern isn't there as a whole is searched for a run of
+RUN characters copied word for word: patterns overlap by so much that each such run of an item lies in one of
+them, and its q-grams alone reach the bound. So every verbatim copy of RUN characters or more is found, wherever it starts; one with
+edits is if it holds such a run, or a whole pattern within its edits. Texts are compared in lower case, with each white space
 character as a space. The items' index is broadcast in blocks of bounded size; texts are mapped row by
 row, without a shuffle.
 """
@@ -23,6 +26,8 @@ from grainflow.llm.common import by_size, mix64, short_batches, table
 
 #: Characters of a pattern at most, and between the starts of two; edits allowed per character; q.
 PATTERN, STRIDE, RATE, Q = 120, 60, 0.1, 8
+#: Characters of a verbatim copy that are always found; patterns overlap by as many at least.
+RUN = 60
 #: Characters of items in one broadcast block.
 BLOCK_CHARS = 4_000_000
 #: Characters of a text searched at once; segments overlap by a pattern and its edits.
@@ -180,12 +185,31 @@ def banded(pattern: str, text: np.ndarray, low: int, high: int, budget: int) ->
     return (int(cost[d]), int(begin[d]), d + len(p) + low) if cost[d] <= budget else None
 
 
+def verbatim(pattern: str, text: np.ndarray, low: int, high: int, least: int = RUN) -> tuple[int, int] | None:
+    """(start, end) in the text of the longest run that it shares with the pattern on one of the diagonals low to high, if it
+    has at least `least` characters; the lowest diagonal wins."""
+    p = _codes(pattern)
+    best = None
+    for d in range(max(low, least - len(p)), min(high, len(text) - least) + 1):
+        a, b = max(0, -d), min(len(p), len(text) - d)
+        cuts = np.flatnonzero(p[a:b] != text[a + d : b + d])
+        ends = np.append(cuts, b - a)
+        starts = np.append(0, cuts + 1)
+        k = int(np.argmax(ends - starts))
+        size = int(ends[k] - starts[k])
+        if size >= least and (best is None or size > best[1] - best[0]):
+            best = (a + d + int(starts[k]), a + d + int(ends[k]))
+    return best
+
+
 def find(index: Index, text: str) -> list[tuple[int, int, int, int, int]]:
-    """(item, start, end, edits, patterns) of every item that a pattern of is in the text: its best place."""
+    """(item, start, end, edits, patterns) of every item that a pattern or a verbatim run of is in the text: the best
+    place of a pattern, or the longest run if no pattern is there as a whole."""
     plain = normalise(text)
     whole = _codes(plain)
     best: dict[int, tuple[int, int, int]] = {}
     seen: dict[int, set[int]] = {}
+    runs: dict[int, tuple[int, int]] = {}
     overlap = 2 * max((len(t) + int(b) for t, b in zip(index.text, index.budget, strict=True)), default=0) if len(whole) > SEGMENT else 0
     at = 0
     while index.text:
@@ -200,6 +224,9 @@ def find(index: Index, text: str) -> list[tuple[int, int, int, int, int]]:
             elif hit := banded(pattern, codes, low, high, budget):
                 found = (hit[0], at + hit[1], at + hit[2])
             else:
+                if run := verbatim(pattern, codes, low, high):
+                    item, place = int(index.item[p]), (at + run[0], at + run[1])
+                    runs[item] = min(runs.get(item, place), place, key=lambda r: (r[0] - r[1], r))
                 continue
             item = int(index.item[p])
             seen.setdefault(item, set()).add(p)
@@ -212,7 +239,9 @@ def find(index: Index, text: str) -> list[tuple[int, int, int, int, int]]:
             seen.setdefault(item, set()).add(-1)
             found = (0, place, place + len(pattern))
             best[item] = min(best.get(item, found), found)
-    return [(item, s, e, edits, len(seen[item])) for item, (edits, s, e) in sorted(best.items())]
+    for item, place in runs.items():
+        best.setdefault(item, (0, *place))
+    return [(item, s, e, edits, len(seen.get(item, ()))) for item, (edits, s, e) in sorted(best.items())]
 
 
 def _kernel(index, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -232,7 +261,8 @@ def _kernel(index, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], It
 
 def contaminated(docs: DataFrame, key: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """(key, item_id, char_start, char_end, edits, patterns): a row for every text and item it holds a part of, with the
-    best place of a pattern, its edits and how many of the item's patterns were found.
+    best place of a pattern, its edits and how many of the item's patterns were found. Where none was found as a whole (patterns 0), it is
+    the place of the longest verbatim run of RUN characters or more.
 
     Items too short for the bound are found only exactly (but for case and kind of white space), empty and null ones
     never. Null and empty texts hold nothing, long ones are searched whole. Items that repeat an id are one

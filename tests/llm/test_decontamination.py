@@ -86,3 +86,16 @@ def test_segments_overlap():
 
 def test_normalise_keeps_places():
     assert D.normalise("AİB\tc\n") == "aİb c " and len(D.normalise("İ" * 5)) == 5
+
+
+@pytest.mark.parametrize("size", [59, 60, 90, 119, 130])
+def test_verbatim_runs_are_found_at_every_offset(size):
+    item = D.normalise(" ".join("".join(random.Random(7 * i).choice("bcdfgklmps") for _ in range(1 + i % 7)) for i in range(80)))[:290].strip()
+    index = D.build([(1, item)])
+    for s in range(len(item) - size + 1):
+        text = "\u2016" * 30 + item[s : s + size] + "\u2016" * 30
+        hits = D.find(index, text)
+        assert bool(hits) == (size >= D.RUN), s
+        if hits and not hits[0][4]:
+            a, b = hits[0][1:3]
+            assert b - a >= D.RUN and text[a:b] in item
