@@ -43,9 +43,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold passages of the benchmark."""
-    found = decontamination.contaminated(docs, "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return _without(docs, found.select("doc_id"))
+    """Drop the documents, with or without a key, that hold passages of the benchmark; others with the same key stay."""
+    row = fresh("text_hash", docs.columns)
+    hashed = docs.withColumn(row, F.xxhash64("text"))  # the text alone decides
+    found = decontamination.contaminated(hashed, row, "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return _without(hashed, found.select(row), row).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +55,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixture.mixture(docs, "doc_id", "text", "source")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = materialise(ids.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(fresh("gone", docs.columns))).distinct())
+def _without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    ids = materialise(ids.where(F.col(key).isNotNull()).select(F.col(key).alias(fresh("gone", docs.columns))).distinct())
     gone = ids.columns[0]
     small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(small, docs["doc_id"] == F.col(gone), "left_anti")
+    return docs.join(small, docs[key] == F.col(gone), "left_anti")
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mix", mix)]

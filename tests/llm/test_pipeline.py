@@ -85,3 +85,10 @@ def test_stages_keep_columns_with_their_own_names(spark):
         assert got.columns[: len(docs.columns)] == docs.columns and got.count() >= 1, name
         assert all(got.first()[n] == f"my {n}" for n in names), name
     assert neardup.WORDS == 5
+
+
+def test_benchmark_drops_rows_not_keys(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy(F.desc(F.length("text")), "item_id").first()["text"]
+    rows = [(None, f"before {item} after", "en", "a"), (None, "clean without a key", "en", "a"), (7, f"{item} again", "en", "a"), (7, "clean with that key", "en", "a"), (8, None, "en", "a")]
+    got = corpus_pipeline.benchmark(spark, documents(spark, rows), SF).collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in got) == sorted(map(str, [(None, "clean without a key"), (7, "clean with that key"), (8, None)]))
