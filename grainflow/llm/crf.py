@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from grainflow.llm.common import by_size, crc_bucket, fresh, short_batches, table
 
 BITS = 16
-#: Labelled texts of a language that are learned from, the characters of each, and languages at most.
-SAMPLE, SAMPLE_CHARS, LANGUAGES = 400, 1500, 100
+#: Labelled texts of a language that are learned from, and the characters of each.
+SAMPLE, SAMPLE_CHARS = 400, 1500
 UNKNOWN = "und"
 _SEQUENCE, _SWITCH, _EPOCHS, _RATE, _RIDGE = 64, 1 / 12, 4, 0.3, 1e-6
 #: Characters whose features a worker holds at once.
@@ -218,13 +218,12 @@ def label_words(model: Model, text: str) -> list[tuple[str, str, float]]:
 def train(docs: DataFrame, key: str, text: str, language: str, sample: int = SAMPLE) -> Model:
     """Fit on about `sample` texts of each language, those with the least hashes of the key, and a piece of each.
 
-    Rows with a null key, text or language don't count; beyond LANGUAGES languages, the most frequent are learned.
+    Rows with a null key, text or language don't count. Every language is learned: the model and the driver's sample grow with their number.
     """
     known = docs.where(F.col(key).isNotNull() & F.col(language).isNotNull() & F.col(text).isNotNull()).select(key, text, F.col(language).alias("language"))
-    counts = known.groupBy("language").count().orderBy(F.desc("count"), "language").limit(LANGUAGES).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("language") == r["language"], min(1.0, sample / r["count"])).otherwise(share)
+    counts = known.groupBy("language").count().collect()
+    shares = F.create_map(*(F.lit(x) for r in counts for x in (r["language"], min(1.0, sample / r["count"]))))
+    share = shares[F.col("language")] if counts else F.lit(0.0)
     draw = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / float(1 << 20)
     at = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
     rows = known.where(draw < share).select("language", F.xxhash64(key).alias("h"), F.col(key).alias("key"), F.substr(F.col(text), at + 1, F.lit(SAMPLE_CHARS)).alias("piece"))

@@ -66,3 +66,9 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = crf.query(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (got["lang_pred"] == got["lang"]).mean() > 0.99
+
+
+def test_every_language_is_learned(spark):
+    rows = [(3 * k + i, f"abc{chr(97 + k % 26)}{chr(97 + k // 26)} " * 3, f"l{k:03}", "s") for k in range(104) for i in range(3)]
+    model = crf.train(documents(spark, rows), "doc_id", "text", "lang")
+    assert model.languages == tuple(f"l{k:03}" for k in range(104))
