@@ -288,7 +288,7 @@ def homogenize_compliance(phases: DataFrame) -> DataFrame:
 @query()
 def wave_speeds(spark, d):
     materials = _estimates(spark, d).select("method", (F.transform("stiffness", lambda x: x * 1e9)).alias("stiffness")).join(homogenize.homogenised_density(S.event_map(spark, d), S.phases(spark)))
-    return waves.wave_speeds(materials, "method", 40)
+    return waves.wave_speeds(materials, "method")
 
 
 @query()
@@ -298,7 +298,7 @@ def wave_anisotropy(spark, d):
 
 @query()
 def phase_wave_speeds(spark, d):
-    return waves.wave_speeds(S.phases(spark).withColumn("stiffness", F.transform("stiffness", lambda x: x * 1e9)), "phase", 40)
+    return waves.wave_speeds(S.phases(spark).withColumn("stiffness", F.transform("stiffness", lambda x: x * 1e9)), "phase")
 
 
 # --- joins by place ----------------------------------------------------------------------------------------------------

@@ -65,3 +65,11 @@ def test_size_field_covers_the_map(spark, side):
     want = 0.5 + 0.25 * (np.minimum(di, side + 1 - di) + np.minimum(dj, side + 1 - dj)).min(-1)
     got = core.mesh_size_field_all(spark, SF).toPandas().sort_values(["i", "j"])
     assert len(got) == (side + 1) ** 2 and np.allclose(got["h"].to_numpy().reshape(side + 1, side + 1), want)
+
+
+def test_waves_take_the_whole_grid(spark):
+    """101 x 201 directions of each material, as the operator's default."""
+    for name, key, materials in (("wave_speeds", "method", 4), ("phase_wave_speeds", "phase", S.PHASES), ("wave_speed_projection", "phase", S.PHASES)):
+        got = core.QUERIES[name](spark, SF).groupBy(key).count().collect()
+        assert len(got) == materials and {r["count"] for r in got} == {101 * 201}, name
+    assert core.wave_anisotropy(spark, SF).count() == 4
