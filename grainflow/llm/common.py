@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +9,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ByteType, DataType, DecimalType, IntegerType, LongType, ShortType, StructType
+
+from grainflow.session import checkpoint_folder
 
 #: The white space that ends a word: space and code points 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes in an Arrow batch sent to a Python worker. Texts may be long, so batches are short.
-ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -22,25 +25,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what one Arrow batch of texts can hold in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def short_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch of texts can hold in a Python worker.
+
+    All operators set the same two values, so it doesn't matter which of them was built last; kernels cut
+    batches further by themselves (`by_size`) and never rely on a batch's number of rows.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Compute `df` once and cut its lineage with a reliable checkpoint.
 
-    The folder is the session's spark.checkpoint.dir, which all executors share; only where
-    that is unset (in tests) a temporary one is used.
+    The folder is the session's spark.checkpoint.dir, which all executors share. Where that is unset, a local
+    master (as in tests) gets a temporary folder and any other an error, see `checkpoint_folder`.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def as_schema(*fields: tuple[str, DataType]) -> tuple[StructType, pa.Schema]:
+    """The Spark and the Arrow schema of these columns, whatever their types are."""
+    struct = StructType()
+    for name, kind in fields:
+        struct = struct.add(name, kind)
+    return struct, to_arrow_schema(struct)
+
+
+def whole_number(kind: DataType) -> bool:
+    """Whether every value of this type fits a long without loss."""
+    return isinstance(kind, ByteType | ShortType | IntegerType | LongType) or (isinstance(kind, DecimalType) and kind.scale == 0 and kind.precision <= 18)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

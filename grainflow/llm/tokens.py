@@ -13,6 +13,7 @@ an explicit rule:
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -21,12 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import by_size, short_batches, table
+from pyspark.sql.types import DoubleType, IntegerType, LongType
+
+from grainflow.llm.common import as_schema, by_size, short_batches, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenisation pattern that the vocabulary was made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-RESULT = "section int, char_start long, char_end long, n_tokens double, n_crossing long"
+RESULT = (("section", IntegerType()), ("char_start", LongType()), ("char_end", LongType()), ("n_tokens", DoubleType()), ("n_crossing", LongType()))
+# The characters with the Unicode property White_Space, the pattern's \s.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space of this length are cut out of the text that the pattern sees: it goes back over such a run character by character.
+_LONG_RUN = re.compile(f"[{_WHITE}]{{64,}}")
 
 
 @lru_cache(maxsize=2)
@@ -40,15 +47,28 @@ def _encoder(ranks: bytes):
     return tiktoken.Encoding("sections", pat_str=PATTERN, mergeable_ranks=pairs, special_tokens={}), lengths
 
 
+def encode(encoding, text: str) -> list[int]:
+    """Token ids of a whole text. By the pattern, a run of white space but for its last character is a piece of its
+    own, and all of it at the text's end; so long runs are encoded as such pieces and the text between them by the pattern."""
+    out, at = [], 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += encoding.encode_ordinary(text[at : run.start()])
+        out += encoding._core_bpe.encode_single_piece(run.group()[: end - run.start()].encode())
+        at = end
+    return out + encoding.encode_ordinary(text[at:])
+
+
 def token_spans(ranks: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Character spans [start, end) of the tokens of a whole text; a token inside one character spans it."""
+    """Character spans [start, end) of the tokens of a whole text; a token inside one character spans it.
+    A lone surrogate is read as U+FFFD."""
     encoding, lengths = _encoder(ranks)
-    sizes = lengths[np.asarray(encoding.encode_ordinary(text), np.int64)]
+    data = text.encode("utf-8", "replace") if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode("utf-8")
+    sizes = lengths[np.asarray(encode(encoding, data.decode()), np.int64)]
     end = np.cumsum(sizes)
-    if text.isascii():
+    if len(data) == len(text):
         return end - sizes, end
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    char = np.cumsum((raw & 0xC0) != 0x80) - 1
+    char = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1
     return char[end - sizes], char[end - 1] + 1
 
 
@@ -129,7 +149,8 @@ def count_tokens(df: DataFrame, key: str, text: str, sections: str | None = None
     `sections` names an array of structs (start, end), in characters, sorted and apart; without it, every
     line is a section with the line feed that ends it. Tokens outside all sections make a
     row with section -1. A null text or null array gives one row of section 0 with no tokens, an
-    empty text likewise; repeated rows give repeated results; other columns aren't read.
+    empty text likewise; repeated rows give repeated results; keys may be of any type and null; texts may be of any length and
+    hold runs of any one character; other columns aren't read.
     The vocabulary file, of a fixed size, is read on the driver and broadcast.
     """
     if rule not in ("first", "largest", "proportional"):
@@ -139,11 +160,8 @@ def count_tokens(df: DataFrame, key: str, text: str, sections: str | None = None
     with open(vocabulary, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
     data = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *([F.col(sections).alias("sections")] if sections else []))
-    kind = data.schema["key"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    names = [x.split() for x in RESULT.split(", ")]
-    schema = pa.schema([("key", arrow), *((n, {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[t]) for n, t in names)])
-    return data.mapInArrow(_kernel(ranks, "key", "text", "sections" if sections else None, rule, schema), f"key {kind}, {RESULT}").withColumnRenamed("key", key)
+    result, schema = as_schema(("key", data.schema["key"].dataType), *RESULT)
+    return data.mapInArrow(_kernel(ranks, "key", "text", "sections" if sections else None, rule, schema), result).withColumnRenamed("key", key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
