@@ -1,4 +1,9 @@
+import gzip
 import hashlib
+import time
+import zlib
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -34,3 +39,50 @@ def test_round_trip(spark, tmp_path):
     assert sorted(r["record_id"] for r in again) == sorted(r["record_id"] for r in rows)
     assert {(r["record_id"], r["block_digest"], r["payload_digest"]) for r in again} == {(r["record_id"], r["block_digest"], r["payload_digest"]) for r in rows}
     assert warc.derivatives(made.limit(0)).count() == 0
+
+
+def chunked(data, n=7):
+    return b"".join(f"{len(data[i : i + n]):x};x=1\r\n".encode() + data[i : i + n] + b"\r\n" for i in range(0, len(data), n)) + b"0\r\n\r\n"
+
+
+@pytest.mark.parametrize(
+    ("head", "body"),
+    [
+        ("Content-Encoding: gzip", gzip.compress(PAGE.encode())),
+        ("Content-Encoding: deflate", zlib.compress(PAGE.encode())),
+        ("Content-Encoding: deflate", zlib.compress(PAGE.encode(), wbits=-15)),
+        ("Transfer-Encoding: chunked", chunked(PAGE.encode())),
+        ("Transfer-Encoding: chunked\r\nContent-Encoding: x-gzip", chunked(gzip.compress(PAGE.encode()[:90]) + gzip.compress(PAGE.encode()[90:]))),
+        ("Content-Encoding: gzip", PAGE.encode()),
+        ("Transfer-Encoding: chunked", PAGE.encode()),
+        ("Content-Encoding: br", PAGE.encode()),
+    ],
+)
+def test_codings(head, body):
+    meta, text = warc.derive("<urn:uuid:1>", None, None, f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + body)
+    assert text["block"] == warc.plain_text(PAGE) and text["payload_digest"] == warc.digest(body)
+
+
+def test_markup_without_ends():
+    assert warc.plain_text("a < b <b>c</b> <i") == "a < b c <i" and warc.plain_text("x<script>y") == "x" and warc.plain_text("x<!-- y") == "x"
+    assert warc.read_page("<title>a<title>b</title>c<title>d</title>").title == "a b" and warc.read_page("<title>a").title is None
+    assert warc.plain_text("x<style>y</styles>z</STYLE >w<custom-el>v") == "xwv"
+    found = warc.read_page("<html data-lang='x' lang=en><a data-href=1 HREF = y><a href='z w'><a href>")
+    assert found.language == "en" and found.links == ["y", "z w"]
+
+
+@pytest.mark.parametrize("text", ["<title>" * 100_000, "<a" * 100_000, "<a " * 100_000 + ">", "<" * 1_000_000 + ">", "<html lang" * 100_000 + ">", "<script>" * 100_000, "<script></scrip" * 100_000 + "</script", "<!--" * 100_000, "</script" * 100_000 + ">", "<script>" + "</script " * 100_000, "<html lang" + " " * 1_000_000 + ">", "&" * 1_000_000, " \n" * 1_000_000, "<a href=\"" * 100_000 + ">"])
+def test_time_is_in_proportion(text):
+    began = time.perf_counter()
+    warc.derive("<urn:uuid:1>", None, None, text.encode())
+    assert time.perf_counter() - began < 5
+
+
+def test_keys_of_any_type_and_gzipped_files(spark, tmp_path):
+    for kind, value in (("smallint", 3), ("decimal(10,0)", 3), ("string", "k"), ("bigint", None)):
+        pages = spark.createDataFrame([(PAGE,)], "html string").withColumn("id", F.lit(value).cast(kind)).withColumn("url", F.lit("http://h/"))
+        rows = warc.derivatives(warc.responses(pages, "id", "url", "html")).collect()
+        assert [str(r["key"]) for r in rows] == [str(value)] * 2
+    made = [{"warc_type": "response", "record_id": f"<urn:uuid:{i}>", "content_length": 3, "block": b"abc"} for i in range(3)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(warc.to_bytes(r)) for r in made))
+    assert sorted(r["record_id"] for r in warc.read_warc(spark, str(tmp_path / "a.warc.gz")).collect()) == [r["record_id"] for r in made]
