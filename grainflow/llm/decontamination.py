@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import by_size, mix64, short_batches, table
+from pyspark.sql.types import IntegerType, LongType
+
+from grainflow.llm.common import as_schema, by_size, mix64, short_batches, table
 
 #: Characters of a pattern at most, and between the starts of two; edits allowed per character; q.
 PATTERN, STRIDE, RATE, Q = 120, 60, 0.1, 8
@@ -32,8 +34,10 @@ RUN = 60
 BLOCK_CHARS = 4_000_000
 #: Characters of a text searched at once; segments overlap by a pattern and its edits.
 SEGMENT = 16_384
+#: Pairs of q-grams that a task holds at once; characters of a window where there are more; q-grams of a second bound, cheaper to count.
+HITS, WINDOW, Q_SHORT = 1_000_000, 512, 4
 _FILTER_BITS = 20
-RESULT = "item_id long, char_start long, char_end long, edits int, patterns int"
+RESULT = (("char_start", LongType()), ("char_end", LongType()), ("edits", IntegerType()), ("patterns", IntegerType()))
 
 
 #: Every white space character but the space itself; all are below U+3001.
@@ -79,6 +83,9 @@ class Index:
     pattern: np.ndarray
     place: np.ndarray
     filter: np.ndarray
+    longest: int  # pattern's characters
+    short_gram: np.ndarray  # hashes of the patterns' Q_SHORT-grams, pattern by pattern
+    short_first: np.ndarray  # of each pattern's, and one more
     short: tuple[tuple[int, str], ...]  # items for which the lemma says nothing: searched as they are
 
 
@@ -109,29 +116,84 @@ def build(items: list[tuple[int, str]], size: int = PATTERN, stride: int = STRID
     place = (np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts))[order]
     keep = np.zeros(1 << _FILTER_BITS, bool)
     keep[(gram >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Index(np.array(item, np.int64), np.array(offset, np.int64), text, budget, length + 1 - q * (budget + 1), gram, np.append(first, len(flat)), pattern, place, keep, tuple(short))
+    short_grams = [_short_grams(_codes(t)) for t in text]
+    short_first = np.concatenate([[0], np.cumsum([len(g) for g in short_grams])]).astype(np.int64)
+    short_gram = np.concatenate(short_grams) if text else np.zeros(0, np.uint16)
+    return Index(np.array(item, np.int64), np.array(offset, np.int64), text, budget, length + 1 - q * (budget + 1), gram, np.append(first, len(flat)), pattern.astype(np.int32), place.astype(np.int32), keep, int(length.max(initial=0)), short_gram, short_first, tuple(short))
+
+
+def _short_grams(codes: np.ndarray) -> np.ndarray:
+    """16-bit hashes of all Q_SHORT-grams."""
+    return (grams(codes, Q_SHORT) >> np.uint64(48)).astype(np.uint16)
 
 
-def regions(index: Index, codes: np.ndarray, q: int = Q) -> list[tuple[int, int, int]]:
-    """(pattern, lowest and highest diagonal) of the bands that reach the bound."""
+def regions(index: Index, codes: np.ndarray, q: int = Q, known: Callable[[int], bool] = lambda p: False) -> Iterator[tuple[int, int, int]]:
+    """(pattern, lowest and highest diagonal) of the bands that reach the bound.
+
+    Where a q-gram is frequent on both sides, so that there are more than HITS pairs of its places, the text is cut into short windows, each
+    as long as a whole pattern more, and the patterns of a window are those that reach the bounds there.
+    What is left is held in slices of HITS pairs at most, or one pattern's. Patterns that are `known` to be there are left out.
+    """
     g = grams(codes, q)
     at = np.flatnonzero(index.filter[(g >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
     if not len(at) or not len(index.gram):
-        return []
+        return
     spot = np.minimum(np.searchsorted(index.gram, g[at]), len(index.gram) - 1)
     hit = index.gram[spot] == g[at]
     at, spot = at[hit], spot[hit]
-    size = index.first[spot + 1] - index.first[spot]
+    # Each q-gram of the text once, with its places there and in the patterns.
+    order = np.argsort(spot, kind="stable")
+    at, spot = at[order], spot[order]
+    gram, first, times = np.unique(spot, return_index=True, return_counts=True)
+    size = index.first[gram + 1] - index.first[gram]
     if not size.sum():
-        return []
-    row = np.repeat(index.first[spot] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return
+    row = np.repeat(index.first[gram] - (np.cumsum(size) - size), size) + np.arange(size.sum())
     pattern, place = index.pattern[row], index.place[row]
-    # Patterns with too few hits in all can't have a band that reaches the bound.
+    first, times = np.repeat(first, size), np.repeat(times, size)
+    # A pattern with too few places that the text has anywhere can't have a band that reaches the bound.
     enough = np.bincount(pattern, minlength=len(index.item)) >= index.least
+    _keep_by_short_grams(index, enough, codes)
+    enough[[p for p in np.flatnonzero(enough).tolist() if known(p)]] = False
     some = enough[pattern]
-    pattern, place, diagonal = pattern[some], place[some], (np.repeat(at, size) - index.place[row])[some]
+    order = np.flatnonzero(some)[np.argsort(pattern[some], kind="stable")]
+    pattern, place, first, times = pattern[order], place[order], first[order], times[order]
     if not len(pattern):
-        return []
+        return
+    start = np.flatnonzero(np.concatenate([[True], pattern[1:] != pattern[:-1]]))
+    total = np.cumsum(np.add.reduceat(times, start))
+    longest = index.longest + int(index.budget.max())
+    if total[-1] > HITS and len(codes) > 2 * (WINDOW + longest):
+        for off in range(0, len(codes), WINDOW):
+            for p, a, b in regions(index, codes[off : off + WINDOW + longest], q, known):
+                yield p, a + off, b + off
+        return
+    low = 0
+    while low < len(start):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + HITS, side="right")))
+        part = slice(start[low], start[high] if high < len(start) else len(pattern))
+        yield from _bands(index, at, pattern[part], place[part], first[part], times[part])
+        low = high
+
+
+def _keep_by_short_grams(index: Index, enough: np.ndarray, codes: np.ndarray) -> None:
+    """Unmark patterns with too few of their Q_SHORT-grams in the text, be it for a whole pattern within its edits, for which the lemma holds
+    as well, or for a verbatim run."""
+    left = np.flatnonzero(enough)
+    if not len(left):
+        return
+    there = np.zeros(1 << 16, bool)
+    there[_short_grams(codes)] = True
+    first, size = index.short_first[left], index.short_first[left + 1] - index.short_first[left]
+    at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    count = np.add.reduceat(there[index.short_gram[at]].astype(np.int64), np.cumsum(size) - size)
+    enough[left[count < np.minimum(size - Q_SHORT * index.budget[left], RUN + 1 - Q_SHORT)]] = False
+
+
+def _bands(index: Index, at: np.ndarray, pattern: np.ndarray, place: np.ndarray, first: np.ndarray, times: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    which = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    pattern, place = np.repeat(pattern, times), np.repeat(place, times)
+    diagonal = at[which] - place
     width = index.budget[pattern] + 1
     band = diagonal // width  # every band is two widths wide, so that each run of `width` diagonals is inside one
     pattern, place, band = np.tile(pattern, 2), np.tile(place, 2), np.concatenate([band, band - 1])
@@ -142,14 +204,17 @@ def regions(index: Index, codes: np.ndarray, q: int = Q) -> list[tuple[int, int,
     start = np.flatnonzero(new_band)
     count = np.add.reduceat(new_place.astype(np.int64), start)
     good = count >= index.least[pattern[start]]
-    out = []
+    held = None
     for p, b in zip(pattern[start][good].tolist(), band[start][good].tolist(), strict=True):
         w = int(index.budget[p]) + 1
-        if out and out[-1][0] == p and b * w <= out[-1][2] + 1:
-            out[-1] = (p, out[-1][1], (b + 2) * w - 1)
+        if held and held[0] == p and b * w <= held[2] + 1:
+            held = (p, held[1], (b + 2) * w - 1)
         else:
-            out.append((p, b * w, (b + 2) * w - 1))
-    return out
+            if held:
+                yield held
+            held = (p, b * w, (b + 2) * w - 1)
+    if held:
+        yield held
 
 
 def banded(pattern: str, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
@@ -187,18 +252,22 @@ def banded(pattern: str, text: np.ndarray, low: int, high: int, budget: int) ->
 
 def verbatim(pattern: str, text: np.ndarray, low: int, high: int, least: int = RUN) -> tuple[int, int] | None:
     """(start, end) in the text of the longest run that it shares with the pattern on one of the diagonals low to high, if it
-    has at least `least` characters; the lowest diagonal wins."""
+    has at least `least` characters; the lowest diagonal wins, then the first run."""
     p = _codes(pattern)
+    low, high = max(low, least - len(p)), min(high, len(text) - least)
     best = None
-    for d in range(max(low, least - len(p)), min(high, len(text) - least) + 1):
-        a, b = max(0, -d), min(len(p), len(text) - d)
-        cuts = np.flatnonzero(p[a:b] != text[a + d : b + d])
-        ends = np.append(cuts, b - a)
-        starts = np.append(0, cuts + 1)
-        k = int(np.argmax(ends - starts))
-        size = int(ends[k] - starts[k])
-        if size >= least and (best is None or size > best[1] - best[0]):
-            best = (a + d + int(starts[k]), a + d + int(ends[k]))
+    for at in range(low, high + 1, 4096):  # a bounded number of diagonals at once
+        diagonals = np.arange(at, min(high + 1, at + 4096))
+        column = diagonals[:, None] + np.arange(len(p))
+        inside = (column >= 0) & (column < len(text))
+        differ = ~inside | (text[np.where(inside, column, 0)] != p)
+        # The characters since the last difference.
+        run = np.arange(1, len(p) + 1) - np.maximum.accumulate(np.where(differ, np.arange(1, len(p) + 1), 0), axis=1)
+        longest = run.max(1)
+        d = int(np.argmax(longest))
+        if longest[d] >= least and (best is None or longest[d] > best[1] - best[0]):
+            end = int(diagonals[d]) + int(np.argmax(run[d])) + 1
+            best = (end - int(longest[d]), end)
     return best
 
 
@@ -211,26 +280,31 @@ def find(index: Index, text: str) -> list[tuple[int, int, int, int, int]]:
     seen: dict[int, set[int]] = {}
     runs: dict[int, tuple[int, int]] = {}
     overlap = 2 * max((len(t) + int(b) for t, b in zip(index.text, index.budget, strict=True)), default=0) if len(whole) > SEGMENT else 0
+    exact: dict[str, int] = {}  # of each pattern, its first place or -1
+
+    def there(p: int) -> bool:
+        pattern = index.text[p]
+        if pattern not in exact:
+            exact[pattern] = plain.find(pattern)
+        if (place := exact[pattern]) < 0:
+            return False
+        item, found = int(index.item[p]), (0, place, place + len(pattern))
+        seen.setdefault(item, set()).add(p)
+        best[item] = min(best.get(item, found), found)
+        return True
+
     at = 0
     while index.text:
         codes = whole[at : at + SEGMENT + overlap]
-        for p, low, high in regions(index, codes):
-            pattern, budget = index.text[p], int(index.budget[p])
-            a = max(0, low - budget)
-            b = min(len(codes), high + len(pattern) + budget)
-            exact = plain.find(pattern, at + a, at + b)
-            if exact >= 0:
-                found = (0, exact, exact + len(pattern))
-            elif hit := banded(pattern, codes, low, high, budget):
-                found = (hit[0], at + hit[1], at + hit[2])
-            else:
-                if run := verbatim(pattern, codes, low, high):
-                    item, place = int(index.item[p]), (at + run[0], at + run[1])
-                    runs[item] = min(runs.get(item, place), place, key=lambda r: (r[0] - r[1], r))
-                continue
+        for p, low, high in regions(index, codes, known=there):
             item = int(index.item[p])
-            seen.setdefault(item, set()).add(p)
-            best[item] = min(best.get(item, found), found)
+            if hit := banded(index.text[p], codes, low, high, int(index.budget[p])):
+                found = (hit[0], at + hit[1], at + hit[2])
+                seen.setdefault(item, set()).add(p)
+                best[item] = min(best.get(item, found), found)
+            elif run := verbatim(index.text[p], codes, low, high):
+                place = (at + run[0], at + run[1])
+                runs[item] = min(runs.get(item, place), place, key=lambda r: (r[0] - r[1], r))
         at += SEGMENT
         if at >= len(whole):
             break
@@ -246,43 +320,59 @@ def find(index: Index, text: str) -> list[tuple[int, int, int, int, int]]:
 
 def _kernel(index, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, items = index.value
+        ids = pa.array(ids, schema.field("item_id").type)
         for batch in batches:
             for part in by_size(batch, "text", 8_000_000):
                 rows, found = [], []
                 for i, t in enumerate(part.column("text").to_pylist()):
-                    for hit in find(index.value, t) if t else ():
+                    for hit in find(items, t) if t else ():
                         rows.append(i)
                         found.append(hit)
-                columns = list(zip(*found, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(rows, pa.int64())), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+                number, *columns = list(zip(*found, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(rows, pa.int64())), ids.take(pa.array(number, pa.int64())), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[2:], strict=True))], schema=schema)
 
     return run
 
 
+def _blocks(rows: Iterator, chars: int) -> Iterator[tuple[list, list[tuple[int, str]]]]:
+    """(ids, texts with their ids' numbers) of runs of rows, sorted by id, with at most `chars` characters; the texts of one id stay
+    together, however long they are."""
+    ids, texts, total = [], [], 0
+    for r in rows:
+        if texts and r["id"] != ids[-1]:
+            if total + len(r["text"]) > chars:
+                yield ids, texts
+                ids, texts, total = [], [], 0
+            ids.append(r["id"])
+        ids = ids or [r["id"]]
+        texts.append((len(ids) - 1, r["text"]))
+        total += len(r["text"])
+    if texts:
+        yield ids, texts
+
+
 def contaminated(docs: DataFrame, key: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """(key, item_id, char_start, char_end, edits, patterns): a row for every text and item it holds a part of, with the
     best place of a pattern, its edits and how many of the item's patterns were found. Where none was found as a whole (patterns 0), it is
     the place of the longest verbatim run of RUN characters or more.
 
     Items too short for the bound are found only exactly (but for case and kind of white space), empty and null ones
-    never. Null and empty texts hold nothing, long ones are searched whole. Items that repeat an id are one
-    item; repeated texts repeat their rows. Other columns aren't read. Without items the result is empty.
+    never. Null and empty texts hold nothing, long ones are searched whole. Items that repeat an id are one item; repeated texts repeat their rows. Keys and ids may be of any type, and keys null; items with a null id
+    are left out. Other columns aren't read. Without items the result is empty. The items go to the tasks in blocks of bounded size,
+    cut on the driver as they arrive; every block is a pass over the texts.
     """
     spark = docs.sparkSession
     short_batches(spark)
-    known = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
-    chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // BLOCK_CHARS)
-    kind = docs.schema[key].dataType.simpleString()
-    schema = pa.schema([("key", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), ("item_id", pa.int64()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("edits", pa.int32()), ("patterns", pa.int32())])
+    known = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).distinct()
+    result, schema = as_schema(("key", docs.schema[key].dataType), ("item_id", items.schema[item_id].dataType), *RESULT)
     data = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    out = spark.createDataFrame([], f"key {kind}, {RESULT}")
-    for b in range(blocks):
-        part = known.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).distinct().orderBy("id", "text").collect()  # one block: bounded
-        index = spark.sparkContext.broadcast(build([(r["id"], r["text"]) for r in part]))
-        found = data.mapInArrow(_kernel(index, schema), f"key {kind}, {RESULT}")
-        out = found if b == 0 else out.unionByName(found)
-    return out.withColumnRenamed("key", key)
+    out = None
+    for ids, texts in _blocks(known.orderBy("id", "text").toLocalIterator(), BLOCK_CHARS):
+        index = spark.sparkContext.broadcast((ids, build(texts)))
+        found = data.mapInArrow(_kernel(index, schema), result)
+        out = found if out is None else out.unionByName(found)
+    return (spark.createDataFrame([], result) if out is None else out).withColumnRenamed("key", key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -99,3 +99,60 @@ def test_verbatim_runs_are_found_at_every_offset(size):
         if hits and not hits[0][4]:
             a, b = hits[0][1:3]
             assert b - a >= D.RUN and text[a:b] in item
+
+
+def test_frequent_qgrams_cost_neither_memory_nor_results():
+    """3,000 items that share a run of spaces, against a text with a long one."""
+    import resource
+    import time
+
+    r = random.Random(2)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    items = [(i, words(12) + " " * 40 + words(12)) for i in range(3000)]
+    index = D.build(items)
+    began, before = time.perf_counter(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert D.find(index, words(50) + " " * 100_000 + words(50)) == []
+    text = words(30) + " " * 30_000 + edited(items[77][1], 3) + " " * 30_000 + items[99][1]
+    assert [h[0] for h in D.find(index, text)] == [77, 99]
+    assert time.perf_counter() - began < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+
+
+def test_slices_and_windows_lose_nothing(monkeypatch):
+    """However few pairs are held at once, the same is found."""
+    items = [(i, noise(3) + "-" * (20 + 7 * i) + noise(18)) for i in range(12)]
+    texts = [noise(100) + "-" * 300 + items[i][1] + noise(20) + edited(items[i - 1][1], 4, i) + "-" * 900 for i in range(12)]
+    index = D.build(items)
+    want = [{h[0] for h in D.find(index, t)} for t in texts]
+    assert all({i, (i - 1) % 12} <= w for i, w in enumerate(want))
+    monkeypatch.setattr(D, "HITS", 50)
+    assert [{h[0] for h in D.find(index, t)} for t in texts] == want
+    monkeypatch.setattr(D, "WINDOW", 64)
+    assert [{h[0] for h in D.find(index, t)} for t in texts] == want
+
+
+def test_items_of_several_patterns_equal_brute_force():
+    """An item is found if some pattern is within its edits anywhere or a verbatim run is shared; else it isn't."""
+    r = random.Random(9)
+    words = lambda n: " ".join("".join(r.choice("bcdfghklmnprst") for _ in range(r.randrange(2, 7))) for _ in range(n))
+    items = [(i, words(60)) for i in range(6)]
+    index = D.build(items)
+    for trial in range(25):
+        item = r.randrange(6)
+        start = r.randrange(len(items[item][1]) - 60)
+        text = D.normalise(words(4) + edited(items[item][1][start : start + r.randrange(40, 200)], r.randrange(0, 14), trial) + words(4))
+        want = set()
+        for p in range(len(index.text)):
+            pattern = index.text[p]
+            run = any(pattern[k : k + D.RUN] in text for k in range(len(pattern) - D.RUN + 1))
+            if run or edit_distance_inside(pattern, text) <= index.budget[p]:
+                want.add(int(index.item[p]))
+        assert {h[0] for h in D.find(index, text)} == want, trial
+
+
+def test_keys_and_ids_of_any_type(spark):
+    for kind, value in (("smallint", 3), ("decimal(10,2)", 3), ("string", "k"), ("bigint", None)):
+        docs = spark.createDataFrame([(ITEM,)], "t string").withColumn("k", F.lit(value).cast(kind))
+        bench = spark.createDataFrame([(ITEM,)], "t string").withColumn("i", F.lit(7).cast(kind if kind != "bigint" else "string"))
+        rows = D.contaminated(docs, "k", "t", bench, "i", "t").collect()
+        assert [(r["k"] is None, r["item_id"] is None) for r in rows] == [(value is None, False)]
+        assert D.contaminated(docs, "k", "t", bench.limit(0), "i", "t").schema == D.contaminated(docs, "k", "t", bench, "i", "t").schema
