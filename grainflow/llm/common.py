@@ -18,6 +18,8 @@ from grainflow.session import checkpoint_folder
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes in an Arrow batch sent to a Python worker. Texts may be long, so batches are short.
 ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
+#: Bytes of a table that is broadcast at most, see `small`.
+BROADCAST_BYTES = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,6 +60,13 @@ def whole_number(kind: DataType) -> bool:
     return isinstance(kind, ByteType | ShortType | IntegerType | LongType) or (isinstance(kind, DecimalType) and kind.scale == 0 and kind.precision <= 18)
 
 
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A materialised `df`, to be broadcast if its rows, 64 bytes each and their values as text, take up to `limit` bytes;
+    a larger one is joined by a shuffle, with the same rows."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))) + 64), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
