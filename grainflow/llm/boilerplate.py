@@ -1,10 +1,10 @@
 """Site-relative line dedup: drop the lines that stand on too many pages of their host.
 
-Built-in expressions only. A page sends each different line once, as a 64-bit hash, and
+Built-in expressions only. A page sends each different line once, as a 128-bit hash, and
 pages of a host with the same text count once; so copies of a page don't turn its lines
 into boilerplate. Counts are added up before the shuffle. What a host drops is at most its mean number of
 lines a page divided by the ratio, so the hosts' lists are short; they are broadcast if
-their counted size allows it, and otherwise joined on the host and a salt.
+their measured size allows it, and otherwise joined on the host and a salt.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import fresh, materialise, table
+from grainflow.llm.common import BROADCAST_BYTES, fresh, materialise, table
 
 RATIO, MIN_PAGES = 0.05, 5
-#: Up to so many hosts and dropped lines together are broadcast (some 16 MB).
-BROADCAST_ENTRIES = 1_000_000
+#: Bytes that a host and a line's hash take in the broadcast table.
+HOST_BYTES, LINE_BYTES = 128, 48
 SALTS = 64
 
 
@@ -25,12 +25,12 @@ def _lines(text: Column) -> Column:
 
 
 def _hash(line: Column) -> Column:
-    return F.xxhash64(F.trim(line))
+    return F.md5(F.trim(line))
 
 
 def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, lines): hashes of the lines on more than `ratio` of the host's pages and on `min_pages` at least."""
-    keyed = pages.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(text).alias("page"), F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: F.trim(x) != ""), _hash)).alias("lines"))
+    keyed = pages.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.md5(text).alias("page"), F.array_distinct(F.transform(F.filter(_lines(F.col(text)), lambda x: F.trim(x) != ""), _hash)).alias("lines"))
     unique = keyed.groupBy("host", "page").agg(F.first("lines").alias("lines"))
     totals = unique.groupBy("host").agg(F.count("*").alias("pages"))
     counts = unique.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
@@ -47,11 +47,11 @@ def drop_lines(docs: DataFrame, host: str, text: str, ratio: float = RATIO, min_
     counts get other names if `docs` has such columns.
     """
     found = materialise(boilerplate(docs, host, text, ratio, min_pages))
-    hosts, entries = found.agg(F.count("*"), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
+    size = found.agg(F.coalesce(F.sum(HOST_BYTES + F.coalesce(F.octet_length(F.col("host").cast("string")), F.lit(0)) + LINE_BYTES * F.size("lines")), F.lit(0))).first()[0]
     low = found.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
     packed = docs.select(F.struct(*docs.columns).alias("row"))  # so that no column can clash
     own_host, own_text = F.col(f"row.`{host}`"), F.col(f"row.`{text}`")
-    if hosts + entries <= BROADCAST_ENTRIES:
+    if size <= BROADCAST_BYTES:
         joined = packed.join(F.broadcast(low), own_host.eqNullSafe(F.col("__host")), "left")
     else:
         salted = low.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -33,10 +33,36 @@ def test_nulls_empty_long_and_null_host(spark):
 def test_salted_join_gives_the_same(spark, monkeypatch):
     rows = [(i, f"body {i}\nMenu", "en", "a" if i % 3 else None) for i in range(40)]
     first = clean(spark, rows)
-    monkeypatch.setattr(boilerplate, "BROADCAST_ENTRIES", -1)
+    monkeypatch.setattr(boilerplate, "BROADCAST_BYTES", -1)
     assert clean(spark, rows) == first and any(r[3] for r in first)
 
 
 def test_no_python_on_the_main_path(spark):
     plan = boilerplate.drop_lines(documents(spark, [(1, "a", "en", "s")]), "source", "text")._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_hosts_of_pages_equal_brute_force(spark):
+    """On real hosts: a line goes if it is on enough of the host's different pages."""
+    from pyspark.sql import functions as F
+
+    from grainflow.llm.reputation import host_of
+    from tests.llm.helpers import SF
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", host_of(F.col("url")).alias("host"), F.regexp_replace("html", ">", ">\n").alias("text"))
+    pages = pages.unionByName(pages.withColumn("text", F.concat(F.lit("top\n"), "text")))
+    given = pages.collect()
+    texts = {}
+    for r in given:
+        texts.setdefault(r["host"], set()).add(r["text"])
+    gone = {}
+    for host, own in texts.items():
+        count = {}
+        for t in own:
+            for line in {x.strip(" ") for x in t.split("\n")} - {""}:
+                count[line] = count.get(line, 0) + 1
+        gone[host] = {x for x, n in count.items() if n >= 5 and n > 0.5 * len(own)}
+    assert sum(map(len, gone.values())) > 20
+    want = sorted((r["page_id"], "\n".join(x for x in r["text"].split("\n") if x.strip(" ") not in gone[r["host"]])) for r in given)
+    got = boilerplate.drop_lines(pages, "host", "text", ratio=0.5).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == want and any(r["n_dropped"] for r in got)
