@@ -18,16 +18,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
-from grainflow.llm.common import by_size, crc_bucket, fresh, short_batches, table
+from grainflow.llm.common import as_schema, by_size, crc_bucket, fresh, short_batches, table
 
 BITS = 16
-#: Labelled texts of a language that are learned from, and the characters of each.
-SAMPLE, SAMPLE_CHARS = 400, 1500
+#: Labelled texts of a language that are learned from, as wholes.
+SAMPLE = 400
 UNKNOWN = "und"
-_SEQUENCE, _SWITCH, _EPOCHS, _RATE, _RIDGE = 64, 1 / 12, 4, 0.3, 1e-6
+#: Steps of the learning, sequences of a step and their words, and the chance that the language changes after a word.
+STEPS, _BATCH, _SEQUENCE, _SWITCH = 200, 128, 64, 1 / 12
+_RATE, _RIDGE = 0.3, 1e-6
 #: Characters whose features a worker holds at once.
 _CHARS = 500_000
 
@@ -143,52 +146,65 @@ class Model:
     start: np.ndarray
 
 
+def _all_features(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`features` of any number of words, made from a bounded number of letters at a time."""
+    total = np.cumsum(ends - starts)
+    parts, at = [], 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _CHARS, side="right")))
+        parts.append(features(codes, starts[at:to], ends[at:to]))
+        at = to
+    return np.concatenate([p[0] for p in parts]), total - (ends - starts), np.concatenate([p[2] for p in parts])
+
+
 def fit(sample: list[tuple[str, str]], seed: int = 7) -> Model:
-    """Learn from (language, text) rows by stochastic gradients of the likelihood (AdaGrad)."""
+    """Learn from (language, text) rows by a fixed number of stochastic gradients of the likelihood (AdaGrad)."""
     languages = tuple(sorted({x for x, _ in sample}))
     n = len(languages)
     weights, transition, start = np.zeros((2**BITS, max(n, 1)), np.float32), np.zeros((n, n)), np.zeros(n)
     codes, starts, ends, text = words([t for _, t in sample])
     if n < 2 or not len(starts):
         return Model(languages, weights, transition, start)
-    grams, first, own = features(codes, starts, ends)
+    grams, first, own = _all_features(codes, starts, ends)
     size = ends - starts
     label = np.array([languages.index(x) for x, _ in sample])[text]
     by_label = [np.flatnonzero(label == k) for k in range(n)]
     usable = [k for k in range(n) if len(by_label[k])]
     rng = np.random.default_rng(seed)
-    squares, squares_t = np.full_like(weights, 1e-3), np.full_like(transition, 1e-3)
-    for epoch in range(_EPOCHS):
-        for _ in range(max(8, len(starts) // (_SEQUENCE * 128))):
-            # Runs of words of one language follow each other; lengths are geometric.
-            change = rng.random((128, _SEQUENCE)) < _SWITCH
-            change[:, 0] = True
-            run = np.cumsum(change.ravel()) - 1
-            pick = rng.choice(usable, run[-1] + 1)
-            origin = np.array([by_label[k][rng.integers(len(by_label[k]))] for k in pick])
-            offset = np.arange(len(run)) - np.flatnonzero(change.ravel())[run]
-            word = origin[run] + offset
-            word = np.where((word < len(label)) & (label[np.minimum(word, len(label) - 1)] == pick[run]), word, origin[run])
-            truth = label[word]
-            letters = size[word]
-            at = np.arange(letters.sum()) - np.repeat(np.cumsum(letters) - letters - first[word], letters)
-            which = np.repeat(np.arange(len(word)), letters)
-            idx = np.concatenate([grams[at, 0], grams[at, 1], own[word].ravel()])
-            whose = np.concatenate([which, which, np.repeat(np.arange(len(word)), own.shape[1])])
-            score = np.stack([np.bincount(whose, weights[idx, k], len(word)) for k in range(n)], 1)
-            posterior, expected = forward_backward(score, np.full(128, _SEQUENCE), transition, start, pairs=True)
-            error = -posterior.astype(np.float64)
-            error[np.arange(len(word)), truth] += 1
-            pairs = truth.reshape(128, _SEQUENCE)
-            seen = np.zeros((n, n))
-            np.add.at(seen, (pairs[:, :-1].ravel(), pairs[:, 1:].ravel()), 1)
-            gradient = np.stack([np.bincount(idx, error[whose, k], 2**BITS) for k in range(n)], 1) / 128 - _RIDGE * weights
-            squares += gradient**2
-            weights += (_RATE * gradient / np.sqrt(squares)).astype(np.float32)
-            step = (seen - expected) / 128
-            squares_t += step**2
-            transition += _RATE * step / np.sqrt(squares_t)
-    return Model(languages, weights, transition.astype(np.float32), start)
+    squares, squares_t, squares_s = np.full_like(weights, 1e-3), np.full_like(transition, 1e-3), np.full_like(start, 1e-3)
+    for _ in range(STEPS):
+        # Runs of words of one language follow each other; lengths are geometric.
+        change = rng.random((_BATCH, _SEQUENCE)) < _SWITCH
+        change[:, 0] = True
+        run = np.cumsum(change.ravel()) - 1
+        pick = rng.choice(usable, run[-1] + 1)
+        origin = np.array([by_label[k][rng.integers(len(by_label[k]))] for k in pick])
+        offset = np.arange(len(run)) - np.flatnonzero(change.ravel())[run]
+        word = origin[run] + offset
+        word = np.where((word < len(label)) & (label[np.minimum(word, len(label) - 1)] == pick[run]), word, origin[run])
+        truth = label[word]
+        letters = size[word]
+        at = np.arange(letters.sum()) - np.repeat(np.cumsum(letters) - letters - first[word], letters)
+        which = np.repeat(np.arange(len(word)), letters)
+        idx = np.concatenate([grams[at, 0], grams[at, 1], own[word].ravel()])
+        whose = np.concatenate([which, which, np.repeat(np.arange(len(word)), own.shape[1])])
+        score = np.stack([np.bincount(whose, weights[idx, k], len(word)) for k in range(n)], 1)
+        posterior, expected = forward_backward(score, np.full(_BATCH, _SEQUENCE), transition, start, pairs=True)
+        error = -posterior.astype(np.float64)
+        error[np.arange(len(word)), truth] += 1
+        pairs = truth.reshape(_BATCH, _SEQUENCE)
+        seen = np.zeros((n, n))
+        np.add.at(seen, (pairs[:, :-1].ravel(), pairs[:, 1:].ravel()), 1)
+        gradient = np.stack([np.bincount(idx, error[whose, k], 2**BITS) for k in range(n)], 1) / _BATCH - _RIDGE * weights
+        squares += gradient**2
+        weights += (_RATE * gradient / np.sqrt(squares)).astype(np.float32)
+        step = (seen - expected) / _BATCH
+        squares_t += step**2
+        transition += _RATE * step / np.sqrt(squares_t)
+        step_s = (np.bincount(pairs[:, 0], minlength=n) - posterior.reshape(_BATCH, _SEQUENCE, n)[:, 0].sum(0)) / _BATCH
+        squares_s += step_s**2
+        start += _RATE * step_s / np.sqrt(squares_s)
+    return Model(languages, weights, transition.astype(np.float32), start.astype(np.float32))
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -216,19 +232,20 @@ def label_words(model: Model, text: str) -> list[tuple[str, str, float]]:
 
 
 def train(docs: DataFrame, key: str, text: str, language: str, sample: int = SAMPLE) -> Model:
-    """Fit on about `sample` texts of each language, those with the least hashes of the key, and a piece of each.
+    """Fit on `sample` texts of each language, those with the least hashes of the key, each as a whole.
 
-    Rows with a null key, text or language don't count. Every language is learned: the model and the driver's sample grow with their number.
+    Rows with a null key, text or language don't count, and rows that repeat key and text count once. Every language is learned: the
+    model and the driver's sample grow with their number. A first draw by hash leaves some more than `sample` rows of each
+    language, and these alone are ranked.
     """
-    known = docs.where(F.col(key).isNotNull() & F.col(language).isNotNull() & F.col(text).isNotNull()).select(key, text, F.col(language).alias("language"))
+    known = docs.where(F.col(key).isNotNull() & F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(key).alias("key"), F.col(text).alias("text"), F.col(language).alias("language"))
     counts = known.groupBy("language").count().collect()
-    shares = F.create_map(*(F.lit(x) for r in counts for x in (r["language"], min(1.0, sample / r["count"]))))
+    shares = F.create_map(*(F.lit(x) for r in counts for x in (r["language"], min(1.0, (2 * sample + 100) / r["count"]))))
     share = shares[F.col("language")] if counts else F.lit(0.0)
-    draw = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / float(1 << 20)
-    at = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
-    rows = known.where(draw < share).select("language", F.xxhash64(key).alias("h"), F.col(key).alias("key"), F.substr(F.col(text), at + 1, F.lit(SAMPLE_CHARS)).alias("piece"))
-    got = rows.orderBy("h", "key", "piece").limit(2 * sample * max(1, len(counts))).collect()
-    return fit([(r["language"], r["piece"]) for r in got])
+    drawn = known.where(F.pmod("h", F.lit(1 << 20)) / float(1 << 20) < share).distinct()
+    first = Window.partitionBy("language").orderBy("h", "key", "text")
+    rows = drawn.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample)
+    return fit([(r["language"], r["text"]) for r in rows.select("language", "rank", "text").orderBy("language", "rank").collect()])
 
 
 def _kernel(model, key: str, text: str, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -247,15 +264,12 @@ def identify(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataF
     A null or empty text, or one without a letter, is `und` with score 0. Repeated rows give the same
     answer. The model, of a fixed size, is broadcast.
     """
-    short_batches(docs.sparkSession, 1024)
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     inner = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).alias("text"))
     names = [f"k{i}" for i in range(len(keep))]
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    out = StructType([inner.schema[n] for n in names]).add("lang_pred", StringType()).add("score", DoubleType())
-    done = inner.mapInArrow(_kernel(shared, names, "text", to_arrow_schema(out)), out)
+    out, schema = as_schema(*((n, inner.schema[n].dataType) for n in names), ("lang_pred", StringType()), ("score", DoubleType()))
+    done = inner.mapInArrow(_kernel(shared, names, "text", schema), out)
     return done.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), *(F.col(n).alias(fresh(n, keep)) for n in ("lang_pred", "score")))
 
 

@@ -68,7 +68,25 @@ def test_held_out_accuracy(spark):
     assert (got["lang_pred"] == got["lang"]).mean() > 0.99
 
 
-def test_every_language_is_learned(spark):
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(crf, "STEPS", 4)
     rows = [(3 * k + i, f"abc{chr(97 + k % 26)}{chr(97 + k // 26)} " * 3, f"l{k:03}", "s") for k in range(104) for i in range(3)]
     model = crf.train(documents(spark, rows), "doc_id", "text", "lang")
     assert model.languages == tuple(f"l{k:03}" for k in range(104))
+
+
+def test_whole_texts_are_learned_and_repeats_count_once(spark, monkeypatch):
+    """Words at the very end of long texts are known; a row repeated any number of times is one of the sample."""
+    seen = {}
+    monkeypatch.setattr(crf, "fit", lambda sample: seen.setdefault("sample", sample))
+    long_ = "abc " * 50_000 + "zzz"
+    rows = [(1, long_, "a", "s")] * 50 + [(i, f"xyz {i}", "b", "s") for i in range(2, 30)] + [(None, "q", "a", "s")]
+    crf.train(documents(spark, rows), "doc_id", "text", "lang", sample=10)
+    assert [x for x in seen["sample"] if x[0] == "a"] == [("a", long_)] and sum(x[0] == "b" for x in seen["sample"]) == 10
+
+
+def test_features_in_parts_are_the_same(monkeypatch):
+    codes, starts, ends, _ = crf.words(["Some words über été and more of them " * 9])
+    whole = crf._all_features(codes, starts, ends)
+    monkeypatch.setattr(crf, "_CHARS", 11)
+    assert all((a == b).all() for a, b in zip(whole, crf._all_features(codes, starts, ends), strict=True))
