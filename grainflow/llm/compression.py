@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import by_size, crc_bucket, short_batches, table
+from pyspark.sql.types import DoubleType
 
-#: Labelled rows of a class that are used at most, and the bytes of each that are read.
-SAMPLE, SAMPLE_CHARS = 1500, 4000
+from grainflow.llm.common import as_schema, by_size, crc_bucket, short_batches, table
+
+#: Labelled rows of a class that are used at most, each with its whole text.
+SAMPLE = 1500
 DICTIONARY, WINDOW, LEVEL = 65536, 1024, 3
 THRESHOLD = 0.3
 
@@ -79,24 +81,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def _dictionary(samples: list[str]) -> bytes:
+    """A dictionary trained on the texts' windows, which are shorter and whose dictionary is smaller where there is
+    little text; empty if there is too little for the trainer (some kilobytes)."""
     import zstandard
 
-    pieces = [d[i : i + WINDOW] for t in samples if (d := t.encode("utf-8", "replace")) for i in range(0, len(d), WINDOW)]
-    if len(pieces) >= 64:
-        return zstandard.train_dictionary(DICTIONARY, pieces, k=64, d=8).as_bytes()
-    return b"".join(pieces)[:DICTIONARY] or b"empty 8."
+    texts = [t.encode("utf-8", "replace") for t in samples]
+    total = sum(map(len, texts))
+    window = min(WINDOW, max(16, total // 64))
+    pieces = [t[i : i + window] for t in texts for i in range(0, len(t), window)]
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY, max(1024, total // 4)), pieces, k=64, d=8).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
 
 
 def fit(sample: list[tuple[int, str]], share: float) -> Model:
-    """From (label, text) rows of both classes and the share of label 1 among all labels."""
+    """From (label, text) rows of both classes and the share of label 1 among all labels; every other row of a class teaches the dictionaries, the
+    rest the calibration. Where a class has too little text for either, the score of every text is that share."""
     half: dict[int, list[str]] = {0: [], 1: []}
     rest: dict[int, list[str]] = {0: [], 1: []}
-    for i, (label, text) in enumerate(sample):
-        (half if i % 2 else rest)[label].append(text)
+    for label, text in sample:
+        (half if len(half[label]) < len(rest[label]) else rest)[label].append(text)
     good, bad = _dictionary(half[1]), _dictionary(half[0])
-    if not rest[0] or not rest[1]:
+    if not rest[0] or not rest[1] or not good or not bad:
         base = min(max(share, 1e-3), 1 - 1e-3)
-        return Model(good, bad, (float(np.log(base / (1 - base))), 0.0, 0.0, 0.0, 0.0, 0.0))
+        return Model(b"", b"", (float(np.log(base / (1 - base))), 0.0, 0.0, 0.0, 0.0, 0.0))
     x = _design(np.array([features(good, bad, t) for k in (0, 1) for t in rest[k]]))
     y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
     weight = np.where(y == 1, share / len(rest[1]), (1 - share) / len(rest[0])) * len(y)
@@ -104,23 +113,23 @@ def fit(sample: list[tuple[int, str]], share: float) -> Model:
 
 
 def scores(model: Model, texts: list[str | None]) -> np.ndarray:
-    f = np.array([features(model.good, model.bad, t) for t in texts]).reshape(-1, 3)
+    f = np.array([features(model.good, model.bad, t) if model.good else (0.0, 0.0, 0.0) for t in texts]).reshape(-1, 3)
     return 1 / (1 + np.exp(-np.clip(_design(f) @ np.array(model.weights), -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled rows of each class, those first in the order of a hash of the key.
 
-    Rows with a null key, a label other than 0 and 1, or no document don't count. Class shares are over all labels.
+    Rows with a null key, a label other than 0 and 1, or no document don't count; of documents that repeat a key, the one with the least
+    text does. Class shares are over all labels.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("label")).distinct()
     share = known.agg(F.avg(F.col("label").cast("double"))).first()[0]
     first = [r for v in (0, 1) for r in known.where(F.col("label") == v).orderBy(F.xxhash64(key), key).limit(sample).collect()]
     chosen = docs.sparkSession.createDataFrame(first, known.schema)  # at most 2 * sample rows
-    at = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
-    rows = docs.where(F.col(text).isNotNull()).select(key, text).join(F.broadcast(chosen), key).select("label", key, F.substr(F.col(text), at + 1, F.lit(SAMPLE_CHARS)).alias("piece"))
-    got = sorted(rows.collect(), key=lambda r: (r["label"], r[key], r["piece"]))  # at most 2 * sample short pieces
-    return fit([(r["label"], r["piece"]) for r in got], 0.5 if share is None else share)
+    rows = docs.where(F.col(text).isNotNull()).select(key, text).join(F.broadcast(chosen), key).groupBy("label", key).agg(F.min(text).alias("whole"))
+    got = sorted(rows.collect(), key=lambda r: (r["label"], r[key]))  # at most 2 * sample texts
+    return fit([(r["label"], r["whole"]) for r in got], 0.5 if share is None else share)
 
 
 def _kernel(model, columns: list[str], text: str, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -133,12 +142,11 @@ def _kernel(model, columns: list[str], text: str, schema: pa.Schema) -> Callable
 
 
 def score(docs: DataFrame, model: Model, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, score, predicted) of every row; null and empty texts are scored as empty."""
+    """(key, score, predicted) of every row, keys of any type; null and empty texts are scored as empty."""
     short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[key].dataType.simpleString()
-    schema = pa.schema([(key, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), ("score", pa.float64())])
-    return docs.select(key, text).mapInArrow(_kernel(shared, [key], text, schema), f"`{key}` {kind}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out, schema = as_schema((key, docs.schema[key].dataType), ("score", DoubleType()))
+    return docs.select(key, text).mapInArrow(_kernel(shared, [key], text, schema), out).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
