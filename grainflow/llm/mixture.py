@@ -17,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import WORD_PATTERN, fresh, materialise, table
+from grainflow.llm.common import WORD_PATTERN, fresh, materialise, small, table
 
 #: Knots (t, weight) of the schedules; the integrals are 5, 2 and 1. Sources take them in turn.
 CURRICULUM = (((0.0, 7.0), (1.0, 3.0)), ((0.0, 2.0), (1.0, 2.0)), ((0.0, 0.0), (0.5, 1.0), (1.0, 2.0)))
-#: Rows that a bucket holds on average, over all sources; tables of up to so many rows are broadcast.
-BUCKET_ROWS, BROADCAST_ROWS = 4096, 500_000
+#: Rows that a bucket holds on average, over all sources.
+BUCKET_ROWS = 4096
 
 
 def integral(knots: tuple[tuple[float, float], ...]) -> float:
@@ -75,15 +75,21 @@ def targets(sizes: DataFrame, weights: list[float], most: int) -> DataFrame:
 
 
 def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(row, mix): a row's columns as one struct, so that none can clash, and a struct of size, order (a hash of the key), key and source."""
-    order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    """(row, mix): a row's columns as one struct, so that none can clash, and a struct of size, order (a hash of key and text,
+    so that rows which repeat a key don't stand together), key and source."""
+    order = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))))
     parts = [word_count(F.col(text)).alias("size"), order.alias("order"), F.col(key).alias("key"), F.col(source).alias("source")]
     return docs.select(F.struct(*docs.columns).alias("row"), F.struct(*parts).alias("mix"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """`df`, to be broadcast if it has few rows; otherwise joins on it shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def position(schedules, copy: Column) -> Column:
+    """The training position of the middle of a row's copy of that number: its words before, of the target, inverted through the schedule."""
+    m = lambda name: F.col(f"mix.{name}")
+    share = F.least((copy * m("source_size") + m("start") + m("size") / 2) / m("target"), F.lit(1.0))
+    at = F.lit(None).cast("double")
+    for i, knots in enumerate(schedules):
+        at = F.when(m("turn") % len(schedules) == i, inverse(knots, share)).otherwise(at)
+    return at
 
 
 def take(docs: DataFrame, key: str, text: str, source: str, schedules=CURRICULUM, most: int = 3, whole: bool = True) -> DataFrame:
@@ -94,7 +100,7 @@ def take(docs: DataFrame, key: str, text: str, source: str, schedules=CURRICULUM
     A row is taken once for every whole epoch. The partial epoch takes the leading rows that fit,
     then the one row left whose size is nearest to the gap, if that brings the total nearer; so
     a source's total is near its target by far less than a document, where it has many. Rows that
-    repeat a key have their own places, next to each other.
+    repeat a key have places of their own; rows that repeat key and text have neighbouring ones. Texts may be of any length.
     """
     weights = [integral(k) for k in schedules]
     m = lambda name: F.col(f"mix.{name}")
@@ -115,7 +121,7 @@ def take(docs: DataFrame, key: str, text: str, source: str, schedules=CURRICULUM
 
     def placed(rows: DataFrame) -> DataFrame:
         before = rows.withColumn("__before", F.coalesce(F.sum(m("size")).over(inside), F.lit(0)))
-        at = before.join(_small(plans), m("source").eqNullSafe(F.col("__source")) & (bucket == F.col("__bucket"))).withColumn("__start", F.col("__offset") + F.col("__before"))
+        at = before.join(small(plans), m("source").eqNullSafe(F.col("__source")) & (bucket == F.col("__bucket"))).withColumn("__start", F.col("__offset") + F.col("__before"))
         return at.withColumn("__fits", (m("size") > 0) & (F.col("__start") + m("size") <= F.col("__rest")))
 
     # The row that fills the gap of each source.
@@ -123,11 +129,11 @@ def take(docs: DataFrame, key: str, text: str, source: str, schedules=CURRICULUM
     gaps = tried.groupBy("__source").agg(F.first("__rest").alias("rest"), F.coalesce(F.sum(F.when(F.col("__fits"), m("size"))), F.lit(0)).alias("got"))
     gaps = gaps.select(F.col("__source").alias("gap_source"), (F.col("rest") - F.col("got")).alias("gap"))
     off = F.abs(m("size") - F.col("gap"))
-    near = tried.where(~F.col("__fits") & (m("size") > 0)).join(_small(gaps), F.col("__source").eqNullSafe(F.col("gap_source"))).where(off < F.col("gap"))
+    near = tried.where(~F.col("__fits") & (m("size") > 0)).join(small(materialise(gaps)), F.col("__source").eqNullSafe(F.col("gap_source"))).where(off < F.col("gap"))
     fill = near.groupBy("gap_source").agg(F.min(F.struct(off.alias("off"), m("order").alias("order"), m("key").alias("key"), "__start")).alias("__fill"))
 
     rows = placed(_sized(docs, key, text, source)) if whole else tried
-    rows = rows.join(_small(materialise(fill)), F.col("__source").eqNullSafe(F.col("gap_source")), "left")
+    rows = rows.join(small(materialise(fill)), F.col("__source").eqNullSafe(F.col("gap_source")), "left")
     chosen = ~F.col("__fits") & (m("size") > 0) & (F.col("__start") == F.col("__fill.__start")) & (m("order") == F.col("__fill.order"))
     copies = F.when(m("size") > 0, F.col("__epochs") + (F.col("__fits") | F.coalesce(chosen, F.lit(False))).cast("long")).otherwise(0).cast("long")
     parts = [m(n).alias(n) for n in ("size", "order", "key", "source")] + [F.col(f"__{n}").alias(n) for n in ("source_size", "target", "turn", "start")]
@@ -136,9 +142,14 @@ def take(docs: DataFrame, key: str, text: str, source: str, schedules=CURRICULUM
 
 
 def mix_summary(docs: DataFrame, key: str, text: str, source: str, schedules=CURRICULUM, most: int = 3) -> DataFrame:
-    """(key, size, source_size, target, taken) of every row."""
+    """(key, size, source_size, target, taken, copies, first_position, last_position) of every row, range-sorted by the position of its
+    first copy; rows that aren't taken have no position and come last, by the order."""
     taken = take(docs, key, text, source, schedules, most, whole=False)
-    return taken.select(F.col("mix.key").alias(key), *(F.col(f"mix.{n}").alias(n) for n in ("size", "source_size", "target", "taken")))
+    m = lambda name: F.col(f"mix.{name}")
+    some = m("copies") > 0
+    first, last = F.when(some, position(schedules, F.lit(0))), F.when(some, position(schedules, m("copies") - 1))
+    rows = taken.withColumn("first_position", first).withColumn("last_position", last).orderBy(F.col("first_position").asc_nulls_last(), m("order"), m("key"))
+    return rows.select(F.col("mix.key").alias(key), *(m(n).alias(n) for n in ("size", "source_size", "target", "taken", "copies")), "first_position", "last_position")
 
 
 def mixture(docs: DataFrame, key: str, text: str, source: str, schedules=CURRICULUM, most: int = 3) -> DataFrame:
@@ -149,12 +160,7 @@ def mixture(docs: DataFrame, key: str, text: str, source: str, schedules=CURRICU
     taken = take(docs, key, text, source, schedules, most)
     m = lambda name: F.col(f"mix.{name}")
     rows = taken.where(m("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), m("copies") - 1)))
-    words = F.col("copy") * m("source_size") + m("start") + m("size") / 2
-    share = F.least(words / m("target"), F.lit(1.0))
-    at = F.lit(None).cast("double")
-    for i, knots in enumerate(schedules):
-        at = F.when(m("turn") % len(schedules) == i, inverse(knots, share)).otherwise(at)
-    ordered = rows.withColumn("position", at).orderBy("position", m("order"), m("key"), "copy")
+    ordered = rows.withColumn("position", position(schedules, F.col("copy"))).orderBy("position", m("order"), m("key"), "copy")
     names = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return ordered.select(*names, F.col("copy").alias(fresh("copy", docs.columns)), F.col("position").alias(fresh("position", docs.columns)))
 
@@ -163,9 +169,23 @@ def query(spark, sf_dir: str) -> DataFrame:
     return mix_summary(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
 
 
+_SHARE = "least((({copy}) * source_size + start + size / 2) / target, 1.0::DOUBLE)"
+
+
+def _piece(share: str, total: float, start: float, t0: float, w0: float, slope: float) -> str:
+    rest = f"greatest({share} * {total}::DOUBLE - {start}::DOUBLE, 0.0::DOUBLE)"
+    return f"{t0}::DOUBLE + CASE WHEN {rest} <= 0 THEN 0.0::DOUBLE ELSE 2 * {rest} / ({w0}::DOUBLE + sqrt(greatest({w0 * w0}::DOUBLE + {2 * slope}::DOUBLE * {rest}, 0.0::DOUBLE))) END"
+
+
+def _position(copy: str) -> str:
+    """The three schedules, inverted by hand: 7 - 4 t, 2, and 2 t."""
+    s = _SHARE.format(copy=copy)
+    return f"CASE turn % 3 WHEN 0 THEN {_piece(s, 5.0, 0.0, 0.0, 7.0, -4.0)} WHEN 1 THEN {_piece(s, 2.0, 0.0, 0.0, 2.0, 0.0)} ELSE CASE WHEN {s} <= 0.25 THEN {_piece(s, 1.0, 0.0, 0.0, 0.0, 2.0)} ELSE {_piece(s, 1.0, 0.25, 0.5, 1.0, 2.0)} END END"
+
+
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || md5(coalesce(text, ''))) AS k,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents
 ), s AS (
@@ -179,11 +199,11 @@ WITH d AS (
     sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS rest_weight, row_number() OVER (ORDER BY source_size / weight, turn) AS n
   FROM w WINDOW o AS (ORDER BY source_size / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), g AS (
-  SELECT source, source_size, coalesce(least(CAST(3 * source_size AS DOUBLE), weight * (
+  SELECT source, source_size, turn, coalesce(least(CAST(3 * source_size AS DOUBLE), weight * (
     SELECT x.rest_words / x.rest_weight FROM l x WHERE x.rest_words * x.weight / x.rest_weight <= 3 * x.source_size ORDER BY n LIMIT 1)), CAST(3 * source_size AS DOUBLE)) AS target
   FROM l
 ), p AS (
-  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs,
+  SELECT d.*, source_size, target, turn, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 ), f AS (
@@ -193,7 +213,7 @@ WITH d AS (
 ), c AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY NOT fits AND size > 0 AND abs(size - gap) < gap DESC, abs(size - gap), k, doc_id) AS n FROM h
 )
-SELECT doc_id, size, source_size, target,
-  CAST(size * (epochs + CAST(fits OR (n = 1 AND size > 0 AND abs(size - gap) < gap) AS BIGINT)) AS BIGINT) AS taken
-FROM c
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies, CASE WHEN copies > 0 THEN """ + _position("0") + """ END AS first_position,
+  CASE WHEN copies > 0 THEN """ + _position("copies - 1") + """ END AS last_position
+FROM (SELECT *, CASE WHEN size > 0 THEN CAST(epochs + CAST(fits OR (n = 1 AND abs(size - gap) < gap) AS BIGINT) AS BIGINT) ELSE 0 END AS copies FROM c)
 """

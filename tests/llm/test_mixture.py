@@ -38,8 +38,11 @@ def test_targets_and_words_taken(spark):
         by_source[s] = by_source.get(s, 0) + r["taken"]
     for s, taken in by_source.items():
         assert abs(taken - want[s]) <= max(3, 0.01 * want[s])
+    positions = [r["first_position"] for r in got if r["first_position"] is not None]
+    assert positions == sorted(positions) and [r["first_position"] for r in got[len(positions) :]] == [None] * (len(got) - len(positions))
+    assert all((r["copies"] > 0) == (r["taken"] > 0) == (r["first_position"] is not None) and r["copies"] * r["size"] == r["taken"] for r in got)
     again = mixture.mix_summary(documents(spark, data).repartition(7), "doc_id", "text", "source").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
 
 
 def test_positions_follow_the_schedules(spark):
@@ -64,3 +67,22 @@ def test_empty_and_wordless(spark):
     one = mixture.mix_summary(documents(spark, [(1, "", "en", "a"), (None, None, None, None)]), "doc_id", "text", "source").collect()
     assert [(r["size"], r["target"], r["taken"]) for r in one] == [(0, 0.0, 0)] * 2
     assert mixture.mixture(documents(spark, [(1, "", "en", "a")]), "doc_id", "text", "source").count() == 0
+
+
+def test_summary_and_mixture_agree(spark):
+    data = documents(spark, rows(150))
+    first, last, count = {}, {}, {}
+    for r in mixture.mixture(data, "doc_id", "text", "source").collect():
+        k = (r["doc_id"], len(r["text"]), r["source"])
+        first[k], last[k], count[k] = min(first.get(k, 2), r["position"]), max(last.get(k, -1), r["position"]), count.get(k, 0) + 1
+    taken = [r for r in mixture.mix_summary(data, "doc_id", "text", "source").collect() if r["taken"] and r["doc_id"] != 5]
+    assert sorted((r["first_position"], r["last_position"], r["copies"]) for r in taken) == sorted((first[k], last[k], count[k]) for k in count if k[0] != 5)
+
+
+def test_one_key_for_many_rows_and_a_very_long_text(spark):
+    """Rows that share a key or have none are spread over the order by their texts."""
+    data = [(None if i % 2 else 7, f"w{i} " * (1 + i % 9), "en", "a" if i % 3 else "b") for i in range(900)] + [(8, "x " * 400_000, "en", "b")]
+    sized = mixture._sized(documents(spark, data), "doc_id", "text", "source").select("mix.order", "mix.size")
+    assert sized.distinct().count() == 901 and sized.agg(F.max("size")).first()[0] == 400_000
+    got = mixture.mix_summary(documents(spark, data), "doc_id", "text", "source").collect()
+    assert len(got) == 901 and all(r["taken"] <= 3 * r["size"] for r in got)
