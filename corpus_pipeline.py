@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainflow.llm import boilerplate, crf, decontamination, mixture, neardup
-from grainflow.llm.common import fresh, materialise, table
+from grainflow.llm.common import fresh, materialise, small, table
+from grainflow.session import checkpoint_folder
 
 #: Language identification: documents whose words share less than this in their language go.
 LEAST_SHARE = 0.4
 #: Near-duplicates: similarity of shingle sets in percent.
 SIMILARITY = 80
-#: Contaminated ids up to this many are broadcast.
-BROADCAST_IDS = 500_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     ids = materialise(ids.where(F.col(key).isNotNull()).select(F.col(key).alias(fresh("gone", docs.columns))).distinct())
     gone = ids.columns[0]
-    small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(small, docs[key] == F.col(gone), "left_anti")
+    return docs.join(small(ids), docs[key] == F.col(gone), "left_anti")
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mix", mix)]
@@ -68,7 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other. Each one's rows are written as Parquet to the folder of checkpoints and read again, so that no
+    stage runs twice and a lost executor costs no more than the stage at work; the last one's are left to the caller."""
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
