@@ -92,3 +92,21 @@ def test_benchmark_drops_rows_not_keys(spark):
     rows = [(None, f"before {item} after", "en", "a"), (None, "clean without a key", "en", "a"), (7, f"{item} again", "en", "a"), (7, "clean with that key", "en", "a"), (8, None, "en", "a")]
     got = corpus_pipeline.benchmark(spark, documents(spark, rows), SF).collect()
     assert sorted(str((r["doc_id"], r["text"])) for r in got) == sorted(map(str, [(None, "clean without a key"), (7, "clean with that key"), (8, None)]))
+
+
+def test_every_stage_runs_once(spark, monkeypatch):
+    """Each stage's rows are written and read again: every document is scored once, whatever the later stages do."""
+    seen = spark.sparkContext.accumulator(0)
+    plain = corpus_pipeline.language
+
+    def counted(spark, docs, sf_dir):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return plain(spark, docs, sf_dir).mapInArrow(run, docs.schema)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("language", counted), *corpus_pipeline.STAGES[1:]])
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert 0 < seen.value <= spark.read.parquet(f"{SF}/documents.parquet").count()
