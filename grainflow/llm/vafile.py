@@ -1,13 +1,14 @@
 """Exact top-k search by inner product over a vector-approximation file.
 
-Vectors are packed into chunks. A chunk holds, for every dimension, a grid of 2**bits cells
-over the chunk's own range, the cell number of every component (the approximation) and the
-exact components. A search scans the cells first: a query's inner product with a cell's
-corners bounds every score from both sides. Then it reads exact vectors in the order of
-their bounds, best first, until no bound left can reach the k-th exact score.
-
-Each task keeps the k best per query over all its chunks, so it sends k rows per query to
-the merge. Queries are taken in blocks of bounded size; each block is broadcast.
+The file holds chunks of approximations: for every dimension a grid of 2**bits cells over the
+chunk's own range, and the cell number of every component, a byte; the exact vectors stay where they are. A search scans the
+cells alone: a query's inner product with a cell's corners bounds every score from both sides, and a vector
+whose upper bound is below the query's k-th lower bound is out. Then exact vectors are read in the order of their
+bounds, the best few of every query first; what can still reach the k-th exact score after that is read next, and
+the result is certain.
+
+Each task sends on the candidates that its own chunks leave open. Of candidates with the same vector only the k smallest ids can count, so a
+vector that is there a million times gives no more than that. Queries are taken in blocks of bounded size, each broadcast.
 """
 
 from __future__ import annotations
@@ -19,28 +20,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import materialise, table
+from grainflow.llm.common import materialise, short_batches, small, table, whole_number
 
+#: Vectors of a chunk at most.
 CHUNK = 8192
-#: Cells of a bound matrix (queries x candidates) that a task holds at once.
-CELLS = 2_000_000
-PACKED = "dim int, ids binary, exact binary, low binary, step binary, cells binary"
+#: Bounds (queries x candidates), and bounds still in question, that a task holds at once.
+CELLS, HELD = 2_000_000, 4_000_000
+PACKED = "dim int, ids binary, hashes binary, low binary, step binary, cells binary"
+BOUNDS = "query_id long, vec_id long, hash long, lower double, upper double"
 FOUND = "query_id long, vec_id long, score long"
 
 
 def to_integers(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
     """(vec_id, v): floor(scale * x) of every component.
 
-    Rows drop out whose id is null or whose vector is null or holds a null, NaN or infinity.
+    Rows drop out whose id is null or whose vector is null or holds a null, NaN or infinity. Ids are whole numbers of any type; others are refused.
     """
+    if not whole_number(df.schema[id_col].dataType):
+        raise TypeError(f"{id_col} must hold whole numbers")
     fine = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     return df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine).select(
         F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")
     )
 
 
-def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of a batch of (vec_id, v), one for each vector length."""
+def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, ids, matrix) of a batch of (vec_id, v, ...), one for each vector length."""
     ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
     lists = batch.column(1)
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -48,139 +53,194 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     starts = np.cumsum(lengths) - lengths
     for dim in np.unique(lengths):
         rows = np.flatnonzero(lengths == dim)
-        yield ids[rows], flat[starts[rows, None] + np.arange(dim)].reshape(len(rows), int(dim))
+        yield rows, ids[rows], flat[starts[rows, None] + np.arange(dim)].reshape(len(rows), int(dim))
 
 
 def pack(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A chunk row for every batch and vector length."""
+    """Chunk rows, of one vector length each, from rows (vec_id, v, hash)."""
+    schema = pa.schema([("dim", pa.int32()), *((n, pa.binary()) for n in ("ids", "hashes", "low", "step", "cells"))])
+
+    def chunk(ids: np.ndarray, hashes: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        low = x.min(0)
+        step = (x.max(0) - low) // 2**bits + 1
+        cells = ((x - low) // step).astype(np.uint8)
+        row = [x.shape[1], *(a.tobytes() for a in (ids, hashes, low, step, cells))]
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("dim", pa.int32()), *((n, pa.binary()) for n in ("ids", "exact", "low", "step", "cells"))])
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        count: dict[int, int] = {}
+
+        def joined(dim: int) -> pa.RecordBatch:
+            count.pop(dim)
+            return chunk(*(np.concatenate(part) for part in zip(*held.pop(dim), strict=True)))
+
         for batch in batches:
-            for ids, x in _matrices(batch):
-                low = x.min(0)
-                step = (x.max(0) - low) // 2**bits + 1
-                cells = ((x - low) // step).astype(np.uint8)
-                row = [x.shape[1], *(a.tobytes() for a in (ids, x, low, step, cells))]
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+            hashes = batch.column(2).to_numpy()
+            for rows, ids, x in _matrices(batch):
+                for at in range(0, len(ids), CHUNK):
+                    cut, dim = slice(at, at + CHUNK), x.shape[1]
+                    held.setdefault(dim, []).append((ids[cut], hashes[rows[cut]], x[cut]))
+                    count[dim] = count.get(dim, 0) + len(ids[cut])
+                    if count[dim] >= CHUNK:
+                        yield joined(dim)
+                    elif sum(count[d] * (d + 2) for d in count) > 64 * CHUNK * 64:  # many lengths at once
+                        yield joined(max(count, key=lambda d: count[d] * (d + 2)))
+        for dim in list(held):
+            yield joined(dim)
 
     return run
 
 
-class _Best:
-    """The k best (score, id) of every query so far: higher scores first, smaller ids on ties."""
+class Candidates:
+    """The candidates of some queries that bounds leave open, and the k best lower bounds of each query so far."""
 
     def __init__(self, queries: int, k: int) -> None:
         self.k = k
-        self.score = np.full((queries, k), np.iinfo(np.int64).min, np.int64)
-        self.ids = np.full((queries, k), np.iinfo(np.int64).max, np.int64)
-        self.count = np.zeros(queries, np.int64)
+        self.best = np.full((queries, k), -np.inf)
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
 
     def limit(self) -> np.ndarray:
-        """The k-th score, or minus infinity as long as there are fewer."""
-        return np.where(self.count >= self.k, self.score[:, -1].astype(np.float64), -np.inf)
-
-    def add(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        touched = np.unique(q)
-        slot, row = np.meshgrid(np.arange(self.k), touched)
-        held = (slot < self.count[row]).ravel()
-        q = np.concatenate([q, row.ravel()[held]])
-        score = np.concatenate([score, self.score[touched].ravel()[held]])
-        ids = np.concatenate([ids, self.ids[touched].ravel()[held]])
-        order = np.lexsort((ids, -score, q))
-        q, score, ids = q[order], score[order], ids[order]
-        first = np.searchsorted(q, touched)
-        rank = np.arange(len(q)) - first[np.searchsorted(touched, q)]
-        keep = rank < self.k
-        self.score[q[keep], rank[keep]] = score[keep]
-        self.ids[q[keep], rank[keep]] = ids[keep]
-        self.count[touched] = np.minimum(self.k, np.bincount(np.searchsorted(touched, q), minlength=len(touched)))
-
-
-def scan(best: _Best, query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, low: np.ndarray, step: np.ndarray, cells: np.ndarray) -> int:
-    """Search one chunk for the queries `q`; returns how many exact vectors were read."""
-    reach = max(1, np.abs(q).max(initial=0)) * max(1, np.abs(x).max(initial=0), np.abs(low + step * cells.max(0, initial=0)).max(initial=0)) * max(1, q.shape[1])
-    kind = np.float32 if reach < 2**24 else np.float64  # sums of integers up to here are exact
-    slack = 0.0 if reach < 2**53 else reach * 2.0**-40
-    corner = (low + step * cells).astype(kind)
-    queries = q.astype(kind)
-    above = (np.maximum(q, 0) @ (step - 1)).astype(np.float64) + slack
-    below = (np.minimum(q, 0) @ (step - 1)).astype(np.float64) - slack
-    width, reads = max(64, CELLS // max(1, len(q))), 0
+        """The k-th lower bound, or minus infinity as long as there are fewer."""
+        return self.best[:, -1]
+
+    def add(self, q: np.ndarray, ids: np.ndarray, hashes: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> None:
+        order = np.lexsort((-lower, q))
+        rank = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+        top = order[rank < self.k]
+        touched, row = np.unique(q[top], return_inverse=True)
+        new = np.full((len(touched), self.k), -np.inf)
+        new[row, rank[rank < self.k]] = lower[top]
+        self.best[touched] = -np.sort(-np.concatenate([self.best[touched], new], 1), 1)[:, : self.k]
+        self.parts.append((q, ids, hashes, lower, upper))
+        self.held += len(q)
+        if self.held > HELD:
+            self.parts = [self.open()]
+            self.held = len(self.parts[0][0])
+
+    def open(self) -> tuple[np.ndarray, ...]:
+        """What can still be among the k best: (query, id, hash, lower, upper)."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        q, ids, hashes, lower, upper = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        some = np.flatnonzero(upper >= self.limit()[q])
+        order = some[np.lexsort((ids[some], hashes[some], q[some]))]
+        new = np.concatenate([[True], (q[order][1:] != q[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])]) if len(order) else np.zeros(0, bool)
+        rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        order = order[rank < self.k]
+        return q[order], ids[order], hashes[order], lower[order], upper[order]
+
+
+def scan(found: Candidates, query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, hashes: np.ndarray, low: np.ndarray, step: np.ndarray, cells: np.ndarray) -> None:
+    """Bound the scores of one chunk for the queries `q` from the cells alone."""
+    d = q.shape[1]
+    weight = q.astype(np.float64) * step
+    base = q.astype(np.float64) @ low.astype(np.float64)
+    # Rounding of the product in single precision and of the rest in double precision.
+    slack = (d + 2) * 2.0**-22 * 256 * np.abs(weight).sum(1) + (d + 2) * 2.0**-51 * (np.abs(q).astype(np.float64) @ np.abs(low).astype(np.float64))
+    above = base + np.maximum(q, 0).astype(np.float64) @ (step - 1) + slack
+    below = base + np.minimum(q, 0).astype(np.float64) @ (step - 1) - slack
+    weight = weight.astype(np.float32)
+    width = max(64, CELLS // max(1, len(q)))
     for at in range(0, len(ids), width):
         part = ids[at : at + width]
-        bound = queries @ corner[at : at + width].T
-        bound[query_ids[:, None] == part[None, :]] = -np.inf  # a query is no candidate of its own
-        limit = best.limit()
-        if np.isneginf(limit).any() and len(part) >= best.k:
-            limit = np.maximum(limit, np.partition(bound, -best.k, axis=1)[:, -best.k] + below)
-        row, col = np.nonzero((bound >= (limit - above)[:, None].astype(kind)) & (bound > -np.inf))
-        if not len(row):
-            continue
-        upper = bound[row, col].astype(np.float64) + above[row]
-        order = np.lexsort((-upper, row))
-        row, col, upper = row[order], col[order], upper[order]
-        while len(row):  # the next few of every query, in the order of their bounds
-            rank = np.arange(len(row)) - np.searchsorted(row, row)
-            now = rank < 2 * best.k
-            r, c = row[now], col[now]
-            score = np.einsum("ij,ij->i", q[r], x[at + c])
-            best.add(r, score, part[c])
-            reads += len(r)
-            row, col, upper = row[~now], col[~now], upper[~now]
-            open_ = upper >= best.limit()[row]
-            row, col, upper = row[open_], col[open_], upper[open_]
-    return reads
-
-
-def search(block: list[tuple[np.ndarray, np.ndarray]], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over chunk rows: the k best of every query in `block` among this task's chunks."""
+        corner = weight @ cells[at : at + width].T.astype(np.float32)
+        own_row, own_col = np.nonzero(query_ids[:, None] == part[None, :]) if np.isin(query_ids, part).any() else (np.zeros(0, int), np.zeros(0, int))
+        corner[own_row, own_col] = -np.inf  # a query is no candidate of its own
+        limit = found.limit()
+        if np.isneginf(limit).any() and len(part) >= found.k:
+            limit = np.maximum(limit, np.partition(corner, -found.k, axis=1)[:, -found.k] + below)
+        least = np.nextafter((limit - above).astype(np.float32), np.float32(-np.inf))
+        row, col = np.nonzero((corner >= least[:, None]) & (corner > -np.inf))
+        if len(row):
+            value = corner[row, col].astype(np.float64)
+            found.add(row, part[col], hashes[at : at + width][col], value + below[row], value + above[row])
+
+
+def bounds(block, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over chunk rows: the candidates of every query in `block` that this task's chunks leave open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = {q.shape[1]: (ids, q) for ids, q in (block.value if hasattr(block, "value") else block)}
-        best = {d: _Best(len(ids), k) for d, (ids, _) in queries.items()}
+        queries = {q.shape[1]: (ids, q) for ids, q in block.value}
+        found = {d: Candidates(len(ids), k) for d, (ids, _) in queries.items()}
         for batch in batches:
-            for row in batch.to_pylist():
-                d = row["dim"]
+            for i in range(batch.num_rows):
+                d = batch.column("dim")[i].as_py()
                 if d in queries:
-                    shape = (-1, d)
-                    ids = np.frombuffer(row["ids"], np.int64)
-                    x = np.frombuffer(row["exact"], np.int64).reshape(len(ids), d)
-                    low, step = (np.frombuffer(row[n], np.int64) for n in ("low", "step"))
-                    cells = np.frombuffer(row["cells"], np.uint8).reshape(shape if d else (len(ids), 0)).astype(np.int64)
-                    scan(best[d], *queries[d], ids, x, low, step, cells)
-        for d, b in best.items():
-            held = np.arange(k) < b.count[:, None]
-            ids = np.repeat(queries[d][0], b.count)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(b.ids[held]), pa.array(b.score[held])], names=["query_id", "vec_id", "score"])
+                    read = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)  # noqa: B023, E731
+                    ids = read("ids", np.int64)
+                    scan(found[d], *queries[d], ids, *(read(n, np.int64) for n in ("hashes", "low", "step")), read("cells", np.uint8).reshape(len(ids), d))
+        for d, c in found.items():
+            q, *rest = c.open()
+            for at in range(0, len(q), 100_000):
+                columns = [queries[d][0][q[at : at + 100_000]], *(x[at : at + 100_000] for x in rest)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query_id", "vec_id", "hash", "lower", "upper"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, block: int = 8192) -> DataFrame:
+def _blocks(asked: DataFrame, block: int) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """The queries as (ids, matrix) of each vector length, `block` at a time."""
+    held: dict[int, tuple[list, list]] = {}
+    count = 0
+    pack_ = lambda: [(np.array(i, np.int64), np.array(v, np.int64).reshape(len(i), d)) for d, (i, v) in held.items()]
+    for r in asked.toLocalIterator():
+        ids, vectors = held.setdefault(len(r["v"]), ([], []))
+        ids.append(r["vec_id"])
+        vectors.append(r["v"])
+        count += 1
+        if count == block:
+            yield pack_()
+            held, count = {}, 0
+    if count:
+        yield pack_()
+
+
+def _exact(pairs: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score) of pairs (query_id, vec_id); an id that repeats has a row for each of its vectors."""
+    q = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    met = pairs.join(vectors, "vec_id").join(q, "query_id").where(F.size("v") == F.size("q"))
+    return met.select("query_id", "vec_id", F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b).alias("score"))
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 8, block: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products, all if fewer.
 
     Both inputs are (vec_id long, v array<long>), as `to_integers` makes them. Ties go to the
     smaller vec_id. A candidate with the query's own id is left out, as are vectors of another
     length. Rows that repeat an id are candidates each; a query id that repeats is asked once, with
     its smallest vector. Without vectors or queries the result is empty. Queries are
-    broadcast in blocks of about `block`; with more than one block the packed chunks are
+    broadcast in blocks of `block`; with more than one block the file of cells is
     materialised once and scanned for each. Scores are exact up to 63 bits.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(CHUNK))
-    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = -(-queries.count() // block)
-    packed = vectors.mapInArrow(pack(bits), PACKED)
-    if blocks > 1:
-        packed, asked = materialise(packed), materialise(asked)
-    found = spark.createDataFrame([], FOUND)
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()  # one block: bounded
-        merged = [m for batch in part.combine_chunks().to_batches() for m in _matrices(batch)]
-        found = found.unionByName(packed.mapInArrow(search(spark.sparkContext.broadcast(merged), k), FOUND))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    short_batches(spark)
+    asked = materialise(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
+    packed = vectors.select("vec_id", "v", F.xxhash64("v").alias("hash")).mapInArrow(pack(bits), PACKED)
+    if asked.count() > block:
+        packed = materialise(packed)
+    sent = None
+    for part in _blocks(asked, block):
+        one = packed.mapInArrow(bounds(spark.sparkContext.broadcast(part), k), BOUNDS)
+        sent = one if sent is None else sent.unionByName(one)
+    if sent is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # The k-th lower bound of each query over all tasks, and one vector's k smallest ids.
+    ranked = sent.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "hash").orderBy("vec_id", F.desc("lower")))).where(F.col("n") <= k)
+    ranked = materialise(ranked.drop("n", "hash"))
+    number = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    limits = ranked.withColumn("n", number(F.desc("lower"), "vec_id")).where(F.col("n") == k).select("query_id", F.col("lower").alias("limit"))
+    left = ranked.join(small(materialise(limits)), "query_id", "left").where(F.col("limit").isNull() | (F.col("upper") >= F.col("limit")))
+    # A row for each id: its vectors, if it has several, are all read.
+    left = left.groupBy("query_id", "vec_id").agg(F.max("upper").alias("upper")).withColumn("n", number(F.desc("upper"), "vec_id"))
+    left = materialise(left)
+    first = materialise(_exact(small(left.where(F.col("n") <= 2 * k).select("query_id", "vec_id")), vectors, asked))
+    sure = first.withColumn("n", number(F.desc("score"), "vec_id")).where(F.col("n") == k).select("query_id", F.col("score").alias("limit"))
+    rest = left.where(F.col("n") > 2 * k).join(small(materialise(sure)), "query_id").where(F.col("upper") >= F.col("limit")).select("query_id", "vec_id")
+    rest = materialise(rest)
+    found = first if rest.isEmpty() else first.unionByName(_exact(small(rest), vectors, asked))
+    return found.withColumn("rank", number(F.desc("score"), "vec_id")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -39,13 +39,59 @@ def test_ties_nulls_lengths_and_few(spark):
     assert found(spark, [(10, [1.0])]) == set()
 
 
-def test_bounds_spare_exact_reads():
-    rng = np.random.default_rng(0)
-    x = np.floor(256 * rng.normal(0, 0.125, (4000, 64))).astype(np.int64)
+def packed(x, bits=8):
     low = x.min(0)
-    step = (x.max(0) - low) // 64 + 1
-    best = vafile._Best(20, 5)
-    reads = vafile.scan(best, np.arange(20), x[:20], np.arange(4000), x, low, step, (x - low) // step)
-    exact = x[:20] @ x.T
-    exact[np.arange(20), np.arange(20)] = -(10**9)
-    assert (best.score == -np.sort(-exact, 1)[:, :5]).all() and reads < 0.05 * exact.size
+    step = (x.max(0) - low) // 2**bits + 1
+    return low, step, ((x - low) // step).astype(np.uint8)
+
+
+@pytest.mark.parametrize("scale", [1, 256, 1e9, 1e15])
+def test_bounds_hold_and_spare_exact_reads(scale):
+    """Every exact score lies in its bounds, and few candidates are left to be read; the cells take an eighth of the exact vectors' bytes."""
+    rng = np.random.default_rng(0)
+    x = np.floor(scale * rng.normal(0, 0.125, (4000, 64))).astype(np.int64)
+    found = vafile.Candidates(20, 5)
+    cells = packed(x)
+    vafile.scan(found, np.arange(20), x[:20] // int(max(1, scale / 1e6)), np.arange(4000), np.arange(4000), *cells)
+    q, ids, _, lower, upper = found.open()
+    exact = (x[:20] // int(max(1, scale / 1e6))).astype(object) @ x.T.astype(object)
+    score = exact[q, ids].astype(float)
+    assert (lower <= score + 1e-9 * abs(score)).all() and (score <= upper + 1e-9 * abs(score)).all()
+    for i in range(20):
+        best = sorted((-s, j) for j, s in enumerate(exact[i]) if j != i)[:5]
+        assert {j for _, j in best} <= set(ids[q == i].tolist())
+    if scale > 1:
+        assert len(q) < 0.02 * exact.size
+    assert cells[2].nbytes * 8 == x.nbytes
+
+
+def test_one_vector_many_times(spark):
+    """A third of all rows hold the same vector, the best of every query: the smallest ids win and a task sends no more than them."""
+    rng = random.Random(4)
+    rows = [(i, [4.0] * 8 if i % 3 == 0 else [rng.gauss(0, 1) for _ in range(8)]) for i in range(900)]
+    assert found(spark, rows) == brute(rows, 5, 10)
+    x = np.tile(np.arange(8) + 300, (5000, 1))
+    held = vafile.Candidates(3, 5)
+    vafile.scan(held, np.arange(3), np.ones((3, 8), np.int64), np.arange(5000), np.full(5000, 7), *packed(x))
+    assert len(held.open()[0]) == 15
+
+
+def test_small_budgets_give_the_same(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(rng.choice([4, 5, 6]))]) for i in range(400)] + [(7, [0.5] * 4), (7, [0.75] * 4), (10, [0.1] * 5)]
+    want = brute(rows, 5, 10)
+    c = vafile.Candidates(4, 2)
+    monkeypatch.setattr(vafile, "HELD", 10)
+    c.add(np.array([0, 0, 0, 1, 1, 2] * 3), np.arange(18), np.arange(18), np.arange(18.0), np.arange(18.0) + 0.5)
+    assert set(zip(*(x.tolist() for x in c.open()[:2]), strict=True)) == {(0, 14), (0, 13), (1, 16), (1, 15), (2, 17), (2, 11)}
+    assert found(spark, rows) == want and found(spark, rows, bits=2, block=9) == want
+
+
+def test_ids_must_be_whole_numbers(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([([1.0, 2.0],)] * 2, "v array<double>")
+    assert vafile.to_integers(df.withColumn("i", F.lit(3).cast("decimal(10,0)")), "i", "v").count() == 2
+    for kind in ("string", "double"):
+        with pytest.raises(TypeError):
+            vafile.to_integers(df.withColumn("i", F.lit(3).cast(kind)), "i", "v")
