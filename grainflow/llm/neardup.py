@@ -6,10 +6,10 @@
    the pairs with one pivot, the class with the most copies, are made: a star, not all pairs.
 3. Pairs whose signatures leave hope are verified on the full sets, which a second scan rebuilds for just the classes in
    question. Verified links give components by union-find.
-4. A key whose members now lie in several components may hide further links. All such classes are
-   compared by signature in blocks, each pair of blocks in a task of its own, and what is left is verified
-   on the full sets there and then. Only links come out, so the rows stay few, and none is lost between the
-   classes that meet in a band.
+4. A key whose members now lie in several components may hide further links. The members of each such key, and
+   no others, are compared by signature in blocks, a large key's as many pairs of blocks; a pair that shares several keys is compared in
+   the first of them. Only classes with a hopeful partner in a pair of blocks come back there with their full sets
+   to be verified. Only links come out, so the rows stay few, and none is lost between the classes that meet in a band.
 5. The components of all links, by union-find within bounded parts and star contraction between them.
 
 A pair at the threshold is missed only if it shares no band; see `bands`.
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainflow.llm.common import by_size, materialise, mix64, short_batches, table
+from grainflow.llm.common import by_size, materialise, mix64, short_batches, table, whole_number
 
 WORDS = 5
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8**4)**24 = 3e-6; at 0.85, 2e-8.
@@ -247,38 +247,93 @@ def components(edges: DataFrame, part: int = PART) -> DataFrame:
     return star.unionByName(star.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _blocks(percent: int) -> Callable:
-    """The links between two blocks of classes that join different components; rows of the first have part 0, of the second part 1, of one that meets itself part 2."""
-    least = least_agreement(percent)
+#: The columns that name a pair of blocks, and what a class brings to it: `part` is 0 for the first block, 1 for the second and 2 for a block that meets itself.
+_MEETING = "band long, kind int, x int, y int"
+_MEMBER = "part int, slot int, class long, component long, n long, sign binary"
+
+
+def _meetings(names: list[str], each: Callable[[dict[str, pa.Array]], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Call `each` for every pair of blocks, whose rows stand together in a partition but may go over the end of a batch."""
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("component", "ascending"), ("class", "ascending")])
-        part, ids, comp, n = (t.column(c).to_numpy() for c in ("part", "class", "component", "n"))
-        sign = np.frombuffer(b"".join(t.column("sign").to_pylist()), np.uint32).reshape(-1, SLOTS)
-        items = t.column("items")
-        groups, out = _Union(), []
-        right = np.flatnonzero(part >= 1)
-        for i in np.flatnonzero(part != 1):
-            others = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            others = others[(part[others] == 1) | (others > i)]
-            for j in others[(sign[others] == sign[i]).sum(1) >= least]:
-                a, b = int(comp[i]), int(comp[j])
-                if groups.find(a) != groups.find(b) and jaccard_at_least(np.frombuffer(items[int(i)].as_py(), np.uint64), np.frombuffer(items[int(j)].as_py(), np.uint64), percent):
-                    groups.join(a, b)
-                    out.append((int(ids[i]), int(ids[j])))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            last = [batch.column(c)[-1] for c in ("band", "kind", "x", "y")] if batch.num_rows else None
+            if last is None or [held[0].column(c)[0] for c in ("band", "kind", "x", "y")] == last:
+                continue
+            *done, rest = _cut(held)
+            held = [rest]
+            yield from (found for t in done if (found := each({n: t.column(n) for n in names})) is not None)
+        if held and sum(b.num_rows for b in held):
+            yield from (found for t in _cut(held) if (found := each({n: t.column(n) for n in names})) is not None)
 
     return run
 
 
+def _cut(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    whole = pa.Table.from_batches(batches).combine_chunks().to_batches(max_chunksize=None)
+    whole = whole[0] if len(whole) == 1 else pa.concat_batches(whole)
+    keys = [whole.column(c).to_numpy() for c in ("band", "kind", "x", "y")]
+    change = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    edges = np.concatenate([[0], np.flatnonzero(change) + 1, [whole.num_rows]])
+    return [whole.slice(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _hopeful_pairs(t: dict[str, pa.Array], percent: int) -> Iterator[tuple[int, int]]:
+    """Rows of a pair of blocks whose sizes and signatures allow the threshold, which lie in different components and share no earlier key."""
+    least = least_agreement(percent)
+    part, comp, n, slot = (t[c].to_numpy() for c in ("part", "component", "n", "slot"))
+    sign = np.frombuffer(b"".join(t["sign"].to_pylist()), np.uint32).reshape(-1, SLOTS)
+    right = np.flatnonzero(part >= 1)
+    for i in np.flatnonzero(part != 1).tolist():
+        others = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+        others = others[(part[others] == 1) | (others > i)]
+        same = sign[others] == sign[i]
+        some = same.sum(1) >= least
+        first = same[some].reshape(-1, BANDS, ROWS).all(2).argmax(1)
+        for j in others[some][first == slot[i]].tolist():
+            yield i, j
+
+
+def _involved(percent: int) -> Callable:
+    """The classes of a pair of blocks that have a hopeful partner there."""
+
+    def each(t: dict[str, pa.Array]) -> pa.RecordBatch | None:
+        rows = np.unique([x for pair in _hopeful_pairs(t, percent) for x in pair]).astype(np.int64)
+        names = ["band", "kind", "x", "y", "part", "slot", "class", "component", "n", "sign"]
+        return pa.RecordBatch.from_arrays([t[c].take(pa.array(rows)) for c in names], names=names) if len(rows) else None
+
+    return each
+
+
+def _linked(percent: int) -> Callable:
+    """The links in a pair of blocks that join different components."""
+
+    def each(t: dict[str, pa.Array]) -> pa.RecordBatch | None:
+        ids, comp = (t[c].to_numpy() for c in ("class", "component"))
+        items, groups, out = t["items"], _Union(), []
+        for i, j in _hopeful_pairs(t, percent):
+            a, b = int(comp[i]), int(comp[j])
+            if groups.find(a) != groups.find(b) and jaccard_at_least(np.frombuffer(items[i].as_py(), np.uint64), np.frombuffer(items[j].as_py(), np.uint64), percent):
+                groups.join(a, b)
+                out.append((int(ids[i]), int(ids[j])))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"]) if out else None
+
+    return each
+
+
 def near_duplicates(docs: DataFrame, key: str, text: str, percent: int = 85, words: int = WORDS) -> DataFrame:
     """(key, n_shingles, component, kept) of every row: linked are rows whose shingle sets
     have 100 * intersection >= percent * union, a component is named by its least key, and `kept` marks that row.
 
     Empty and null texts have no shingles and stand alone. A null key belongs to no group: its component is null
     and it isn't kept. Keys should be unique; rows that repeat one with the same text are one member,
-    each marked alike. Other columns aren't read. An empty table gives an empty result.
+    each marked alike. Keys that are whole numbers come back as longs; with keys of another type rows are numbered first, which
+    writes the texts once. Other columns aren't read. An empty table gives an empty result.
     """
+    if not whole_number(docs.schema[key].dataType):
+        return _by_number(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), key, percent, words)
     spark = docs.sparkSession
     short_batches(spark)
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -287,20 +342,20 @@ def near_duplicates(docs: DataFrame, key: str, text: str, percent: int = 85, wor
     prints = materialise(real.groupBy("print").agg(F.min("id").alias("class"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sign").alias("sign")))
     # Bands: the keys that several classes share, and the pivot of each.
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sign", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)))
-    banded = prints.select("class", F.least(F.col("copies"), F.lit(1 << 20)).alias("copies"), F.explode(keys).alias("band"))
+    banded = prints.select("class", F.least(F.col("copies"), F.lit(1 << 20)).alias("copies"), F.posexplode(keys).alias("slot", "band"))
     order = F.col("copies") * (1 << 40) + F.shiftrightunsigned(F.xxhash64("class"), 24)
     # Small tables that hot keys are joined with are materialised, so that skewed joins can be split.
     shared = materialise(banded.groupBy("band").agg(F.max_by("class", order).alias("pivot"), F.count("*").alias("members")).where(F.col("members") > 1))
-    members = materialise(banded.join(shared, "band").select("band", "class", "pivot"))
+    members = materialise(banded.join(shared, "band").select("band", "slot", "class", "pivot"))
     stars = members.where(F.col("class") != F.col("pivot")).select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
     side = lambda name: prints.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("sign").alias(f"sign_{name}"))
     hopeful = materialise(stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sign_a", "sign_b").mapInArrow(_hopeful(percent), "a long, b long"))
     links = components(_verify(source, prints, hopeful, percent, words))
     # Keys whose members still lie apart.
-    placed = members.join(links, members["class"] == links["node"], "left").select("band", "class", F.coalesce("component", "class").alias("component"))
+    placed = members.join(links, members["class"] == links["node"], "left").select("band", "slot", "class", F.coalesce("component", "class").alias("component"))
     placed = materialise(placed)
     apart = materialise(placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")))
-    open_ = materialise(placed.join(apart, "band").select("class", "component", "band"))
+    open_ = materialise(placed.join(apart, "band").select("band", "slot", "class", "component"))
     grouped = links
     if not open_.isEmpty():
         known = links.select(F.col("node").alias("a"), F.col("component").alias("b")).where(F.col("a") != F.col("b"))
@@ -318,29 +373,37 @@ def _verify(source: DataFrame, prints: DataFrame, pairs: DataFrame, percent: int
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(_verified(percent), "a long, b long")
 
 
+def _by_number(docs: DataFrame, key: str, percent: int, words: int) -> DataFrame:
+    rows = materialise(docs.withColumn("id", F.when(F.col("key").isNotNull(), F.monotonically_increasing_id())))
+    found = near_duplicates(rows, "id", "text", percent, words).withColumnRenamed("component", "group")
+    named = materialise(found.join(rows.select("id", "key"), "id", "left"))
+    least = named.where(F.col("group").isNotNull()).groupBy("group").agg(F.min("key").alias("component"))
+    out = named.join(least, "group", "left")
+    return out.select(F.col("key").alias(key), "n_shingles", "component", F.coalesce(F.col("key") == F.col("component"), F.lit(False)).alias("kept"))
+
+
 def _between(source: DataFrame, prints: DataFrame, open_: DataFrame, percent: int, words: int) -> DataFrame:
-    """Links between classes that share an open key but no component yet."""
-    # Classes connected by open keys form one neighbourhood; classes of different ones share no band.
-    hub = materialise(open_.groupBy("band").agg(F.min("class").alias("hub")))
-    near = components(open_.join(hub, "band").where(F.col("class") != F.col("hub")).select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct())
-    area = open_.select("class", F.col("component").alias("own")).distinct().join(near.withColumnRenamed("component", "area"), F.col("class") == F.col("node")).select("class", "own", "area")
-    area = materialise(area)
-    # Members of an area's largest component need not meet each other: they only meet the rest.
-    shares = materialise(area.groupBy("area", "own").agg(F.count("*").alias("size")))
-    sizes = materialise(shares.groupBy("area").agg(F.max_by("own", F.struct("size", "own")).alias("main"), F.max("size").alias("mains"), F.sum("size").alias("size")))
+    """Links between classes that share an open key but no component yet; `open_` has a row (band, slot, class, component) for each class of such a key."""
+    # Members of a key's largest component need not meet each other: they only meet the rest.
+    shares = materialise(open_.groupBy("band", "component").agg(F.count("*").alias("size")))
+    sizes = materialise(shares.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("mains"), F.sum("size").alias("size")))
     many = lambda c: F.ceil(c / BLOCK).cast("int")
-    full = area.join(prints.select("class", "print", "n", "sign"), "class")
-    sets = _full_sets(source, full.select("class", "print"), words)
-    dealt = full.join(sets, "class").join(sizes, "area").withColumn("in_main", F.col("own") == F.col("main")).withColumn("main_blocks", many(F.col("mains"))).withColumn("rest_blocks", many(F.col("size") - F.col("mains")))
+    dealt = open_.join(sizes, "band").withColumn("in_main", F.col("component") == F.col("main")).withColumn("main_blocks", many(F.col("mains"))).withColumn("rest_blocks", many(F.col("size") - F.col("mains")))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class"), F.when(F.col("in_main"), F.col("main_blocks")).otherwise(F.col("rest_blocks"))).cast("int"))
     block, numbers = F.col("block"), lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     meeting = lambda kind, x, y, part: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), part.cast("int").alias("part"))
-    with_rest = F.transform(numbers("rest_blocks"), lambda o: meeting("rest", F.least(block, o), F.greatest(block, o), F.when(o == block, 2).when(block < o, 0).otherwise(1)))
-    with_main = F.transform(numbers("main_blocks"), lambda o: meeting("main", block, o, F.lit(0)))
-    as_main = F.transform(numbers("rest_blocks"), lambda o: meeting("main", o, block, F.lit(1)))
-    met = dealt.withColumn("at", F.explode(F.when(F.col("in_main"), as_main).otherwise(F.concat(with_rest, with_main))))
-    paired = met.select("area", "at.kind", "at.x", "at.y", "at.part", "class", F.col("own").alias("component"), "n", "sign", "items")
-    return paired.groupBy("area", "kind", "x", "y").applyInArrow(_blocks(percent), "a long, b long")
+    with_rest = F.transform(numbers("rest_blocks"), lambda o: meeting(0, F.least(block, o), F.greatest(block, o), F.when(o == block, 2).when(block < o, 0).otherwise(1)))
+    with_main = F.transform(numbers("main_blocks"), lambda o: meeting(1, block, o, F.lit(0)))
+    as_main = F.transform(numbers("rest_blocks"), lambda o: meeting(1, o, block, F.lit(1)))
+    meeting_key = ["band", "kind", "x", "y"]
+    signed = dealt.join(prints.select("class", "n", "sign"), "class")
+    met = signed.withColumn("at", F.explode(F.when(F.col("in_main"), as_main).otherwise(F.concat(with_rest, with_main))))
+    met = met.select("band", "at.kind", "at.x", "at.y", "at.part", "slot", "class", "component", "n", "sign")
+    together = lambda rows: rows.repartition(*meeting_key).sortWithinPartitions(*meeting_key, "component", "class")
+    names = [x.split()[0] for x in f"{_MEETING}, {_MEMBER}".split(", ")]
+    hopeful = materialise(together(met).mapInArrow(_meetings(names, _involved(percent)), f"{_MEETING}, {_MEMBER}"))
+    sets = _full_sets(source, hopeful.select("class").distinct().join(prints.select("class", "print"), "class"), words)
+    return together(hopeful.join(sets, "class")).select(*names, "items").mapInArrow(_meetings([*names, "items"], _linked(percent)), "a long, b long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -84,3 +84,35 @@ def test_blocks_find_links_across_them(spark, monkeypatch):
     base = [f"w{i}" for i in range(100)]
     rows = [(i, noisy(rng, base, rng.choice((2, 3, 4))), "en", "s") for i in range(40)]
     check(spark, rows, 80)
+
+
+def test_meetings_may_span_batches(spark, monkeypatch):
+    from grainflow.llm import common
+
+    monkeypatch.setattr(common, "ARROW_ROWS", 3)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    check(spark, [(i, noisy(rng, base, rng.choice((2, 3, 4))), "en", "s") for i in range(40)], 80)
+
+
+def test_a_pair_is_compared_in_its_first_shared_key_only():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**32, neardup.SLOTS).astype(np.uint32)
+    b = a.copy()
+    b[: neardup.ROWS * 3] += 1  # the first three keys differ
+    import pyarrow as pa
+
+    def pairs(slot):
+        t = {"part": [2, 2], "component": [1, 2], "n": [9, 9], "slot": [slot, slot]}
+        return list(neardup._hopeful_pairs({k: pa.array(v) for k, v in t.items()} | {"sign": pa.array([a.tobytes(), b.tobytes()], pa.binary())}, 85))
+
+    assert [s for s in range(neardup.BANDS) if pairs(s)] == [3]
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(20,2)", "smallint"])
+def test_keys_of_any_type(spark, kind):
+    rows = [(7, "a b c d e f", "en", "s"), (5, "a b c d e f", "en", "s"), (9, "", "en", "s"), (5, "a b c d e f", "en", "s"), (None, "a b c d e f", "en", "s"), (8, "q r s t u v", "en", "s")]
+    df = documents(spark, rows).withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = sorted((None if r["doc_id"] is None else int(r["doc_id"]), r["n_shingles"], None if r["component"] is None else int(r["component"]), r["kept"]) for r in neardup.near_duplicates(df, "doc_id", "text").collect() if r["doc_id"] is not None)
+    assert got == [(5, 2, 5, True), (5, 2, 5, True), (7, 2, 5, False), (8, 2, 8, True), (9, 0, 9, True)]
+    assert neardup.near_duplicates(df, "doc_id", "text").where("doc_id is null and component is null and not kept").count() == 1
