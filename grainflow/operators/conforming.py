@@ -82,14 +82,14 @@ def conforming_mesh(spark: SparkSession, grained: DataFrame, width: int, height:
     return moved, owned
 
 
-def size_field(grained: DataFrame, least: float, slope: float) -> DataFrame:
+def size_field(grained: DataFrame, least: float, slope: float, along_axes: bool = False) -> DataFrame:
     """(i, j, h) at the pixels' corners: element sizes that start from `least` on grain boundaries and grow by `slope` for each unit of distance."""
     seeds = grains.corners(grained).select(F.col("y").alias("i"), F.col("x").alias("j")).distinct()
     edge = grained.agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h_"))
     every = grained.select(F.explode(F.array(*(F.struct((F.col("y") + b).alias("i"), (F.col("x") + a).alias("j")) for a in (0, 1) for b in (0, 1)))).alias("p")).select("p.*").distinct()
     far = edge.select(((F.col("w") + F.col("h_")) * F.lit(slope) + least).alias("far"))
     start = every.join(seeds.withColumn("on", F.lit(True)), ["i", "j"], "left").join(F.broadcast(far)).select(F.lit(0).alias("map"), "i", "j", F.when(F.col("on"), F.lit(float(least))).otherwise(F.col("far")).alias("h"))
-    return geometry.limit_gradient(start, "map", slope, 0.0).select("i", "j", "h")
+    return geometry.limit_gradient(start, "map", slope, 0.0, along_axes).select("i", "j", "h")
 
 
 def look_up(sizes: DataFrame, places: DataFrame, key: str) -> DataFrame:

@@ -120,6 +120,46 @@ def place_elements(elements: DataFrame, nodes: DataFrame, periodic: DataFrame, m
     return rows.select("elem_id", F.transform("n", lambda s: s["dof"]).alias("dofs"), xy.alias("xy")).join(material, "elem_id")
 
 
+def tiles(points: DataFrame, size: int, width: int, height: int) -> DataFrame:
+    """Points of one map, whole x and y from 0, with the tile that they lie in: map_id, its lower left place x0, y0 and its size w, h.
+
+    Tiles have at most `size` points along a side and differ by one at most, so that none is narrow.
+    """
+
+    def along(c: str, whole: int) -> tuple[Column, Column, Column]:
+        n = -(-whole // size)
+        i = F.floor(F.col(c) * n / whole).cast("long")
+        start = F.floor((i * whole + (n - 1)) / n).cast("long")
+        return i, start, F.floor(((i + 1) * whole + (n - 1)) / n).cast("long") - start
+
+    (i, x0, w), (j, y0, h) = along("x", width), along("y", height)
+    return points.select(F.concat_ws(":", j, i).alias("map_id"), x0.alias("x0"), y0.alias("y0"), w.alias("w"), h.alias("h"), *points.columns)
+
+
+#: Corners of a pixel's two triangles, in steps of a pixel.
+_HALVES = (((0, 0), (1, 0), (1, 1)), ((0, 0), (1, 1), (0, 1)))
+
+
+def pixel_cells(tiled: DataFrame, material: tuple[str, ...], number: Column) -> DataFrame:
+    """Element rows (map_id, elem_id, dofs, xy, material...) of maps that are periodic cells of pixels: two quadratic triangles for each
+    point of (map_id, x0, y0, w, h, x, y, material...), see `tiles`; the pixel's `number` doubled, and one more, are their ids.
+
+    Corners and mid-sides lie on a grid of half pixels, so that numbers, places and periodic partners follow from a point
+    alone: nothing is joined or shuffled. Maps are solved side by side.
+    """
+    lx, ly = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
+    out = []
+    for corners in _HALVES:
+        (a, b, c) = corners
+        middles = [(p[0] + q[0], p[1] + q[1]) for p, q in ((a, b), (b, c), (a, c))]
+        steps = [(2 * u, 2 * v) for u, v in corners] + middles
+        dofs = F.array(*(((2 * ly + v) % (2 * F.col("h")) * (2 * F.col("w")) + (2 * lx + u) % (2 * F.col("w"))).cast("long") for u, v in steps))
+        xy = F.array(*((F.col(k) + d).cast("double") for u, v in corners for k, d in (("x", u), ("y", v))))
+        out.append(F.struct(dofs.alias("dofs"), xy.alias("xy")))
+    each = tiled.select("map_id", number.alias("__number"), *material, F.posexplode(F.array(*out)).alias("half", "e"))
+    return each.select("map_id", (2 * F.col("__number") + F.col("half")).cast("long").alias("elem_id"), "e.dofs", "e.xy", *material)
+
+
 _POINT = "map_id string, elem_id long, qp int, x double, y double, weight double, "
 
 

@@ -68,11 +68,13 @@ def resample(lines: DataFrame, key: str, n: int, closed: bool = False) -> DataFr
 
 
 def _parabola(lines: DataFrame, key: str) -> tuple[DataFrame, list[Column]]:
-    """Each point's parabola through its two neighbours, by the distances to them (ta < 0 < tb): its first and second derivatives."""
+    """Each point's parabola through its two neighbours, by the distances to them (ta < 0 < tb): its first and second derivatives.
+    At an end it goes through the next two points on the one side."""
     w = _order(key)
-    near = lines.select("*", *(f(c).over(w).alias(f"__{c}{n}") for c in "xy" for f, n in ((F.lag, "a"), (F.lead, "b"))))
-    ta = -F.hypot(F.col("__xa") - F.col("x"), F.col("__ya") - F.col("y"))
-    tb = F.hypot(F.col("__xb") - F.col("x"), F.col("__yb") - F.col("y"))
+    at = lambda f, c, other: F.coalesce(f(c).over(w), other(c, 2).over(w))
+    near = lines.select("*", F.lag("seq").over(w).isNull().alias("__first"), F.lead("seq").over(w).isNull().alias("__last"), *(at(f, c, g).alias(f"__{c}{n}") for c in "xy" for f, g, n in ((F.lag, F.lead, "a"), (F.lead, F.lag, "b"))))
+    ta = F.when(F.col("__first"), 1.0).otherwise(-1.0) * F.hypot(F.col("__xa") - F.col("x"), F.col("__ya") - F.col("y"))
+    tb = F.when(F.col("__last"), -1.0).otherwise(1.0) * F.hypot(F.col("__xb") - F.col("x"), F.col("__yb") - F.col("y"))
     out = []
     for c in "xy":
         da, db = F.col(f"__{c}a") - F.col(c), F.col(f"__{c}b") - F.col(c)
@@ -81,7 +83,7 @@ def _parabola(lines: DataFrame, key: str) -> tuple[DataFrame, list[Column]]:
 
 
 def curvature(lines: DataFrame, key: str) -> DataFrame:
-    """(key, seq, curvature) from the parabola through each point and its neighbours; null at the ends."""
+    """(key, seq, curvature) from the parabola through each point and its neighbours, at an end the next two; null for lines of fewer than three points."""
     near, (x1, x2, y1, y2) = _parabola(lines, key)
     speed = x1 * x1 + y1 * y1
     return near.select(key, "seq", ((x1 * y2 - y1 * x2) / F.pow(speed, 1.5)).alias("curvature"))
@@ -121,8 +123,22 @@ def decimate(rings: DataFrame, key: str, share: float) -> DataFrame:
     return rings.select(key, F.col("seq").cast("long").alias("seq"), "x", "y").groupBy(key).applyInPandas(run, f"`{key}` {kind}, seq long, x double, y double")
 
 
-def limit_gradient(sizes: DataFrame, key: str, slope: float, tolerance: float = 1e-5) -> DataFrame:
-    """(key, i, j, h): the largest field below h whose steps between neighbouring cells (periodic, unit distance) are `slope` at most.
+def limited(h: np.ndarray, slope: float, along_axes: bool) -> np.ndarray:
+    """The least that the four (periodic) neighbours of each cell allow it: for the gradient's length, the upwind form, in which the lower
+    neighbour of each axis counts, at `slope`; along each axis, a step of `slope`."""
+    a, b = (np.minimum(np.roll(h, 1, k), np.roll(h, -1, k)) for k in (0, 1))
+    one = np.minimum(a, b) + slope
+    if along_axes:
+        return one
+    apart = np.abs(a - b)
+    with np.errstate(invalid="ignore"):
+        both = (a + b + np.sqrt(np.maximum(2 * slope * slope - apart * apart, 0))) / 2
+    return np.where(apart < slope, both, one)
+
+
+def limit_gradient(sizes: DataFrame, key: str, slope: float, tolerance: float = 1e-5, along_axes: bool = False) -> DataFrame:
+    """(key, i, j, h): the largest field below h whose gradient (periodic grid, unit distance) has the length `slope` at most, or, with
+    `along_axes`, whose step to each neighbour is `slope` at most.
 
     A grid is one task's work; sweeps repeat until nothing changes by more than `tolerance`.
     """
@@ -133,8 +149,8 @@ def limit_gradient(sizes: DataFrame, key: str, slope: float, tolerance: float =
         h = np.full(shape, np.inf)
         h[pdf["i"], pdf["j"]] = pdf["h"]
         while True:
-            best = np.minimum.reduce([h, *(np.roll(h, d, a) + slope for a in (0, 1) for d in (1, -1))])
-            if np.max(h - best) <= tolerance:
+            best = np.minimum(h, limited(h, slope, along_axes))
+            if not (h > best).any() or np.nanmax(h - best) <= tolerance:
                 break
             h = best
         return pdf.assign(h=h[pdf["i"], pdf["j"]])

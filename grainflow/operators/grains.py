@@ -58,6 +58,32 @@ def junctions(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return both.where((F.col("grains") >= 3) | ((F.col("grains") >= 2) & (on_x | on_y)) | (on_x & on_y)).select(*by, "x", "y", "grains")
 
 
+def periodic_junctions(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., x, y): junctions and, for those on an edge of the map, their images on the opposite edge."""
+    found = junctions(grained, by).select(*by, "x", "y")
+    size = grained.groupBy(*by).agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"))
+    both = found.join(F.broadcast(size), list(by)) if by else found.join(F.broadcast(size))
+    ends = lambda c: F.when(F.col(c).isin(F.col(f"{c}0"), F.col(f"{c}1")), F.array(f"{c}0", f"{c}1")).otherwise(F.array(c))
+    return both.select(*by, F.explode(ends("x")).alias("x"), "y", "y0", "y1").select(*by, "x", F.explode(ends("y")).alias("y")).distinct()
+
+
+def shades(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., phase, angles, number, shade): the different orientations of each phase, numbered in order, and their place among
+    them from 0 to 1, by which they are coloured."""
+    w = Window.partitionBy(*by, "phase").orderBy(*ANGLES)  # distinct orientations alone
+    kinds = orientation_groups(points, by).select(*by, "phase", *ANGLES)
+    return kinds.select("*", F.dense_rank().over(w).alias("number"), F.percent_rank().over(w).alias("shade"))
+
+
+def label_points(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., grain_id, x, y): the point of each grain that is nearest to its centroid, so that a label lies inside; ties go to the smaller id."""
+    middle = grained.groupBy(*by, "grain_id").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.count("*").alias("n"))
+    dx, dy = F.col("n") * F.col("x") - F.col("sx"), F.col("n") * F.col("y") - F.col("sy")  # whole numbers: ties are exact
+    both = grained.join(middle, [*by, "grain_id"])
+    best = both.groupBy(*by, "grain_id").agg(F.min_by(F.struct("x", "y"), F.struct((dx * dx + dy * dy).alias("d"), "point_id")).alias("p"))
+    return best.select(*by, "grain_id", "p.x", "p.y")
+
+
 def adjacency(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., grain_id, neighbour, edges): how many pixel edges two grains share, in both directions."""
     sides = boundary_edges(grained, by)
@@ -69,11 +95,15 @@ def adjacency(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def merge_small(grained: DataFrame, least: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Grains of at most `least` points take the phase, angles and id of their largest larger neighbour, if any: ties go to more shared edges, then the smaller id."""
+    """Grains of at most `least` points take the phase, angles and id of their largest larger neighbour, if any: ties go to more shared edges, then the smaller id.
+    A neighbour that is small itself moves on, and takes along what came to it."""
     sizes = grained.groupBy(*by, "grain_id").agg(F.count("*").alias("size"))
     near = adjacency(grained, by).join(sizes, [*by, "grain_id"]).join(sizes.select(*by, F.col("grain_id").alias("neighbour"), F.col("size").alias("other")), [*by, "neighbour"])
     small = near.where((F.col("size") <= least) & (F.col("other") > F.col("size")))
     best = small.groupBy(*by, "grain_id").agg(F.max_by("neighbour", F.struct("other", "edges", -F.col("neighbour"))).alias("into"))
+    for _ in range(least.bit_length()):  # sizes grow along a chain, so it has at most `least` steps; each round doubles what is followed
+        later = best.select(*by, F.col("grain_id").alias("into"), F.col("into").alias("__next"))
+        best = best.join(later, [*by, "into"], "left").select(*by, "grain_id", F.coalesce("__next", "into").alias("into"))
     values = grained.groupBy(*by, "grain_id").agg(*(F.min_by(c, "point_id").alias(f"__{c}") for c in ("phase", *ANGLES)))
     moves = best.join(values.withColumnRenamed("grain_id", "into"), [*by, "into"])
     out = grained.join(moves, [*by, "grain_id"], "left")

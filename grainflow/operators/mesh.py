@@ -147,11 +147,11 @@ def quadratic(elements: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFra
     from the pair of its ends, so that nothing is looked up or ranked; `compact` closes the gaps."""
     found = edges(elements).select("a", "b")
     first = nodes.agg((F.max("node_id") + 1).alias("n")).first()["n"]
-    number = F.lit(first) + F.col("b") * (F.col("b") - 1) / 2 + F.col("a")
-    numbered = found.select("a", "b", number.cast("long").alias("node_id"))
+    pairs = lambda high, low: F.lit(first) + F.shiftright(high * (high - 1), 1) + low
+    numbered = found.select("a", "b", pairs(F.col("b"), F.col("a")).cast("long").alias("node_id"))
     at = numbered.join(nodes.select(F.col("node_id").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya")), "a").join(nodes.select(F.col("node_id").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb")), "b")
     middle = at.select("node_id", ((F.col("xa") + F.col("xb")) / 2).alias("x"), ((F.col("ya") + F.col("yb")) / 2).alias("y"))
-    pair = lambda p, q: (F.lit(first) + F.greatest(p, q) * (F.greatest(p, q) - 1) / 2 + F.least(p, q)).cast("long")
+    pair = lambda p, q: pairs(F.greatest(p, q), F.least(p, q)).cast("long")
     return nodes.unionByName(middle), elements.select("elem_id", "n1", "n2", "n3", pair("n1", "n2").alias("n4"), pair("n2", "n3").alias("n5"), pair("n1", "n3").alias("n6"))
 
 

@@ -98,12 +98,30 @@ def points_in_polygons(points: DataFrame, vertices: DataFrame, key: str, cell: f
     return tested.where((F.col("n") % 2 == 1) | (F.col("d2") <= tolerance * tolerance)).select("point_id", key)
 
 
+#: Edges that go to every task at once, some 5 MB.
+EDGES = 100_000
+
+
 def signed_distance(points: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
-    """(point_id, key, distance): distance to every ring, negative inside. For few rings: each point meets all edges."""
-    edges = F.broadcast(ring_edges(vertices, key))
+    """(point_id, key, distance): distance to every ring, negative inside. A row for each point and ring comes out, so it is for few rings.
+
+    Each point meets all edges: up to EDGES of them are broadcast; more are cut into parts of about that size, and each part
+    meets the points in tasks of its own, whose least distances and crossings are added up.
+    """
+    edges = ring_edges(vertices, key)
+    parts = -(-vertices.count() // EDGES)
     px, py, ax, ay, bx, by = (F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by"))
     crossing = F.when((ay > py) != (by > py), (px < (bx - ax) * (py - ay) / (by - ay) + ax).cast("int")).otherwise(0)
-    both = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py")).join(edges)
+    placed = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"))
+    if parts <= 1:
+        both = placed.join(F.broadcast(edges))
+    else:
+        dealt = edges.withColumn("__part", F.pmod(F.xxhash64(key, "seq"), F.lit(parts)))
+        salt = F.pmod(F.xxhash64("point_id"), F.lit(parts))
+        # A part and a share of the points are a task's work.
+        both = placed.withColumn("__salt", salt).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        shares = dealt.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        both = both.join(shares, ["__part", "__salt"])
     out = both.groupBy("point_id", key).agg(F.sqrt(F.min(segment_distance2(px, py, ax, ay, bx, by))).alias("d"), F.sum(crossing).alias("n"))
     return out.select("point_id", key, F.when(F.col("n") % 2 == 1, -F.col("d")).otherwise(F.col("d")).alias("distance"))
 

@@ -117,6 +117,23 @@ def junction_points(spark, d):
     return grains.junctions(_grained(spark, d))
 
 
+@query(f"""{_GRAINS}, n AS (SELECT x, y, count(*) AS grains FROM corners GROUP BY x, y), j AS (SELECT n.x, n.y, w FROM n, side WHERE grains >= 3 OR (grains >= 2 AND (x IN (0, w) OR y IN (0, w))) OR (x IN (0, w) AND y IN (0, w))),
+m AS (SELECT x, y, w FROM j UNION SELECT w - x, y, w FROM j WHERE x IN (0, w)) SELECT x, y FROM m UNION SELECT x, w - y FROM m WHERE y IN (0, w)""")
+def junction_points_periodic(spark, d):
+    return grains.periodic_junctions(_grained(spark, d))
+
+
+@query(f"""{_GRAINS}, m AS (SELECT grain_id, sum(x) AS sx, sum(y) AS sy, count(*) AS n FROM grained GROUP BY grain_id)
+SELECT grain_id, x, y FROM (SELECT grain_id, x, y, row_number() OVER (PARTITION BY grain_id ORDER BY (n * x - sx) * (n * x - sx) + (n * y - sy) * (n * y - sy), point_id) AS k FROM grained JOIN m USING (grain_id)) WHERE k = 1""")
+def grain_label_points(spark, d):
+    return grains.label_points(_grained(spark, d))
+
+
+@query(f"WITH {MAP_SQL}, k AS (SELECT DISTINCT phase, phi1, phi, phi2 FROM points) SELECT phase, {', '.join(_r(a, a, 9) for a in ('phi1', 'phi', 'phi2'))}, CAST(dense_rank() OVER w AS INTEGER) AS number, {_r('percent_rank() OVER w', 'shade', 9)} FROM k WINDOW w AS (PARTITION BY phase ORDER BY phi1, phi, phi2)")
+def orientation_shades(spark, d):
+    return rounded(grains.shades(S.event_map(spark, d)), 9)
+
+
 _SIDES = f"""{_GRAINS}, sides AS (SELECT grain_id, 2 * x + dx AS x, 2 * y + dy AS y, k AS across FROM grained, (VALUES (1, 0, 'h'), (1, 2, 'h'), (0, 1, 'v'), (2, 1, 'v')) s(dx, dy, k) GROUP BY ALL HAVING count(*) = 1),
 adjacent AS (SELECT a.grain_id, b.grain_id AS neighbour, count(*) AS edges FROM sides a JOIN sides b ON a.x = b.x AND a.y = b.y AND a.grain_id <> b.grain_id GROUP BY ALL)"""
 
@@ -129,8 +146,9 @@ def grain_adjacency(spark, d):
 @query(f"""{_SIDES}, sizes AS (SELECT grain_id, count(*) AS size FROM grained GROUP BY grain_id), best AS (
   SELECT a.grain_id, arg_max(a.neighbour, (t.size, a.edges, -a.neighbour)) AS into_id FROM adjacent a JOIN sizes s ON s.grain_id = a.grain_id JOIN sizes t ON t.grain_id = a.neighbour
   WHERE s.size <= 3 AND t.size > s.size GROUP BY a.grain_id)
-SELECT g.point_id, coalesce(b.into_id, g.grain_id) AS grain_id, coalesce(t.phase, g.phase) AS phase FROM grained g LEFT JOIN best b USING (grain_id)
-LEFT JOIN (SELECT grain_id, any_value(phase) AS phase FROM grained GROUP BY grain_id) t ON t.grain_id = b.into_id""")
+SELECT g.point_id, coalesce(d.into_id, c.into_id, b.into_id, g.grain_id) AS grain_id, coalesce(t.phase, g.phase) AS phase FROM grained g LEFT JOIN best b USING (grain_id)
+LEFT JOIN best c ON c.grain_id = b.into_id LEFT JOIN best d ON d.grain_id = c.into_id
+LEFT JOIN (SELECT grain_id, any_value(phase) AS phase FROM grained GROUP BY grain_id) t ON t.grain_id = coalesce(d.into_id, c.into_id, b.into_id)""")
 def small_grain_merge(spark, d):
     return grains.merge_small(_grained(spark, d), 3).select("point_id", "grain_id", "phase")
 
@@ -399,8 +417,9 @@ def resample_polygon(spark, d):
     return rounded(geometry.resample(_rings(spark, d), "ring", 20, closed=True), 5)
 
 
-@query(f"""WITH {_RINGS_SQL}, n AS (SELECT ring, seq, lag(x) OVER w - x AS xa, lag(y) OVER w - y AS ya, lead(x) OVER w - x AS xb, lead(y) OVER w - y AS yb FROM rings WINDOW w AS (PARTITION BY ring ORDER BY seq)),
-t AS (SELECT *, -sqrt(xa * xa + ya * ya) AS ta, sqrt(xb * xb + yb * yb) AS tb FROM n),
+@query(f"""WITH {_RINGS_SQL}, n AS (SELECT ring, seq, coalesce(lag(x) OVER w, lead(x, 2) OVER w) - x AS xa, coalesce(lag(y) OVER w, lead(y, 2) OVER w) - y AS ya, coalesce(lead(x) OVER w, lag(x, 2) OVER w) - x AS xb, coalesce(lead(y) OVER w, lag(y, 2) OVER w) - y AS yb,
+  CASE WHEN lag(seq) OVER w IS NULL THEN 1 ELSE -1 END AS sa, CASE WHEN lead(seq) OVER w IS NULL THEN -1 ELSE 1 END AS sb FROM rings WINDOW w AS (PARTITION BY ring ORDER BY seq)),
+t AS (SELECT *, sa * sqrt(xa * xa + ya * ya) AS ta, sb * sqrt(xb * xb + yb * yb) AS tb FROM n),
 p AS (SELECT ring, seq, (xa * tb * tb - xb * ta * ta) / (ta * tb * (tb - ta)) AS x1, (ya * tb * tb - yb * ta * ta) / (ta * tb * (tb - ta)) AS y1, 2 * (xb * ta - xa * tb) / (ta * tb * (tb - ta)) AS x2, 2 * (yb * ta - ya * tb) / (ta * tb * (tb - ta)) AS y2 FROM t)
 SELECT ring, seq, {_r("(x1 * y2 - y1 * x2) / pow(x1 * x1 + y1 * y1, 1.5)", "curvature")} FROM p""")
 def line_curvature(spark, d):
@@ -490,10 +509,20 @@ def periodic_pairs(spark, d):
     return mesh.periodic_pairs(_mesh(spark)[0])
 
 
-@query(f"WITH {_MESH_SQL} SELECT count(*) AS nodes, {_r('sum(x)', 'sx')}, {_r('sum(y)', 'sy')} FROM (SELECT x, y FROM nodes UNION SELECT (x1 + x2) / 2, (y1 + y2) / 2 FROM placed UNION SELECT (x2 + x3) / 2, (y2 + y3) / 2 FROM placed UNION SELECT (x1 + x3) / 2, (y1 + y3) / 2 FROM placed)")
+@query(f"WITH {_MESH_SQL} SELECT {_r('x', 'x')}, {_r('y', 'y')} FROM (SELECT x, y FROM nodes UNION SELECT (x1 + x2) / 2, (y1 + y2) / 2 FROM placed UNION SELECT (x2 + x3) / 2, (y2 + y3) / 2 FROM placed UNION SELECT (x1 + x3) / 2, (y1 + y3) / 2 FROM placed)")
 def quadratic_nodes(spark, d):
     nodes, elements = _mesh(spark)
-    return rounded(mesh.quadratic(elements, nodes)[0].agg(F.count("*").alias("nodes"), F.sum("x").alias("sx"), F.sum("y").alias("sy")))
+    return rounded(mesh.quadratic(elements, nodes)[0].select("x", "y"))
+
+
+@query(f"WITH {_MESH_SQL} SELECT elem_id, {', '.join(_r(f'({c}{a} + {c}{b}) / 2', f'{c}{n}') for n, (a, b) in ((4, (1, 2)), (5, (2, 3)), (6, (1, 3))) for c in 'xy')} FROM placed")
+def quadratic_elements(spark, d):
+    """Every element's mid-side nodes lie in the middle of their sides."""
+    nodes, elements = _mesh(spark)
+    wide, six = mesh.quadratic(elements, nodes)
+    for n in (4, 5, 6):
+        six = six.join(wide.select(F.col("node_id").alias(f"n{n}"), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}")), f"n{n}")
+    return rounded(six.select("elem_id", *(f"{c}{n}" for n in (4, 5, 6) for c in "xy")))
 
 
 # --- finite elements and fields ----------------------------------------------------------------------------------------
@@ -554,15 +583,19 @@ def qp_to_nodal(spark, d):
     return rounded(fields.to_nodes(_field(spark), _mesh(spark)[1], "f"))
 
 
-def _cells(spark, d):
-    """The whole event map as one periodic cell, two elements for each pixel."""
+#: Points along a side of a periodic cell of the event map, at most: 9,800 elements for conduction, 2,048 for elasticity.
+CONDUCTION_SIDE, ELASTIC_SIDE = 70, 32
+
+
+def _tiles(spark, d, size: int):
     side = S.map_side(spark, d)
-    nodes, elements = mesh.grid_mesh(spark, 0.0, float(side), 0.0, float(side), side, side)
-    wide, six = mesh.quadratic(elements, nodes)
-    points = S.event_map(spark, d).withColumn("pixel", F.col("y") * side + F.col("x"))
-    turned = homogenize.rotated_conductivity(points, S.phases(spark))
-    material = turned.select("pixel", F.array(*(f"k{i}{j}" for i, j in CELLS)).alias("kappa")).withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).select((2 * F.col("pixel") + F.col("half")).alias("elem_id"), "kappa")
-    return fem.place_elements(six, wide, mesh.periodic_pairs(wide), material).withColumn("map_id", F.lit("map"))
+    return fem.tiles(S.event_map(spark, d), size, side, side).withColumn("pixel", F.col("y") * side + F.col("x"))
+
+
+def _cells(spark, d):
+    """The whole event map as periodic cells side by side, two elements for each pixel."""
+    turned = homogenize.rotated_conductivity(_tiles(spark, d, CONDUCTION_SIDE), S.phases(spark))
+    return fem.pixel_cells(turned.withColumn("kappa", F.array(*(f"k{i}{j}" for i, j in CELLS))), ("kappa",), F.col("pixel"))
 
 
 @query()
@@ -576,12 +609,9 @@ def heat_flux_field(spark, d):
 
 
 def _elastic(spark, d):
-    side = S.map_side(spark, d)
-    cells = _cells(spark, d).drop("kappa")
     properties = S.phases(spark).select("phase", "stiffness", "alpha")
-    points = S.event_map(spark, d).withColumn("pixel", F.col("y") * side + F.col("x"))
-    each = points.join(F.broadcast(properties), "phase").withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
-    return cells.join(each.select((2 * F.col("pixel") + F.col("half")).alias("elem_id"), "stiffness", "alpha"), "elem_id")
+    points = _tiles(spark, d, ELASTIC_SIDE).join(F.broadcast(properties), "phase")  # eight phases
+    return fem.pixel_cells(points, ("stiffness", "alpha"), F.col("pixel"))
 
 
 @query()
@@ -683,13 +713,13 @@ def conforming_mesh_quality(spark, d):
 def mesh_size_field(spark, d):
     from grainflow.operators.conforming import size_field
 
-    found = size_field(_corner_grains(spark, d), 0.5, 0.25)
+    found = size_field(_corner_grains(spark, d), 0.5, 0.25, along_axes=True)
     return rounded(found.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "h"))
 
 
 @query()
 def mesh_size_field_all(spark, d):
-    """mesh_size_field over the whole map; all corners with all seeds are too many for SQL."""
+    """The size field over the whole map, with the gradient's length limited, which SQL can't express."""
     from grainflow.operators.conforming import size_field
 
     found = size_field(_grained(spark, d), 0.5, 0.25)
@@ -730,14 +760,13 @@ def densify_ring(spark, d):
     return rounded(geometry.densify(rings, "ring"))
 
 
-@query(f"WITH {_MESH_SQL} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM elements) AS elements")
+@query(f"WITH {_MESH_SQL} SELECT elem_id, {', '.join(_r(f'{c}{i}::DOUBLE', f'{c}{i}') for i in (1, 2, 3) for c in 'xy')} FROM placed")
 def mesh_cleanup(spark, d):
-    """A mesh given twice, shifted in number and turned round, becomes itself again."""
+    """A mesh given twice, shifted in number and turned round, becomes itself again: elements with the places of their corners."""
     nodes, flat = _mesh(spark)
     twice = nodes.unionByName(nodes.withColumn("node_id", F.col("node_id") + 1000))
     mixed = flat.select("elem_id", F.when(F.col("elem_id") % 2 == 0, F.col("n1")).otherwise(F.col("n1") + 1000).alias("n1"), F.col("n3").alias("n2"), F.col("n2").alias("n3"))
-    e, n = mesh.cleanup(mixed, twice)
-    return n.agg(F.count("*").alias("nodes")).join(e.agg(F.count("*").alias("elements")))
+    return rounded(mesh.corners(*mesh.cleanup(mixed, twice)).select("elem_id", *(f"{c}{i}" for i in (1, 2, 3) for c in "xy")))
 
 
 @query()
@@ -752,3 +781,6 @@ def field_on_grid(spark, d):
     """The field inside each grain on a regular grid, as for arrows or images."""
     field = _field(spark).withColumn("grain", F.lit(1).cast("long"))
     return fields.interpolate(field, fields.regular_grid(field).withColumn("grain", F.lit(1).cast("long")), "grain", ["f"])
+
+
+from grainflow.plans import source_queries  # noqa: E402, F401 (registers its queries)

@@ -59,12 +59,21 @@ def test_elements_take_the_nearest_phase(spark, side):
 
 
 def test_size_field_covers_the_map(spark, side):
-    seeds = core.grains.corners(core._grained(spark, SF)).select("x", "y").distinct().toPandas()
+    from grainflow.operators.conforming import size_field
+
+    grained = core._grained(spark, SF)
+    seeds = core.grains.corners(grained).select("x", "y").distinct().toPandas()
     i, j = np.mgrid[: side + 1, : side + 1]
     di, dj = abs(i[..., None] - seeds["y"].to_numpy()), abs(j[..., None] - seeds["x"].to_numpy())
-    want = 0.5 + 0.25 * (np.minimum(di, side + 1 - di) + np.minimum(dj, side + 1 - dj)).min(-1)
-    got = core.mesh_size_field_all(spark, SF).toPandas().sort_values(["i", "j"])
-    assert len(got) == (side + 1) ** 2 and np.allclose(got["h"].to_numpy().reshape(side + 1, side + 1), want)
+    di, dj = np.minimum(di, side + 1 - di), np.minimum(dj, side + 1 - dj)
+    grid = lambda df: df.toPandas().sort_values(["i", "j"])["h"].to_numpy().reshape(side + 1, side + 1)
+    assert np.allclose(grid(size_field(grained, 0.5, 0.25, along_axes=True)), 0.5 + 0.25 * (di + dj).min(-1))
+    h = grid(core.mesh_size_field_all(spark, SF))
+    # The upwind form is at most the way along the axes and keeps the gradient's limit, and reaches it wherever no boundary is.
+    assert (h >= 0.5 - 1e-6).all() and (h <= 0.5 + 0.25 * (di + dj).min(-1) + 1e-6).all()
+    down = [np.maximum(h - np.minimum(np.roll(h, 1, k), np.roll(h, -1, k)), 0) for k in (0, 1)]
+    assert np.hypot(*down).max() <= 0.25 + 1e-5
+    assert np.allclose(h[(di + dj).min(-1) == 0], 0.5) and np.allclose(np.hypot(*down)[(di + dj).min(-1) > 0], 0.25, atol=1e-5)
 
 
 def test_waves_take_the_whole_grid(spark):
@@ -73,3 +82,132 @@ def test_waves_take_the_whole_grid(spark):
         got = core.QUERIES[name](spark, SF).groupBy(key).count().collect()
         assert len(got) == materials and {r["count"] for r in got} == {101 * 201}, name
     assert core.wave_anisotropy(spark, SF).count() == 4
+
+
+def test_pixel_cells_equal_the_general_mesh(spark):
+    """A tile's elements, numbered from the pixels alone, have the effective tensors of the same mesh built with joins; tiles cover the map."""
+    from grainflow.operators import fem, mesh
+
+    points = S.event_map(spark, SF).where("x < 7 and y < 5")
+    properties = S.phases(spark).select("phase", "stiffness", "alpha", "kappa")
+    tiled = fem.tiles(points, 9, 7, 5).join(properties, "phase")
+    direct = fem.pixel_cells(tiled, ("stiffness", "alpha", "kappa"), core.F.col("y") * 7 + core.F.col("x"))
+    nodes, flat = mesh.grid_mesh(spark, 0.0, 7.0, 0.0, 5.0, 7, 5)
+    wide, six = mesh.quadratic(flat, nodes)
+    general = fem.place_elements(six, wide, mesh.periodic_pairs(wide), direct.select("elem_id", "stiffness", "alpha", "kappa")).withColumn("map_id", core.F.lit("0:0"))
+    a, b = (fem.effective_conductivity(fem.solve_conduction(x)).first() for x in (direct, general))
+    assert a["map_id"] == "0:0" and np.allclose(a["kappa"], b["kappa"], rtol=1e-7)
+    a, b = (fem.effective_thermoelastic(fem.solve_thermoelastic(x)).first() for x in (direct, general))
+    assert np.allclose(a["stiffness"], b["stiffness"], rtol=1e-6, atol=1e-6) and np.allclose(a["alpha"], b["alpha"], rtol=1e-6, atol=1e-8)
+    for side, size in ((7, 3), (316, 70), (100, 32), (5, 5), (4, 1)):
+        got = fem.tiles(spark.range(side).select(core.F.col("id").alias("x"), core.F.lit(0).alias("y")), size, side, 1).toPandas()
+        assert ((got["x"] >= got["x0"]) & (got["x"] < got["x0"] + got["w"])).all() and got["w"].max() <= size and got["w"].max() - got["w"].min() <= 1
+        assert got.groupby("x0")["w"].agg(["count", "first"]).eval("count == first").all()
+
+
+def test_laminate_tiles_have_the_closed_form(spark):
+    """Layers across y: the mean along them and the harmonic mean across, in every tile."""
+    from grainflow.operators import fem
+
+    grid = spark.range(64).select((core.F.col("id") % 8).alias("x"), core.F.floor(core.F.col("id") / 8).alias("y"))
+    k = core.F.when(core.F.col("y") % 2 == 0, 1.0).otherwise(4.0)
+    zero = core.F.lit(0.0)
+    tiled = fem.tiles(grid, 4, 8, 8).withColumn("kappa", core.F.array(k, zero, zero, zero, k, zero, zero, zero, k))
+    for r in fem.effective_conductivity(fem.solve_conduction(fem.pixel_cells(tiled, ("kappa",), core.F.col("y") * 8 + core.F.col("x")))).collect():
+        assert np.allclose(r["kappa"], [2.5, 0, 0, 0, 1.6, 0, 0, 0, 2.5], atol=1e-6)
+
+
+def test_property_estimates_equal_brute_force(spark):
+    """Each point's tensors turned index by index, averaged, for the whole map."""
+    from grainflow.functions import tensors as T
+
+    points = S.event_map(spark, SF).toPandas()
+    rows = {r["phase"]: r for r in S.phases(spark).collect()}
+    pairs, full = T.VOIGT, lambda m: np.array([[[[m[T.VOIGT.index(tuple(sorted((i, j))))][T.VOIGT.index(tuple(sorted((k, l))))] for l in range(3)] for k in range(3)] for j in range(3)] for i in range(3)])  # noqa: E731, E741
+    two = np.array([1, 1, 1, 2, 2, 2.0])
+    c_sum, s_sum, logs, n = np.zeros((6, 6)), np.zeros((6, 6)), np.zeros((6, 6)), 0
+    for (phase, p1, p, p2), part in points.groupby(["phase", "phi1", "phi", "phi2"]):
+        z = lambda t: np.array([[np.cos(t), -np.sin(t), 0], [np.sin(t), np.cos(t), 0], [0, 0, 1]])
+        a = z(p1) @ np.array([[1, 0, 0], [0, np.cos(p), -np.sin(p)], [0, np.sin(p), np.cos(p)]]) @ z(p2)
+        c = np.array(rows[phase]["stiffness"]).reshape(6, 6)
+        turn = lambda m: np.einsum("ia,jb,kc,ld,abcd->ijkl", a, a, a, a, full(m))  # noqa: E731, B023
+        flat = lambda t: np.array([[t[i, j, k, l] for k, l in pairs] for i, j in pairs])  # noqa: E731, E741
+        stiff = flat(turn(c))
+        c_sum += len(part) * stiff
+        s_sum += len(part) * flat(turn(np.linalg.inv(c) / two / two[:, None])) * two * two[:, None]
+        w, v = np.linalg.eigh(stiff)
+        logs += len(part) * (v * np.log(w)) @ v.T
+        n += len(part)
+    w, v = np.linalg.eigh(logs / n)
+    want = {"voigt": c_sum / n, "reuss": np.linalg.inv(s_sum / n), "geometric": (v * np.exp(w)) @ v.T}
+    want["hill"] = (want["voigt"] + want["reuss"]) / 2
+    got = {r["method"]: r for r in core.property_estimates(spark, SF).collect()}
+    for method, m in want.items():
+        assert np.allclose(np.array(got[method]["stiffness"]).reshape(6, 6), m, rtol=1e-8, atol=1e-8), method
+    for r in core.engineering_properties(spark, SF).collect():
+        s = np.linalg.inv(want[r["method"]])
+        name, i = r["name"], int(r["name"][-1]) - 1
+        value = 1 / s[i, i] if name[0] == "E" else 1 / s[{"G23": 3, "G13": 4, "G12": 5}[name], {"G23": 3, "G13": 4, "G12": 5}[name]] if name[0] == "G" else -s[i, int(name[2]) - 1] / s[int(name[2]) - 1, int(name[2]) - 1]
+        assert r["value"] == pytest.approx(value, rel=1e-7), r
+
+
+def test_wave_speeds_solve_the_christoffel_equation(spark):
+    """All directions of one method: the squares of the speeds, times the density, are the eigenvalues, by trace, squares and determinant."""
+    import itertools
+
+    from grainflow.functions import tensors as T
+
+    got = core.wave_speeds(spark, SF).where("method = 'hill'").toPandas()
+    c = np.array(core.property_estimates(spark, SF).where("method = 'hill'").first()["stiffness"]).reshape(6, 6)
+    rho = core.homogenized_density(spark, SF).first()["density"]
+    n = got[["x", "y", "z"]].to_numpy()
+    v = lambda i, j: T.VOIGT.index(tuple(sorted((i, j))))
+    g = np.zeros((len(n), 3, 3))
+    for i, j, k, m in itertools.product(range(3), repeat=4):
+        g[:, i, k] += c[v(i, j), v(k, m)] * n[:, j] * n[:, m]
+    e = rho * got[["vp", "vs1", "vs2"]].to_numpy() ** 2 / 1e9  # stiffness is in GPa
+    assert np.allclose(e.sum(1), np.trace(g, axis1=1, axis2=2), rtol=1e-6) and np.allclose((e**2).sum(1), (g**2).sum((1, 2)), rtol=1e-6)
+    assert np.allclose(e.prod(1), np.linalg.det(g), rtol=1e-6) and (got["vp"] >= got["vs1"]).all() and (got["vs1"] >= got["vs2"]).all()
+
+
+def test_curvature_at_ends_takes_the_next_two_points(spark):
+    from grainflow.operators import geometry
+
+    arc = spark.createDataFrame([("a", k, float(3 * np.cos(t)), float(3 * np.sin(t))) for k, t in enumerate(np.linspace(0, 1, 40))] + [("b", 0, 0.0, 0.0), ("b", 1, 1.0, 0.0)], "key string, seq int, x double, y double")
+    got = geometry.curvature(arc, "key").toPandas()
+    assert np.allclose(got[got["key"] == "a"]["curvature"], 1 / 3, rtol=2e-3) and got[got["key"] == "b"]["curvature"].isna().all()
+
+
+def test_small_grains_follow_their_neighbours(spark):
+    """A grain of one point merges into one of two, which merges into one of three, which merges into a large one: all end there."""
+    from grainflow.operators import grains
+
+    sizes = [(1, 1), (2, 2), (3, 3), (4, 9)]
+    xs = [g for g, n in sizes for _ in range(n)]
+    rows = [(i, i, 0, g, float(g), 0.0, 0.0, 100 * g) for i, g in enumerate(xs)]
+    df = spark.createDataFrame(rows, "point_id long, x long, y long, phase int, phi1 double, phi double, phi2 double, grain_id long")
+    got = grains.merge_small(df, 3).collect()
+    assert {r["grain_id"] for r in got} == {400} and {r["phase"] for r in got} == {4} and {r["phi1"] for r in got} == {4.0}
+
+
+def test_signed_distance_in_parts_is_the_same(spark, monkeypatch):
+    from grainflow.operators import spatial
+
+    points = spark.range(40).select(core.F.col("id").alias("point_id"), (core.F.col("id") % 7 * 1.3).alias("x"), (core.F.col("id") % 5 * 1.7).alias("y"))
+    ring = spark.createDataFrame([(r, k, float(r + 3 * np.cos(k)), float(r + 3 * np.sin(k))) for r in (1, 4) for k in range(6)], "ring int, seq int, x double, y double")
+    want = sorted(map(tuple, spatial.signed_distance(points, ring, "ring").collect()))
+    monkeypatch.setattr(spatial, "EDGES", 4)
+    got = sorted(map(tuple, spatial.signed_distance(points, ring, "ring").collect()))
+    assert len(got) == 80 and np.allclose([g[2] for g in got], [w[2] for w in want]) and [g[:2] for g in got] == [w[:2] for w in want]
+
+
+def test_side_numbers_stay_whole_for_large_nodes(spark):
+    """Numbers of mid-side nodes of nodes beyond 2**28 don't collide, as they would as doubles."""
+    from grainflow.operators import mesh
+
+    base = 3 * 10**8 + 1
+    nodes = spark.createDataFrame([(base + k, float(k % 2), float(k // 2)) for k in range(4)], "node_id long, x double, y double")
+    flat = spark.createDataFrame([(0, base, base + 1, base + 3), (1, base, base + 3, base + 2)], "elem_id long, n1 long, n2 long, n3 long")
+    wide, six = mesh.quadratic(flat, nodes)
+    assert wide.select("node_id").distinct().count() == 9 == wide.count()
+    assert {r["n6"] for r in six.collect() if r["elem_id"] == 0} == {r["n4"] for r in six.collect() if r["elem_id"] == 1}
