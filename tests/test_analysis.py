@@ -95,3 +95,15 @@ def test_stream_of_points(spark, tmp_path):
     w.processAllAvailable()
     w.stop()
     assert sum(seen) == 30
+
+
+def test_components_in_one_part_and_in_many(spark):
+    from pyspark.sql import functions as F
+
+    from grainflow.operators.components import connected_components
+
+    edges = spark.range(1, 300).where("id % 50 <> 0").select(F.col("id").alias("a"), (F.col("id") - 1).alias("b")).unionByName(spark.createDataFrame([(290, 3), (5, 5)], "a long, b long"))
+    want = {i: 0 if i >= 250 else i // 50 * 50 for i in range(300)}
+    for part in (1000, 20, 3):
+        assert {r["node"]: r["component"] for r in connected_components(edges, part).collect()} == want
+    assert connected_components(edges.limit(0)).count() == 0
