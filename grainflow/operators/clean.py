@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainflow.operators.components import checkpointed
+
 MOST_PHASES = 8
 
 
@@ -73,3 +75,26 @@ def robust_limits(values: DataFrame, value: str, by: tuple[str, ...] = (), width
     """(by..., low, high): mean less and plus `width` deviations, within the extremes."""
     mean, spread = F.avg(value), F.stddev_pop(value)
     return values.groupBy(*by).agg(F.greatest(mean - width * spread, F.min(value)).alias("low"), F.least(mean + width * spread, F.max(value)).alias("high"))
+
+
+def majority_round(points: DataFrame, width: int, height: int, least: int, reach: int = 2) -> DataFrame:
+    """Points (point_id, x, y, phase) of a periodic map of the phases 1 and 2; those with fewer than `least` points of their own phase
+    in the square of 2 * reach + 1 points around them change phase. Counts are added up along x, then along y."""
+    near = lambda c, n: F.explode(F.array(*(F.pmod(F.col(c) + k, F.lit(n)) for k in range(-reach, reach + 1))))
+    two = (F.col("phase") == 2).cast("long")
+    along = points.select(near("x", width).alias("x"), "y", two.alias("two")).groupBy("x", "y").agg(F.sum("two").alias("two"))
+    around = along.select("x", near("y", height).alias("y"), "two").groupBy("x", "y").agg(F.sum("two").alias("__two"))
+    own = F.when(F.col("phase") == 2, F.col("__two")).otherwise((2 * reach + 1) ** 2 - F.col("__two"))
+    turned = F.when(own < least, 3 - F.col("phase")).otherwise(F.col("phase")).cast("int")
+    return points.join(around, ["x", "y"]).select(*(turned.alias(c) if c == "phase" else F.col(c) for c in points.columns))
+
+
+def remove_minorities(points: DataFrame, width: int, height: int, least: int, reach: int = 2, rounds: int = 20) -> DataFrame:
+    """`majority_round` again and again until the number of points of phase 2 stays the same, at most `rounds` times."""
+    before, now = None, checkpointed(points)
+    for _ in range(rounds):
+        count = now.where("phase = 2").count()
+        if count == before:
+            break
+        before, now = count, checkpointed(majority_round(now, width, height, least, reach))
+    return now

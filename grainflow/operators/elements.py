@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,24 +41,42 @@ def material(points: DataFrame, phases: DataFrame, elements: DataFrame, nodes: D
         pairs = points_of_elements(points, elements, nodes, cell)
     t = np.radians(frame_deg)
     frame = np.array([[np.cos(t), -np.sin(t), 0], [np.sin(t), np.cos(t), 0], [0, 0, 1.0]])
-    rows = pairs.join(points.select("point_id", "phase", *ANGLES), "point_id").join(F.broadcast(phases.select("phase", "stiffness", "alpha", "kappa")), "phase")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["phase", *ANGLES], ignore_index=True)
-        a = frame @ K.rotations(pdf[list(ANGLES)].to_numpy(float))
-        c = np.array(pdf["stiffness"].tolist()).reshape(-1, 6, 6)
-        stiff, comply = K.rotated_stiffness(a, c), K.rotated_compliance(a, np.linalg.inv(c))
-        alpha = K.rotated_expansion(a, np.array(pdf["alpha"].tolist()))
-        kappa = a @ np.array(pdf["kappa"].tolist()).reshape(-1, 3, 3) @ a.transpose(0, 2, 1)
-        voigt, reuss = (stiff.mean(0), kappa.mean(0)), (np.linalg.inv(comply.mean(0)), np.linalg.inv(np.linalg.inv(kappa).mean(0)))
-        log = lambda m: K.symmetric_function(K.symmetric_function((m + m.transpose(0, 2, 1)) / 2, K.safe_log).mean(0), np.exp)
-        beta = np.einsum("nij,nj->ni", stiff, alpha).mean(0)
-        av, ar = np.linalg.solve(voigt[0], beta), alpha.mean(0)
-        found = {"nearest": (*voigt, ar), "voigt": (*voigt, av), "reuss": (*reuss, ar), "hill": ((voigt[0] + reuss[0]) / 2, (voigt[1] + reuss[1]) / 2, (av + ar) / 2), "geometric": (log(stiff), log(kappa), ar)}[method]
-        counts = pdf["phase"].value_counts()
-        return pd.DataFrame({"elem_id": [pdf["elem_id"].iloc[0]], "phase": [int(counts[counts == counts.max()].index.min())], "stiffness": [found[0].ravel().tolist()], "alpha": [found[2].tolist()], "kappa": [found[1].ravel().tolist()]})
-
-    return rows.groupBy("elem_id").applyInPandas(run, "elem_id long, phase int, stiffness array<double>, alpha array<double>, kappa array<double>")
+    known = {r["phase"]: r for r in phases.select("phase", "stiffness", "alpha", "kappa").collect()}  # at most eight
+    # Points of one phase and orientation in an element count as one with a weight, and an element is one row.
+    kinds = pairs.join(points.select("point_id", "phase", *ANGLES), "point_id").where(F.col("phase").isin(*known) if known else F.lit(False)).groupBy("elem_id", "phase", *ANGLES).agg(F.count("*").cast("double").alias("n"))
+    rows = kinds.groupBy("elem_id").agg(F.array_sort(F.collect_list(F.struct("phase", *ANGLES, "n"))).alias("kinds"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            size = pdf["kinds"].map(len).to_numpy()
+            start = np.cumsum(size) - size
+            flat = [k for row in pdf["kinds"] for k in row]
+            own = np.array([k["phase"] for k in flat])
+            w = np.array([k["n"] for k in flat])
+            total = np.add.reduceat(w, start)
+            mean = lambda m: np.add.reduceat(m * w.reshape(-1, *[1] * (m.ndim - 1)), start) / total.reshape(-1, *[1] * (m.ndim - 1))  # noqa: E731, B023
+            of = lambda n, *shape: np.array([known[x][n] for x in own], float).reshape(-1, *shape)  # noqa: E731, B023
+            a = frame @ K.rotations(np.array([[k[x] for x in ANGLES] for k in flat], float))
+            c = of("stiffness", 6, 6)
+            stiff, comply = K.rotated_stiffness(a, c), K.rotated_compliance(a, np.linalg.inv(c))
+            alpha = K.rotated_expansion(a, of("alpha", 6))
+            kappa = a @ of("kappa", 3, 3) @ a.transpose(0, 2, 1)
+            voigt, reuss = (mean(stiff), mean(kappa)), (np.linalg.inv(mean(comply)), np.linalg.inv(mean(np.linalg.inv(kappa))))
+            log = lambda m: K.symmetric_function(mean(K.symmetric_function((m + m.transpose(0, 2, 1)) / 2, K.safe_log)), np.exp)
+            av, ar = np.linalg.solve(voigt[0], mean(np.einsum("nij,nj->ni", stiff, alpha))[:, :, None])[:, :, 0], mean(alpha)
+            if method == "geometric":
+                found = (log(stiff), log(kappa), ar)
+            else:
+                found = {"nearest": (*voigt, ar), "voigt": (*voigt, av), "reuss": (*reuss, ar), "hill": ((voigt[0] + reuss[0]) / 2, (voigt[1] + reuss[1]) / 2, (av + ar) / 2)}[method]
+            most = {}
+            for e, x, n in zip(np.repeat(np.arange(len(pdf)), size), own, w, strict=True):
+                most.setdefault(e, {})[x] = most.setdefault(e, {}).get(x, 0) + n
+            phase = [min(v, key=lambda x: (-v[x], x)) for v in most.values()]  # noqa: B023
+            yield pd.DataFrame({"elem_id": pdf["elem_id"], "phase": np.array(phase, np.int32), "stiffness": list(found[0].reshape(-1, 36)), "alpha": list(found[2]), "kappa": list(found[1].reshape(-1, 9))})
+
+    return rows.mapInPandas(run, "elem_id long, phase int, stiffness array<double>, alpha array<double>, kappa array<double>")
 
 
 def grain_of_elements(elements: DataFrame, nodes: DataFrame, vertices: DataFrame, grain: str, cell: float = 1.0) -> DataFrame:

@@ -110,6 +110,33 @@ def solve_cell(xy: np.ndarray, dofs: np.ndarray, material: np.ndarray, extra: np
     return weight, hat[..., : material.shape[-1]], hat[..., material.shape[-1] :], used, chi
 
 
+def assembled(elements: DataFrame, kind: str = "conduction") -> tuple[DataFrame, DataFrame]:
+    """(map_id, row, col, value) and (map_id, row, k, value): the matrix of a cell problem and the forces of its right-hand sides, from element
+    rows as for the solvers, which never build them. Rows are degrees of freedom: a node's number, or three times that and
+    0 to 2. There are three right-hand sides for conduction; for `thermoelastic` six of strain and one of temperature."""
+    thermal = kind == "conduction"
+    columns = ["kappa"] if thermal else ["stiffness", "alpha"]
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            area, g = gradients(_stack(pdf["xy"], 3, 2))
+            b = np.swapaxes(g, 2, 3) if thermal else strain_matrix(g)
+            d = _stack(pdf["kappa"], 3, 3) if thermal else _stack(pdf["stiffness"], 6, 6)
+            load = d if thermal else np.concatenate([d, np.einsum("eij,ej->ei", d, _stack(pdf["alpha"], 6))[:, :, None]], 2)
+            width = 1 if thermal else 3
+            dofs = (np.array(pdf["dofs"].tolist())[:, :, None] * width + np.arange(width)).reshape(len(pdf), -1)
+            wb = (WEIGHTS * area[:, None])[:, :, None, None] * np.swapaxes(b, 2, 3)
+            stiff, force = np.einsum("eqni,eij,eqjm->enm", wb, d, b, optimize=True), np.einsum("eqni,eij->enj", wb, load)
+            n, m = dofs.shape[1], load.shape[2]
+            yield pd.DataFrame({"map_id": np.repeat(pdf["map_id"].to_numpy(), n * (n + m)), "row": np.repeat(dofs, n + m, axis=1).ravel(), "col": np.concatenate([np.repeat(dofs[:, None, :], n, 1), np.broadcast_to(-1 - np.arange(m), (len(pdf), n, m))], 2).ravel(), "value": np.concatenate([stiff, force], 2).ravel()})
+
+    parts = elements.select("map_id", "dofs", "xy", *columns).mapInPandas(run, "map_id string, row long, col long, value double")
+    summed = parts.groupBy("map_id", "row", "col").agg(F.sum("value").alias("value"))
+    return summed.where("col >= 0"), summed.where("col < 0").select("map_id", "row", (-1 - F.col("col")).cast("int").alias("k"), "value")
+
+
 def place_elements(elements: DataFrame, nodes: DataFrame, periodic: DataFrame, material: DataFrame) -> DataFrame:
     """Element rows from quadratic elements (elem_id, n1 ... n6), nodes, periodic pairs and material by elem_id."""
     each = elements.select("elem_id", F.posexplode(F.array(*(f"n{i}" for i in range(1, 7)))).alias("c", "node_id"))

@@ -7,6 +7,7 @@ the mid-side nodes of sides 12, 23 and 13.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,25 @@ def spacing(width: float, height: float, target: int) -> float:
     return math.sqrt(4 * width * height / (target * math.sqrt(3)))
 
 
+def fitted_spacing(count: Callable[[float], int], target: int, first: float, rounds: int = 6, tolerance: float = 0.05) -> tuple[float, int, int]:
+    """(edge length, its number of elements, rounds): a length is scaled by the root of count over target, within a factor of four, until
+    the count is within `tolerance` of the target, at most `rounds` times; the best one found counts."""
+    h, best = first, None
+    for k in range(1, rounds + 1):
+        n = count(h)
+        if best is None or abs(n - target) < abs(best[1] - target):
+            best = (h, n, k)
+        if abs(n - target) <= tolerance * target:
+            break
+        h *= min(4.0, max(0.25, math.sqrt(max(n, 1) / target)))
+    return best
+
+
+def rectangular_count(width: float, height: float) -> Callable[[float], int]:
+    """The number of elements of `rectangular_grid` for an edge length."""
+    return lambda h: 2 * max(1, round(width / h)) * max(1, round(height / (h * math.sqrt(3) / 2)))
+
+
 def rectangular_grid(spark: SparkSession, x0: float, x1: float, y0: float, y1: float, target: int) -> tuple[DataFrame, DataFrame]:
     """Nodes and elements of a grid of right-angled cells, each cut along its rising diagonal."""
     h = spacing(x1 - x0, y1 - y0, target)

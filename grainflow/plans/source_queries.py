@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainflow.functions import tensors as T
-from grainflow.operators import clean, conforming, elements, geometry, homogenize, mesh
+from grainflow.operators import clean, conforming, elements, fem, geometry, homogenize, mesh
 from grainflow.plans import analysis
 from grainflow.plans import standard as S
 from grainflow.plans.config import JobConfig
@@ -211,3 +211,53 @@ def elements_in_grains(spark, d):
     corner = lambda k, v: F.element_at(F.array(*map(F.lit, v)), (F.col(k) + 1).cast("int"))
     squares = spark.range(16).select(F.floor(F.col("id") / 4).alias("grain"), (F.col("id") % 4).alias("seq")).withColumn("x", F.col("grain") % 2 * 4.5 + corner("seq", [0.0, 4.5, 4.5, 0.0])).withColumn("y", F.floor(F.col("grain") / 2) * 4.0 + corner("seq", [0.0, 0.0, 4.0, 4.0]))
     return elements.grain_of_elements(flat, nodes, squares, "grain").select("elem_id", "grain")
+
+
+@query(f"""WITH {MAP_SQL}, p AS (SELECT point_id, x, y, CASE WHEN phase > 2 THEN 2 ELSE 1 END AS phase FROM points),
+n AS (SELECT a.point_id, count(*) AS own FROM p a, side, (SELECT i - 2 AS dx FROM range(5) t(i)) u, (SELECT i - 2 AS dy FROM range(5) t(i)) v JOIN p b ON b.x = (a.x + dx + w) % w AND b.y = (a.y + dy + w) % w AND b.phase = a.phase GROUP BY a.point_id)
+SELECT point_id, x, y, CAST(CASE WHEN own < 11 THEN 3 - phase ELSE phase END AS INTEGER) AS phase FROM p JOIN n USING (point_id)""")
+def minority_points(spark, d):
+    """One round of the clean-up of random maps."""
+    side = S.map_side(spark, d)
+    two = S.event_map(spark, d).select("point_id", "x", "y", F.when(F.col("phase") > 2, 2).otherwise(1).alias("phase"))
+    return clean.majority_round(two, side, side, 11)
+
+
+@query()
+def clean_two_phase_map(spark, d):
+    """A random map of two phases without points that few of their own kind surround."""
+    points = maps.random_two_phase(spark, 64, 0.4, 40).withColumn("point_id", F.col("y") * 64 + F.col("x"))
+    return clean.remove_minorities(points, 64, 64, 11)
+
+
+@query("SELECT CAST(t AS INTEGER) AS target, true AS fits FROM range(500, 5001, 500) r(t)")
+def fitted_element_counts(spark, d):
+    """Edge lengths are scaled until the number of elements is within 5 % of the target, within six rounds."""
+    rows = [(t, abs(mesh.fitted_spacing(mesh.rectangular_count(31.0, 17.0), t, 3.0)[1] - t) <= 0.05 * t) for t in range(500, 5001, 500)]
+    return spark.createDataFrame(rows, "target int, fits boolean")
+
+
+def _assembled(spark, d, kind: str):
+    from grainflow.plans import queries as core
+
+    return fem.assembled((core._cells if kind == "conduction" else core._elastic)(spark, d), kind)
+
+
+@query()
+def assembled_cell_matrix(spark, d):
+    return _assembled(spark, d, "thermoelastic")[0]
+
+
+@query()
+def assembled_cell_forces(spark, d):
+    return _assembled(spark, d, "thermoelastic")[1]
+
+
+@query()
+def assembled_conduction_forces(spark, d):
+    return _assembled(spark, d, "conduction")[1]
+
+
+@query(f"WITH {PHASES_SQL} SELECT 'phase ' || phase AS method, CAST(line AS INTEGER) AS line, CASE WHEN line = 0 THEN 'method phase ' || phase WHEN line = 1 THEN 'stiffness' WHEN line = 8 THEN 'thermal expansion' WHEN line = 9 THEN printf('%12.4f %12.4f %12.4f %12.4f %12.4f %12.4f', a1, a2, a3, 0.0, 0.0, 0.0) ELSE printf('%12.4f %12.4f %12.4f %12.4f %12.4f %12.4f', stiffness[6 * line - 11], stiffness[6 * line - 10], stiffness[6 * line - 9], stiffness[6 * line - 8], stiffness[6 * line - 7], stiffness[6 * line - 6]) END AS value FROM phases, range(10) t(line)")
+def summary_log(spark, d):
+    return sinks.log_lines(S.phases(spark).withColumnRenamed("name", "method"))

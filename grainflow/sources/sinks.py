@@ -17,6 +17,14 @@ def matrix_lines(matrix: DataFrame, order: str = "i", cells: str = "row") -> Dat
     return matrix.select(order, F.array_join(cell, " ").alias("value"))
 
 
+def log_lines(estimates: DataFrame) -> DataFrame:
+    """(method, line, value): a readable summary of each method's stiffness (six rows) and thermal expansion (one), line by line."""
+    number = lambda x: F.format_string("%12.4f", x)
+    rows = [F.array_join(F.transform(F.slice("stiffness", 6 * i + 1, 6), number), " ") for i in range(6)]
+    lines = [F.concat(F.lit("method "), F.col("method")), F.lit("stiffness"), *rows, F.lit("thermal expansion"), F.array_join(F.transform("alpha", number), " ")]
+    return estimates.select("method", F.posexplode(F.array(*lines)).alias("line", "value"))
+
+
 def checksum(spark: SparkSession, paths: list[str]) -> list[str]:
     """SHA-256 of each file, computed where the file is read."""
     rows = spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("sum")).collect()  # a row for each path

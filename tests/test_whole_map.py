@@ -211,3 +211,57 @@ def test_side_numbers_stay_whole_for_large_nodes(spark):
     wide, six = mesh.quadratic(flat, nodes)
     assert wide.select("node_id").distinct().count() == 9 == wide.count()
     assert {r["n6"] for r in six.collect() if r["elem_id"] == 0} == {r["n4"] for r in six.collect() if r["elem_id"] == 1}
+
+
+@pytest.mark.parametrize("kind", ["conduction", "thermoelastic"])
+def test_solutions_solve_the_assembled_problem(spark, kind):
+    """The characteristic functions, found without a matrix, balance the assembled forces; the matrix is symmetric."""
+    from grainflow.operators import fem
+
+    points = S.event_map(spark, SF).where("x < 5 and y < 4").join(S.phases(spark).select("phase", "stiffness", "alpha", "kappa"), "phase")
+    cells = fem.pixel_cells(fem.tiles(points, 9, 5, 4), ("stiffness", "alpha", "kappa"), core.F.col("y") * 5 + core.F.col("x"))
+    matrix, forces = (x.toPandas() for x in fem.assembled(cells, kind))
+    width, sides = (1, 3) if kind == "conduction" else (3, 7)
+    n = matrix["row"].max() + 1
+    a, f, chi = np.zeros((n, n)), np.zeros((n, sides)), np.zeros((n, sides))
+    a[matrix["row"], matrix["col"]] = matrix["value"]
+    f[forces["row"], forces["k"]] = forces["value"]
+    got = fem.characteristic_functions(cells, kind).toPandas()
+    chi[got["node_id"] * width + got["dof"], got["k"]] = got["value"]
+    assert np.allclose(a, a.T) and np.allclose(a @ chi, f, atol=1e-6 * np.abs(f).max())
+
+
+def test_minorities_go(spark):
+    """No point is left that fewer than `least` of its own kind surround, unless the rounds end at an equal count."""
+    got = core.QUERIES["clean_two_phase_map"](spark, SF).toPandas()
+    assert len(got) == 64 * 64 and 0.3 < (got["phase"] == 2).mean() < 0.5
+    grid = got.pivot(index="y", columns="x", values="phase").to_numpy()
+    own = sum((np.roll(grid, (a, b), (0, 1)) == grid).astype(int) for a in range(-2, 3) for b in range(-2, 3))
+    assert (own < 11).sum() <= 2
+
+
+def test_fitted_spacing_takes_the_best_of_its_rounds():
+    from grainflow.operators import mesh
+
+    h, n, k = mesh.fitted_spacing(mesh.rectangular_count(31.0, 17.0), 2000, 30.0)
+    assert abs(n - 2000) <= 100 and k <= 6
+    assert mesh.fitted_spacing(lambda h: 7, 100, 1.0)[1] == 7
+
+
+@pytest.mark.parametrize("method", ["voigt", "reuss", "hill", "geometric"])
+def test_element_material_equals_the_estimates_of_its_points(spark, method):
+    """Two large triangles: each one's material is that of a map made of its points."""
+    from grainflow.operators import elements, homogenize
+
+    points = S.event_map(spark, SF).where("x < 8 and y < 8").withColumn("x", core.F.col("x") + 0.6).withColumn("y", core.F.col("y") + 0.3)
+    nodes = spark.createDataFrame([(0, 0.0, 0.0), (1, 9.0, 0.0), (2, 9.0, 9.0), (3, 0.0, 9.0)], "node_id long, x double, y double")
+    flat = spark.createDataFrame([(0, 0, 1, 2), (1, 0, 2, 3)], "elem_id long, n1 long, n2 long, n3 long")
+    inside = elements.points_of_elements(points, flat, nodes)
+    got = {r["elem_id"]: r for r in elements.material(points, S.phases(spark), flat, nodes, method).collect()}
+    assert len(got) == 2
+    for e, r in got.items():
+        own = points.join(inside.where(core.F.col("elem_id") == e), "point_id")
+        want = homogenize.property_estimates(own, S.phases(spark)).where(core.F.col("method") == method).first()
+        assert np.allclose(r["stiffness"], want["stiffness"], rtol=1e-9, atol=1e-9)
+        counts = own.groupBy("phase").count().collect()
+        assert r["phase"] == min(counts, key=lambda c: (-c["count"], c["phase"]))["phase"]
