@@ -322,18 +322,11 @@ def phase_wave_speeds(spark, d):
 # --- joins by place ----------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {MAP_SQL}, q AS (SELECT point_id, x + 0.25::DOUBLE AS qx, y + 0.125::DOUBLE AS qy FROM points WHERE point_id % 97 = 0), t AS (SELECT * FROM points WHERE phase = 1),
-n AS (SELECT q.point_id AS query_id, t.point_id, (qx - x) * (qx - x) + (qy - y) * (qy - y) AS d2 FROM q, t), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d2, 9), point_id)::INTEGER AS rank FROM n)
-SELECT query_id, rank, point_id, {_r("d2", "distance2")} FROM k WHERE rank <= 3""")
+@query(f"""WITH {MAP_SQL}, q AS (SELECT point_id, x + 0.25::DOUBLE AS qx, y + 0.125::DOUBLE AS qy FROM points), t AS (SELECT * FROM points WHERE phase = 1),
+n AS (SELECT q.point_id AS query_id, min({{'d': (qx - x) * (qx - x) + (qy - y) * (qy - y), 'i': t.point_id}}, 3) AS best FROM q, t GROUP BY q.point_id)
+SELECT query_id, CAST(k AS INTEGER) AS rank, best[k].i AS point_id, {_r("best[k].d", "distance2")} FROM n, range(1, 4) r(k) WHERE k <= len(best)""")
 def nearest_neighbor(spark, d):
-    points = S.event_map(spark, d)
-    asked = points.where(F.col("point_id") % 97 == 0).select(F.col("point_id").alias("query_id"), (F.col("x") + 0.25).alias("x"), (F.col("y") + 0.125).alias("y"))
-    return rounded(spatial.nearest(asked, points.where("phase = 1"), 3, 2.0))
-
-
-@query()
-def nearest_neighbor_all(spark, d):
-    """nearest_neighbor for every point of the map; all pairs are too many for SQL."""
+    """Of every point of the map; the squared distances are exact in binary, so ties are too."""
     points = S.event_map(spark, d)
     asked = points.select(F.col("point_id").alias("query_id"), (F.col("x") + 0.25).alias("x"), (F.col("y") + 0.125).alias("y"))
     return rounded(spatial.nearest(asked, points.where("phase = 1"), 3, 2.0))
@@ -641,18 +634,12 @@ def random_two_phase_map(spark, d):
 # --- elements' material, conforming meshes, further statistics ---------------------------------------------------------
 
 
-@query(f"WITH {MAP_SQL}, {_MESH_SQL}, c AS (SELECT elem_id, (x1 + x2 + x3) / 3 AS cx, (y1 + y2 + y3) / 3 AS cy FROM placed), p AS (SELECT * FROM points WHERE x < 9 AND y < 8), n AS (SELECT elem_id, phase, row_number() OVER (PARTITION BY elem_id ORDER BY (cx - x) * (cx - x) + (cy - y) * (cy - y), point_id) AS k FROM c, p) SELECT elem_id, phase FROM n WHERE k = 1")
+@query(f"""WITH {MAP_SQL}, c AS (SELECT 2 * point_id + k AS elem_id, x + (2 - k) / 3::DOUBLE AS cx, y + (1 + k) / 3::DOUBLE AS cy FROM points, range(2) r(k)),
+n AS (SELECT elem_id, arg_min(phase, {{'d': round((cx - x) * (cx - x) + (cy - y) * (cy - y), 9), 'i': point_id}}) AS phase FROM c, range(2) r(a), range(2) s(b), points
+  WHERE points.x = floor(cx)::BIGINT + a AND points.y = floor(cy)::BIGINT + b GROUP BY elem_id)
+SELECT elem_id, phase FROM n""")
 def element_phase_nearest(spark, d):
-    from grainflow.operators import elements as el
-
-    nodes, flat = _mesh(spark)
-    points = S.event_map(spark, d).where("x < 9 and y < 8")
-    return el.material(points, S.phases(spark), flat, nodes).select("elem_id", "phase")
-
-
-@query()
-def element_phase_nearest_all(spark, d):
-    """element_phase_nearest over the whole map, two elements for each pixel."""
+    """Over the whole map, two elements for each pixel; the nearest point is one of the four around an element's centre."""
     from grainflow.operators import elements as el
 
     side = S.map_side(spark, d)
@@ -696,10 +683,6 @@ def rectangle_distance(spark, d):
     return rounded(S.table(spark, d, "supplier").select("s_suppkey", outer.alias("outside"), spatial.difference_distance(outer, hole).alias("ring")))
 
 
-def _corner_grains(spark, d, side: int = 20):
-    return grains.grains(S.event_map(spark, d).where((F.col("x") < side) & (F.col("y") < side)), ("phase",))
-
-
 @query()
 def conforming_mesh_quality(spark, d):
     from grainflow.operators.conforming import conforming_mesh
@@ -709,20 +692,23 @@ def conforming_mesh_quality(spark, d):
     return mesh.statistics(mesh.corners(flat.drop("grain_id"), nodes))
 
 
-@query(f"{_GRAINS.replace('FROM events JOIN kinds USING (event_type), side WHERE event_id < w * w', 'FROM events JOIN kinds USING (event_type), side WHERE event_id < w * w AND event_id % w < 20 AND event_id // w < 20')}, seeds AS (SELECT DISTINCT x, y FROM corners), g AS (SELECT i, j FROM range(21) a(i), range(21) b(j)) SELECT i, j, {_r('min(0.5::DOUBLE + 0.25::DOUBLE * (least(abs(i - y), 21 - abs(i - y)) + least(abs(j - x), 21 - abs(j - x))))', 'h')} FROM g, seeds GROUP BY i, j")
+@query(f"""{_GRAINS}, seeds AS (SELECT DISTINCT x, y FROM corners), g AS (SELECT x + a AS j, y + b AS i FROM points, range(2) r(a), range(2) s(b) GROUP BY ALL)
+SELECT i, j, {_r('min(0.5::DOUBLE + 0.25::DOUBLE * (least(abs(i - y), w + 1 - abs(i - y)) + least(abs(j - x), w + 1 - abs(j - x))))', 'h')} FROM g, seeds, side GROUP BY i, j""")
 def mesh_size_field(spark, d):
-    from grainflow.operators.conforming import size_field
-
-    found = size_field(_corner_grains(spark, d), 0.5, 0.25, along_axes=True)
-    return rounded(found.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "h"))
+    """Over the whole map, with the step along each axis limited."""
+    return _sizes(spark, d, along_axes=True)
 
 
 @query()
-def mesh_size_field_all(spark, d):
-    """The size field over the whole map, with the gradient's length limited, which SQL can't express."""
+def mesh_size_field_gradient(spark, d):
+    """Over the whole map, with the gradient's length limited, which SQL can't express."""
+    return _sizes(spark, d)
+
+
+def _sizes(spark, d, **how):
     from grainflow.operators.conforming import size_field
 
-    found = size_field(_grained(spark, d), 0.5, 0.25)
+    found = size_field(_grained(spark, d), 0.5, 0.25, **how)
     return rounded(found.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "h"))
 
 

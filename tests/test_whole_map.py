@@ -36,7 +36,7 @@ def test_every_point_gets_its_neighbours(spark):
         d2 = (p.x + 0.25 - target["x"]) ** 2 + (p.y + 0.125 - target["y"]) ** 2
         best = sorted(zip(d2, target["point_id"], strict=True))[:3]
         want |= {(p.point_id, k + 1, i, round(d, 6)) for k, (d, i) in enumerate(best)}
-    got = [tuple(r) for r in core.nearest_neighbor_all(spark, SF).select("query_id", "rank", "point_id", "distance2").collect()]
+    got = [tuple(r) for r in core.nearest_neighbor(spark, SF).select("query_id", "rank", "point_id", "distance2").collect()]
     assert len(got) == len(want) == 3 * len(points) and set(got) == want
 
 
@@ -54,7 +54,7 @@ def test_elements_take_the_nearest_phase(spark, side):
     for e in range(2 * side * side):  # centres of the lower right and upper left half of each pixel
         x, y = e // 2 % side + (2 / 3, 1 / 3)[e % 2], e // 2 // side + (1 / 3, 2 / 3)[e % 2]
         want[e] = int(points["phase"].iloc[int(np.argmin(np.round((px - x) ** 2 + (py - y) ** 2, 9)))])
-    got = {r["elem_id"]: r["phase"] for r in core.element_phase_nearest_all(spark, SF).collect()}
+    got = {r["elem_id"]: r["phase"] for r in core.element_phase_nearest(spark, SF).collect()}
     assert got == want
 
 
@@ -68,7 +68,7 @@ def test_size_field_covers_the_map(spark, side):
     di, dj = np.minimum(di, side + 1 - di), np.minimum(dj, side + 1 - dj)
     grid = lambda df: df.toPandas().sort_values(["i", "j"])["h"].to_numpy().reshape(side + 1, side + 1)
     assert np.allclose(grid(size_field(grained, 0.5, 0.25, along_axes=True)), 0.5 + 0.25 * (di + dj).min(-1))
-    h = grid(core.mesh_size_field_all(spark, SF))
+    h = grid(core.mesh_size_field_gradient(spark, SF))
     # The upwind form is at most the way along the axes and keeps the gradient's limit, and reaches it wherever no boundary is.
     assert (h >= 0.5 - 1e-6).all() and (h <= 0.5 + 0.25 * (di + dj).min(-1) + 1e-6).all()
     down = [np.maximum(h - np.minimum(np.roll(h, 1, k), np.roll(h, -1, k)), 0) for k in (0, 1)]
