@@ -99,6 +99,35 @@ def look_up(sizes: DataFrame, places: DataFrame, key: str) -> DataFrame:
     return places.select(key, each.alias("c")).select(key, "c.*").where("w > 0").join(sizes, ["i", "j"]).groupBy(key).agg((F.sum(F.col("w") * F.col("h")) / F.sum("w")).alias("h"))
 
 
+def rings_of(pixels: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The rings of corners around a set of pixels, by falling signed area: outer ones counter-clockwise, holes clockwise."""
+    ways: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for x, y in sorted(pixels):
+        for dx, dy, a, b in ((0, -1, (x, y), (x + 1, y)), (1, 0, (x + 1, y), (x + 1, y + 1)), (0, 1, (x + 1, y + 1), (x, y + 1)), (-1, 0, (x, y + 1), (x, y))):
+            if (x + dx, y + dy) not in pixels:
+                ways.setdefault(a, []).append(b)
+    rings = []
+    while ways:
+        at = start = min(ways)
+        ring, came = [], None
+        while True:
+            out = ways[at]
+            if len(out) > 1 and came is not None:  # the sharpest turn to the left keeps diagonal pixels of one grain apart
+                turn = lambda p: (came[0] * (p[1] - at[1]) - came[1] * (p[0] - at[0]))  # noqa: E731,B023
+                out.sort(key=turn)
+            nxt = out.pop()
+            if not out:
+                del ways[at]
+            ring.append(at)
+            came, at = (nxt[0] - at[0], nxt[1] - at[1]), nxt
+            if at == start:
+                break
+        rings.append(ring)
+    area = lambda r: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1], strict=True)) / 2
+    rings.sort(key=lambda r: -area(r))
+    return rings
+
+
 def outlines(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., grain_id, ring, seq, x, y): each grain's boundary as rings of pixel corners, the outer ring counter-clockwise (ring 0), holes clockwise.
 
@@ -107,31 +136,7 @@ def outlines(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in grained.schema}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pixels = set(zip(pdf["x"].astype(int), pdf["y"].astype(int), strict=True))
-        ways: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for x, y in sorted(pixels):
-            for dx, dy, a, b in ((0, -1, (x, y), (x + 1, y)), (1, 0, (x + 1, y), (x + 1, y + 1)), (0, 1, (x + 1, y + 1), (x, y + 1)), (-1, 0, (x, y + 1), (x, y))):
-                if (x + dx, y + dy) not in pixels:
-                    ways.setdefault(a, []).append(b)
-        rings = []
-        while ways:
-            at = start = min(ways)
-            ring, came = [], None
-            while True:
-                out = ways[at]
-                if len(out) > 1 and came is not None:  # the sharpest turn to the left keeps diagonal pixels of one grain apart
-                    turn = lambda p: (came[0] * (p[1] - at[1]) - came[1] * (p[0] - at[0]))  # noqa: E731,B023
-                    out.sort(key=turn)
-                nxt = out.pop()
-                if not out:
-                    del ways[at]
-                ring.append(at)
-                came, at = (nxt[0] - at[0], nxt[1] - at[1]), nxt
-                if at == start:
-                    break
-            rings.append(ring)
-        area = lambda r: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1], strict=True)) / 2
-        rings.sort(key=lambda r: -area(r))
+        rings = rings_of(set(zip(pdf["x"].astype(int), pdf["y"].astype(int), strict=True)))
         head = {c: pdf[c].iloc[0] for c in (*by, "grain_id")}
         return pd.DataFrame([head | {"ring": k, "seq": i, "x": float(x), "y": float(y)} for k, r in enumerate(rings) for i, (x, y) in enumerate(r)])
 

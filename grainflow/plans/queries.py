@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainflow.functions import tensors as T
-from grainflow.operators import clean, fem, fields, geometry, grains, homogenize, mesh, spatial, waves
+from grainflow.operators import clean, fem, fields, geometry, grains, homogenize, mesh, spatial, triangulation, waves
+from grainflow.operators.components import checkpointed
 from grainflow.plans import standard as S
 from grainflow.plans.standard import MAP_SQL, PHASES_SQL
 
@@ -769,4 +770,65 @@ def field_on_grid(spark, d):
     return fields.interpolate(field, fields.regular_grid(field).withColumn("grain", F.lit(1).cast("long")), "grain", ["f"])
 
 
+# --- meshes triangulated anew --------------------------------------------------------------------------------------------
+
+
+def _triangulated(spark, d, **how):
+    side = S.map_side(spark, d)
+    return triangulation.mesh_grains(_grained(spark, d), side, side, **how)
+
+
+@query()
+def polygon_triangulation(spark, d):
+    return triangulation.mesh_polygons(_rings(spark, d), "ring", 0.8)
+
+
+@query(f"WITH {_RINGS_SQL}, {_EDGES_SQL} SELECT ring, {_r('abs(sum(ax * b_y - bx * ay)) / 2', 'area')} FROM edges GROUP BY ring")
+def polygon_triangulation_area(spark, d):
+    """The triangles' areas add up to the polygons'."""
+    return rounded(polygon_triangulation(spark, d).groupBy("ring").agg(F.sum(mesh.signed_area()).alias("area")))
+
+
+@query()
+def conforming_triangulation(spark, d):
+    return _triangulated(spark, d)
+
+
+@query(SQL["mesh_checks"])
+def conforming_triangulation_checks(spark, d):
+    placed = checkpointed(_triangulated(spark, d))  # read by eight rules
+    return mesh.checks(placed.select("elem_id", "n1", "n2", "n3"), triangulation.nodes_of(placed))
+
+
+@query(f"{_GRAINS} SELECT grain_id, {_r('count(*)::DOUBLE', 'area')} FROM grained GROUP BY grain_id")
+def grain_triangulation_area(spark, d):
+    """Without smoothing, each grain's triangles have its pixels' area."""
+    return rounded(_triangulated(spark, d, smoothing=0).groupBy("grain_id").agg(F.sum(mesh.signed_area()).alias("area")))
+
+
+@query(f"""{_SIDES}, between AS (SELECT x, y, across FROM sides GROUP BY ALL HAVING count(*) = 2),
+ends AS (SELECT CASE across WHEN 'h' THEN (x - 1) // 2 ELSE x // 2 END AS x, CASE across WHEN 'h' THEN y // 2 ELSE (y - 1) // 2 END AS y, CASE across WHEN 'h' THEN 1 ELSE w + 1 END AS step, w FROM between, side)
+SELECT y * (w + 1) + x AS a, y * (w + 1) + x + step AS b FROM ends""")
+def conforming_triangulation_boundaries(spark, d):
+    """Edges between elements of two grains: just the sides of pixels of two grains, each of them one edge."""
+    each = F.explode(F.array(*(F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in (("n1", "n2"), ("n2", "n3"), ("n1", "n3")))))
+    found = _triangulated(spark, d).select("grain_id", each.alias("e")).groupBy("e.a", "e.b").agg(F.min("grain_id").alias("low"), F.max("grain_id").alias("high"))
+    return found.where("low < high").select("a", "b")
+
+
+@query(f"WITH {MAP_SQL}, corner AS (SELECT k % (w + 1) AS x, k // (w + 1) AS y, k AS node_id, w FROM side, LATERAL (SELECT unnest(range((w + 1) * (w + 1))) AS k)) SELECT node_id, (y % w) * (w + 1) + x % w AS master_id FROM corner WHERE x = w OR y = w")
+def conforming_triangulation_periodic(spark, d):
+    return mesh.periodic_pairs(checkpointed(triangulation.nodes_of(_triangulated(spark, d))))
+
+
+@query()
+def conforming_triangulation_quality(spark, d):
+    return mesh.statistics(_triangulated(spark, d).select("elem_id", "n1", "n2", "n3", *triangulation.PLACES))
+
+
+@query()
+def grain_contours(spark, d):
+    return triangulation.grain_contours(_grained(spark, d))
+
+
 from grainflow.plans import source_queries  # noqa: E402, F401 (registers its queries)
