@@ -504,6 +504,22 @@ def mesh_checks(spark, d):
     return mesh.checks(elements, nodes)
 
 
+@query(f"""WITH size AS (SELECT sqrt(4 * 9 * 8 / (400 * sqrt(3))) AS h), n AS (SELECT CAST(round(9 / h) AS BIGINT) AS nx, CAST(2 * round(8 / (h * sqrt(3))) AS BIGINT) AS ny FROM size),
+r AS (SELECT k AS r, nx, ny, 9::DOUBLE / nx AS w FROM n, LATERAL (SELECT unnest(range(ny + 1)) AS k)),
+node AS (SELECT r, k, (r // 2) * (2 * nx + 3) + (r % 2) * (nx + 1) + k AS id, CASE WHEN r % 2 = 0 THEN k * w ELSE least(greatest((k - 0.5::DOUBLE) * w, 0), 9) END AS x, r * (8::DOUBLE / ny) AS y
+  FROM r, LATERAL (SELECT unnest(range(nx + 1 + r % 2)) AS k)),
+up AS (SELECT a.id AS a, b.id AS b, c.id AS c, a.r // 2 * 2 AS even FROM node a JOIN node b ON b.r = a.r AND b.k = a.k + 1 JOIN node c ON abs(c.r - a.r) = 1 AND c.k = a.k + 1 - a.r % 2),
+placed AS (SELECT p.id AS a, q.id AS b, s.id AS c, p.x AS xa, p.y AS ya, q.x AS xb, q.y AS yb, s.x AS xc, s.y AS yc FROM up JOIN node p ON p.id = a JOIN node q ON q.id = b JOIN node s ON s.id = c),
+e AS (SELECT unnest([{{'x': xa, 'y': ya}}, {{'x': xb, 'y': yb}}, {{'x': xc, 'y': yc}}]) AS v, a, b, c FROM placed)
+SELECT least(a, b, c) AS low, a + b + c - least(a, b, c) - greatest(a, b, c) AS middle, greatest(a, b, c) AS high, {_r('avg(v.x)', 'x')}, {_r('avg(v.y)', 'y')} FROM e GROUP BY a, b, c""")
+def hex_mesh_triangles(spark, d):
+    """The hexagonal grid's elements by their nodes in order of number, with their centres: each edge of a row has a triangle above and one below."""
+    nodes, elements = mesh.hexagonal_grid(spark, 0.0, 9.0, 0.0, 8.0, 400)
+    n = F.array_sort(F.array("n1", "n2", "n3"))
+    middle = lambda c: (F.col(f"{c}1") + F.col(f"{c}2") + F.col(f"{c}3")) / 3
+    return rounded(mesh.corners(elements, nodes).select(n[0].alias("low"), n[1].alias("middle"), n[2].alias("high"), middle("x").alias("x"), middle("y").alias("y")))
+
+
 @query()
 def hex_mesh_elements(spark, d):
     nodes, elements = mesh.hexagonal_grid(spark, 0.0, 9.0, 0.0, 8.0, 400)
