@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainflow.llm import boilerplate, compression, crf, decontamination, mixture, neardup, reputation, tokens, vafile, warc
+from grainflow.llm import boilerplate, compression, covertree, crf, decontamination, mixture, neardup, reputation, tokens, vafile, warc
 
 QUERIES = {
     "op1_va_file_search": vafile.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_compression_quality": compression.query,
     "op9_superminhash_groups": neardup.query,
     "op10_benchmark_qgrams": decontamination.query,
+    "op11_cover_tree_groups": covertree.query,
 }
 SQL = {"op1_va_file_search": vafile.SQL, "op3_curriculum_mix": mixture.SQL, "op4_line_dedup": boilerplate.SQL, "op7_host_reputation": reputation.SQL}
