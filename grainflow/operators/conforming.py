@@ -126,19 +126,3 @@ def rings_of(pixels: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     area = lambda r: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1], strict=True)) / 2
     rings.sort(key=lambda r: -area(r))
     return rings
-
-
-def outlines(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., grain_id, ring, seq, x, y): each grain's boundary as rings of pixel corners, the outer ring counter-clockwise (ring 0), holes clockwise.
-
-    A grain is one task's work: its boundary edges are chained, turning right where four meet, so that corners are not crossed.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in grained.schema}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = rings_of(set(zip(pdf["x"].astype(int), pdf["y"].astype(int), strict=True)))
-        head = {c: pdf[c].iloc[0] for c in (*by, "grain_id")}
-        return pd.DataFrame([head | {"ring": k, "seq": i, "x": float(x), "y": float(y)} for k, r in enumerate(rings) for i, (x, y) in enumerate(r)])
-
-    keys = ", ".join(f"`{c}` {kinds[c]}" for c in (*by, "grain_id"))
-    return grained.select(*by, "grain_id", "x", "y").groupBy(*by, "grain_id").applyInPandas(run, f"{keys}, ring int, seq long, x double, y double")

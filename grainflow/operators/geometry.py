@@ -48,20 +48,22 @@ def counter_clockwise(rings: DataFrame, key: str) -> DataFrame:
     return turned.select(*(F.when(F.col("ccw"), F.col("seq")).otherwise(-F.col("seq")).alias("seq") if c == "seq" else F.col(c) for c in rings.columns))
 
 
-def resample(lines: DataFrame, key: str, n: int, closed: bool = False) -> DataFrame:
-    """(key, seq, x, y): n points (0 ... n - 1) at equal distances along each line, from the first to the last point; on a ring the first is not repeated."""
+def resample(lines: DataFrame, key: str, n: int | str, closed: bool = False) -> DataFrame:
+    """(key, seq, x, y): n points (0 ... n - 1) at equal distances along each line, from the first to the last point; on a ring the first is not repeated.
+    n is a number or the name of a column that has it for each line."""
+    lines = lines.select(key, "seq", "x", "y", (F.col(n) if isinstance(n, str) else F.lit(n)).alias("__n"))
     if closed:
-        ends = lines.groupBy(key).agg(F.min_by(F.struct("x", "y"), "seq").alias("p"), (F.max("seq") + 1).alias("seq"))
-        lines = lines.select(key, "seq", "x", "y").unionByName(ends.select(key, "seq", F.col("p.x").alias("x"), F.col("p.y").alias("y")))
+        ends = lines.groupBy(key).agg(F.min_by(F.struct("x", "y"), "seq").alias("p"), (F.max("seq") + 1).alias("seq"), F.min("__n").alias("__n"))
+        lines = lines.unionByName(ends.select(key, "seq", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "__n"))
     at = arc_length(lines, key)
     w = _order(key)
-    part = at.select(key, "s", "x", "y", F.lead("s").over(w).alias("s1"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"), F.max("s").over(Window.partitionBy(key)).alias("total"), F.lead("s", 2).over(w).isNull().alias("last"))
+    part = at.select(key, "__n", "s", "x", "y", F.lead("s").over(w).alias("s1"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"), F.max("s").over(Window.partitionBy(key)).alias("total"), F.lead("s", 2).over(w).isNull().alias("last"))
     part = part.where(F.col("s1").isNotNull() & ((F.col("s1") > F.col("s")) | F.col("last")))
-    count = n if closed else max(n - 1, 1)
+    count = F.col("__n") if closed else F.greatest(F.col("__n") - 1, F.lit(1))
     # A segment makes the points that fall on it: no join is needed.
     low = F.ceil(F.when(F.col("total") > 0, F.col("s") / F.col("total") * count).otherwise(0.0) - 1e-12).cast("int")
     end = F.when(F.col("total") > 0, F.col("s1") / F.col("total") * count).otherwise(0.0)
-    high = F.when(F.col("last"), F.lit(n - 1)).otherwise(F.ceil(end - 1e-12).cast("int") - 1)
+    high = F.when(F.col("last"), F.col("__n") - 1).otherwise(F.ceil(end - 1e-12).cast("int") - 1)
     rows = part.where(low <= high).withColumn("k", F.explode(F.sequence(low, high)))
     t = F.when(F.col("s1") > F.col("s"), (F.col("k") * F.col("total") / count - F.col("s")) / (F.col("s1") - F.col("s"))).otherwise(0.0)
     return rows.select(key, F.col("k").alias("seq"), (F.col("x") + t * (F.col("x1") - F.col("x"))).alias("x"), (F.col("y") + t * (F.col("y1") - F.col("y"))).alias("y"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainflow.functions import tensors as T
-from grainflow.operators import clean, fem, fields, geometry, grains, homogenize, mesh, spatial, triangulation, waves
+from grainflow.operators import clean, fem, fields, geometry, grains, homogenize, mesh, polylines, spatial, triangulation, waves
 from grainflow.operators.components import checkpointed
 from grainflow.plans import standard as S
 from grainflow.plans.standard import MAP_SQL, PHASES_SQL
@@ -750,9 +750,7 @@ def _sizes(spark, d, **how):
 @query(f"{_GRAINS} SELECT grain_id, count(*)::DOUBLE AS area FROM grained GROUP BY grain_id")
 def grain_outline_area(spark, d):
     """The rings of each grain's boundary, holes running the other way round, enclose just its pixels."""
-    from grainflow.operators.conforming import outlines
-
-    rings = outlines(_grained(spark, d)).withColumn("key", F.concat_ws(":", "grain_id", "ring"))
+    rings = polylines.outlines(_grained(spark, d)).withColumn("key", F.concat_ws(":", "grain_id", "ring"))
     parts = geometry.areas(rings, "key").select(F.split("key", ":")[0].cast("long").alias("grain_id"), F.when(F.col("ccw"), F.col("area")).otherwise(-F.col("area")).alias("area"))
     return rounded(parts.groupBy("grain_id").agg(F.sum("area").alias("area")))
 
@@ -865,4 +863,4 @@ def grain_contours(spark, d):
     return triangulation.grain_contours(_grained(spark, d))
 
 
-from grainflow.plans import source_queries  # noqa: E402, F401 (registers its queries)
+from grainflow.plans import boundary_queries, source_queries  # noqa: E402, F401 (they register their queries)

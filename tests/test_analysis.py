@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainflow.operators import conforming, elements, grains, mesh
+from grainflow.operators import conforming, elements, grains, mesh, polylines
 from grainflow.plans import analysis
 from grainflow.plans.config import JobConfig
 from grainflow.streaming import ingest
@@ -58,7 +58,7 @@ def test_smoothing_keeps_the_mesh_sound(spark):
 
 def test_outline_with_a_hole_and_diagonal_pixels(spark):
     ring = {(x, y) for x in range(2, 6) for y in range(2, 6)} - {(3, 3), (4, 4)}
-    got = conforming.outlines(square(spark, ring)).where("grain_id = 22").toPandas()
+    got = polylines.outlines(square(spark, ring)).where("grain_id = 22").toPandas()
     assert sorted(got["ring"].unique()) in ([0, 1], [0, 1, 2])
     total = 0.0
     for _, r in got.groupby("ring"):
