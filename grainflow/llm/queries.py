@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainflow.llm import boilerplate, compression, covertree, crf, decontamination, kmeans, mixture, neardup, reputation, tokens, vafile, warc
+from grainflow.llm import boilerplate, compression, covertree, crf, decontamination, kmeans, mixture, neardup, reputation, tokens, vafile, warc, whitening
 
 QUERIES = {
     "op1_va_file_search": vafile.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_superminhash_groups": neardup.query,
     "op10_benchmark_qgrams": decontamination.query,
     "op11_cover_tree_groups": covertree.query,
+    "op12_residue_whitening": whitening.query,
     "op13_elkan_centroids": kmeans.query,
 }
 SQL = {"op1_va_file_search": vafile.SQL, "op3_curriculum_mix": mixture.SQL, "op4_line_dedup": boilerplate.SQL, "op7_host_reputation": reputation.SQL}
