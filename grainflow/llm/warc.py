@@ -9,6 +9,7 @@ block. Record ids follow from the response's id, so reruns agree. Rows are indep
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html
 import re
@@ -35,6 +36,10 @@ _HREF = re.compile(r"(?<![\w-])href\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _HIDDEN}
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
+#: Numeric character references with more digits than any character needs.
+_LONG = re.compile(r"&#(?:([0-9]{8,})|[xX]([0-9a-fA-F]{8,}));?")
+#: Encodings that Python knows but no web page has.
+_NO_CHARSETS = frozenset("idna punycode undefined unicode_escape raw_unicode_escape".split())
 #: Headers of a record, in the order in which they are written.
 HEADERS = (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "target_uri"), ("WARC-Refers-To-Date", "date"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
 
@@ -43,6 +48,16 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def unescape(text: str) -> str:
+    """Character references replaced. One beyond the last character is U+FFFD, however many digits it has; leading zeros don't count."""
+
+    def short(m: re.Match) -> str:
+        digits = (m[1] or m[2]).lstrip("0") or "0"
+        return "\ufffd" if len(digits) > 7 else f"&#{'' if m[1] else 'x'}{digits};"
+
+    return html.unescape(_LONG.sub(short, text) if "&#" in text else text)
+
+
 @dataclass
 class Page:
     """What one pass over a page's markup finds."""
@@ -93,17 +108,17 @@ def read_page(page: str) -> Page:
             if not ends:
                 opened = len(out.text) if opened is None else opened
             elif opened is not None and out.title is None:
-                out.title = " ".join(html.unescape("".join(out.text[opened:])).split())
+                out.title = " ".join(unescape("".join(out.text[opened:])).split())
         elif name == "html" and not ends and out.language is None and (found := _LANGUAGE.search(page, tag.end(), end)):
             out.language = found[1]
         elif name == "a" and not ends and (found := _HREF.search(page, tag.end(), end)):
-            out.links.append(html.unescape(found[1] or found[2] or found[3] or ""))
+            out.links.append(unescape(found[1] or found[2] or found[3] or ""))
     out.text.append(page[at:])
     return out
 
 
 def shown(pieces: list[str]) -> str:
-    return _LINES.sub("\n", _SPACE.sub(" ", html.unescape("".join(pieces)))).strip()
+    return _LINES.sub("\n", _SPACE.sub(" ", unescape("".join(pieces)))).strip()
 
 
 def plain_text(page: str) -> str:
@@ -122,16 +137,27 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 
 
 def charset(headers: list[tuple[str, str]]) -> str:
+    """The header's charset, if it names an encoding of text that is known here; else utf-8."""
     for name, value in headers:
         if name.lower() == "content-type" and (m := re.search(r"charset\s*+=\s*+[\"']?([\w.:-]+)", value, re.I)):
             try:
-                b"".decode(m[1])
-                return m[1]
+                found = codecs.lookup(m[1])
             except (LookupError, ValueError):
                 break
+            if found._is_text_encoding and found.name.replace("-", "_") not in _NO_CHARSETS:
+                return found.name
+            break
     return "utf-8"
 
 
+def decoded(data: bytes, name: str) -> str:
+    """Text in this encoding, with U+FFFD for what isn't valid; an encoding that can't do that gives way to utf-8."""
+    try:
+        return data.decode(name, "replace")
+    except ValueError:
+        return data.decode("utf-8", "replace")
+
+
 def unchunked(data: bytes) -> bytes:
     """The content of chunked data; from the first chunk that has no valid size on, as it stands."""
     out, at = [], 0
@@ -171,7 +197,7 @@ def content(headers: list[tuple[str, str]], payload: bytes) -> bytes:
 def derive(record_id: str, target_uri: str | None, date: str | None, block: bytes) -> list[dict]:
     """The metadata and the conversion record of a response with this block. The payload's digest is that of the bytes as stored."""
     status, headers, payload = split_http(block)
-    page = read_page(content(headers, payload).decode(charset(headers), "replace"))
+    page = read_page(decoded(content(headers, payload), charset(headers)))
     fields = [("http-status", status)] if status else []
     fields += [(f"http-header-{k.lower()}", v) for k, v in headers]
     fields += [("title", page.title)] if page.title is not None else []
@@ -193,17 +219,23 @@ def to_bytes(record: dict) -> bytes:
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, plain or gzipped."""
+    """The records of a WARC file, plain or gzipped. A record without a valid Content-Length is skipped up to the next record's
+    first line; one that the file's end cuts short, in its header or its block, is left out."""
     data = unzipped(data, "gzip") if data[:2] == b"\x1f\x8b" else data
     names = {name.lower(): key for name, key in HEADERS}
     at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        head = data.index(b"\r\n\r\n", start)
+    while (start := data.find(b"WARC/", at)) >= 0 and (head := data.find(b"\r\n\r\n", start)) >= 0:
         pairs = [x.partition(":") for x in data[start:head].decode("utf-8", "replace").split("\r\n")[1:]]
         record = {names.get(k.strip().lower(), k.strip()): v.strip() for k, _, v in pairs}
+        at = head + 4
+        if not re.fullmatch(r"[0-9]{1,18}", record.get("content_length", "")):
+            continue
         record["content_length"] = int(record["content_length"])
-        at = head + 4 + record["content_length"]
-        record["block"] = data[head + 4 : at]
+        end = at + record["content_length"]
+        if end > len(data):
+            return
+        record["block"] = data[at:end]
+        at = end
         yield record
 
 
@@ -250,7 +282,8 @@ def derivatives(records: DataFrame) -> DataFrame:
     columns aren't read, and keys may be of any type. Rows with a null id or block give nothing, an empty block gives two records
     with empty blocks, a null target or date stays null and is left out of the written record,
     and repeated rows give repeated records, with the same ids. Chunked, gzipped and deflated payloads are decoded, a broken one as far
-    as it is sound; time and memory grow with the size of the decoded page.
+    as it is sound; time and memory grow with the size of the decoded page. An unknown charset, or one that isn't an encoding of text, is read as
+    utf-8, and what isn't valid becomes U+FFFD, as does a numeric reference beyond the last character.
     """
     short_batches(records.sparkSession)
     result, schema = as_schema(("key", records.schema["key"].dataType), *RESULT)

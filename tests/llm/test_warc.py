@@ -86,3 +86,69 @@ def test_keys_of_any_type_and_gzipped_files(spark, tmp_path):
     made = [{"warc_type": "response", "record_id": f"<urn:uuid:{i}>", "content_length": 3, "block": b"abc"} for i in range(3)]
     (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(warc.to_bytes(r)) for r in made))
     assert sorted(r["record_id"] for r in warc.read_warc(spark, str(tmp_path / "a.warc.gz")).collect()) == [r["record_id"] for r in made]
+
+
+@pytest.mark.parametrize("name", ["x-unknown", "none", "utf8mb4", "hex", "zlib", "rot13", "idna", "punycode", "undefined", "unicode_escape", "utf-16", "a" * 300])
+def test_any_charset(name):
+    meta, text = warc.derive("r", None, None, f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={name}\r\n\r\n".encode() + "<p>Café \udcff".encode("utf-8", "surrogatepass"))
+    assert text["block"].startswith("Café" if name != "utf-16" else "") and meta["warc_type"] == "metadata"
+
+
+def test_long_references():
+    nines, zeros = "9" * 5000, "0" * 5000
+    page = f"<title>a&#{nines};b</title><a href='/x?&#{nines}'>&#{zeros}65;&#x{zeros}42;&#x{nines};&#{nines}&#00000038;lt;</a>"
+    meta, text = warc.derive("r", None, None, page.encode())
+    assert "title: a�b\r\n" in meta["block"] and "outlink: /x?�\r\n" in meta["block"]
+    assert text["block"].splitlines()[-1] == "AB��&lt;"
+    assert warc.plain_text("&#55;&#x41;&amp;&#1114112;&#0;") == "7A&��"
+
+
+def test_broken_files():
+    one = warc.to_bytes({"warc_type": "response", "record_id": "<1>", "content_length": 3, "block": b"abc"})
+    two = warc.to_bytes({"warc_type": "response", "record_id": "<2>", "content_length": 4, "block": b"defg"})
+    ids = lambda data: [(r["record_id"], r["block"]) for r in warc.parse(data)]
+    assert ids(one + two) == [("<1>", b"abc"), ("<2>", b"defg")]
+    for cut in range(len(two) - 5):
+        assert ids(one + two[:cut]) == [("<1>", b"abc")]
+    for length in (b"", b"x", b"-3", b"9" * 5000):
+        assert ids(one.replace(b"Content-Length: 3", b"Content-Length: " + length) + two) == [("<2>", b"defg")]
+    assert ids(one.replace(b"Content-Length: 3\r\n", b"") + two) == [("<2>", b"defg")]
+    assert ids(b"") == ids(b"WARC/") == ids(gzip.compress(one)[:30]) == []
+
+
+def test_query_equals_page_by_page(spark):
+    """Every page of the table against the markup read by another parser."""
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "template", "noscript")
+            self.out.append("\n" if tag in warc._BREAKS else "")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "template", "noscript")
+            self.out.append("\n" if tag in warc._BREAKS else "")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data)
+
+    sf = "/root/testdata/sf0.001"
+    got = {}
+    for r in warc.query(spark, sf).collect():
+        got.setdefault(r["page_id"], {})[r["warc_type"]] = r
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for p in pages:
+        words = Words()
+        words.feed(p["html"])
+        pair = got[p["page_id"]]
+        assert pair["conversion"]["block"].split() == "".join(words.out).split()
+        for r in pair.values():
+            data = r["block"].encode()
+            assert r["target_uri"] == p["url"] and r["content_length"] == len(data) and r["block_digest"] == warc.digest(data) and r["payload_digest"] == warc.digest(p["html"].encode())
+        assert pair["metadata"]["refers_to"] == pair["conversion"]["refers_to"] and pair["metadata"]["record_id"] != pair["conversion"]["record_id"]
