@@ -232,14 +232,15 @@ def label_words(model: Model, text: str) -> list[tuple[str, str, float]]:
 
 
 def train(docs: DataFrame, key: str, text: str, language: str, sample: int = SAMPLE) -> Model:
-    """Fit on `sample` texts of each language, those with the least hashes of the key, each as a whole.
+    """Fit on `sample` texts of each language, those with the least hashes of key and text, each as a whole.
 
-    Rows with a null key, text or language don't count, and rows that repeat key and text count once. Every language is learned: the
-    model and the driver's sample grow with their number. A first draw by hash leaves some more than `sample` rows of each
+    Rows with a null key, text or language don't count, and rows that repeat key and text count once, however many they are. Every language is learned: the
+    model and the driver's sample grow with their number. A first draw by hash leaves some more than `sample` different rows of each
     language, and these alone are ranked.
     """
-    known = docs.where(F.col(key).isNotNull() & F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(key).alias("key"), F.col(text).alias("text"), F.col(language).alias("language"))
-    counts = known.groupBy("language").count().collect()
+    whole = docs.where(F.col(key).isNotNull() & F.col(language).isNotNull() & F.col(text).isNotNull())
+    known = whole.select(F.xxhash64(key, text).alias("h"), F.col(key).alias("key"), F.col(text).alias("text"), F.col(language).alias("language"))
+    counts = known.groupBy("language").agg(F.count_distinct("h").alias("count")).collect()
     shares = F.create_map(*(F.lit(x) for r in counts for x in (r["language"], min(1.0, (2 * sample + 100) / r["count"]))))
     share = shares[F.col("language")] if counts else F.lit(0.0)
     drawn = known.where(F.pmod("h", F.lit(1 << 20)) / float(1 << 20) < share).distinct()

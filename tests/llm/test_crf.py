@@ -90,3 +90,11 @@ def test_features_in_parts_are_the_same(monkeypatch):
     whole = crf._all_features(codes, starts, ends)
     monkeypatch.setattr(crf, "_CHARS", 11)
     assert all((a == b).all() for a, b in zip(whole, crf._all_features(codes, starts, ends), strict=True))
+
+
+def test_repeated_rows_above_the_sample_lose_no_language(spark):
+    rows = [(i, f"the small house number {i} stands by the river", "en") for i in range(300)] + [(1000 + i, f"das kleine haus nummer {i} steht am fluss", "de") for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, text string, lang string")
+    copies = spark.range(30_000).selectExpr("7L AS k", "'la petite maison est pres du fleuve' AS text", "'fr' AS lang")
+    model = crf.train(df.unionByName(copies), "k", "text", "lang", sample=50)
+    assert sorted(model.languages) == ["de", "en", "fr"]
