@@ -16,9 +16,9 @@ Matrix = list[list[Column]]
 VOIGT = ((0, 0), (1, 1), (2, 2), (1, 2), (0, 2), (0, 1))
 
 
-def contract(i: int, j: int) -> int:
+def contract(i: Column, j: Column) -> Column:
     """Voigt number (from 1) of a pair of indices (from 1)."""
-    return i if i == j else 9 - i - j
+    return F.when(i == j, i).otherwise(9 - i - j)
 
 
 def rotation(phi1: Column, phi: Column, phi2: Column, frame_deg: float = 0.0) -> Matrix:

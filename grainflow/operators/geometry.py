@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -165,11 +163,11 @@ def mirror(points: DataFrame, columns: tuple[str, ...] = ("x", "y", "z")) -> Dat
     return points.unionByName(points.select(*((-F.col(c)).alias(c) if c in columns else F.col(c) for c in points.columns)))
 
 
-def rectangle(xc: float, yc: float, width: float, height: float, turn: float) -> Iterator[tuple[float, float]]:
-    """Corners, counter-clockwise, of a rectangle turned by `turn` radians about its centre."""
-    c, s = np.cos(turn), np.sin(turn)
-    for u, v in ((-1, -1), (1, -1), (1, 1), (-1, 1)):
-        yield xc + c * u * width / 2 - s * v * height / 2, yc + s * u * width / 2 + c * v * height / 2
+def rectangle(xc: Column, yc: Column, width: Column, height: Column, turn: Column) -> Column:
+    """Corners (x, y), counter-clockwise, of a rectangle turned by `turn` radians about its centre, as an array."""
+    c, s = F.cos(turn), F.sin(turn)
+    each = [(u * width / 2, v * height / 2) for u, v in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+    return F.array(*(F.struct((xc + c * u - s * v).alias("x"), (yc + s * u + c * v).alias("y")) for u, v in each))
 
 
 def densify(rings: DataFrame, key: str) -> DataFrame:

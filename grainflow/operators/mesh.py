@@ -17,28 +17,32 @@ from pyspark.sql import functions as F
 BINS = 4096
 
 
-def spacing(width: float, height: float, target: int) -> float:
-    """Edge length of equilateral triangles of which about `target` fill the rectangle."""
-    return math.sqrt(4 * width * height / (target * math.sqrt(3)))
-
-
-def fitted_spacing(count: Callable[[float], int], target: int, first: float, rounds: int = 6, tolerance: float = 0.05) -> tuple[float, int, int]:
-    """(edge length, its number of elements, rounds): a length is scaled by the root of count over target, within a factor of four, until
-    the count is within `tolerance` of the target, at most `rounds` times; the best one found counts."""
-    h, best = first, None
-    for k in range(1, rounds + 1):
-        n = count(h)
-        if best is None or abs(n - target) < abs(best[1] - target):
-            best = (h, n, k)
-        if abs(n - target) <= tolerance * target:
-            break
-        h *= min(4.0, max(0.25, math.sqrt(max(n, 1) / target)))
-    return best
+def spacing(width: float | Column, height: float | Column, target: int | Column):
+    """Edge length of equilateral triangles of which about `target` fill the rectangle: a number, or a column if any of them is one."""
+    square = 4 * width * height / (target * math.sqrt(3))
+    return F.sqrt(square) if isinstance(square, Column) else math.sqrt(square)
+
+
+def fitted_spacing(count: Callable[[Column], Column], target: Column, first: float, rounds: int = 6, tolerance: float = 0.05) -> Column:
+    """A struct (length, count, round): an edge length is scaled by the root of count over target, within a factor of four, until
+    the count is within `tolerance` of the target, at most `rounds` times; the best one found counts, the first of equals. One expression for each row."""
+    start = F.struct(F.lit(float(first)).alias("h"), F.lit(False).alias("done"), F.lit(None).cast("double").alias("length"), F.lit(None).cast("long").alias("count"), F.lit(None).cast("int").alias("round"))
+
+    def step(state: Column, k: Column) -> Column:
+        n = count(state["h"]).cast("long")
+        better = ~state["done"] & (state["count"].isNull() | (F.abs(n - target) < F.abs(state["count"] - target)))
+        pick = lambda new, old: F.when(better, new).otherwise(old)
+        factor = F.least(F.lit(4.0), F.greatest(F.lit(0.25), F.sqrt(F.greatest(n, F.lit(1)) / target)))
+        done = state["done"] | (F.abs(n - target) <= tolerance * target)
+        return F.struct((state["h"] * factor).alias("h"), done.alias("done"), pick(state["h"], state["length"]).alias("length"), pick(n, state["count"]).alias("count"), pick(k, state["round"]).alias("round"))
 
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
 
-def rectangular_count(width: float, height: float) -> Callable[[float], int]:
+
+def rectangular_count(width: Column, height: Column) -> Callable[[Column], Column]:
     """The number of elements of `rectangular_grid` for an edge length."""
-    return lambda h: 2 * max(1, round(width / h)) * max(1, round(height / (h * math.sqrt(3) / 2)))
+    rows = lambda size, step: F.greatest(F.lit(1), F.rint(size / step)).cast("long")
+    return lambda h: 2 * rows(width, h) * rows(height, h * (math.sqrt(3) / 2))
 
 
 def rectangular_grid(spark: SparkSession, x0: float, x1: float, y0: float, y1: float, target: int) -> tuple[DataFrame, DataFrame]:
@@ -57,6 +61,16 @@ def grid_mesh(spark: SparkSession, x0: float, x1: float, y0: float, y1: float, n
     return nodes, elements
 
 
+def pixel_mesh(points: DataFrame, width: int, dx: float = 1.0, dy: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Nodes and elements of a map's points (x, y), `width` to a row, as `grid_mesh` numbers them: each pixel is a cell of dx by dy, cut along its rising diagonal."""
+    x, y = F.col("x").cast("long"), F.col("y").cast("long")
+    a = y * (width + 1) + x
+    corner = F.explode(F.array(*(F.struct((x + i).alias("i"), (y + j).alias("j")) for i in (0, 1) for j in (0, 1))))
+    nodes = points.select(corner.alias("c")).distinct().select((F.col("c.j") * (width + 1) + F.col("c.i")).alias("node_id"), (F.col("c.i") * dx).alias("x"), (F.col("c.j") * dy).alias("y"))
+    halves = F.array(*(F.struct((2 * (y * width + x) + k).alias("elem_id"), a.alias("n1"), (a + p).alias("n2"), (a + q).alias("n3")) for k, p, q in ((0, 1, width + 2), (1, width + 2, width + 1))))
+    return nodes, points.select(F.explode(halves).alias("e")).select("e.*")
+
+
 def hexagonal_grid(spark: SparkSession, x0: float, x1: float, y0: float, y1: float, target: int) -> tuple[DataFrame, DataFrame]:
     """Nodes and elements of rows shifted by half a step, an even number of strips high; shifted rows end at the sides."""
     h = spacing(x1 - x0, y1 - y0, target)

@@ -11,7 +11,7 @@ from grainflow.functions import tensors as T
 from grainflow.operators import clean, fem, fields, geometry, grains, homogenize, mesh, polylines, spatial, triangulation, waves
 from grainflow.operators.components import checkpointed
 from grainflow.plans import standard as S
-from grainflow.plans.standard import MAP_SQL, PHASES_SQL
+from grainflow.plans.standard import MAP_SQL, PHASES_SQL, PRESENT_SQL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -274,19 +274,19 @@ def engineering_properties(spark, d):
     return homogenize.engineering_properties(_estimates(spark, d))
 
 
-@query(f"WITH {PHASES_SQL} SELECT phase, t AS angle, {_r('a1 * pow(cos(radians(t)), 2) + a2 * pow(sin(radians(t)), 2)', 'alpha')} FROM phases, range(0, 181, 15) r(t)")
+@query(f"WITH {PRESENT_SQL} SELECT phase, t AS angle, {_r('a1 * pow(cos(radians(t)), 2) + a2 * pow(sin(radians(t)), 2)', 'alpha')} FROM phases, range(0, 181, 15) r(t)")
 def directional_expansion(spark, d):
-    both = S.phases(spark).join(spark.range(0, 181, 15).withColumnRenamed("id", "angle"))
+    both = S.phases_of_map(spark, d).join(spark.range(0, 181, 15).withColumnRenamed("id", "angle"))
     return rounded(both.select("phase", "angle", T.expansion_along([F.col("alpha")[i] for i in range(6)], F.radians("angle")).alias("alpha")))
 
 
-@query(f"""WITH {PHASES_SQL}, c AS (SELECT phase, stiffness[1] AS c11, stiffness[2] AS c12, stiffness[3] AS c13, stiffness[15] AS c33, stiffness[22] AS c44 FROM phases),
+@query(f"""WITH {PRESENT_SQL}, c AS (SELECT phase, stiffness[1] AS c11, stiffness[2] AS c12, stiffness[3] AS c13, stiffness[15] AS c33, stiffness[22] AS c44 FROM phases),
 s AS (SELECT phase, c44, c33 * (c11 + c12) - 2 * c13 * c13 AS e, c11, c12, c13, c33 FROM c),
 u AS (SELECT phase, 0.5 * (c33 / e + 1 / (c11 - c12)) AS s11, 0.5 * (c33 / e - 1 / (c11 - c12)) AS s12, -c13 / e AS s13, (c11 + c12) / e AS s33, 1 / c44 AS s44 FROM s)
 SELECT phase, t AS angle, {_r("1 / (s11 * pow(sin(radians(t)), 4) + (2 * s13 + s44) * pow(sin(radians(t)) * cos(radians(t)), 2) + s33 * pow(cos(radians(t)), 4))", "young")} FROM u, range(0, 91, 15) r(t)""")
 def directional_young(spark, d):
     """Of each phase, in the plane of axes 1 and 3, by the angle from axis 3."""
-    compliance = homogenize_compliance(S.phases(spark))
+    compliance = homogenize_compliance(S.phases_of_map(spark, d))
     both = compliance.join(spark.range(0, 91, 15).withColumnRenamed("id", "angle"))
     n = [F.sin(F.radians("angle")), F.lit(0.0), F.cos(F.radians("angle"))]
     return rounded(both.select("phase", "angle", T.young_along([F.col("compliance")[i] for i in range(36)], n).alias("young")))
@@ -316,7 +316,7 @@ def wave_anisotropy(spark, d):
 
 
 #: The phases are isotropic about axis 3, where the speeds have a closed form: SH apart, P and SV from a quadratic equation.
-_WAVES_SQL = f"""WITH {PHASES_SQL}, ij AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, pi() - i * (pi() / 200) AS p, j * (2 * pi() / 200) AS q FROM range(101) a(i), range(201) b(j)),
+_WAVES_SQL = f"""WITH {PRESENT_SQL}, ij AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, pi() - i * (pi() / 200) AS p, j * (2 * pi() / 200) AS q FROM range(101) a(i), range(201) b(j)),
 d AS (SELECT i, j, sin(p) * cos(q) AS x, sin(p) * sin(q) AS y, cos(p) AS z, sin(p) * sin(p) AS s, cos(p) * cos(p) AS c FROM ij),
 m AS (SELECT phase, density, i, j, x, y, z, (stiffness[1] - stiffness[2]) / 2 * s + stiffness[22] * c AS h, stiffness[1] * s + stiffness[22] * c AS a, stiffness[22] * s + stiffness[15] * c AS b, pow(stiffness[3] + stiffness[22], 2) * s * c AS k FROM phases, d),
 v AS (SELECT phase, i, j, x, y, z, sqrt(1e9 / density * (a + b + sqrt((a - b) * (a - b) + 4 * k)) / 2) AS vp, sqrt(1e9 / density * h) AS vsh, sqrt(1e9 / density * (a + b - sqrt((a - b) * (a - b) + 4 * k)) / 2) AS vsv FROM m),
@@ -326,11 +326,11 @@ _SPEEDS_SQL = ", ".join(_r(c, c, 3) for c in waves.SPEEDS)
 
 @query(f"{_WAVES_SQL} SELECT phase, i, j, {', '.join(_r(c, c) for c in 'xyz')}, {_SPEEDS_SQL}, {_r('(vs1 - vs2) / ((vs1 + vs2) / 2) * 100', 'avs')}, {_r('1 / vs2 - 1 / vs1', 'dts', 12)}, {_r('1 / vp - 1 / fastest', 'dtp', 12)} FROM w")
 def phase_wave_speeds(spark, d):
-    return _rounded_waves(_phase_waves(spark))
+    return _rounded_waves(_phase_waves(spark, d))
 
 
-def _phase_waves(spark):
-    return waves.wave_speeds(S.phases(spark).withColumn("stiffness", F.transform("stiffness", lambda x: x * 1e9)), "phase")
+def _phase_waves(spark, d):
+    return waves.wave_speeds(S.phases_of_map(spark, d).withColumn("stiffness", F.transform("stiffness", lambda x: x * 1e9)), "phase")
 
 
 def _rounded_waves(df: DataFrame) -> DataFrame:
@@ -351,24 +351,28 @@ def nearest_neighbor(spark, d):
     return rounded(spatial.nearest(asked, points.where("phase = 1"), 3, 2.0))
 
 
-_MESH_SQL = """nodes AS (SELECT id AS node_id, (id % 13) * 0.75 AS x, (id // 13) * 0.8 AS y FROM range(13 * 11) t(id)),
-elements AS (SELECT id AS elem_id, a AS n1, CASE id % 2 WHEN 0 THEN a + 1 ELSE a + 14 END AS n2, CASE id % 2 WHEN 0 THEN a + 14 ELSE a + 13 END AS n3
-  FROM (SELECT id, (id // 2 // 12) * 13 + (id // 2) % 12 AS a FROM range(240) t(id))),
+#: Two elements for each pixel of the event map, cells of 0.75 by 0.8.
+_MESH_SQL = f"""{MAP_SQL}, nodes AS (SELECT DISTINCT (y + b) * (w + 1) + x + a AS node_id, (x + a) * 0.75::DOUBLE AS x, (y + b) * 0.8::DOUBLE AS y FROM points, side, range(2) r(a), range(2) s(b)),
+elements AS (SELECT 2 * point_id + k AS elem_id, a AS n1, CASE k WHEN 0 THEN a + 1 ELSE a + w + 2 END AS n2, CASE k WHEN 0 THEN a + w + 2 ELSE a + w + 1 END AS n3
+  FROM (SELECT point_id, y * (w + 1) + x AS a, w FROM points, side), range(2) r(k)),
 placed AS (SELECT e.*, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, c.x AS x3, c.y AS y3 FROM elements e JOIN nodes a ON a.node_id = n1 JOIN nodes b ON b.node_id = n2 JOIN nodes c ON c.node_id = n3)"""
 
 
-def _mesh(spark):
-    return mesh.grid_mesh(spark, 0.0, 9.0, 0.0, 8.0, 12, 10)
+_ENDS_SQL = "ends AS (SELECT max(x) AS x, max(y) AS y FROM nodes)"
+
+
+def _mesh(spark, d):
+    return mesh.pixel_mesh(S.event_map(spark, d), S.map_side(spark, d), 0.75, 0.8)
 
 
 @query(f"WITH {_MESH_SQL} SELECT elem_id, n1, n2, n3 FROM elements")
 def rect_mesh_elements(spark, d):
-    return _mesh(spark)[1]
+    return _mesh(spark, d)[1]
 
 
 @query(f"WITH {_MESH_SQL}, p AS (SELECT s_suppkey AS point_id, s_acctbal - 9 * floor(s_acctbal / 9) AS px, s_suppkey * 0.37 - 8 * floor(s_suppkey * 0.37 / 8) AS py FROM supplier), t AS (SELECT *, (x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1) AS w FROM placed), b AS (SELECT point_id, elem_id, ((px - x1) * (y3 - y1) - (x3 - x1) * (py - y1)) / w AS b, ((x2 - x1) * (py - y1) - (px - x1) * (y2 - y1)) / w AS c FROM p, t) SELECT point_id, min(elem_id) AS elem_id FROM b WHERE b >= -1e-8 AND c >= -1e-8 AND 1 - b - c >= -1e-8 GROUP BY point_id")
 def point_in_triangle(spark, d):
-    nodes, elements = _mesh(spark)
+    nodes, elements = _mesh(spark, d)
     raw = S.table(spark, d, "supplier")
     y = F.col("s_suppkey") * 0.37
     points = raw.select(F.col("s_suppkey").alias("point_id"), (F.col("s_acctbal") - 9 * F.floor(F.col("s_acctbal") / 9)).alias("x"), (y - 8 * F.floor(y / 8)).alias("y"))
@@ -456,18 +460,27 @@ def gradient_limited_size(spark, d):
     return geometry.limit_gradient(h, "map_id", 0.5)
 
 
-_SPHERE_SQL = "d AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, sin(pi() - i * pi() / 20) * cos(j * 2 * pi() / 20) AS x, sin(pi() - i * pi() / 20) * sin(j * 2 * pi() / 20) AS y, cos(pi() - i * pi() / 20) AS z FROM range(11) a(i), range(21) b(j))"
+#: The third crystal axis of every point of the map, turned to the lower half of the sphere.
+_POLES_SQL = f"{MAP_SQL}, axis AS (SELECT point_id, {S.ROTATION_SQL['a13']} AS x, {S.ROTATION_SQL['a23']} AS y, {S.ROTATION_SQL['a33']} AS z FROM points), d AS (SELECT point_id, CASE WHEN z > 0 THEN -x ELSE x END AS x, CASE WHEN z > 0 THEN -y ELSE y END AS y, -abs(z) AS z FROM axis)"
+
 
+def _poles(spark, d):
+    turn = T.rotation(F.col("phi1"), F.col("phi"), F.col("phi2"))
+    axis = S.event_map(spark, d).select("point_id", *(turn[i][2].alias(n) for i, n in enumerate("xyz")))
+    lower = lambda c: F.when(F.col("z") > 0, -F.col(c)).otherwise(F.col(c)).alias(c)
+    return axis.select("point_id", *map(lower, "xyz"))
 
-@query(f"WITH {_SPHERE_SQL} SELECT i, j, {_r('x * sqrt(2 / (1 - z))', 'px')}, {_r('y * sqrt(2 / (1 - z))', 'py')} FROM d")
+
+@query(f"WITH {_POLES_SQL} SELECT point_id, {_r('x * sqrt(2 / (1 - z))', 'px')}, {_r('y * sqrt(2 / (1 - z))', 'py')} FROM d")
 def lambert_projection(spark, d):
+    """The pole figure of the map's third crystal axes, equal in area."""
     px, py = T.lambert(F.col("x"), F.col("y"), F.col("z"))
-    return rounded(waves.directions(spark, 20).select("i", "j", px.alias("px"), py.alias("py")))
+    return rounded(_poles(spark, d).select("point_id", px.alias("px"), py.alias("py")))
 
 
-@query(f"WITH {_SPHERE_SQL} SELECT i, j, {_r('x', 'x')}, {_r('y', 'y')}, {_r('z', 'z')} FROM d UNION ALL SELECT i, j, {_r('-x', 'x')}, {_r('-y', 'y')}, {_r('-z', 'z')} FROM d")
+@query(f"WITH {_POLES_SQL} SELECT point_id, {_r('x', 'x')}, {_r('y', 'y')}, {_r('z', 'z')} FROM d UNION ALL SELECT point_id, {_r('-x', 'x')}, {_r('-y', 'y')}, {_r('-z', 'z')} FROM d")
 def mirror_sphere(spark, d):
-    return rounded(geometry.mirror(waves.directions(spark, 20).select("i", "j", "x", "y", "z")))
+    return rounded(geometry.mirror(_poles(spark, d)))
 
 
 @query("SELECT p_partkey, CASE WHEN p_retailprice - 905 <> 0 THEN CAST(floor(log10(abs(p_retailprice - 905))) AS INTEGER) END AS power FROM part")
@@ -482,31 +495,37 @@ _QUALITY = "SELECT elem_id, ((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) / 2
 
 @query(f"WITH {_MESH_SQL}, q AS ({_QUALITY}) SELECT elem_id, {', '.join(_r(c, c) for c in ('area', 'quality', 'cx', 'cy'))} FROM q")
 def mesh_quality(spark, d):
-    nodes, elements = _mesh(spark)
+    nodes, elements = _mesh(spark, d)
     return rounded(mesh.quality(mesh.corners(elements, nodes)))
 
 
-@query(f"WITH {_MESH_SQL}, q AS ({_QUALITY}) SELECT {_r('avg(quality)', 'mean')} FROM (SELECT quality FROM q ORDER BY quality LIMIT 12)")
+@query(f"WITH {_MESH_SQL}, q AS ({_QUALITY}) SELECT {_r('avg(quality)', 'mean')} FROM (SELECT quality FROM q ORDER BY quality LIMIT (SELECT CAST(ceil(0.05 * count(*)) AS BIGINT) FROM q))")
 def mesh_worst_quality(spark, d):
-    nodes, elements = _mesh(spark)
+    nodes, elements = _mesh(spark, d)
     return rounded(mesh.worst_mean(mesh.quality(mesh.corners(elements, nodes)), share=0.05))
 
 
 @query(f"WITH {_MESH_SQL}, e AS (SELECT least(n1, n2) AS a, greatest(n1, n2) AS b FROM elements UNION ALL SELECT least(n2, n3), greatest(n2, n3) FROM elements UNION ALL SELECT least(n1, n3), greatest(n1, n3) FROM elements) SELECT a, b, count(*) AS elements FROM e GROUP BY a, b")
 def mesh_edges(spark, d):
-    return mesh.edges(_mesh(spark)[1])
+    return mesh.edges(_mesh(spark, d)[1])
+
+
+def _hexagons(spark, d):
+    """A hexagonal grid over the extent of the event map, with about as many elements as it has points."""
+    size = S.event_map(spark, d).agg(F.max("x") + 1, F.max("y") + 1, F.count("*")).first()
+    return mesh.hexagonal_grid(spark, 0.0, float(size[0]), 0.0, float(size[1]), size[2])
 
 
 @query("SELECT name, 0::BIGINT AS n FROM (VALUES ('clockwise'), ('no area'), ('repeated corner'), ('repeated element'), ('unknown node'), ('unused node'), ('repeated node'), ('crowded edge')) t(name)")
 def mesh_checks(spark, d):
     """Of the hexagonal grid, which has to pass them all."""
-    nodes, elements = mesh.hexagonal_grid(spark, 0.0, 9.0, 0.0, 8.0, 400)
+    nodes, elements = _hexagons(spark, d)
     return mesh.checks(elements, nodes)
 
 
-@query(f"""WITH size AS (SELECT sqrt(4 * 9 * 8 / (400 * sqrt(3))) AS h), n AS (SELECT CAST(round(9 / h) AS BIGINT) AS nx, CAST(2 * round(8 / (h * sqrt(3))) AS BIGINT) AS ny FROM size),
-r AS (SELECT k AS r, nx, ny, 9::DOUBLE / nx AS w FROM n, LATERAL (SELECT unnest(range(ny + 1)) AS k)),
-node AS (SELECT r, k, (r // 2) * (2 * nx + 3) + (r % 2) * (nx + 1) + k AS id, CASE WHEN r % 2 = 0 THEN k * w ELSE least(greatest((k - 0.5::DOUBLE) * w, 0), 9) END AS x, r * (8::DOUBLE / ny) AS y
+@query(f"""WITH side AS (SELECT floor(sqrt(count(*)))::DOUBLE AS w FROM events), size AS (SELECT w, sqrt(4 * w * w / (w * w * sqrt(3))) AS h FROM side), n AS (SELECT w AS width, CAST(round(w / h) AS BIGINT) AS nx, CAST(2 * round(w / (h * sqrt(3))) AS BIGINT) AS ny FROM size),
+r AS (SELECT k AS r, nx, ny, width, width / nx AS w FROM n, LATERAL (SELECT unnest(range(ny + 1)) AS k)),
+node AS (SELECT r, k, (r // 2) * (2 * nx + 3) + (r % 2) * (nx + 1) + k AS id, CASE WHEN r % 2 = 0 THEN k * w ELSE least(greatest((k - 0.5::DOUBLE) * w, 0), width) END AS x, r * (width / ny) AS y
   FROM r, LATERAL (SELECT unnest(range(nx + 1 + r % 2)) AS k)),
 up AS (SELECT a.id AS a, b.id AS b, c.id AS c, a.r // 2 * 2 AS even FROM node a JOIN node b ON b.r = a.r AND b.k = a.k + 1 JOIN node c ON abs(c.r - a.r) = 1 AND c.k = a.k + 1 - a.r % 2),
 placed AS (SELECT p.id AS a, q.id AS b, s.id AS c, p.x AS xa, p.y AS ya, q.x AS xb, q.y AS yb, s.x AS xc, s.y AS yc FROM up JOIN node p ON p.id = a JOIN node q ON q.id = b JOIN node s ON s.id = c),
@@ -514,7 +533,7 @@ e AS (SELECT unnest([{{'x': xa, 'y': ya}}, {{'x': xb, 'y': yb}}, {{'x': xc, 'y':
 SELECT least(a, b, c) AS low, a + b + c - least(a, b, c) - greatest(a, b, c) AS middle, greatest(a, b, c) AS high, {_r('avg(v.x)', 'x')}, {_r('avg(v.y)', 'y')} FROM e GROUP BY a, b, c""")
 def hex_mesh_triangles(spark, d):
     """The hexagonal grid's elements by their nodes in order of number, with their centres: each edge of a row has a triangle above and one below."""
-    nodes, elements = mesh.hexagonal_grid(spark, 0.0, 9.0, 0.0, 8.0, 400)
+    nodes, elements = _hexagons(spark, d)
     n = F.array_sort(F.array("n1", "n2", "n3"))
     middle = lambda c: (F.col(f"{c}1") + F.col(f"{c}2") + F.col(f"{c}3")) / 3
     return rounded(mesh.corners(elements, nodes).select(n[0].alias("low"), n[1].alias("middle"), n[2].alias("high"), middle("x").alias("x"), middle("y").alias("y")))
@@ -522,31 +541,31 @@ def hex_mesh_triangles(spark, d):
 
 @query()
 def hex_mesh_elements(spark, d):
-    nodes, elements = mesh.hexagonal_grid(spark, 0.0, 9.0, 0.0, 8.0, 400)
+    nodes, elements = _hexagons(spark, d)
     return rounded(mesh.corners(elements, nodes))
 
 
 @query(f"WITH {_MESH_SQL}, q AS ({_QUALITY}) SELECT count(*) AS elements, {', '.join(_r(f'{f}({e})', f'{n}_{s}') for n, e in (('area', 'area'), ('root', 'sqrt(abs(area))'), ('quality', 'quality')) for f, s in (('min', 'min'), ('avg', 'mean'), ('max', 'max')))} FROM q")
 def mesh_statistics(spark, d):
-    nodes, elements = _mesh(spark)
+    nodes, elements = _mesh(spark, d)
     return rounded(mesh.statistics(mesh.corners(elements, nodes)).drop("edge_min", "edge_mean", "edge_max"))
 
 
-@query(f"WITH {_MESH_SQL} SELECT s.node_id, m.node_id AS master_id FROM nodes s JOIN nodes m ON m.x = CASE WHEN s.x = 9 THEN 0 ELSE s.x END AND abs(m.y - CASE WHEN s.y = 8 THEN 0 ELSE s.y END) < 1e-9 WHERE s.x = 9 OR s.y = 8")
+@query(f"WITH {_MESH_SQL}, {_ENDS_SQL} SELECT s.node_id, m.node_id AS master_id FROM ends e JOIN nodes s ON s.x = e.x OR s.y = e.y JOIN nodes m ON m.x = CASE WHEN s.x = e.x THEN 0 ELSE s.x END AND abs(m.y - CASE WHEN s.y = e.y THEN 0 ELSE s.y END) < 1e-9")
 def periodic_pairs(spark, d):
-    return mesh.periodic_pairs(_mesh(spark)[0])
+    return mesh.periodic_pairs(_mesh(spark, d)[0])
 
 
 @query(f"WITH {_MESH_SQL} SELECT {_r('x', 'x')}, {_r('y', 'y')} FROM (SELECT x, y FROM nodes UNION SELECT (x1 + x2) / 2, (y1 + y2) / 2 FROM placed UNION SELECT (x2 + x3) / 2, (y2 + y3) / 2 FROM placed UNION SELECT (x1 + x3) / 2, (y1 + y3) / 2 FROM placed)")
 def quadratic_nodes(spark, d):
-    nodes, elements = _mesh(spark)
+    nodes, elements = _mesh(spark, d)
     return rounded(mesh.quadratic(elements, nodes)[0].select("x", "y"))
 
 
 @query(f"WITH {_MESH_SQL} SELECT elem_id, {', '.join(_r(f'({c}{a} + {c}{b}) / 2', f'{c}{n}') for n, (a, b) in ((4, (1, 2)), (5, (2, 3)), (6, (1, 3))) for c in 'xy')} FROM placed")
 def quadratic_elements(spark, d):
     """Every element's mid-side nodes lie in the middle of their sides."""
-    nodes, elements = _mesh(spark)
+    nodes, elements = _mesh(spark, d)
     wide, six = mesh.quadratic(elements, nodes)
     for n in (4, 5, 6):
         six = six.join(wide.select(F.col("node_id").alias(f"n{n}"), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}")), f"n{n}")
@@ -556,17 +575,20 @@ def quadratic_elements(spark, d):
 # --- finite elements and fields ----------------------------------------------------------------------------------------
 
 _POINTS_SQL = "qp AS (SELECT elem_id, q AS qp, l1 * x1 + l2 * x2 + l3 * x3 AS x, l1 * y1 + l2 * y2 + l3 * y3 AS y, w * ((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) / 2 AS weight FROM placed, (VALUES (0, 1 / 3::DOUBLE, 1 / 3::DOUBLE, 1 / 3::DOUBLE, -27 / 48::DOUBLE), (1, 0.2::DOUBLE, 0.6::DOUBLE, 0.2::DOUBLE, 25 / 48::DOUBLE), (2, 0.2::DOUBLE, 0.2::DOUBLE, 0.6::DOUBLE, 25 / 48::DOUBLE), (3, 0.6::DOUBLE, 0.2::DOUBLE, 0.2::DOUBLE, 25 / 48::DOUBLE)) t(q, l1, l2, l3, w))"
-_FIELD_SQL = f"WITH {_MESH_SQL}, {_POINTS_SQL}, f AS (SELECT *, x * x + 3 * x * y - y AS f, 1 + elem_id % 3 AS phase FROM qp)"
+_FIELD_SQL = f"WITH {_MESH_SQL}, {_POINTS_SQL}, f AS (SELECT *, x * x + 3 * x * y - y AS f, phase FROM qp JOIN (SELECT point_id AS pixel, phase FROM points) ON pixel = elem_id // 2)"
 
 
-def _field(spark):
-    nodes, elements = _mesh(spark)
-    return fem.quadrature_points(mesh.corners(elements, nodes)).withColumn("f", F.col("x") * F.col("x") + 3 * F.col("x") * F.col("y") - F.col("y")).withColumn("phase", 1 + F.col("elem_id") % 3)
+def _field(spark, d):
+    """A field at the quadrature points of the map's elements, with their pixels' phases."""
+    nodes, elements = _mesh(spark, d)
+    x, y = F.col("x"), F.col("y")
+    points = fem.quadrature_points(mesh.corners(elements, nodes)).withColumns({"f": x * x + 3 * x * y - y, "pixel": F.floor(F.col("elem_id") / 2)})
+    return points.join(S.event_map(spark, d).select(F.col("point_id").alias("pixel"), "phase"), "pixel").drop("pixel")
 
 
 @query(f"WITH {_MESH_SQL}, {_POINTS_SQL} SELECT elem_id, qp, {', '.join(_r(c, c) for c in ('x', 'y', 'weight'))} FROM qp")
 def quadrature_points(spark, d):
-    nodes, elements = _mesh(spark)
+    nodes, elements = _mesh(spark, d)
     return rounded(fem.quadrature_points(mesh.corners(elements, nodes)))
 
 
@@ -574,41 +596,41 @@ _K_SQL = """k AS (SELECT elem_id, i, j, (b[i] * k11 * b[j] + (b[i] * c[j] + c[i]
   SELECT elem_id, [y2 - y3, y3 - y1, y1 - y2] AS b, [x3 - x2, x1 - x3, x2 - x1] AS c, (x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1) AS w, 2 + elem_id % 2 AS k11, 0.25 AS k12, 3 AS k22 FROM placed), range(1, 4) r(i), range(1, 4) s(j))"""
 
 
-def _matrix(spark):
-    nodes, elements = _mesh(spark)
+def _matrix(spark, d):
+    nodes, elements = _mesh(spark, d)
     placed = mesh.corners(elements, nodes).withColumns({"k11": (2 + F.col("elem_id") % 2).cast("double"), "k12": F.lit(0.25), "k22": F.lit(3.0)})
     return fem.conduction_matrix(placed), elements, nodes
 
 
 @query(f"WITH {_MESH_SQL}, {_K_SQL} SELECT elem_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {_r('value', 'value')} FROM k")
 def element_conductivity_matrix(spark, d):
-    return rounded(_matrix(spark)[0])
+    return rounded(_matrix(spark, d)[0])
 
 
-@query(f"WITH {_MESH_SQL}, {_K_SQL}, p AS (SELECT s.node_id, m.node_id AS master_id FROM nodes s JOIN nodes m ON m.x = CASE WHEN s.x = 9 THEN 0 ELSE s.x END AND abs(m.y - CASE WHEN s.y = 8 THEN 0 ELSE s.y END) < 1e-9 WHERE s.x = 9 OR s.y = 8), g AS (SELECT [n1, n2, n3][i] AS a, [n1, n2, n3][j] AS b, value FROM k JOIN elements USING (elem_id)) SELECT coalesce(p.master_id, a) AS \"row\", coalesce(q.master_id, b) AS col, {_r('sum(value)', 'value', 5)} FROM g LEFT JOIN p ON p.node_id = a LEFT JOIN p q ON q.node_id = b GROUP BY 1, 2")
+@query(f"WITH {_MESH_SQL}, {_ENDS_SQL}, {_K_SQL}, p AS (SELECT s.node_id, m.node_id AS master_id FROM ends e JOIN nodes s ON s.x = e.x OR s.y = e.y JOIN nodes m ON m.x = CASE WHEN s.x = e.x THEN 0 ELSE s.x END AND abs(m.y - CASE WHEN s.y = e.y THEN 0 ELSE s.y END) < 1e-9), g AS (SELECT [n1, n2, n3][i] AS a, [n1, n2, n3][j] AS b, value FROM k JOIN elements USING (elem_id)) SELECT coalesce(p.master_id, a) AS \"row\", coalesce(q.master_id, b) AS col, {_r('sum(value)', 'value', 5)} FROM g LEFT JOIN p ON p.node_id = a LEFT JOIN p q ON q.node_id = b GROUP BY 1, 2")
 def assembled_matrix(spark, d):
-    matrix, elements, nodes = _matrix(spark)
+    matrix, elements, nodes = _matrix(spark, d)
     return rounded(fem.assemble(matrix, elements, mesh.periodic_pairs(nodes)), 5)
 
 
 @query(f"{_FIELD_SQL} SELECT {_r('sum(f * weight) / sum(weight)', 'mean')} FROM f")
 def field_mean_weighted(spark, d):
-    return rounded(fields.weighted_mean(_field(spark), "f"))
+    return rounded(fields.weighted_mean(_field(spark, d), "f"))
 
 
 @query(f"{_FIELD_SQL} SELECT phase, {_r('sum(f * weight) / sum(weight)', 'mean')} FROM f GROUP BY phase")
 def field_mean_by_phase(spark, d):
-    return rounded(fields.weighted_mean(_field(spark), "f", ("phase",)))
+    return rounded(fields.weighted_mean(_field(spark, d), "f", ("phase",)))
 
 
 @query(f"{_FIELD_SQL} SELECT elem_id, {_r('avg(f)', 'f')} FROM f GROUP BY elem_id")
 def qp_to_element(spark, d):
-    return rounded(fields.to_elements(_field(spark), "f"))
+    return rounded(fields.to_elements(_field(spark, d), "f"))
 
 
 @query(f"{_FIELD_SQL}, e AS (SELECT elem_id, avg(f) AS f FROM f GROUP BY elem_id) SELECT node_id, {_r('avg(f)', 'f')} FROM (SELECT f, unnest([n1, n2, n3]) AS node_id FROM e JOIN elements USING (elem_id)) GROUP BY node_id")
 def qp_to_nodal(spark, d):
-    return rounded(fields.to_nodes(_field(spark), _mesh(spark)[1], "f"))
+    return rounded(fields.to_nodes(_field(spark, d), _mesh(spark, d)[1], "f"))
 
 
 #: Points along a side of a periodic cell of the event map, at most: 9,800 elements for conduction, 2,048 for elasticity.
@@ -652,18 +674,30 @@ def stress_strain_field(spark, d):
     return fem.stress_strain(fem.solve_thermoelastic(_elastic(spark, d)), (1.0, 0.0, 0.0, 0.0, 0.0, 0.0), 1.0)
 
 
+def _in_squares(rows: DataFrame) -> DataFrame:
+    """Places of the map with the square of 3 by 3.2 that they lie in, which stands for a grain."""
+    return rows.withColumn("grain", F.floor(F.col("x") / 3) * 1_000_000 + F.floor(F.col("y") / 3.2))
+
+
 @query()
 def field_interpolation(spark, d):
-    field = _field(spark).withColumn("grain", F.col("phase"))
-    targets = mesh.quality(mesh.corners(*reversed(_mesh(spark)))).select((1 + F.col("elem_id") % 3).alias("grain"), F.col("elem_id").alias("target_id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
-    return fields.interpolate(field, targets, "grain", ["f"])
+    nodes, elements = _mesh(spark, d)
+    targets = mesh.quality(mesh.corners(elements, nodes)).select(F.col("elem_id").alias("target_id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    return fields.interpolate(_in_squares(_field(spark, d)), _in_squares(targets), "grain", ["f"])
 
 
-@query()
+@query(f"""WITH {MAP_SQL}, c AS (SELECT w * (s_suppkey * 0.6180339887::DOUBLE - floor(s_suppkey * 0.6180339887::DOUBLE)) AS cx, w * (s_suppkey * 0.7548776662::DOUBLE - floor(s_suppkey * 0.7548776662::DOUBLE)) AS cy FROM supplier, side),
+k AS (SELECT w / (2 * greatest(1, sqrt((SELECT count(*) FROM supplier)))) AS k FROM side),
+f AS (SELECT x, y, sum(exp(-(pow(least(abs(x - cx), w - abs(x - cx)), 2) + pow(least(abs(y - cy), w - abs(y - cy)), 2)) / (2 * k * k))) AS level FROM points, c, side, k GROUP BY x, y)
+SELECT x, y, CASE WHEN level > (SELECT quantile_cont(level, 0.6) FROM f) THEN 2 ELSE 1 END AS phase FROM f""")
 def random_two_phase_map(spark, d):
+    """Over the places of the event map, with a bump for each supplier."""
     from grainflow.sources.maps import random_two_phase
 
-    return random_two_phase(spark, 64, 0.4, 40)
+    side = S.map_side(spark, d)
+    share = lambda step: side * (F.col("s_suppkey") * step - F.floor(F.col("s_suppkey") * step))
+    centres = S.table(spark, d, "supplier").select(share(F.lit(0.6180339887)).alias("cx"), share(F.lit(0.7548776662)).alias("cy"))
+    return random_two_phase(S.event_map(spark, d).select("x", "y"), centres, side, 0.4)
 
 
 # --- elements' material, conforming meshes, further statistics ---------------------------------------------------------
@@ -762,13 +796,13 @@ def characteristic_functions(spark, d):
 
 @query(f"{_FIELD_SQL}, e AS (SELECT 'f' AS field, f AS v, weight FROM f UNION ALL SELECT 'x', x, weight FROM f) SELECT field, {_r('min(v)', 'low')}, {_r('sum(v * weight) / sum(weight)', 'mean')}, {_r('max(v)', 'high')} FROM e GROUP BY field")
 def field_statistics(spark, d):
-    return rounded(fields.statistics(_field(spark), ["f", "x"]))
+    return rounded(fields.statistics(_field(spark, d), ["f", "x"]))
 
 
-@query(f"WITH {PHASES_SQL}, e AS (SELECT phase, i, [k11, k12, k13, k21, k22, k23, k31, k32, k33][i + 1] AS v, [k11, k21, k31, k12, k22, k32, k13, k23, k33][i + 1] AS t FROM phases, range(9) r(i)), m AS (SELECT phase, max(abs((v + t) / 2)) AS m FROM e GROUP BY phase) SELECT phase, CAST(i AS INTEGER) AS i, CASE WHEN abs((v + t) / 2) < 0.08 * m THEN 0 ELSE round((v + t) / 2, 6) END AS value FROM e JOIN m USING (phase)")
+@query(f"WITH {PRESENT_SQL}, e AS (SELECT phase, i, [k11, k12, k13, k21, k22, k23, k31, k32, k33][i + 1] AS v, [k11, k21, k31, k12, k22, k32, k13, k23, k33][i + 1] AS t FROM phases, range(9) r(i)), m AS (SELECT phase, max(abs((v + t) / 2)) AS m FROM e GROUP BY phase) SELECT phase, CAST(i AS INTEGER) AS i, CASE WHEN abs((v + t) / 2) < 0.08 * m THEN 0 ELSE round((v + t) / 2, 6) END AS value FROM e JOIN m USING (phase)")
 def clean_conductivity(spark, d):
     """With a threshold high enough to act on some entries."""
-    return rounded(homogenize.cleaned(S.phases(spark), "kappa", 9 // 3, 0.08).select("phase", F.posexplode("kappa").alias("i", "value")))
+    return rounded(homogenize.cleaned(S.phases_of_map(spark, d), "kappa", 9 // 3, 0.08).select("phase", F.posexplode("kappa").alias("i", "value")))
 
 
 @query("WITH c AS (SELECT r_regionkey AS ring, k AS seq, r_regionkey * 10 + [0, 4, 4, 0][k + 1] AS x, [0, 0, 3, 3][k + 1] AS y, [4, 4, 0, 0][k + 1] - [0, 4, 4, 0][k + 1] AS dx, [0, 3, 3, 0][k + 1] - [0, 0, 3, 3][k + 1] AS dy FROM region, range(4) t(k)) SELECT ring, seq * 1000000 + k AS seq, (x + k * sign(dx))::DOUBLE AS x, (y + k * sign(dy))::DOUBLE AS y FROM c, range(4) t(k) WHERE k < greatest(abs(dx), abs(dy))")
@@ -782,9 +816,9 @@ def densify_ring(spark, d):
 @query(f"WITH {_MESH_SQL} SELECT elem_id, {', '.join(_r(f'{c}{i}::DOUBLE', f'{c}{i}') for i in (1, 2, 3) for c in 'xy')} FROM placed")
 def mesh_cleanup(spark, d):
     """A mesh given twice, shifted in number and turned round, becomes itself again: elements with the places of their corners."""
-    nodes, flat = _mesh(spark)
-    twice = nodes.unionByName(nodes.withColumn("node_id", F.col("node_id") + 1000))
-    mixed = flat.select("elem_id", F.when(F.col("elem_id") % 2 == 0, F.col("n1")).otherwise(F.col("n1") + 1000).alias("n1"), F.col("n3").alias("n2"), F.col("n2").alias("n3"))
+    nodes, flat = _mesh(spark, d)
+    twice = nodes.unionByName(nodes.withColumn("node_id", F.col("node_id") + (1 << 40)))
+    mixed = flat.select("elem_id", F.when(F.col("elem_id") % 2 == 0, F.col("n1")).otherwise(F.col("n1") + (1 << 40)).alias("n1"), F.col("n3").alias("n2"), F.col("n2").alias("n3"))
     return rounded(mesh.corners(*mesh.cleanup(mixed, twice)).select("elem_id", *(f"{c}{i}" for i in (1, 2, 3) for c in "xy")))
 
 
@@ -792,14 +826,14 @@ def mesh_cleanup(spark, d):
 def wave_speed_projection(spark, d):
     """Speeds at their places in the equal-area projection, for plotting."""
     px, py = T.lambert(F.col("x"), F.col("y"), F.col("z"))
-    return _rounded_waves(_phase_waves(spark).select("phase", "i", "j", px.alias("px"), py.alias("py"), "vp", "vs1", "vs2"))
+    return _rounded_waves(_phase_waves(spark, d).select("phase", "i", "j", px.alias("px"), py.alias("py"), "vp", "vs1", "vs2"))
 
 
 @query()
 def field_on_grid(spark, d):
-    """The field inside each grain on a regular grid, as for arrows or images."""
-    field = _field(spark).withColumn("grain", F.lit(1).cast("long"))
-    return fields.interpolate(field, fields.regular_grid(field).withColumn("grain", F.lit(1).cast("long")), "grain", ["f"])
+    """The field inside each square of the map on a regular grid, as for arrows or images."""
+    field = _field(spark, d)
+    return fields.interpolate(_in_squares(field), _in_squares(fields.regular_grid(field)), "grain", ["f"])
 
 
 # --- meshes triangulated anew --------------------------------------------------------------------------------------------

@@ -12,8 +12,8 @@ from grainflow.operators import clean, conforming, elements, fem, geometry, homo
 from grainflow.plans import analysis
 from grainflow.plans import standard as S
 from grainflow.plans.config import JobConfig
-from grainflow.plans.queries import _MESH_SQL, CELLS, _mesh, _r, query, rounded
-from grainflow.plans.standard import MAP_SQL, PHASES_SQL, ROTATION_SQL
+from grainflow.plans.queries import _MESH_SQL, CELLS, _estimate, _mesh, _r, query, rounded
+from grainflow.plans.standard import MAP_SQL, PHASES_SQL, PRESENT_SQL, ROTATION_SQL
 from grainflow.session import checkpoint_folder
 from grainflow.sources import maps, properties, sinks
 
@@ -82,10 +82,10 @@ def crop_offset(spark, d):
 # --- phases ------------------------------------------------------------------------------------------------------------
 
 
-def _phase_files(spark) -> list[str]:
-    """A property file for each phase, in its usual form."""
+def _phase_files(spark, d) -> list[str]:
+    """A property file for each phase of the event map, in its usual form."""
     out = []
-    for r in S.phase_rows():
+    for r in S.phases_of_map(spark, d).orderBy("phase").collect():  # eight at most
         _, name, density, stiffness, alpha, kappa = r
         rows = lambda v, n: "\n".join(" ".join(map(repr, v[i : i + n])) for i in range(0, len(v), n))
         text = f"# made from a rule\n*Phase\n{name}\n*density\n{density}  # kg/m3\n*STIFFNESS_MATRIX\n{rows(stiffness, 6)}\n*thermal_expansion\n{rows(alpha, 6)}\n*thermal_conductivity\n{rows(kappa, 3)}\n"
@@ -95,40 +95,46 @@ def _phase_files(spark) -> list[str]:
     return out
 
 
-@query(f"WITH {PHASES_SQL} SELECT phase, 'phase ' || phase AS name, density, a1, a3, k12, k33, stiffness[1] AS c11, stiffness[36] AS c66 FROM phases")
+@query(f"WITH {PRESENT_SQL} SELECT phase, 'phase ' || phase AS name, density, a1, a3, k12, k33, stiffness[1] AS c11, stiffness[36] AS c66 FROM phases")
 def read_phase_files(spark, d):
-    read = properties.read_properties(spark, _phase_files(spark))
+    read = properties.read_properties(spark, _phase_files(spark, d))
     return read.select("phase", "name", "density", F.col("alpha")[0].alias("a1"), F.col("alpha")[2].alias("a3"), F.col("kappa")[1].alias("k12"), F.col("kappa")[8].alias("k33"), F.col("stiffness")[0].alias("c11"), F.col("stiffness")[35].alias("c66"))
 
 
-@query(f"WITH {PHASES_SQL} SELECT phase FROM phases WHERE phase % 2 = 1")
+@query(f"WITH {PRESENT_SQL} SELECT phase FROM phases WHERE phase % 2 = 1")
 def asymmetric_phases(spark, d):
     bent = F.transform("stiffness", lambda v, i: F.when((i == 1) & (F.col("phase") % 2 == 1), v * 1.01).otherwise(v))
-    return properties.asymmetric(S.phases(spark).withColumn("stiffness", bent)).select("phase")
+    return properties.asymmetric(S.phases_of_map(spark, d).withColumn("stiffness", bent)).select("phase")
 
 
-@query("""WITH e AS (SELECT 70.0::DOUBLE AS young, 0.25::DOUBLE AS nu), c AS (SELECT young * nu / ((1 + nu) * (1 - 2 * nu)) AS l, young / (2 * (1 + nu)) AS g FROM e)
-SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(CASE WHEN i < 3 AND j < 3 THEN l + CASE WHEN i = j THEN 2 * g ELSE 0 END WHEN i = j THEN g ELSE 0 END, 6) + 0.0 AS value FROM c, range(6) a(i), range(6) b(j)""")
+@query(f"""WITH {MAP_SQL}, e AS (SELECT phase, avg(value) AS young, 0.1::DOUBLE + phase / 20::DOUBLE AS nu FROM points GROUP BY phase), c AS (SELECT phase, young * nu / ((1 + nu) * (1 - 2 * nu)) AS l, young / (2 * (1 + nu)) AS g FROM e)
+SELECT phase, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(CASE WHEN i < 3 AND j < 3 THEN l + CASE WHEN i = j THEN 2 * g ELSE 0 END WHEN i = j THEN g ELSE 0 END, 6) + 0.0 AS value FROM c, range(6) a(i), range(6) b(j)""")
 def isotropic_stiffness(spark, d):
-    c = properties.isotropic(70.0, 0.25)
-    return rounded(spark.createDataFrame([(k // 6, k % 6, float(v)) for k, v in enumerate(c)], "i int, j int, value double"))
+    """Of materials whose Young's modulus is the mean value of the map's points of a phase."""
+    means = S.event_map(spark, d).groupBy("phase").agg(F.avg("value").alias("young"))
+    c = F.array(*properties.isotropic(F.col("young"), F.lit(0.1) + F.col("phase") / F.lit(20.0)))
+    each = means.select("phase", F.posexplode(c).alias("k", "value"))
+    return rounded(each.select("phase", F.floor(F.col("k") / 6).cast("int").alias("i"), (F.col("k") % 6).cast("int").alias("j"), "value"))
 
 
 # --- sinks -------------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {PHASES_SQL}, r AS (SELECT phase, i, CASE i WHEN 0 THEN [k11, k12, k13] WHEN 1 THEN [k21, k22, k23] ELSE [k31, k32, k33] END AS v FROM phases, range(3) t(i)) SELECT phase, CAST(i AS INTEGER) AS i, printf('%15.6e %15.6e %15.6e', v[1], v[2], v[3]) AS value FROM r")
+@query(f"WITH {PRESENT_SQL}, r AS (SELECT phase, i, CASE i WHEN 0 THEN [k11, k12, k13] WHEN 1 THEN [k21, k22, k23] ELSE [k31, k32, k33] END AS v FROM phases, range(3) t(i)) SELECT phase, CAST(i AS INTEGER) AS i, printf('%15.6e %15.6e %15.6e', v[1], v[2], v[3]) AS value FROM r")
 def matrix_text(spark, d):
-    rows = S.phases(spark).select("phase", F.posexplode(F.array(*(F.slice("kappa", 3 * i + 1, 3) for i in range(3)))).alias("i", "row"))
+    rows = S.phases_of_map(spark, d).select("phase", F.posexplode(F.array(*(F.slice("kappa", 3 * i + 1, 3) for i in range(3)))).alias("i", "row"))
     keyed = rows.withColumn("at", F.struct("phase", "i"))
     return sinks.matrix_lines(keyed, "at").select("at.phase", "at.i", "value")
 
 
-@query("SELECT r_regionkey, r_name AS method FROM region")
+@query(" UNION ALL ".join(f"SELECT '{m}' AS method, * FROM ({_estimate(m)})" for m in ("voigt", "reuss", "hill")))
 def results_by_method(spark, d):
+    """The map's conductivity by every method, written as a result, method by method, and read back."""
     path = _folder(spark, "results")
-    sinks.write_results(S.table(spark, d, "region").select("r_regionkey", F.col("r_name").alias("method")), path)
-    return spark.read.parquet(path).select("r_regionkey", F.col("method").cast("string").alias("method"))
+    found = homogenize.conductivity_estimates(S.event_map(spark, d), S.phases(spark))
+    sinks.write_results(found, path)
+    back = spark.read.parquet(path).withColumn("method", F.col("method").cast("string"))
+    return rounded(back.select("method", *(f"k{i}{j}" for i, j in CELLS)))
 
 
 @query("SELECT s_suppkey AS node_id, s_acctbal AS x, 'same' AS store FROM supplier UNION ALL SELECT NULL, NULL, 'none'")
@@ -150,18 +156,12 @@ SELECT count(*) AS points, {_r("avg(density)", "density")}, {", ".join(_r("avg("
 def whole_job(spark, d):
     """A job from the files of the whole event map and its phases: points, density and the Voigt conductivity."""
     lines = S.event_map(spark, d).select(_line("phi1", "phi", "phi2", "x", "y", "phase"))
-    config = JobConfig(map_path=_written(lines, "map.txt"), phase_paths=tuple(_phase_files(spark)), thermoelastic=False)
+    config = JobConfig(map_path=_written(lines, "map.txt"), phase_paths=tuple(_phase_files(spark, d)), thermoelastic=False)
     tables = analysis.run(spark, config)
     voigt = tables["conductivity"].where("method = 'voigt'").select(*(f"k{i}{j}" for i, j in CELLS))
     return rounded(tables["summary"].select("points").join(tables["density"]).join(voigt))
 
 
-@query("SELECT 'map_path is empty' AS problem UNION ALL SELECT 'phase_paths must name 1 to 8 files' UNION ALL SELECT 'columns overlap' UNION ALL SELECT 'wave_grid must be even'")
-def job_problems(spark, d):
-    found = JobConfig(map_path="", phase_paths=(), euler_column=3, wave_grid=3).problems()
-    return spark.createDataFrame([(p,) for p in found], "problem string")
-
-
 # --- tensors and places ------------------------------------------------------------------------------------------------
 
 
@@ -174,9 +174,11 @@ def frame_rotation(spark, d):
     return rounded(turned.select("point_id", "k11", "k22", "k33", "k12", "k13", "k23"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i = j THEN i ELSE 9 - i - j END AS INTEGER) AS voigt FROM range(1, 4) a(i), range(1, 4) b(j)")
+@query(f"WITH {MAP_SQL}, p AS (SELECT point_id, 1 + x % 3 AS i, 1 + y % 3 AS j FROM points) SELECT point_id, i, j, CASE WHEN i = j THEN i ELSE 9 - i - j END AS voigt FROM p")
 def voigt_numbers(spark, d):
-    return spark.createDataFrame([(i, j, T.contract(i, j)) for i, j in CELLS], "i int, j int, voigt int")
+    """Of the index pairs that the places of the map give."""
+    pairs = S.event_map(spark, d).select("point_id", (1 + F.col("x") % 3).alias("i"), (1 + F.col("y") % 3).alias("j"))
+    return pairs.withColumn("voigt", T.contract(F.col("i"), F.col("j")))
 
 
 @query("SELECT s_suppkey, round(x * sqrt(greatest(1 - (x * x + y * y) / 4, 0)), 6) + 0.0 AS x, round(y * sqrt(greatest(1 - (x * x + y * y) / 4, 0)), 6) + 0.0 AS y, round((x * x + y * y) / 2 - 1, 6) + 0.0 AS z FROM (SELECT s_suppkey, (s_suppkey % 13 - 6)::DOUBLE / 7 AS x, (s_suppkey % 11 - 5)::DOUBLE / 6 AS y FROM supplier)")
@@ -188,29 +190,36 @@ def inverse_lambert_projection(spark, d):
 @query("SELECT s_suppkey, round(2 * y + 3 * x + x * y, 6) + 0.0 AS h FROM (SELECT s_suppkey, (s_suppkey % 17)::DOUBLE / 2 + 0.25 AS x, (s_suppkey % 13)::DOUBLE / 2 AS y FROM supplier)")
 def size_look_up(spark, d):
     """Bilinear interpolation gives a bilinear field exactly."""
-    sizes = spark.range(144).select((F.col("id") % 12).alias("j"), F.floor(F.col("id") / 12).alias("i")).withColumn("h", 2.0 * F.col("i") + 3.0 * F.col("j") + F.col("i") * F.col("j"))
+    sizes = S.event_map(spark, d).select(F.col("x").alias("j"), F.col("y").alias("i")).withColumn("h", 2.0 * F.col("i") + 3.0 * F.col("j") + F.col("i") * F.col("j"))
     places = S.table(spark, d, "supplier").select("s_suppkey", ((F.col("s_suppkey") % 17).cast("double") / 2 + 0.25).alias("x"), ((F.col("s_suppkey") % 13).cast("double") / 2).alias("y"))
     return rounded(conforming.look_up(sizes, places, "s_suppkey"))
 
 
-@query("SELECT r_regionkey, CAST(k AS INTEGER) AS k, round(3 + cos(t) * u - sin(t) * v, 6) + 0.0 AS x, round(4 + sin(t) * u + cos(t) * v, 6) + 0.0 AS y FROM (SELECT r_regionkey, k, r_regionkey * 0.3 AS t, [-1, 1, 1, -1][k + 1]::DOUBLE AS u, [-0.5, -0.5, 0.5, 0.5][k + 1]::DOUBLE AS v FROM region, range(4) s(k))")
+@query("SELECT p_partkey, CAST(k AS INTEGER) AS k, round(3 + cos(t) * u - sin(t) * v, 6) + 0.0 AS x, round(4 + sin(t) * u + cos(t) * v, 6) + 0.0 AS y FROM (SELECT p_partkey, k, p_partkey * 0.3::DOUBLE AS t, [-1, 1, 1, -1][k + 1] * p_size / 2::DOUBLE AS u, [-0.5, -0.5, 0.5, 0.5][k + 1]::DOUBLE AS v FROM part, range(4) s(k))")
 def turned_rectangle(spark, d):
-    rows = [(r, k, float(x), float(y)) for r in range(S.table(spark, d, "region").count()) for k, (x, y) in enumerate(geometry.rectangle(3.0, 4.0, 2.0, 1.0, 0.3 * r))]
-    return rounded(spark.createDataFrame(rows, "r_regionkey int, k int, x double, y double").withColumn("r_regionkey", F.col("r_regionkey").cast(S.table(spark, d, "region").schema["r_regionkey"].dataType)))
+    """A rectangle for each part, as wide as its size."""
+    corners = geometry.rectangle(F.lit(3.0), F.lit(4.0), F.col("p_size").cast("double"), F.lit(1.0), F.col("p_partkey") * F.lit(0.3))
+    each = S.table(spark, d, "part").select("p_partkey", F.posexplode(corners).alias("k", "c"))
+    return rounded(each.select("p_partkey", "k", "c.x", "c.y"))
 
 
-@query("SELECT CAST(t AS INTEGER) AS target, round(sqrt(4 * 30.0::DOUBLE * 20 / (t * sqrt(3))), 6) + 0.0 AS spacing FROM range(100, 2001, 100) r(t)")
+@query("SELECT p_partkey, round(sqrt(4 * p_size::DOUBLE * 20 / ((100 + p_partkey) * sqrt(3))), 6) + 0.0 AS spacing FROM part")
 def mesh_spacing(spark, d):
-    return rounded(spark.createDataFrame([(t, mesh.spacing(30.0, 20.0, t)) for t in range(100, 2001, 100)], "target int, spacing double"))
+    """Edge lengths for rectangles as wide as a part's size and 20 high."""
+    target = 100 + F.col("p_partkey")
+    return rounded(S.table(spark, d, "part").select("p_partkey", mesh.spacing(F.col("p_size").cast("double"), F.lit(20.0), target).alias("spacing")))
 
 
-@query(f"WITH {_MESH_SQL} SELECT elem_id, CAST(CASE WHEN x1 + x2 + x3 > 13.5 THEN 1 ELSE 0 END + CASE WHEN y1 + y2 + y3 > 12 THEN 2 ELSE 0 END AS BIGINT) AS grain FROM placed")
+@query(f"WITH {_MESH_SQL} SELECT elem_id, CAST(CASE WHEN x1 + x2 + x3 > 1.5 * e.x THEN 1 ELSE 0 END + CASE WHEN y1 + y2 + y3 > 1.5 * e.y THEN 2 ELSE 0 END AS BIGINT) AS grain FROM placed, (SELECT max(x) AS x, max(y) AS y FROM nodes) e")
 def elements_in_grains(spark, d):
     """The elements of a mesh over four grains, rectangles that share their sides."""
-    nodes, flat = _mesh(spark)
+    nodes, flat = _mesh(spark, d)
     corner = lambda k, v: F.element_at(F.array(*map(F.lit, v)), (F.col(k) + 1).cast("int"))
-    squares = spark.range(16).select(F.floor(F.col("id") / 4).alias("grain"), (F.col("id") % 4).alias("seq")).withColumn("x", F.col("grain") % 2 * 4.5 + corner("seq", [0.0, 4.5, 4.5, 0.0])).withColumn("y", F.floor(F.col("grain") / 2) * 4.0 + corner("seq", [0.0, 0.0, 4.0, 4.0]))
-    return elements.grain_of_elements(flat, nodes, squares, "grain").select("elem_id", "grain")
+    half = nodes.agg((F.max("x") / 2).alias("w"), (F.max("y") / 2).alias("h")).first()
+    place = lambda at, step, c: (at + corner("seq", c)) * step
+    squares = spark.range(16).select(F.floor(F.col("id") / 4).alias("grain"), (F.col("id") % 4).alias("seq"))
+    squares = squares.withColumn("x", place(F.col("grain") % 2, half["w"], [0, 1, 1, 0])).withColumn("y", place(F.floor(F.col("grain") / 2), half["h"], [0, 0, 1, 1]))
+    return elements.grain_of_elements(flat, nodes, squares, "grain", half["w"]).select("elem_id", "grain")
 
 
 @query(f"""WITH {MAP_SQL}, p AS (SELECT point_id, x, y, CASE WHEN phase > 2 THEN 2 ELSE 1 END AS phase FROM points),
@@ -226,15 +235,19 @@ def minority_points(spark, d):
 @query()
 def clean_two_phase_map(spark, d):
     """A random map of two phases without points that few of their own kind surround."""
-    points = maps.random_two_phase(spark, 64, 0.4, 40).withColumn("point_id", F.col("y") * 64 + F.col("x"))
-    return clean.remove_minorities(points, 64, 64, 11)
+    from grainflow.plans import queries as core
+
+    side = S.map_side(spark, d)
+    points = core.random_two_phase_map(spark, d).withColumn("point_id", F.col("y") * side + F.col("x"))
+    return clean.remove_minorities(points, side, side, 11)
 
 
-@query("SELECT CAST(t AS INTEGER) AS target, true AS fits FROM range(500, 5001, 500) r(t)")
+@query("SELECT p_partkey, true AS fits FROM part")
 def fitted_element_counts(spark, d):
-    """Edge lengths are scaled until the number of elements is within 5 % of the target, within six rounds."""
-    rows = [(t, abs(mesh.fitted_spacing(mesh.rectangular_count(31.0, 17.0), t, 3.0)[1] - t) <= 0.05 * t) for t in range(500, 5001, 500)]
-    return spark.createDataFrame(rows, "target int, fits boolean")
+    """Edge lengths of a rectangle as wide as a part's size plus 30, scaled until the number of elements is within 5 % of a target, within six rounds."""
+    target = 2000 + 7 * F.col("p_partkey")
+    count = mesh.rectangular_count(F.col("p_size") + 30.0, F.lit(37.0))
+    return S.table(spark, d, "part").withColumn("target", target).select("p_partkey", (F.abs(mesh.fitted_spacing(count, F.col("target"), 3.0)["count"] - F.col("target")) <= 0.05 * F.col("target")).alias("fits"))
 
 
 def _assembled(spark, d, kind: str):
@@ -258,6 +271,6 @@ def assembled_conduction_forces(spark, d):
     return _assembled(spark, d, "conduction")[1]
 
 
-@query(f"WITH {PHASES_SQL} SELECT 'phase ' || phase AS method, CAST(line AS INTEGER) AS line, CASE WHEN line = 0 THEN 'method phase ' || phase WHEN line = 1 THEN 'stiffness' WHEN line = 8 THEN 'thermal expansion' WHEN line = 9 THEN printf('%12.4f %12.4f %12.4f %12.4f %12.4f %12.4f', a1, a2, a3, 0.0, 0.0, 0.0) ELSE printf('%12.4f %12.4f %12.4f %12.4f %12.4f %12.4f', stiffness[6 * line - 11], stiffness[6 * line - 10], stiffness[6 * line - 9], stiffness[6 * line - 8], stiffness[6 * line - 7], stiffness[6 * line - 6]) END AS value FROM phases, range(10) t(line)")
+@query(f"WITH {PRESENT_SQL} SELECT 'phase ' || phase AS method, CAST(line AS INTEGER) AS line, CASE WHEN line = 0 THEN 'method phase ' || phase WHEN line = 1 THEN 'stiffness' WHEN line = 8 THEN 'thermal expansion' WHEN line = 9 THEN printf('%12.4f %12.4f %12.4f %12.4f %12.4f %12.4f', a1, a2, a3, 0.0, 0.0, 0.0) ELSE printf('%12.4f %12.4f %12.4f %12.4f %12.4f %12.4f', stiffness[6 * line - 11], stiffness[6 * line - 10], stiffness[6 * line - 9], stiffness[6 * line - 8], stiffness[6 * line - 7], stiffness[6 * line - 6]) END AS value FROM phases, range(10) t(line)")
 def summary_log(spark, d):
-    return sinks.log_lines(S.phases(spark).withColumnRenamed("name", "method"))
+    return sinks.log_lines(S.phases_of_map(spark, d).withColumnRenamed("name", "method"))

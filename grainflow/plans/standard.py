@@ -29,6 +29,11 @@ def phases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(phase_rows(), "phase int, name string, density double, stiffness array<double>, alpha array<double>, kappa array<double>")
 
 
+def phases_of_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phases that the event map holds."""
+    return phases(spark).join(event_map(spark, sf_dir).select("phase").distinct(), "phase", "left_semi")
+
+
 def map_side(spark: SparkSession, sf_dir: str) -> int:
     """Points along a side of the event map."""
     return int(table(spark, sf_dir, "events").count() ** 0.5)
@@ -58,6 +63,8 @@ points AS (
 
 PHASES_SQL = "phases(phase, density, a1, a2, a3, k11, k12, k13, k21, k22, k23, k31, k32, k33, stiffness) AS (VALUES " + ", ".join(f"({p}, {d}::DOUBLE, {', '.join(f'{v}::DOUBLE' for v in [*a[:3], *k])}, {[float(v) for v in c]}::DOUBLE[])" for p, _, d, c, a, k in phase_rows()) + ")"
 
+PRESENT_SQL = f"{MAP_SQL}, every_{PHASES_SQL}, phases AS (SELECT * FROM every_phases WHERE phase IN (SELECT phase FROM points))"
+
 ROTATION_SQL = {
     "a11": "cos(phi1) * cos(phi2) - sin(phi1) * cos(phi) * sin(phi2)", "a12": "-cos(phi1) * sin(phi2) - sin(phi1) * cos(phi) * cos(phi2)", "a13": "sin(phi1) * sin(phi)",
     "a21": "sin(phi1) * cos(phi2) + cos(phi1) * cos(phi) * sin(phi2)", "a22": "cos(phi1) * cos(phi) * cos(phi2) - sin(phi1) * sin(phi2)", "a23": "-cos(phi1) * sin(phi)",

@@ -6,9 +6,14 @@ The result is points(map_id, point_id, phi1, phi, phi2, x, y, phase); angles are
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainflow.operators.components import checkpointed
+from grainflow.operators.quantiles import quantile
+
 NUMBER = r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?"
 
 
@@ -63,15 +68,26 @@ def from_colours(pixels: DataFrame, rows: str = "row", columns: str = "col", col
     return out.select(F.lit(0.0).alias("phi1"), F.lit(0.0).alias("phi"), F.lit(0.0).alias("phi2"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "phase")
 
 
-def random_two_phase(spark: SparkSession, size: int, fraction: float, centres: int, seed: int = 1) -> DataFrame:
-    """A random periodic map of two phases: a sum of Gaussian bumps around `centres` hashed places and their
-    periodic images, cut at the level that gives phase 2 the `fraction` of points."""
-    unit = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
-    places = spark.range(centres).select((unit(1) * size).alias("cx"), (unit(2) * size).alias("cy"))
-    grid = spark.range(size * size).select((F.col("id") % size).alias("x"), F.floor(F.col("id") / size).alias("y"))
-    width = size / (2.0 * max(1.0, centres**0.5))
+def random_two_phase(grid: DataFrame, centres: DataFrame, size: float, fraction: float, error: float = 1e-9) -> DataFrame:
+    """(x, y, phase) of places (x, y) on a periodic square of side `size`: a sum of Gaussian bumps around centres (cx, cy) and their periodic
+    images, cut at the level that gives phase 2 the `fraction` of the places.
+
+    A bump is left out where it is below `error` over the number of centres, so that no sum is off by more than `error`. What is left of it
+    fits a bucket and its neighbours round the torus: a place meets the centres of nine buckets at most, some hundreds, however large the map.
+    """
+    n = max(1, centres.count())
+    width = size / (2.0 * n**0.5)
+    reach = width * math.sqrt(2 * math.log(max(n / error, math.e)))
+    buckets = max(1, int(size / reach))
+    own = lambda c: F.pmod(F.floor(F.col(c) / (size / buckets)), F.lit(buckets))
+    around = lambda c: F.explode(F.array_distinct(F.array(*(F.pmod(own(c) + k, F.lit(buckets)) for k in (-1, 0, 1)))))
+    asked = grid.select("x", "y").withColumn("bx", around("x")).withColumn("by", around("y"))
+    placed = centres.select("cx", "cy", own("cx").alias("bx"), own("cy").alias("by"))
     near = lambda a, b: F.least(F.abs(F.col(a) - F.col(b)), F.lit(float(size)) - F.abs(F.col(a) - F.col(b)))
-    bump = F.exp(-(near("x", "cx") * near("x", "cx") + near("y", "cy") * near("y", "cy")) / (2 * width * width))
-    field = grid.join(F.broadcast(places)).groupBy("x", "y").agg(F.sum(bump).alias("level"))  # `centres` rows are a parameter
-    cut = field.agg(F.expr(f"percentile(level, {1 - fraction})").alias("cut"))
-    return field.join(F.broadcast(cut)).select("x", "y", F.when(F.col("level") > F.col("cut"), 2).otherwise(1).alias("phase"))
+    far2 = near("x", "cx") * near("x", "cx") + near("y", "cy") * near("y", "cy")
+    bump = F.when(far2 <= reach * reach, F.exp(-far2 / (2 * width * width))).otherwise(0.0)
+    # A bucket's bumps are added up before the nine meet; places that no bump reaches have level 0.
+    field = asked.join(placed, ["bx", "by"], "left").groupBy("x", "y").agg(F.coalesce(F.sum(bump), F.lit(0.0)).alias("level"))
+    field = checkpointed(field)
+    cut = quantile(field, "level", 1 - fraction)
+    return field.select("x", "y", F.when(F.col("level") > cut, 2).otherwise(1).alias("phase"))

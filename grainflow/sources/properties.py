@@ -7,7 +7,7 @@ no expansion, unit conductivity.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainflow.sources.maps import NUMBER
@@ -56,8 +56,8 @@ def asymmetric(phases: DataFrame) -> DataFrame:
     return phases.where(F.greatest(*pairs) > SYMMETRY * F.array_max(F.transform("stiffness", F.abs)))
 
 
-def isotropic(young: float, poisson: float) -> list[float]:
-    """Row-major stiffness of an isotropic solid."""
+def isotropic(young: float | Column, poisson: float | Column) -> list:
+    """Row-major stiffness of an isotropic solid, of numbers or columns."""
     lame = young * poisson / ((1 + poisson) * (1 - 2 * poisson))
     shear = young / (2 * (1 + poisson))
-    return [(lame + 2 * shear * (i == j) if max(i, j) < 3 else shear * (i == j)) if (i < 3) == (j < 3) else 0.0 for i in range(6) for j in range(6)]
+    return [(lame + 2 * shear * int(i == j) if max(i, j) < 3 else shear * int(i == j)) if (i < 3) == (j < 3) else 0.0 * shear for i in range(6) for j in range(6)]
