@@ -1,11 +1,11 @@
 """Exact top-k search by inner product over a vector-approximation file.
 
-The file holds chunks of approximations: for every dimension a grid of 2**bits cells over the
+The file (`write`, `open_file`) holds chunks of approximations: for every dimension a grid of 2**bits cells over the
 chunk's own range, and the cell number of every component, a byte; the exact vectors stay where they are. A search scans the
 cells alone: a query's inner product with a cell's corners bounds every score from both sides, and a vector
 whose upper bound is below the query's k-th lower bound is out. Then exact vectors are read in the order of their
-bounds, the best few of every query first; what can still reach the k-th exact score after that is read next, and
-the result is certain.
+bounds, in growing prefixes: the best few of every query first, then those of the next that can still reach the k-th exact score
+so far, until none can, and the result is certain.
 
 Each task sends on the candidates that its own chunks leave open. Of candidates with the same vector only the k smallest ids can count, so a
 vector that is there a million times gives no more than that. Queries are taken in blocks of bounded size, each broadcast.
@@ -13,32 +13,39 @@ vector that is there a million times gives no more than that. Queries are taken
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainflow.llm.common import materialise, short_batches, small, table, whole_number
+from grainflow.session import checkpoint_folder
 
 #: Vectors of a chunk at most.
 CHUNK = 8192
+#: Components of this size or more take no part: every score of 2**20 dimensions is then exact in 38 digits.
+LIMIT = 2.0**53
+#: How much longer each prefix of the bounds' order is than the last.
+GROWTH = 4
 #: Bounds (queries x candidates), and bounds still in question, that a task holds at once.
 CELLS, HELD = 2_000_000, 4_000_000
 PACKED = "dim int, ids binary, hashes binary, low binary, step binary, cells binary"
 BOUNDS = "query_id long, vec_id long, hash long, lower double, upper double"
-FOUND = "query_id long, vec_id long, score long"
+WIDE = "decimal(38,0)"
 
 
 def to_integers(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
     """(vec_id, v): floor(scale * x) of every component.
 
-    Rows drop out whose id is null or whose vector is null or holds a null, NaN or infinity. Ids are whole numbers of any type; others are refused.
+    Rows drop out whose id is null or whose vector is null or holds a null, NaN, infinity, or a component that gives 2**53 or more (or as much below 0).
+    Ids are whole numbers of any type; others are refused.
     """
     if not whole_number(df.schema[id_col].dataType):
         raise TypeError(f"{id_col} must hold whole numbers")
-    fine = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    fine = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double") * scale) < LIMIT))
     return df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine).select(
         F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")
     )
@@ -197,32 +204,46 @@ def _blocks(asked: DataFrame, block: int) -> Iterator[list[tuple[np.ndarray, np.
         yield pack_()
 
 
+def write(vectors: DataFrame, path: str, bits: int = 8) -> None:
+    """Write the file of cells of (vec_id, v) to `path`, as Parquet."""
+    short_batches(vectors.sparkSession)
+    vectors.select("vec_id", "v", F.xxhash64("v").alias("hash")).mapInArrow(pack(bits), PACKED).write.parquet(path)
+
+
+def open_file(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PACKED).parquet(path)
+
+
 def _exact(pairs: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, vec_id, score) of pairs (query_id, vec_id); an id that repeats has a row for each of its vectors."""
+    """(query_id, vec_id, score decimal) of pairs (query_id, vec_id); an id that repeats has a row for each of its vectors."""
     q = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     met = pairs.join(vectors, "vec_id").join(q, "query_id").where(F.size("v") == F.size("q"))
-    return met.select("query_id", "vec_id", F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b).alias("score"))
+    products = F.zip_with("q", "v", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    top = lambda c: F.coalesce(F.array_max(F.transform(c, F.abs)), F.lit(0)).cast("double")
+    plain = top("q") * top("v") * (F.size("v") + 1) < 2.0**62  # then 63 bits do
+    small_ = F.aggregate(products, F.lit(0).cast("long"), lambda s, p: s + p["a"] * p["b"]).cast(WIDE)
+    wide = F.aggregate(products, F.lit(0).cast(WIDE), lambda s, p: (s + p["a"].cast("decimal(19,0)") * p["b"].cast("decimal(19,0)")).cast(WIDE))
+    return met.select("query_id", "vec_id", F.when(plain, small_).otherwise(wide).alias("score"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 8, block: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 8, block: int = 8192, cells: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products, all if fewer.
 
-    Both inputs are (vec_id long, v array<long>), as `to_integers` makes them. Ties go to the
+    Both inputs are (vec_id long, v array<long>), as `to_integers` makes them; `cells` is the opened file of `vectors`, which is
+    made and kept for this search if it isn't given. Ties go to the
     smaller vec_id. A candidate with the query's own id is left out, as are vectors of another
     length. Rows that repeat an id are candidates each; a query id that repeats is asked once, with
     its smallest vector. Without vectors or queries the result is empty. Queries are
-    broadcast in blocks of `block`; with more than one block the file of cells is
-    materialised once and scanned for each. Scores are exact up to 63 bits.
+    broadcast in blocks of `block`, each a scan of the cells. Ranks are exact; a score that doesn't fit a long is null.
     """
     spark = vectors.sparkSession
     short_batches(spark)
     asked = materialise(queries.groupBy("vec_id").agg(F.min("v").alias("v")))
-    packed = vectors.select("vec_id", "v", F.xxhash64("v").alias("hash")).mapInArrow(pack(bits), PACKED)
-    if asked.count() > block:
-        packed = materialise(packed)
+    if cells is None:
+        cells = materialise(vectors.select("vec_id", "v", F.xxhash64("v").alias("hash")).mapInArrow(pack(bits), PACKED))
     sent = None
     for part in _blocks(asked, block):
-        one = packed.mapInArrow(bounds(spark.sparkContext.broadcast(part), k), BOUNDS)
+        one = cells.mapInArrow(bounds(spark.sparkContext.broadcast(part), k), BOUNDS)
         sent = one if sent is None else sent.unionByName(one)
     if sent is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -235,17 +256,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 8, blo
     # A row for each id: its vectors, if it has several, are all read.
     left = left.groupBy("query_id", "vec_id").agg(F.max("upper").alias("upper")).withColumn("n", number(F.desc("upper"), "vec_id"))
     left = materialise(left)
-    first = materialise(_exact(small(left.where(F.col("n") <= 2 * k).select("query_id", "vec_id")), vectors, asked))
-    sure = first.withColumn("n", number(F.desc("score"), "vec_id")).where(F.col("n") == k).select("query_id", F.col("score").alias("limit"))
-    rest = left.where(F.col("n") > 2 * k).join(small(materialise(sure)), "query_id").where(F.col("upper") >= F.col("limit")).select("query_id", "vec_id")
-    rest = materialise(rest)
-    found = first if rest.isEmpty() else first.unionByName(_exact(small(rest), vectors, asked))
-    return found.withColumn("rank", number(F.desc("score"), "vec_id")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found, high = None, 2 * k
+    part = left.where(F.col("n") <= high)
+    while True:
+        read = materialise(_exact(small(part.select("query_id", "vec_id")), vectors, asked))
+        found = read if found is None else found.unionByName(read)
+        sure = found.withColumn("n", number(F.desc("score"), "vec_id")).where(F.col("n") == k).select("query_id", F.col("score").cast("double").alias("sure"))
+        # Bounds are doubles: what lies below the k-th score by more than their rounding is out.
+        hopeful = F.col("sure").isNull() | (F.col("upper") >= F.col("sure") - 2.0**-50 * F.abs("sure"))
+        left = materialise(left.where(F.col("n") > high).join(small(materialise(sure)), "query_id", "left").where(hopeful).drop("sure"))
+        high *= GROWTH
+        if left.isEmpty():
+            break
+        part = left.where(F.col("n") <= high)
+    ranks = found.withColumn("rank", number(F.desc("score"), "vec_id")).where(F.col("rank") <= k)
+    fits = F.when(F.col("score").between(F.lit(-(2**63)).cast(WIDE), F.lit(2**63 - 1).cast(WIDE)), F.col("score").cast("long"))
+    return ranks.select("query_id", "rank", "vec_id", fits.alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The cells are written to the folder of checkpoints, opened, and searched."""
     vectors = to_integers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+    path = f"{checkpoint_folder(spark)}/cells-{uuid.uuid4().hex}"
+    write(vectors, path)
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), cells=open_file(spark, path))
 
 
 SQL = """

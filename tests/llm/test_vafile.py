@@ -95,3 +95,33 @@ def test_ids_must_be_whole_numbers(spark):
     for kind in ("string", "double"):
         with pytest.raises(TypeError):
             vafile.to_integers(df.withColumn("i", F.lit(3).cast(kind)), "i", "v")
+
+
+def test_large_components_are_exact_or_left_out(spark):
+    """Scores beyond 63 bits rank by all their digits and come out null; components of 2**53 or more take no part."""
+    rows = [(10, [1e10, 1e10]), (1, [1e10, 1e10]), (2, [1e10, 1e10 + 1]), (3, [-1e10, 3e10]), (4, [1.0, 2.0]), (5, [3.6e13, 0.0]), (6, [1e300, 0.0]), (7, [3.5e13, -3.5e13])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = vafile.to_integers(df, "vec_id", "embedding")
+    got = {tuple(r) for r in vafile.top_k(v, v.where("vec_id = 10"), 5).collect()}
+    kept = [(i, [math.floor(256 * x) for x in w]) for i, w in rows if all(abs(256 * x) < 2**53 for x in w)]
+    q = dict(kept)[10]
+    best = sorted((-sum(a * b for a, b in zip(q, w, strict=True)), i) for i, w in kept if i != 10)[:5]
+    assert got == {(10, n + 1, i, -s if -(2**63) <= -s < 2**63 else None) for n, (s, i) in enumerate(best)} and {i for _, i in best} == {1, 2, 3, 4, 7}
+
+
+def test_stored_cells_and_extra_columns(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(200)]
+    df = spark.createDataFrame([(i, v, "x", 2, 3.0) for i, v in rows], "vec_id long, embedding array<double>, v string, rank int, hash double")
+    v = vafile.to_integers(df, "vec_id", "embedding")
+    vafile.write(v, str(tmp_path / "cells"))
+    got = vafile.top_k(v, v.where("vec_id % 10 = 0"), 5, cells=vafile.open_file(spark, str(tmp_path / "cells")))
+    assert {tuple(r) for r in got.collect()} == brute(rows, 5, 10)
+
+
+def test_prefixes_grow_until_nothing_can_reach(spark, monkeypatch):
+    """With coarse cells, many bounds stay open and several prefixes are read."""
+    rng = random.Random(10)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(12)]) for i in range(400)]
+    monkeypatch.setattr(vafile, "GROWTH", 2)
+    assert found(spark, rows, k=2, bits=1) == brute(rows, 2, 10)
