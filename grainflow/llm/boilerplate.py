@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from grainflow.llm.common import BROADCAST_BYTES, fresh, materialise, table
 
-RATIO, MIN_PAGES = 0.05, 5
+RATIO = 0.05
+#: A line of one page alone is no repetition, whatever its share of a small host.
+MIN_PAGES = 2
 #: Bytes that a host and a line's hash take in the broadcast table.
 HOST_BYTES, LINE_BYTES = 128, 48
 SALTS = 64

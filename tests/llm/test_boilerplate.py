@@ -64,5 +64,11 @@ def test_hosts_of_pages_equal_brute_force(spark):
         gone[host] = {x for x, n in count.items() if n >= 5 and n > 0.5 * len(own)}
     assert sum(map(len, gone.values())) > 20
     want = sorted((r["page_id"], "\n".join(x for x in r["text"].split("\n") if x.strip(" ") not in gone[r["host"]])) for r in given)
-    got = boilerplate.drop_lines(pages, "host", "text", ratio=0.5).collect()
+    got = boilerplate.drop_lines(pages, "host", "text", ratio=0.5, min_pages=5).collect()
     assert sorted((r["page_id"], r["text"]) for r in got) == want and any(r["n_dropped"] for r in got)
+
+
+def test_small_hosts_have_the_same_rule(spark):
+    """A host of three pages: what stands on two of them goes, a page's own lines stay, as they do on a host of one page."""
+    rows = [(1, "menu\none", "en", "a"), (2, "menu\ntwo", "en", "a"), (3, "three", "en", "a"), (4, "menu\nalone", "en", "b")]
+    assert clean(spark, rows) == {(1, "one", 2, 1), (2, "two", 2, 1), (3, "three", 1, 0), (4, "menu\nalone", 2, 0)}
