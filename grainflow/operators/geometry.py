@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainflow.operators.components import checkpointed
+
 
 def _order(key: str) -> Window:
     return Window.partitionBy(key).orderBy("seq")
@@ -123,39 +125,94 @@ def decimate(rings: DataFrame, key: str, share: float) -> DataFrame:
     return rings.select(key, F.col("seq").cast("long").alias("seq"), "x", "y").groupBy(key).applyInPandas(run, f"`{key}` {kind}, seq long, x double, y double")
 
 
-def limited(h: np.ndarray, slope: float, along_axes: bool) -> np.ndarray:
-    """The least that the four (periodic) neighbours of each cell allow it: for the gradient's length, the upwind form, in which the lower
-    neighbour of each axis counts, at `slope`; along each axis, a step of `slope`."""
-    a, b = (np.minimum(np.roll(h, 1, k), np.roll(h, -1, k)) for k in (0, 1))
+def allowed(a: np.ndarray, b: np.ndarray, slope: float, along_axes: bool) -> np.ndarray:
+    """The most that cells may have whose lower neighbours along the two axes have a and b: for the gradient's length, the upwind form, at `slope`; along each axis, a
+    step of `slope`."""
     one = np.minimum(a, b) + slope
     if along_axes:
         return one
-    apart = np.abs(a - b)
     with np.errstate(invalid="ignore"):
+        apart = np.abs(a - b)
         both = (a + b + np.sqrt(np.maximum(2 * slope * slope - apart * apart, 0))) / 2
     return np.where(apart < slope, both, one)
 
 
-def limit_gradient(sizes: DataFrame, key: str, slope: float, tolerance: float = 1e-5, along_axes: bool = False) -> DataFrame:
+#: Cells along a side of a tile.
+TILE = 128
+#: Where a border comes from, and the edge of its sender and the place for it in the frame of the receiver.
+_BORDERS = {1: (-1, 0, np.s_[-2, 1:-1], np.s_[0, 1:-1]), 2: (1, 0, np.s_[1, 1:-1], np.s_[-1, 1:-1]), 3: (0, -1, np.s_[1:-1, -2], np.s_[1:-1, 0]), 4: (0, 1, np.s_[1:-1, 1], np.s_[1:-1, -1])}
+
+
+def _relaxed(state: np.ndarray, slope: float, tolerance: float, along_axes: bool) -> None:
+    """Lower the cells of a tile, in a frame of its neighbours' borders, until nothing changes by more than `tolerance`."""
+    inner = state[1:-1, 1:-1]
+    while True:
+        best = np.minimum(inner, allowed(np.minimum(state[:-2, 1:-1], state[2:, 1:-1]), np.minimum(state[1:-1, :-2], state[1:-1, 2:]), slope, along_axes))
+        with np.errstate(invalid="ignore"):
+            change = np.nanmax(inner - best, initial=0.0)
+        if change <= tolerance:
+            return
+        inner[:] = best
+
+
+def limit_gradient(sizes: DataFrame, key: str, slope: float, tolerance: float = 1e-5, along_axes: bool = False, tile: int = TILE, rounds: list[int] | None = None) -> DataFrame:
     """(key, i, j, h): the largest field below h whose gradient (periodic grid, unit distance) has the length `slope` at most, or, with
     `along_axes`, whose step to each neighbour is `slope` at most.
 
-    A grid is one task's work; sweeps repeat until nothing changes by more than `tolerance`.
+    A grid is cut into tiles. In a round every tile that got new borders sweeps until nothing changes by more than `tolerance`, and sends the borders that
+    have changed to its neighbours round the torus; it ends when none has. So a task holds a tile, and sizes that reach over several tiles take as
+    many rounds; `rounds` gets their number. Cells that the grid lacks count as infinite.
     """
     kind = sizes.schema[key].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = (int(pdf["i"].max()) + 1, int(pdf["j"].max()) + 1)
-        h = np.full(shape, np.inf)
-        h[pdf["i"], pdf["j"]] = pdf["h"]
-        while True:
-            best = np.minimum(h, limited(h, slope, along_axes))
-            if not (h > best).any() or np.nanmax(h - best) <= tolerance:
-                break
-            h = best
-        return pdf.assign(h=h[pdf["i"], pdf["j"]])
-
-    return sizes.select(key, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "h").groupBy(key).applyInPandas(run, f"`{key}` {kind}, i int, j int, h double")
+    size = sizes.groupBy(key).agg((F.max("i") + 1).cast("int").alias("ni"), (F.max("j") + 1).cast("int").alias("nj"))
+    cells = sizes.select(key, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "h").join(size, key)
+    placed = cells.withColumns({"ti": F.floor(F.col("i") / tile).cast("int"), "tj": F.floor(F.col("j") / tile).cast("int")})
+    shape = f"`{key}` {kind}, ti int, tj int, ni int, nj int, kind int, data binary"
+
+    def sent(head: dict, state: np.ndarray, before: np.ndarray) -> list[dict]:
+        """The tile, and the borders that differ from those before."""
+        n, m = -(-head["ni"] // tile), -(-head["nj"] // tile)
+        out = [head | {"kind": 0, "data": state.tobytes()}]
+        for side, (di, dj, edge, _) in _BORDERS.items():
+            if not np.array_equal(state[edge], before[edge]):
+                out.append(head | {"ti": (head["ti"] - di) % n, "tj": (head["tj"] - dj) % m, "kind": side, "data": state[edge].tobytes()})
+        return out
+
+    def start(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = {c: pdf[c].iloc[0] for c in (key, "ti", "tj", "ni", "nj")}
+        i0, j0 = head["ti"] * tile, head["tj"] * tile
+        state = np.full((min(tile, head["ni"] - i0) + 2, min(tile, head["nj"] - j0) + 2), np.inf)
+        state[pdf["i"] - i0 + 1, pdf["j"] - j0 + 1] = pdf["h"]
+        _relaxed(state, slope, tolerance, along_axes)
+        return pd.DataFrame(sent(head, state, np.full_like(state, np.inf)))
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["kind"] == 0].iloc[0]
+        head = {c: own[c] for c in (key, "ti", "tj", "ni", "nj")}
+        if len(pdf) == 1:
+            return pd.DataFrame([head | {"kind": 0, "data": own["data"]}])
+        state = np.frombuffer(own["data"]).reshape(min(tile, head["ni"] - head["ti"] * tile) + 2, -1).copy()
+        before = state.copy()
+        for side, data in zip(pdf["kind"], pdf["data"], strict=True):
+            if side:
+                place = _BORDERS[side][3]
+                state[place] = np.minimum(state[place], np.frombuffer(data))
+        _relaxed(state, slope, tolerance, along_axes)
+        return pd.DataFrame(sent(head, state, before))
+
+    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        state = np.frombuffer(r["data"]).reshape(min(tile, r["ni"] - r["ti"] * tile) + 2, -1)[1:-1, 1:-1]
+        i, j = np.indices(state.shape)
+        return pd.DataFrame({key: r[key], "i": (i + r["ti"] * tile).ravel().astype(np.int32), "j": (j + r["tj"] * tile).ravel().astype(np.int32), "__h": state.ravel()})
+
+    now, count = checkpointed(placed.groupBy(key, "ti", "tj").applyInPandas(start, shape)), 0
+    while not now.where("kind > 0").isEmpty():
+        now, count = checkpointed(now.groupBy(key, "ti", "tj").applyInPandas(step, shape)), count + 1
+    if rounds is not None:
+        rounds.append(count)
+    done = now.groupBy(key, "ti", "tj").applyInPandas(spread, f"`{key}` {kind}, i int, j int, __h double")
+    return cells.select(key, "i", "j").join(done, [key, "i", "j"]).withColumnRenamed("__h", "h")
 
 
 def mirror(points: DataFrame, columns: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainflow.operators.components import connected_components
+from grainflow.operators.components import checkpointed, connected_components
 from grainflow.operators.homogenize import ANGLES
 
 #: Half of the eight neighbours; the other half are the same pairs.
@@ -75,15 +75,6 @@ def shades(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return kinds.select("*", F.dense_rank().over(w).alias("number"), F.percent_rank().over(w).alias("shade"))
 
 
-def label_points(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., grain_id, x, y): the point of each grain that is nearest to its centroid, so that a label lies inside; ties go to the smaller id."""
-    middle = grained.groupBy(*by, "grain_id").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.count("*").alias("n"))
-    dx, dy = F.col("n") * F.col("x") - F.col("sx"), F.col("n") * F.col("y") - F.col("sy")  # whole numbers: ties are exact
-    both = grained.join(middle, [*by, "grain_id"])
-    best = both.groupBy(*by, "grain_id").agg(F.min_by(F.struct("x", "y"), F.struct((dx * dx + dy * dy).alias("d"), "point_id")).alias("p"))
-    return best.select(*by, "grain_id", "p.x", "p.y")
-
-
 def adjacency(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., grain_id, neighbour, edges): how many pixel edges two grains share, in both directions."""
     sides = boundary_edges(grained, by)
@@ -94,6 +85,34 @@ def adjacency(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return a.join(b, on).groupBy(*(F.col(f"a.{c}").alias(c) for c in by), F.col("a.grain_id").alias("grain_id"), F.col("b.grain_id").alias("neighbour")).agg(F.count("*").alias("edges"))
 
 
+def colours(near: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., grain_id, colour): the least colour, from 0, that no neighbour with a higher priority has, of grains with neighbours (by..., grain_id, neighbour, both ways).
+
+    Priorities are digests of the ids, so reruns agree. In a round every grain whose uncoloured neighbours all have lower priorities gets its colour; such grains are
+    never neighbours. It comes out as if grain after grain were coloured in the order of priorities: with at most one colour more than
+    the most neighbours. Rounds grow with the longest chain of falling priorities, some logarithm of the number of grains.
+    """
+    rank = lambda c: F.struct(F.md5(F.col(c).cast("string")), F.col(c))
+    links = checkpointed(near.select(*by, "grain_id", "neighbour").where("grain_id <> neighbour").distinct().where(rank("neighbour") > rank("grain_id")))
+    every = near.select(*by, "grain_id").unionByName(near.select(*by, F.col("neighbour").alias("grain_id"))).distinct()
+    # Each grain waits for its higher neighbours alone.
+    waiting = links.groupBy(*by, "grain_id").agg(F.count("*").alias("n"))
+    new = checkpointed(every.join(waiting, [*by, "grain_id"], "left_anti").withColumn("colour", F.lit(0)))
+    done = new
+    told = None
+    while not new.isEmpty():
+        # What the grains with a colour tell their lower neighbours, added to what these know.
+        news = links.join(new.withColumnRenamed("grain_id", "neighbour"), [*by, "neighbour"]).groupBy(*by, "grain_id").agg(F.count("*").alias("heard"), F.collect_set("colour").alias("used"))
+        told = news if told is None else told.unionByName(news).groupBy(*by, "grain_id").agg(F.sum("heard").alias("heard"), F.array_distinct(F.flatten(F.collect_set("used"))).alias("used"))
+        told = checkpointed(told)
+        ready = told.join(waiting.withColumnRenamed("n", "wanted"), [*by, "grain_id"]).where("heard = wanted")
+        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("used")), F.col("used")))
+        new = checkpointed(ready.select(*by, "grain_id", free.alias("colour")))
+        told = told.join(new, [*by, "grain_id"], "left_anti")
+        done = done.unionByName(new)
+    return done
+
+
 def merge_small(grained: DataFrame, least: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Grains of at most `least` points take the phase, angles and id of their largest larger neighbour, if any: ties go to more shared edges, then the smaller id.
     A neighbour that is small itself moves on, and takes along what came to it."""

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from grainflow.operators import spatial
+
 
 #: Bins of the histogram in `worst_mean`.
 BINS = 4096
@@ -145,6 +147,14 @@ def edges(elements: DataFrame) -> DataFrame:
     return elements.select(each.alias("e")).groupBy("e.a", "e.b").agg(F.count("*").alias("elements"))
 
 
+def crossed_edges(elements: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a1, b1, a2, b2): pairs of edges that cross or touch without sharing a node. Buckets are as wide as the longest edge."""
+    ends = lambda n: nodes.select(F.col("node_id").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
+    placed = edges(elements).select("a", "b").join(ends("a"), "a").join(ends("b"), "b")
+    longest = placed.agg(F.max(F.greatest(F.abs(F.col("ax") - F.col("bx")), F.abs(F.col("ay") - F.col("by"))))).first()[0]
+    return spatial.crossings(placed, longest or 1.0)
+
+
 def checks(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     """(name, n): how many elements, nodes or edges break each rule; all 0 for a sound mesh."""
     placed = corners(elements, nodes)
@@ -160,6 +170,7 @@ def checks(elements: DataFrame, nodes: DataFrame) -> DataFrame:
         count(nodes.join(used, "node_id", "left_anti"), "unused node"),
         count(nodes.groupBy(F.round("x", 9), F.round("y", 9)).count().where("count > 1"), "repeated node"),
         count(edges(elements).where("elements > 2"), "crowded edge"),
+        count(crossed_edges(elements, nodes), "crossed edges"),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -112,24 +112,30 @@ def between_phases(lines: DataFrame, grained: DataFrame, by: tuple[str, ...] = (
     return lines.where("phase_a <> phase_b")
 
 
-def rings(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., grain_id, ring_id, seq, x, y, area): each grain's boundary as rings of corners with the grain on the left, so that area, the ring's
-    signed one, is positive for outer rings and negative for holes. A ring begins at its least corner, and its id is the number of the edge from there.
-
-    Where four edges of a grain meet, a ring turns left and stays with its pixel, so that corners aren't crossed.
-    """
+def ring_darts(grained: DataFrame, by: tuple[str, ...] = (), joined: bool = False) -> DataFrame:
+    """(by..., grain_id, ring_id, seq, at, nxt, area): the rings of `rings` by their edges, with the edge after each. `joined` rings turn right where
+    four edges meet, so that pixels that touch at a corner are together, and what they close in is a hole."""
     darts = checkpointed(sides(grained, by).select(*by, "at", F.col("left").alias("grain_id")))
     out = darts.groupBy(*by, "grain_id", _corner(F.col("at")).alias("corner")).agg(F.bit_or(_bit(F.col("at") % 4)).alias("ways"))
     way = F.col("at") % 4
     open_ = lambda w: F.col("ways").bitwiseAND(_bit(w)) != 0
-    turns = [(way + k) % 4 for k in (1, 0, 3)]
+    turns = [(way + k) % 4 for k in ((3, 0, 1) if joined else (1, 0, 3))]
     to = F.when(open_(turns[0]), turns[0]).when(open_(turns[1]), turns[1]).otherwise(turns[2])
-    linked = darts.withColumn("corner", _target(F.col("at"))).join(out, [*by, "grain_id", "corner"]).select(*by, "at", (F.col("corner") * 4 + to).alias("nxt"))
-    chains = checkpointed(ranked(linked, by).join(darts, [*by, "at"]).withColumn("corner", _corner(F.col("at"))))
-    x, y = _place(F.col("corner"))
+    linked = darts.withColumn("corner", _target(F.col("at"))).join(out, [*by, "grain_id", "corner"]).select(*by, "grain_id", "at", (F.col("corner") * 4 + to).alias("nxt"))
+    chains = checkpointed(ranked(linked, by).join(linked, [*by, "at"]))
+    x, y = _place(_corner(F.col("at")))
     u, v = _place(_target(F.col("at")))
     whole = chains.groupBy(*by, "last").agg(F.max("left").alias("n"), F.min("at").alias("ring_id"), (F.sum(x * v - u * y) / 2).alias("area"))
-    return chains.join(whole, [*by, "last"]).select(*by, "grain_id", "ring_id", (F.col("n") - F.col("left")).alias("seq"), x, y, "area")
+    return chains.join(whole, [*by, "last"]).select(*by, "grain_id", "ring_id", (F.col("n") - F.col("left")).alias("seq"), "at", "nxt", "area")
+
+
+def rings(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., grain_id, ring_id, seq, x, y, area): each grain's boundary as rings of corners with the grain on the left, so that area, the ring's
+    signed one, is positive for outer rings and negative for holes. A ring begins at its least corner, and its id is the number of the edge from there.
+
+    Where four edges of a grain meet, a ring turns left and stays with its pixel, so that corners aren't crossed.
+    """
+    return ring_darts(grained, by).select(*by, "grain_id", "ring_id", "seq", *_place(_corner(F.col("at"))), "area")
 
 
 def outlines(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -147,3 +153,70 @@ def resampled(lines: DataFrame, spacing: float, by: tuple[str, ...] = ()) -> Dat
     count = geometry.lengths(named, "key").select("key", F.greatest(F.lit(2), F.round(F.col("length") / spacing)).cast("int").alias("count"))
     out = geometry.resample(named.join(count, "key"), "key", "count")
     return out.join(lines.select(*by, "polyline_id", key.alias("key")).distinct(), "key").select(*by, "polyline_id", "seq", "x", "y")
+
+
+def hole_pixels(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., grain_id, x, y): every place that a grain encloses without holding it, be it of one grain or of several, nested or not; with
+    them a grain is filled. Rows of a hole are filled between each two of the upright edges around it.
+    """
+    upright = ring_darts(grained, by, joined=True).where((F.col("area") < 0) & (F.col("at") % 2 == 1))
+    x, y = _place(_corner(F.col("at")))
+    rows = upright.select(*by, "grain_id", "ring_id", x, (y - F.when(F.col("at") % 4 == 3, 1).otherwise(0)).alias("y"))
+    line = Window.partitionBy(*by, "ring_id", "y").orderBy("x")  # as wide as the map at most
+    pairs = rows.withColumn("k", F.row_number().over(line)).withColumn("to", F.lead("x").over(line)).where(F.col("k") % 2 == 1)
+    return pairs.select(*by, "grain_id", F.explode(F.sequence(F.col("x"), F.col("to") - 1)).alias("x"), "y")
+
+
+def nesting(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., grain_id, parent_id): grains that lie wholly in holes of others, with the one whose filled area is the smallest, the
+    smaller id of equals: a forest, as what encloses the parent encloses the grain."""
+    inside = checkpointed(hole_pixels(grained, by).withColumnRenamed("grain_id", "parent_id"))
+    sizes = grained.groupBy(*by, "grain_id").agg(F.count("*").alias("size"))
+    filled = sizes.join(inside.groupBy(*by, F.col("parent_id").alias("grain_id")).agg(F.count("*").alias("holes")), [*by, "grain_id"]).select(*by, F.col("grain_id").alias("parent_id"), (F.col("size") + F.col("holes")).alias("filled"))
+    met = grained.select(*by, "grain_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).join(inside, [*by, "x", "y"]).groupBy(*by, "grain_id", "parent_id").agg(F.count("*").alias("n"))
+    whole = met.join(sizes, [*by, "grain_id"]).where("n = size").join(filled, [*by, "parent_id"])
+    return whole.groupBy(*by, "grain_id").agg(F.min_by("parent_id", F.struct("filled", "parent_id")).alias("parent_id"))
+
+
+def hole_junctions(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., x, y): corners that the outer rings of hole grains pass more than once, and without which these rings would together enclose another area.
+
+    Without a corner a ring's area changes by half its turn there, one way to the left and the other way to the right; so the turns must not cancel.
+    """
+    holes = nesting(grained, by).select(*by, "grain_id")
+    darts = ring_darts(grained, by).where("area > 0").join(holes, [*by, "grain_id"], "left_semi")
+    turn = F.pmod(F.col("nxt") % 4 - F.col("at") % 4, F.lit(4))
+    bend = F.when(turn == 1, 1).when(turn == 3, -1).otherwise(0)
+    met = darts.groupBy(*by, _corner(F.col("nxt")).alias("corner")).agg(F.count("*").alias("n"), F.sum(bend).alias("bend"))
+    return met.where("n > 1 AND bend <> 0").select(*by, *_place(F.col("corner")))
+
+
+def clearances(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """`grained` with `clearance`: how many erosions, each of which takes off the points with one of four neighbours outside the grain, a point lasts until it goes with the last of them.
+
+    That is one more than the city-block distance to the nearest point on a boundary, which the rows and then the columns give, each by running minima.
+    """
+    at = F.col("at")
+    x, y = _place(_corner(at))
+    dx, dy = F.when((at % 4).isin(1, 2), 1).otherwise(0), F.when((at % 4).isin(2, 3), 1).otherwise(0)
+    edge = sides(grained, by).select(*by, (x - dx).alias("x"), (y - dy).alias("y")).distinct().withColumn("__edge", F.lit(True))
+    rows = grained.withColumns({"x": F.col("x").cast("long"), "y": F.col("y").cast("long")}).join(edge, [*by, "x", "y"], "left")
+    along = lambda c, other: Window.partitionBy(*by, other).orderBy(c)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    after = lambda w: w.rowsBetween(0, Window.unboundedFollowing)
+    seed = F.when(F.col("__edge"), F.col("x"))
+    w = along("x", "y")
+    rows = rows.withColumn("__f", F.least(F.col("x") - F.last(seed, True).over(before(w)), F.first(seed, True).over(after(w)) - F.col("x")))
+    w = along("y", "x")
+    up, down = F.min(F.col("__f") - F.col("y")).over(before(w)) + F.col("y"), F.min(F.col("__f") + F.col("y")).over(after(w)) - F.col("y")
+    return rows.withColumn("clearance", F.least(up, down) + 1).select(*grained.columns, "clearance")
+
+
+def label_points(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., grain_id, x, y, clearance): the point of each grain with the greatest clearance, where a label keeps away from every boundary; of
+    several the one that is nearest to the centroid, then the smaller id."""
+    middle = grained.groupBy(*by, "grain_id").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.count("*").alias("n"))
+    dx, dy = F.col("n") * F.col("x") - F.col("sx"), F.col("n") * F.col("y") - F.col("sy")  # whole numbers: ties are exact
+    both = clearances(grained, by).join(middle, [*by, "grain_id"])
+    best = both.groupBy(*by, "grain_id").agg(F.min_by(F.struct("x", "y", "clearance"), F.struct(-F.col("clearance"), (dx * dx + dy * dy).alias("d"), "point_id")).alias("p"))
+    return best.select(*by, "grain_id", "p.x", "p.y", "p.clearance")

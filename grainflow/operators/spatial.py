@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from grainflow.operators.components import checkpointed
 
@@ -98,32 +103,102 @@ def points_in_polygons(points: DataFrame, vertices: DataFrame, key: str, cell: f
     return tested.where((F.col("n") % 2 == 1) | (F.col("d2") <= tolerance * tolerance)).select("point_id", key)
 
 
-#: Edges that go to every task at once, some 5 MB.
-EDGES = 100_000
-
+def near_edges(points: DataFrame, edges: DataFrame, key: str, cell: float = 1.0) -> DataFrame:
+    """(point_id, px, py, key, ax, ay, bx, by): for each point and key the edges (key, ax, ay, bx, by) that may be the nearest to the point, by squares that halve.
 
-def signed_distance(points: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
+    A square of points keeps of a key the edges that may be nearer to one of its points than the edge that is nearest to all of them; a quarter of it starts from
+    these. So a small square keeps the edges about the nearest place alone, and a point meets a few edges of each key, however many there are. Squares end at
+    the side `cell`.
+    """
+    px, py, ax, ay, bx, by = (F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by"))
+    placed = points.select("point_id", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
+    ends = placed.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
+    if ends[0] is None:
+        return placed.join(edges, F.lit(False)).select("point_id", "px", "py", key, "ax", "ay", "bx", "by")
+    span, side = max(ends[1] - ends[0], ends[3] - ends[2]), cell
+    levels = 0
+    while side < span:
+        side, levels = side * 4, levels + 1
+    held = edges.select(key, "ax", "ay", "bx", "by").withColumn("__edge", F.monotonically_increasing_id())
+    named = checkpointed(held)
+    open_ = named.withColumns({"sx": F.lit(0).cast("long"), "sy": F.lit(0).cast("long")})
+    square = lambda c, low, side: F.floor((F.col(c) - low) / side).cast("long")
+    for level in range(levels):
+        side /= 4
+        full = placed.select(square("px", ends[0], side).alias("sx"), square("py", ends[2], side).alias("sy")).distinct()
+        child = full.withColumns({"ux": F.floor(F.col("sx") / 4) if level else F.lit(0).cast("long"), "uy": F.floor(F.col("sy") / 4) if level else F.lit(0).cast("long")})
+        met = open_.withColumnsRenamed({"sx": "ux", "sy": "uy"}).join(child, ["ux", "uy"])
+        cx, cy = ends[0] + (F.col("sx") + 0.5) * side, ends[2] + (F.col("sy") + 0.5) * side
+        # Distances from the centre are off by the half diagonal at most.
+        met = checkpointed(met.withColumn("__d", F.sqrt(segment_distance2(cx, cy, ax, ay, bx, by))).drop("ux", "uy"))
+        best = met.groupBy("sx", "sy", key).agg(F.min("__d").alias("__best"))
+        open_ = met.join(best, ["sx", "sy", key]).where(F.col("__d") <= F.col("__best") + side * 1.4142136 * (1 + 1e-9) + 1e-9 * F.col("__best")).drop("__d", "__best")
+    own = placed.withColumns({"sx": square("px", ends[0], side), "sy": square("py", ends[2], side)}) if levels else placed.withColumns({"sx": F.lit(0).cast("long"), "sy": F.lit(0).cast("long")})
+    return own.join(open_, ["sx", "sy"]).select("point_id", "px", "py", key, "ax", "ay", "bx", "by")
+
+
+def signed_distance(points: DataFrame, vertices: DataFrame, key: str, cell: float = 1.0) -> DataFrame:
     """(point_id, key, distance): distance to every ring, negative inside. A row for each point and ring comes out, so it is for few rings.
 
-    Each point meets all edges: up to EDGES of them are broadcast; more are cut into parts of about that size, and each part
-    meets the points in tasks of its own, whose least distances and crossings are added up.
+    The nearest edge comes from `near_edges`, the side from the edges that a ray to the right crosses, which are looked for in the point's own strip of the height `cell` alone.
     """
-    edges = ring_edges(vertices, key)
-    parts = -(-vertices.count() // EDGES)
+    edges = checkpointed(ring_edges(vertices, key))
     px, py, ax, ay, bx, by = (F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by"))
-    crossing = F.when((ay > py) != (by > py), (px < (bx - ax) * (py - ay) / (by - ay) + ax).cast("int")).otherwise(0)
-    placed = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    if parts <= 1:
-        both = placed.join(F.broadcast(edges))
-    else:
-        dealt = edges.withColumn("__part", F.pmod(F.xxhash64(key, "seq"), F.lit(parts)))
-        salt = F.pmod(F.xxhash64("point_id"), F.lit(parts))
-        # A part and a share of the points are a task's work.
-        both = placed.withColumn("__salt", salt).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-        shares = dealt.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-        both = both.join(shares, ["__part", "__salt"])
-    out = both.groupBy("point_id", key).agg(F.sqrt(F.min(segment_distance2(px, py, ax, ay, bx, by))).alias("d"), F.sum(crossing).alias("n"))
-    return out.select("point_id", key, F.when(F.col("n") % 2 == 1, -F.col("d")).otherwise(F.col("d")).alias("distance"))
+    far = near_edges(points, edges, key, cell).groupBy("point_id", key).agg(F.sqrt(F.min(segment_distance2(px, py, ax, ay, bx, by))).alias("d"))
+    strips = edges.where(ay != by).withColumn("strip", F.explode(F.sequence(_bucket(F.least(ay, by), cell), _bucket(F.greatest(ay, by), cell))))
+    placed = points.select("point_id", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).withColumn("strip", _bucket(py, cell))
+    met = placed.join(strips, "strip").where(((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / F.when(by == ay, 1.0).otherwise(by - ay) + ax))
+    inside = met.groupBy("point_id", key).agg(F.count("*").alias("n")).where(F.col("n") % 2 == 1).select("point_id", key, F.lit(True).alias("inside"))
+    return far.join(inside, ["point_id", key], "left").select("point_id", key, F.when(F.col("inside"), -F.col("d")).otherwise(F.col("d")).alias("distance"))
+
+
+def _exact_side(px, py, qx, qy, rx, ry) -> int:
+    """On which side of the line from p to q the point r lies, in exact arithmetic: 1 left, -1 right, 0 on it."""
+    a = (Fraction(qx) - Fraction(px)) * (Fraction(ry) - Fraction(py))
+    b = (Fraction(qy) - Fraction(py)) * (Fraction(rx) - Fraction(px))
+    return (a > b) - (a < b)
+
+
+@F.pandas_udf(IntegerType())
+def _exact_sides(px: pd.Series, py: pd.Series, qx: pd.Series, qy: pd.Series, rx: pd.Series, ry: pd.Series) -> pd.Series:
+    return pd.Series([_exact_side(*v) for v in zip(px, py, qx, qy, rx, ry, strict=True)], dtype="int32")
+
+
+def crossings(segments: DataFrame, cell: float) -> DataFrame:
+    """(a1, b1, a2, b2): pairs of segments (a, b, ax, ay, bx, by), named by their ends, that cross or touch without sharing an end; the smaller pair of ends first.
+
+    A segment stands in every bucket of side `cell` that it passes, strip by strip, and meets the others there, so that the pairs grow with the segments, if `cell` is about as long as
+    they are. The side of an end is decided in doubles where rounding can't change it, else in exact arithmetic. Of segments on one line, those count that share more
+    than nothing; a segment of no length counts as its point. Segments that have the same ends are one.
+    """
+    once = segments.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *(F.when(F.col("a") <= F.col("b"), F.col(p)).otherwise(F.col(q)).cast("double").alias(p) for p, q in (("ax", "bx"), ("ay", "by"), ("bx", "ax"), ("by", "ay"))))
+    once = checkpointed(once.dropDuplicates(["a", "b"]))
+    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
+    row = once.withColumn("j", F.explode(F.sequence(_bucket(F.least(ay, by), cell), _bucket(F.greatest(ay, by), cell))))
+    # Where the segment is inside the strip, a little widened against rounding.
+    low, high = F.greatest(F.least(ay, by), F.col("j") * cell), F.least(F.greatest(ay, by), (F.col("j") + 1) * cell)
+    at = lambda y: F.when(by == ay, ax).otherwise(ax + (bx - ax) * F.least(F.greatest((y - ay) / F.when(by == ay, 1.0).otherwise(by - ay), F.lit(0.0)), F.lit(1.0)))
+    x0, x1 = F.when(by == ay, F.least(ax, bx)).otherwise(F.least(at(low), at(high))), F.when(by == ay, F.greatest(ax, bx)).otherwise(F.greatest(at(low), at(high)))
+    pad = 1e-9 * (F.abs(ax) + F.abs(bx) + cell)
+    placed = row.withColumn("i", F.explode(F.sequence(_bucket(x0 - pad, cell), _bucket(x1 + pad, cell))))
+    left = placed.select("i", "j", *(F.col(c).alias(f"{c}1") for c in ("a", "b", "ax", "ay", "bx", "by")))
+    right = placed.select("i", "j", *(F.col(c).alias(f"{c}2") for c in ("a", "b", "ax", "ay", "bx", "by")))
+    pairs = left.join(right, ["i", "j"]).where((F.struct("a1", "b1") < F.struct("a2", "b2")) & (F.col("a1") != F.col("a2")) & (F.col("a1") != F.col("b2")) & (F.col("b1") != F.col("a2")) & (F.col("b1") != F.col("b2")))
+    c = {f"{n}{k}": F.col(f"{n}{k}") for n in ("ax", "ay", "bx", "by") for k in (1, 2)}
+    boxes = (F.greatest(F.least(c["ax1"], c["bx1"]), F.least(c["ax2"], c["bx2"])) <= F.least(F.greatest(c["ax1"], c["bx1"]), F.greatest(c["ax2"], c["bx2"]))) & (F.greatest(F.least(c["ay1"], c["by1"]), F.least(c["ay2"], c["by2"])) <= F.least(F.greatest(c["ay1"], c["by1"]), F.greatest(c["ay2"], c["by2"])))
+    pairs = pairs.where(boxes).drop("i", "j").distinct()
+
+    def side(k: int, m: int, end: str) -> tuple[tuple[Column, ...], Column, Column]:
+        p = tuple(c[n] for n in (f"ax{k}", f"ay{k}", f"bx{k}", f"by{k}", f"{end}x{m}", f"{end}y{m}"))
+        a, b = (p[2] - p[0]) * (p[5] - p[1]), (p[3] - p[1]) * (p[4] - p[0])
+        return p, F.signum(a - b).cast("int"), F.abs(a - b) > 2.0**-50 * (F.abs(a) + F.abs(b))
+
+    names = {"s1": side(1, 2, "a"), "s2": side(1, 2, "b"), "s3": side(2, 1, "a"), "s4": side(2, 1, "b")}
+    told = pairs.select("*", *(s.alias(n) for n, (_, s, _) in names.items()), reduce(lambda x, y: x & y, (sure for _, _, sure in names.values())).alias("sure"))
+    # Only what rounding leaves open goes to exact arithmetic.
+    open_ = told.where(~F.col("sure")).select(*pairs.columns, *(_exact_sides(*p).alias(n) for n, (p, _, _) in names.items()))
+    both = told.where("sure").drop("sure").unionByName(open_)
+    return both.where("s1 * s2 <= 0 AND s3 * s4 <= 0").select("a1", "b1", "a2", "b2")
 
 
 def rectangle_distance(x: Column, y: Column, x1: float, x2: float, y1: float, y2: float) -> Column:

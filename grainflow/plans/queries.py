@@ -124,12 +124,6 @@ def junction_points_periodic(spark, d):
     return grains.periodic_junctions(_grained(spark, d))
 
 
-@query(f"""{_GRAINS}, m AS (SELECT grain_id, sum(x) AS sx, sum(y) AS sy, count(*) AS n FROM grained GROUP BY grain_id)
-SELECT grain_id, x, y FROM (SELECT grain_id, x, y, row_number() OVER (PARTITION BY grain_id ORDER BY (n * x - sx) * (n * x - sx) + (n * y - sy) * (n * y - sy), point_id) AS k FROM grained JOIN m USING (grain_id)) WHERE k = 1""")
-def grain_label_points(spark, d):
-    return grains.label_points(_grained(spark, d))
-
-
 @query(f"WITH {MAP_SQL}, k AS (SELECT DISTINCT phase, phi1, phi, phi2 FROM points) SELECT phase, {', '.join(_r(a, a, 9) for a in ('phi1', 'phi', 'phi2'))}, CAST(dense_rank() OVER w AS INTEGER) AS number, {_r('percent_rank() OVER w', 'shade', 9)} FROM k WINDOW w AS (PARTITION BY phase ORDER BY phi1, phi, phi2)")
 def orientation_shades(spark, d):
     return rounded(grains.shades(S.event_map(spark, d)), 9)
@@ -411,44 +405,6 @@ def signed_distance(spark, d):
 # --- lines and rings ---------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_RINGS_SQL}, s AS (SELECT ring, seq, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS step FROM rings WINDOW w AS (PARTITION BY ring ORDER BY seq)) SELECT ring, seq, {_r('sum(step) OVER (PARTITION BY ring ORDER BY seq)', 's')} FROM s")
-def arc_length(spark, d):
-    return rounded(geometry.arc_length(_rings(spark, d), "ring").select("ring", "seq", "s"))
-
-
-@query(f"WITH {_RINGS_SQL}, {_EDGES_SQL} SELECT ring, {_r('sum(sqrt(pow(bx - ax, 2) + pow(b_y - ay, 2)))', 'length')} FROM edges GROUP BY ring")
-def polygon_length(spark, d):
-    return rounded(geometry.lengths(_rings(spark, d), "ring", closed=True))
-
-
-@query(f"WITH {_RINGS_SQL}, {_EDGES_SQL} SELECT ring, {_r('abs(sum(ax * b_y - bx * ay)) / 2', 'area')}, sum(ax * b_y - bx * ay) > 0 AS ccw FROM edges GROUP BY ring")
-def polygon_area(spark, d):
-    return rounded(geometry.areas(_rings(spark, d), "ring"))
-
-
-@query(f"""WITH {_RINGS_SQL}, {_EDGES_SQL}, l AS (SELECT *, sqrt(pow(bx - ax, 2) + pow(b_y - ay, 2)) AS len FROM edges), s AS (SELECT *, sum(len) OVER (PARTITION BY ring ORDER BY seq) - len AS s0, sum(len) OVER (PARTITION BY ring) AS total FROM l)
-SELECT ring, CAST(k AS INTEGER) AS seq, {_r("ax + (k * total / 20 - s0) / len * (bx - ax)", "x", 5)}, {_r("ay + (k * total / 20 - s0) / len * (b_y - ay)", "y", 5)} FROM s, range(20) t(k)
-WHERE k * total / 20 >= s0 - 1e-9 AND k * total / 20 < s0 + len - 1e-9""")
-def resample_polygon(spark, d):
-    return rounded(geometry.resample(_rings(spark, d), "ring", 20, closed=True), 5)
-
-
-@query(f"""WITH {_RINGS_SQL}, n AS (SELECT ring, seq, coalesce(lag(x) OVER w, lead(x, 2) OVER w) - x AS xa, coalesce(lag(y) OVER w, lead(y, 2) OVER w) - y AS ya, coalesce(lead(x) OVER w, lag(x, 2) OVER w) - x AS xb, coalesce(lead(y) OVER w, lag(y, 2) OVER w) - y AS yb,
-  CASE WHEN lag(seq) OVER w IS NULL THEN 1 ELSE -1 END AS sa, CASE WHEN lead(seq) OVER w IS NULL THEN -1 ELSE 1 END AS sb FROM rings WINDOW w AS (PARTITION BY ring ORDER BY seq)),
-t AS (SELECT *, sa * sqrt(xa * xa + ya * ya) AS ta, sb * sqrt(xb * xb + yb * yb) AS tb FROM n),
-p AS (SELECT ring, seq, (xa * tb * tb - xb * ta * ta) / (ta * tb * (tb - ta)) AS x1, (ya * tb * tb - yb * ta * ta) / (ta * tb * (tb - ta)) AS y1, 2 * (xb * ta - xa * tb) / (ta * tb * (tb - ta)) AS x2, 2 * (yb * ta - ya * tb) / (ta * tb * (tb - ta)) AS y2 FROM t)
-SELECT ring, seq, {_r("(x1 * y2 - y1 * x2) / pow(x1 * x1 + y1 * y1, 1.5)", "curvature")} FROM p""")
-def line_curvature(spark, d):
-    return rounded(geometry.curvature(_rings(spark, d), "ring"))
-
-
-@query(f"""WITH {_RINGS_SQL}, n AS (SELECT ring, seq, x - lag(x) OVER w AS xa, y - lag(y) OVER w AS ya, lead(x) OVER w - x AS xb, lead(y) OVER w - y AS yb FROM rings WINDOW w AS (PARTITION BY ring ORDER BY seq)),
-t AS (SELECT ring, seq, coalesce(xa / (xa * xa + ya * ya), 0) + coalesce(xb / (xb * xb + yb * yb), 0) AS tx, coalesce(ya / (xa * xa + ya * ya), 0) + coalesce(yb / (xb * xb + yb * yb), 0) AS ty FROM n)
-SELECT ring, seq, {_r("-ty / sqrt(tx * tx + ty * ty)", "nx")}, {_r("tx / sqrt(tx * tx + ty * ty)", "ny")} FROM t""")
-def line_normals(spark, d):
-    return rounded(geometry.normals(_rings(spark, d), "ring"))
-
-
 @query()
 def decimate_polygon(spark, d):
     return geometry.decimate(_rings(spark, d), "ring", 0.5)
@@ -516,7 +472,7 @@ def _hexagons(spark, d):
     return mesh.hexagonal_grid(spark, 0.0, float(size[0]), 0.0, float(size[1]), size[2])
 
 
-@query("SELECT name, 0::BIGINT AS n FROM (VALUES ('clockwise'), ('no area'), ('repeated corner'), ('repeated element'), ('unknown node'), ('unused node'), ('repeated node'), ('crowded edge')) t(name)")
+@query("SELECT name, 0::BIGINT AS n FROM (VALUES ('clockwise'), ('no area'), ('repeated corner'), ('repeated element'), ('unknown node'), ('unused node'), ('repeated node'), ('crowded edge'), ('crossed edges')) t(name)")
 def mesh_checks(spark, d):
     """Of the hexagonal grid, which has to pass them all."""
     nodes, elements = _hexagons(spark, d)
@@ -805,14 +761,6 @@ def clean_conductivity(spark, d):
     return rounded(homogenize.cleaned(S.phases_of_map(spark, d), "kappa", 9 // 3, 0.08).select("phase", F.posexplode("kappa").alias("i", "value")))
 
 
-@query("WITH c AS (SELECT r_regionkey AS ring, k AS seq, r_regionkey * 10 + [0, 4, 4, 0][k + 1] AS x, [0, 0, 3, 3][k + 1] AS y, [4, 4, 0, 0][k + 1] - [0, 4, 4, 0][k + 1] AS dx, [0, 3, 3, 0][k + 1] - [0, 0, 3, 3][k + 1] AS dy FROM region, range(4) t(k)) SELECT ring, seq * 1000000 + k AS seq, (x + k * sign(dx))::DOUBLE AS x, (y + k * sign(dy))::DOUBLE AS y FROM c, range(4) t(k) WHERE k < greatest(abs(dx), abs(dy))")
-def densify_ring(spark, d):
-    k = F.col("id")
-    at = lambda v: F.element_at(F.array(*map(F.lit, v)), (k + 1).cast("int"))
-    rings = S.table(spark, d, "region").join(spark.range(4)).select(F.col("r_regionkey").alias("ring"), k.alias("seq"), (F.col("r_regionkey") * 10 + at([0, 4, 4, 0])).alias("x"), at([0, 0, 3, 3]).alias("y"))
-    return rounded(geometry.densify(rings, "ring"))
-
-
 @query(f"WITH {_MESH_SQL} SELECT elem_id, {', '.join(_r(f'{c}{i}::DOUBLE', f'{c}{i}') for i in (1, 2, 3) for c in 'xy')} FROM placed")
 def mesh_cleanup(spark, d):
     """A mesh given twice, shifted in number and turned round, becomes itself again: elements with the places of their corners."""
