@@ -7,7 +7,7 @@ overlapping bands of diagonals; bands that reach the bound are kept, and each is
 a banded alignment of the pattern to the text. A band whose pattern isn't there as a whole is searched for a run of
 RUN characters copied word for word: patterns overlap by so much that each such run of an item lies in one of
 them, and its q-grams alone reach the bound. So every verbatim copy of RUN characters or more is found, wherever it starts; one with
-edits is if it holds such a run, or a whole pattern within its edits. Texts are compared in lower case, with each white space
+edits is if it holds such a run, or a whole pattern within its edits, as every part of an item of a pattern and a stride does whose edits are spread. Texts are compared in lower case, with each white space
 character as a space. The items' index is broadcast in blocks of bounded size; texts are mapped row by
 row, without a shuffle.
 """
@@ -27,7 +27,7 @@ from pyspark.sql.types import IntegerType, LongType
 from grainflow.llm.common import as_schema, by_size, mix64, short_batches, table
 
 #: Characters of a pattern at most, and between the starts of two; edits allowed per character; q.
-PATTERN, STRIDE, RATE, Q = 120, 60, 0.1, 8
+PATTERN, STRIDE, RATE, Q = 80, 20, 0.1, 8
 #: Characters of a verbatim copy that are always found; patterns overlap by as many at least.
 RUN = 60
 #: Characters of items in one broadcast block.
@@ -86,7 +86,40 @@ class Index:
     longest: int  # pattern's characters
     short_gram: np.ndarray  # hashes of the patterns' Q_SHORT-grams, pattern by pattern
     short_first: np.ndarray  # of each pattern's, and one more
-    short: tuple[tuple[int, str], ...]  # items for which the lemma says nothing: searched as they are
+    short: dict[int, Short]  # by length: items for which the lemma says nothing, found by the hash of the whole
+
+
+@dataclass(frozen=True)
+class Short:
+    """Items of one length: their hashes in order, and the items of each."""
+
+    gram: np.ndarray
+    items: list[list[tuple[int, str]]]
+
+
+def _short(items: list[tuple[int, str]]) -> dict[int, Short]:
+    by: dict[int, dict[int, list[tuple[int, str]]]] = {}
+    for number, whole in items:
+        codes = _codes(whole)
+        by.setdefault(len(codes), {}).setdefault(int(grams(codes, len(codes))[0]), []).append((number, whole))
+    return {n: Short(np.array(sorted(own), np.uint64), [own[g] for g in sorted(own)]) for n, own in by.items()}
+
+
+def short_places(index: Index, plain: str, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(item, start, end) of the first place of each short item in the text: a pass for each length, however many items have it."""
+    for n, own in index.short.items():
+        left = {i for i, _ in enumerate(own.gram)}
+        for at in range(0, max(0, len(codes) - n + 1), 1 << 20):
+            g = grams(codes[at : at + (1 << 20) + n - 1], n)
+            spot = np.minimum(np.searchsorted(own.gram, g), len(own.gram) - 1)
+            hit = np.flatnonzero(own.gram[spot] == g)
+            found, first = np.unique(spot[hit], return_index=True)
+            for i, place in zip(found.tolist(), (at + hit[first]).tolist(), strict=True):
+                if i in left:
+                    left.discard(i)
+                    for item, pattern in own.items[i]:
+                        if (start := plain.find(pattern, place)) >= 0:  # at `place`, but for a clash of hashes
+                            yield item, start, start + len(pattern)
 
 
 def build(items: list[tuple[int, str]], size: int = PATTERN, stride: int = STRIDE, rate: float = RATE, q: int = Q) -> Index:
@@ -119,7 +152,7 @@ def build(items: list[tuple[int, str]], size: int = PATTERN, stride: int = STRID
     short_grams = [_short_grams(_codes(t)) for t in text]
     short_first = np.concatenate([[0], np.cumsum([len(g) for g in short_grams])]).astype(np.int64)
     short_gram = np.concatenate(short_grams) if text else np.zeros(0, np.uint16)
-    return Index(np.array(item, np.int64), np.array(offset, np.int64), text, budget, length + 1 - q * (budget + 1), gram, np.append(first, len(flat)), pattern.astype(np.int32), place.astype(np.int32), keep, int(length.max(initial=0)), short_gram, short_first, tuple(short))
+    return Index(np.array(item, np.int64), np.array(offset, np.int64), text, budget, length + 1 - q * (budget + 1), gram, np.append(first, len(flat)), pattern.astype(np.int32), place.astype(np.int32), keep, int(length.max(initial=0)), short_gram, short_first, _short(short))
 
 
 def _short_grams(codes: np.ndarray) -> np.ndarray:
@@ -308,11 +341,9 @@ def find(index: Index, text: str) -> list[tuple[int, int, int, int, int]]:
         at += SEGMENT
         if at >= len(whole):
             break
-    for item, pattern in index.short:
-        if (place := plain.find(pattern)) >= 0:
-            seen.setdefault(item, set()).add(-1)
-            found = (0, place, place + len(pattern))
-            best[item] = min(best.get(item, found), found)
+    for item, start, end in short_places(index, plain, whole):
+        seen.setdefault(item, set()).add(-1)
+        best[item] = min(best.get(item, (0, start, end)), (0, start, end))
     for item, place in runs.items():
         best.setdefault(item, (0, *place))
     return [(item, s, e, edits, len(seen.get(item, ()))) for item, (edits, s, e) in sorted(best.items())]

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,7 +68,7 @@ def test_items_in_blocks(spark, monkeypatch):
 @pytest.mark.parametrize("edits", range(0, 16, 3))
 def test_lemma_loses_nothing_within_the_budget(edits):
     """Whatever is within the budget by brute force is found, and nothing else."""
-    index = D.build([(1, ITEM[:110])])
+    index = D.build([(1, ITEM[:110])], 120, 60)
     for seed in range(12):
         text = D.normalise(noise(8) + edited(ITEM[:110], edits, seed) + noise(8))
         best = edit_distance_inside(index.text[0], text)
@@ -104,7 +105,6 @@ def test_verbatim_runs_are_found_at_every_offset(size):
 def test_frequent_qgrams_cost_neither_memory_nor_results():
     """3,000 items that share a run of spaces, against a text with a long one."""
     import resource
-    import time
 
     r = random.Random(2)
     words = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(n))
@@ -156,3 +156,64 @@ def test_keys_and_ids_of_any_type(spark):
         rows = D.contaminated(docs, "k", "t", bench, "i", "t").collect()
         assert [(r["k"] is None, r["item_id"] is None) for r in rows] == [(value is None, False)]
         assert D.contaminated(docs, "k", "t", bench.limit(0), "i", "t").schema == D.contaminated(docs, "k", "t", bench, "i", "t").schema
+
+
+def _edited(rng, text):
+    """An edit every 20 characters."""
+    out = list(text)
+    for i in range(10, len(out), 20):
+        out[i] = rng.choice(["#", "", out[i] + "#"])
+    return "".join(out)
+
+
+@pytest.mark.parametrize(("length", "least"), [(90, 0.95), (99, 1.0), (120, 1.0), (150, 1.0), (178, 1.0), (220, 1.0)])
+def test_recall_of_edited_parts(length, least):
+    rng = random.Random(length)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    words = [word() for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))[:n]
+    item = prose(1200)
+    index = D.build([(1, item)])
+    found = 0
+    for _ in range(100):
+        at = rng.randrange(len(item) - length)
+        found += bool(D.find(index, f"{prose(300)} {_edited(rng, item[at : at + length])} {prose(300)}"))
+    assert found >= least * 100
+    assert not any(D.find(index, prose(2000)) for _ in range(30))
+
+
+def test_many_short_items_take_a_pass_a_length():
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).strip() or "a"
+    items = [(i, word(rng.choice([3, 5, 11, 12]))) for i in range(20_000)]
+    text = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    index = D.build(items)
+    start = time.time()
+    got = {(i, s) for i, s, *_ in D.find(index, text)}
+    assert time.time() - start < 2
+    plain = D.normalise(text)
+    assert got == {(i, plain.find(t)) for i, t in items if t in plain}
+
+
+def test_query_against_runs_and_alignments(spark):
+    """Every document that shares a verbatim run with an item is there, and what is there aligns, checked without any index."""
+    sf = "/root/testdata/sf0.001"
+    items = {r["item_id"]: D.normalise(r["text"]).strip() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r["text"]}
+    docs = {r["doc_id"]: D.normalise(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["text"]}
+    got = {(r["doc_id"], r["item_id"]): r for r in D.query(spark, sf).collect()}
+    runs = {}
+    for i, t in items.items():
+        for at in range(len(t) - D.RUN + 1):
+            runs.setdefault(t[at : at + D.RUN], set()).add(i)
+    want = {(d, i) for d, t in docs.items() for at in range(len(t) - D.RUN + 1) for i in runs.get(t[at : at + D.RUN], ())}
+    assert want <= set(got) and want
+    for (d, i), r in got.items():
+        part, item = docs[d][r["char_start"] : r["char_end"]], items[i]
+        # Edits of the part against any stretch of the item, by the plain recurrence.
+        row = [0] * (len(item) + 1)
+        for k, c in enumerate(part, 1):
+            new = [k]
+            for j, e in enumerate(item, 1):
+                new.append(min(row[j - 1] + (c != e), row[j] + 1, new[j - 1] + 1))
+            row = new
+        assert min(row) <= max(1, round(D.RATE * (len(part) + r["edits"])))
