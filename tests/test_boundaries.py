@@ -115,3 +115,150 @@ def test_rings_turn_left_and_enclose_their_grain(spark):
 @pytest.mark.parametrize("name", ["grain_polylines", "phase_polylines", "shared_line_points", "grain_rings"])
 def test_whole_map_matches_sql(spark, name):
     assert_same(Q.__dict__[name](spark, SF), connect(SF).sql(Q.query.__globals__["SQL"][name]))
+
+
+def test_size_field_in_tiles_equals_one_tile(spark):
+    """Tiles of any size give the field of a single one, and sizes that reach far take more rounds."""
+    from pyspark.sql import functions as F
+
+    from grainflow.operators import geometry
+
+    rng = random.Random(3)
+    n, m = 23, 17
+    cells = [("a", i, j, 50.0 + (rng.random() if (i, j) != (3, 4) else -49.0)) for i in range(n) for j in range(m)] + [("b", i, j, float(1 + (i * j) % 7)) for i in range(5) for j in range(4)]
+    df = spark.createDataFrame(cells, "grid string, i int, j int, h double")
+    for along in (True, False):
+        rounds = []
+        one, many = (sorted(map(tuple, geometry.limit_gradient(df, "grid", 0.5, 0.0, along, tile=t, rounds=rounds).collect())) for t in (100, 6))
+        assert [r[:3] for r in one] == [r[:3] for r in many] and len(one) == len(cells)
+        assert max(abs(p[3] - q[3]) for p, q in zip(one, many, strict=True)) < 1e-12
+        assert rounds[0] <= 1 + 3 * (not along) + 30 and rounds[1] >= 3
+        if along:
+            seeds = [(i, j, h) for g, i, j, h in cells if g == "a"]
+            ring = lambda a, b, k: min(abs(a - b), k - abs(a - b))
+            want = {(i, j): min(h + 0.5 * (ring(i, p, n) + ring(j, q, m)) for p, q, h in seeds) for i, j, _ in seeds}
+            assert all(abs(h - want[i, j]) < 1e-9 for g, i, j, h in one if g == "a")
+    assert geometry.limit_gradient(df.where(F.lit(False)), "grid", 0.5).count() == 0
+
+
+def test_colours(spark):
+    """Neighbours differ, the order of priorities decides, hubs and isolated maps work, and reruns agree."""
+    import hashlib
+
+    rng = random.Random(5)
+    pairs = {(a, b) for a in range(120) for b in rng.sample(range(120), 4) if a != b} | {(500, k) for k in range(120)} | {(900, 901)}
+    both = sorted(pairs | {(b, a) for a, b in pairs})
+    df = spark.createDataFrame(both, "grain_id long, neighbour long")
+    got = {r["grain_id"]: r["colour"] for r in grains.colours(df).collect()}
+    assert got == {r["grain_id"]: r["colour"] for r in grains.colours(df.repartition(5)).collect()}
+    near = {}
+    for a, b in both:
+        near.setdefault(a, set()).add(b)
+    assert set(got) == set(near) and all(got[a] != got[b] for a, b in both)
+    want = {}
+    for g in sorted(near, key=lambda k: (hashlib.md5(str(k).encode()).hexdigest(), k), reverse=True):
+        used = {want[b] for b in near[g] if b in want}
+        want[g] = next(c for c in range(len(near)) if c not in used)
+    assert got == want and max(got.values()) <= max(map(len, near.values()))
+    assert grains.colours(df.limit(0)).count() == 0
+
+
+def test_crossings(spark):
+    """Crossing, touching, overlapping and nearly touching segments, long ones among short, against exact arithmetic on all pairs."""
+    from fractions import Fraction
+
+    from grainflow.operators import spatial
+
+    rng = random.Random(8)
+    rows = [(2 * k, 2 * k + 1, *(rng.uniform(-3, 3) for _ in range(4))) for k in range(60)]
+    rows += [(200, 201, 0.0, 0.0, 3.0, 3.0), (202, 203, 1.0, 1.0, 2.0, 2.0), (204, 205, 1.5, 1.5, 0.0, 3.0), (206, 207, 3.0, 3.0, 4.0, 3.0), (200, 209, 0.0, 0.0, -1.0, 2.0), (210, 211, 0.1, 0.1, 0.1, 0.1)]
+    rows += [(212, 213, 0.1, 0.3 + 5, 0.7, 0.9 + 5), (214, 215, 0.4, 0.6 + 5, 0.4, 9.0), (216, 217, 0.4, 5.6 + 1e-15, 0.4, 8.0), (218, 219, -40.0, 0.5, 40.0, 0.5001), (201, 200, 3.0, 3.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "a long, b long, ax double, ay double, bx double, by double")
+
+    def side(p, q, r):
+        v = (Fraction(q[0]) - Fraction(p[0])) * (Fraction(r[1]) - Fraction(p[1])) - (Fraction(q[1]) - Fraction(p[1])) * (Fraction(r[0]) - Fraction(p[0]))
+        return (v > 0) - (v < 0)
+
+    lines = {(min(r[0], r[1]), max(r[0], r[1])): ((r[2], r[3]), (r[4], r[5])) if r[0] < r[1] else ((r[4], r[5]), (r[2], r[3])) for r in rows}
+    want = set()
+    for e, (p, q) in lines.items():
+        for f, (r, s) in lines.items():
+            boxes = all(max(min(p[k], q[k]), min(r[k], s[k])) <= min(max(p[k], q[k]), max(r[k], s[k])) for k in (0, 1))
+            if e < f and not set(e) & set(f) and boxes and side(p, q, r) * side(p, q, s) <= 0 and side(r, s, p) * side(r, s, q) <= 0:
+                want.add((*e, *f))
+    for cell in (0.7, 3.0, 100.0):
+        assert {tuple(r) for r in spatial.crossings(df, cell).collect()} == want
+    assert (200, 201, 202, 203) in want and not any({200, 201} == set(w[:2]) and 209 in w for w in want)
+
+
+def test_mesh_checks_find_a_planted_crossing(spark):
+    from grainflow.operators import mesh
+
+    nodes, flat = mesh.grid_mesh(spark, 0.0, 4.0, 0.0, 4.0, 4, 4)
+    told = lambda n: {r["name"]: r["n"] for r in mesh.checks(flat, n).collect()}
+    assert set(told(nodes).values()) == {0}
+    moved = nodes.selectExpr("node_id", "IF(node_id = 12, x + 1.75, x) AS x", "y")
+    assert told(moved)["crossed edges"] > 0
+
+
+def test_points_meet_few_edges_of_a_long_ring(spark):
+    """Twice the edges, the same pairs for each point; the distances are those to all edges."""
+    from grainflow.operators import spatial
+
+    ring = lambda n: [(7, k, (9 + math.sin(40 * math.pi * k / n)) * math.cos(2 * math.pi * k / n), (9 + math.sin(40 * math.pi * k / n)) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    rng = random.Random(2)
+    pts = [(i, rng.uniform(-12, 12), rng.uniform(-12, 12)) for i in range(300)]
+    points = spark.createDataFrame(pts, "point_id long, x double, y double")
+    met = {}
+    for n in (400, 800, 1600):
+        vertices = spark.createDataFrame(ring(n), "ring long, seq long, x double, y double")
+        edges = spatial.ring_edges(vertices, "ring")
+        met[n] = spatial.near_edges(points, edges, "ring", 0.25).count() / len(pts)
+        if n == 400:
+            got = {r["point_id"]: r["distance"] for r in spatial.signed_distance(points, vertices, "ring", 0.5).collect()}
+            xy = [r[2:] for r in ring(n)]
+            for i, x, y in pts:
+                d, inside = math.inf, False
+                for (ax, ay), (bx, by) in zip(xy, xy[1:] + xy[:1], strict=True):
+                    t = min(1, max(0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+                    d = min(d, math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)))
+                    inside ^= (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax
+                assert abs(got[i] - (-d if inside else d)) < 1e-9
+    assert met[400] < 60 and met[1600] < 0.2 * 1600
+    assert spatial.signed_distance(points.limit(0), vertices, "ring").count() == 0
+
+
+ISLANDS = ["aaaaaaaaaa", "abbbbbbbba", "abccccdeba", "abcffcdeba", "abcffcdeba", "abccccddba", "abbbbbbbba", "aaaaaaaaaa"]
+
+
+def test_holes_nesting_and_labels_of_planted_islands(spark):
+    grained = points(spark, ISLANDS)
+    name = {r["grain_id"]: chr(r["phase"]) for r in grained.collect()}
+    at = {(r["x"], r["y"]): name[r["grain_id"]] for r in grained.collect()}
+    inside = {}
+    for r in polylines.hole_pixels(grained).collect():
+        inside.setdefault(name[r["grain_id"]], set()).add(at[r["x"], r["y"]])
+    assert inside == {"a": set("bcdef"), "b": set("cdef"), "c": {"f"}}
+    assert {name[r["grain_id"]]: name[r["parent_id"]] for r in polylines.nesting(grained).collect()} == {"b": "a", "c": "b", "d": "b", "e": "b", "f": "c"}
+    labels = {name[r["grain_id"]]: (r["x"], r["y"], r["clearance"]) for r in polylines.label_points(grained).collect()}
+    assert all(at[x, y] == g for g, (x, y, _) in labels.items()) and labels["f"][2] == 1
+    # The corners where c, d and e meet each other and b, but no corner of an island alone.
+    got = {(r["x"], r["y"]) for r in polylines.hole_junctions(grained).collect()}
+    assert {(6, 2), (6, 6), (7, 6)} <= got and (3, 3) not in got and (1, 1) not in got
+
+
+def test_diagonal_rings_close_their_holes(spark):
+    """A ring of pixels that touch at corners alone encloses its middle, as pixels of a grain hold together across corners."""
+    got = polylines.hole_pixels(points(spark, ["xxxxx", "xxaxx", "xabax", "xxaxx", "xxxxx"]))
+    grained = points(spark, ["xxxxx", "xxaxx", "xabax", "xxaxx", "xxxxx"])
+    a = grained.where("phase = 97").first()["grain_id"]
+    assert {(r["x"], r["y"]) for r in got.where(f"grain_id = {a}").collect()} == {(2, 2)}
+
+
+def test_clearance_counts_erosions(spark):
+    n = 9
+    grained = points(spark, ["a" * n] * n)
+    got = {(r["x"], r["y"]): r["clearance"] for r in polylines.clearances(grained).collect()}
+    assert got == {(x, y): 1 + min(x, y, n - 1 - x, n - 1 - y) for x in range(n) for y in range(n)}
+    label = polylines.label_points(grained).first()
+    assert (label["x"], label["y"], label["clearance"]) == (4, 4, 5)
