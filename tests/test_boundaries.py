@@ -1,13 +1,7 @@
 import math
 import random
 
-import pytest
-
 from grainflow.operators import grains, polylines
-from grainflow.plans import boundary_queries as Q
-from tests.oracle import assert_same, connect
-
-SF = "/root/testdata/sf0.001"
 
 
 def points(spark, rows):
@@ -112,11 +106,6 @@ def test_rings_turn_left_and_enclose_their_grain(spark):
     assert total == size
 
 
-@pytest.mark.parametrize("name", ["grain_polylines", "phase_polylines", "shared_line_points", "grain_rings"])
-def test_whole_map_matches_sql(spark, name):
-    assert_same(Q.__dict__[name](spark, SF), connect(SF).sql(Q.query.__globals__["SQL"][name]))
-
-
 def test_size_field_in_tiles_equals_one_tile(spark):
     """Tiles of any size give the field of a single one, and sizes that reach far take more rounds."""
     from pyspark.sql import functions as F

@@ -190,17 +190,6 @@ def test_small_grains_follow_their_neighbours(spark):
     assert {r["grain_id"] for r in got} == {400} and {r["phase"] for r in got} == {4} and {r["phi1"] for r in got} == {4.0}
 
 
-def test_signed_distance_in_parts_is_the_same(spark, monkeypatch):
-    from grainflow.operators import spatial
-
-    points = spark.range(40).select(core.F.col("id").alias("point_id"), (core.F.col("id") % 7 * 1.3).alias("x"), (core.F.col("id") % 5 * 1.7).alias("y"))
-    ring = spark.createDataFrame([(r, k, float(r + 3 * np.cos(k)), float(r + 3 * np.sin(k))) for r in (1, 4) for k in range(6)], "ring int, seq int, x double, y double")
-    want = sorted(map(tuple, spatial.signed_distance(points, ring, "ring").collect()))
-    monkeypatch.setattr(spatial, "EDGES", 4)
-    got = sorted(map(tuple, spatial.signed_distance(points, ring, "ring").collect()))
-    assert len(got) == 80 and np.allclose([g[2] for g in got], [w[2] for w in want]) and [g[:2] for g in got] == [w[:2] for w in want]
-
-
 def test_side_numbers_stay_whole_for_large_nodes(spark):
     """Numbers of mid-side nodes of nodes beyond 2**28 don't collide, as they would as doubles."""
     from grainflow.operators import mesh
