@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +16,10 @@ from grainflow.operators import clean, conforming, elements, fem, geometry, homo
 from grainflow.plans import analysis
 from grainflow.plans import standard as S
 from grainflow.plans.config import JobConfig
-from grainflow.plans.queries import _MESH_SQL, CELLS, _estimate, _mesh, _r, query, rounded
+from grainflow.plans.queries import _MESH_SQL, CELLS, SQL, _estimate, _mesh, _r, query, rounded
 from grainflow.plans.standard import MAP_SQL, PHASES_SQL, PRESENT_SQL, ROTATION_SQL
 from grainflow.session import checkpoint_folder
-from grainflow.sources import maps, properties, sinks
+from grainflow.sources import maps, mat, properties, sinks
 
 
 def _folder(spark, name: str) -> str:
@@ -73,6 +77,54 @@ def map_from_colours(spark, d):
     return maps.from_colours(pixels).select("x", "y", "phase")
 
 
+#: Rows of the map in a file of its own.
+BAND = 32
+
+
+@query(f"WITH {MAP_SQL} SELECT {', '.join(f'{c}::DOUBLE AS {c}' for c in ('x', 'y', 'phase'))}, {_ANGLES_SQL} FROM points")
+def read_mat_map(spark, d):
+    """The event map as column vectors in .mat files, a band of rows in each and every other one compressed, read back."""
+    names = ("x", "y", "phase", "phi1", "phi", "phi2")
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        band = int(pdf["band"].iloc[0])
+        columns = {c: pdf[[c]].to_numpy(np.int32 if c == "phase" else np.float64) for c in names}
+        return pd.DataFrame({"path": [f"band-{band}.mat"], "content": [mat.to_bytes(columns, compress=band % 2 == 1)]})
+
+    bands = S.event_map(spark, d).select(F.floor(F.col("y") / BAND).alias("band"), *names)
+    files = bands.groupBy("band").applyInPandas(packed, "path string, content binary")
+    return rounded(mat.points(mat.values(files), names).drop("path", "row"), 9)
+
+
+def _png(pixels: np.ndarray) -> bytes:
+    """An image file of pixels (row, column, red green blue)."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    lines = b"".join(b"\0" + row.tobytes() for row in pixels)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", pixels.shape[1], pixels.shape[0], 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+@query(SQL["map_from_colours"])
+def map_from_image(spark, d):
+    """The event map as PNG images, a band of rows in each, decoded by Spark."""
+
+    def drawn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pixels = np.zeros((pdf["y"].max() % BAND + 1, pdf["x"].max() + 1, 3), np.uint8)
+        pixels[pdf["y"] % BAND, pdf["x"]] = np.stack([20 * pdf["phase"], 255 - 20 * pdf["phase"], np.full(len(pdf), 7)], 1)
+        return pd.DataFrame({"band": pdf["band"].iloc[:1], "content": [_png(pixels)]})
+
+    folder = _folder(spark, "images")
+    bands = S.event_map(spark, d).select(F.floor(F.col("y") / BAND).alias("band"), "x", "y", "phase").groupBy("band").applyInPandas(drawn, "band long, content binary")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for r in bands.toLocalIterator():  # files as they would lie there, one at a time
+        path = hadoop.Path(f"{folder}/band-{r['band']}.png")
+        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+        out.write(bytearray(r["content"]))
+        out.close()
+    pixels = maps.read_images(spark, folder)
+    band = F.regexp_extract("origin", r"band-(\d+)\.png", 1).cast("long")
+    return maps.from_colours(pixels.withColumn("row", band * BAND + F.col("row"))).select("x", "y", "phase")
+
+
 @query(f"WITH {MAP_SQL}, c AS (SELECT * FROM points, side WHERE x BETWEEN 2 AND w / 2 AND y BETWEEN 1 AND w - 3), e AS (SELECT min(x) AS x0, max(y) AS y1 FROM c) SELECT point_id, CAST(x - x0 AS BIGINT) AS x, CAST(y1 - y AS BIGINT) AS y FROM c, e")
 def crop_offset(spark, d):
     side = S.map_side(spark, d)

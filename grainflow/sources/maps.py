@@ -91,3 +91,21 @@ def random_two_phase(grid: DataFrame, centres: DataFrame, size: float, fraction:
     field = checkpointed(field)
     cut = quantile(field, "level", 1 - fraction)
     return field.select("x", "y", F.when(F.col("level") > cut, 2).otherwise(1).alias("phase"))
+
+
+def image_pixels(images: DataFrame) -> DataFrame:
+    """(origin, row, col, colour) of images as Spark's image source gives them: the colour is the pixel's bytes in hexadecimal, blue, green, red and alpha as far as there are.
+
+    An image is cut into its rows by position, and these into pixels, so that no row carries the image. Images that couldn't be read (height below 1) have no pixels.
+    """
+    i = lambda c: F.col(f"image.{c}")
+    whole = images.select(i("origin").alias("origin"), i("height").alias("h"), i("width").alias("w"), i("nChannels").alias("n"), i("data").alias("data")).where("h > 0 AND w > 0 AND n > 0")
+    lines = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda k: F.substring(F.col("data"), k * F.col("w") * F.col("n") + 1, F.col("w") * F.col("n")))
+    rows = whole.select("origin", "w", "n", F.posexplode(lines).alias("row", "line"))
+    pixels = F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda k: F.hex(F.substring(F.col("line"), k * F.col("n") + 1, F.col("n"))))
+    return rows.select("origin", "row", F.posexplode(pixels).alias("col", "colour"))
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """The pixels of the images below `path` (PNG, JPEG, BMP, GIF), decoded by Spark; broken files are left out."""
+    return image_pixels(spark.read.format("image").option("dropInvalid", True).load(path))

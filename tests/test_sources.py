@@ -88,3 +88,45 @@ def test_rings(spark):
     line = geometry.resample(square, "ring", 4)
     assert sorted((r["seq"], r["x"], r["y"]) for r in line.collect())[-1] == (3, 2.0, 0.0)
     assert grains.STEPS[0] == (1, 0)
+
+
+def test_mat_files(spark, tmp_path):
+    """Types, both byte orders, compression, several arrays, files of other kinds and files that end early."""
+    import struct
+
+    import numpy as np
+
+    from grainflow.sources import mat
+
+    given = {"a": np.arange(6, dtype=np.float64).reshape(2, 3), "b": np.array([[-5], [300]], np.int16), "c": np.array([[2**40]], np.int64), "d": np.array([[1, 0]], np.uint8), "e": np.zeros((0, 3)), "f": np.array([[1.5]], np.float32)}
+    for compress in (False, True):
+        back = dict(mat.arrays(mat.to_bytes(given, compress)))
+        assert list(back) == list(given) and all((back[k] == v).all() and back[k].shape == v.shape for k, v in given.items())
+    whole = mat.to_bytes(given)
+    for cut in range(0, len(whole), 7):
+        names = [k for k, _ in mat.arrays(whole[:cut])]
+        assert names == list(given)[: len(names)]
+    # Big-endian, with the small elements that other writers use for names and single values.
+    big = b"x".ljust(124) + struct.pack(">H", 0x0100) + b"MI"
+    body = struct.pack(">II", 6, 8) + struct.pack(">II", 6, 0) + struct.pack(">II", 5, 8) + struct.pack(">ii", 1, 1) + struct.pack(">HH", 1, 1) + b"k\0\0\0" + struct.pack(">HH", 2, 3) + struct.pack(">h", -7) + b"\0\0"
+    assert [(k, v.tolist()) for k, v in mat.arrays(big + struct.pack(">II", 14, len(body)) + body)] == [("k", [[-7]])]
+    (tmp_path / "one.mat").write_bytes(mat.to_bytes({"x": np.array([[1.0], [2.0]]), "y": np.array([[5.0]])}, True))
+    (tmp_path / "two.mat").write_bytes(b"not a file of this kind" * 20)
+    (tmp_path / "three.txt").write_bytes(whole)
+    cells = mat.read_mat(spark, str(tmp_path))
+    assert sorted((r["name"], r["row"], r["col"], r["value"]) for r in cells.collect()) == [("x", 0, 0, 1.0), ("x", 1, 0, 2.0), ("y", 0, 0, 5.0)]
+    assert sorted((r["row"], r["x"], r["y"]) for r in mat.points(cells, ("x", "y")).collect()) == [(0, 1.0, 5.0), (1, 2.0, None)]
+
+
+def test_images(spark, tmp_path):
+    import numpy as np
+
+    from grainflow.plans.source_queries import _png
+    from grainflow.sources import maps
+
+    rng = np.random.default_rng(0)
+    pixels = rng.integers(0, 256, (5, 7, 3), dtype=np.uint8)
+    (tmp_path / "a.png").write_bytes(_png(pixels))
+    (tmp_path / "broken.png").write_bytes(_png(pixels)[:40])
+    got = {(r["row"], r["col"]): r["colour"] for r in maps.read_images(spark, str(tmp_path)).collect()}
+    assert got == {(i, j): bytes(pixels[i, j][::-1]).hex().upper() for i in range(5) for j in range(7)}
