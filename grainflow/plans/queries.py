@@ -845,4 +845,4 @@ def grain_contours(spark, d):
     return triangulation.grain_contours(_grained(spark, d))
 
 
-from grainflow.plans import boundary_queries, source_queries  # noqa: E402, F401 (they register their queries)
+from grainflow.plans import bound_queries, boundary_queries, source_queries  # noqa: E402, F401 (they register their queries)
