@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grainflow.operators.components import checkpointed, connected_components
 from grainflow.operators.homogenize import ANGLES
+from grainflow.operators.ranking import numbered
 
 #: Half of the eight neighbours; the other half are the same pairs.
 STEPS = ((1, 0), (0, 1), (1, 1), (1, -1))
@@ -133,7 +134,7 @@ def merge_small(grained: DataFrame, least: int, by: tuple[str, ...] = ()) -> Dat
 def rank_by_size(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., grain_id, vertices, rank): grains from few boundary corners to many; ties by id."""
     counted = corners(grained, by).groupBy(*by, "grain_id").agg(F.count("*").alias("vertices"))
-    return counted.withColumn("rank", F.row_number().over(Window.partitionBy(*(by or (F.lit(0),))).orderBy("vertices", "grain_id")))
+    return numbered(counted, ["vertices", "grain_id"], "rank", by).withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def majority(grained: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:

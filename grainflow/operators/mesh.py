@@ -9,10 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainflow.operators import spatial
+from grainflow.operators.ranking import numbered
 
 
 #: Bins of the histogram in `worst_mean`.
@@ -204,7 +205,7 @@ def compact(elements: DataFrame, nodes: DataFrame, columns: list[str]) -> tuple[
     """Nodes and elements renumbered 0, 1, ... by node id, without unused nodes."""
     used = elements.select(F.explode(F.array(*columns)).alias("node_id")).distinct()
     kept = nodes.join(used, "node_id", "left_semi")
-    numbers = kept.select("node_id", (F.row_number().over(Window.orderBy("node_id")) - 1).cast("long").alias("new"))  # a mesh is one map's
+    numbers = numbered(kept.select("node_id"), ["node_id"], "new")
     out = elements
     for c in columns:
         out = out.join(numbers.withColumnRenamed("node_id", c), c).drop(c).withColumnRenamed("new", c)

@@ -53,12 +53,6 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, cell: float = 1.0
     return out.select("query_id", "rank", "point_id", "distance2")
 
 
-def _boxes(shapes: DataFrame, cell: float) -> DataFrame:
-    """Shapes with (x0, x1, y0, y1), one row for every bucket that their box meets."""
-    span = lambda a, b: F.explode(F.sequence(_bucket(F.col(a), cell), _bucket(F.col(b), cell)))
-    return shapes.withColumn("bx", span("x0", "x1")).withColumn("by", span("y0", "y1"))
-
-
 def points_in_triangles(points: DataFrame, triangles: DataFrame, cell: float = 1.0, tolerance: float = 1e-8) -> DataFrame:
     """(point_id, elem_id): the first triangle (elem_id, x1, y1, ..., x3, y3) that holds each point, by barycentric coordinates; points in none are left out."""
     xs, ys = [F.col(f"x{i}") for i in (1, 2, 3)], [F.col(f"y{i}") for i in (1, 2, 3)]
@@ -92,15 +86,19 @@ def ring_edges(vertices: DataFrame, key: str) -> DataFrame:
 
 
 def points_in_polygons(points: DataFrame, vertices: DataFrame, key: str, cell: float = 1.0, tolerance: float = TOLERANCE) -> DataFrame:
-    """(point_id, key) for every polygon that a point lies in or, within `tolerance`, on: an odd number of edges crosses the ray to the right."""
+    """(point_id, key) for every polygon that a point lies in or, within `tolerance`, on: an odd number of edges crosses the ray to the right. A point meets the
+    edges of its strip of the height `cell` alone, whatever the size of the polygons."""
     edges = ring_edges(vertices, key)
-    box = edges.groupBy(key).agg(F.min("ax").alias("x0"), F.max("ax").alias("x1"), F.min("ay").alias("y0"), F.max("ay").alias("y1"))
-    placed = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), _bucket(F.col("x"), cell).alias("bx"), _bucket(F.col("y"), cell).alias("by"))
-    pairs = placed.join(_boxes(box, cell), ["bx", "by"]).where(F.col("px").between(F.col("x0") - tolerance, F.col("x1") + tolerance) & F.col("py").between(F.col("y0") - tolerance, F.col("y1") + tolerance)).select("point_id", "px", "py", key)
     px, py, ax, ay, bx, by = (F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by"))
-    crosses = ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
-    tested = pairs.join(edges, key).groupBy("point_id", key).agg(F.sum(F.when((ay == by) | ~((ay > py) != (by > py)), 0).when(crosses, 1).otherwise(0)).alias("n"), F.min(segment_distance2(px, py, ax, ay, bx, by)).alias("d2"))
-    return tested.where((F.col("n") % 2 == 1) | (F.col("d2") <= tolerance * tolerance)).select("point_id", key)
+    strip = lambda low, high: F.explode(F.sequence(_bucket(low - tolerance, cell), _bucket(high + tolerance, cell)))
+    strips = edges.withColumn("strip", strip(F.least(ay, by), F.greatest(ay, by)))
+    placed = points.select("point_id", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).withColumn("strip", _bucket(py, cell))
+    # Only the edges of the point's own strip that lie to its right, or at it, are looked at.
+    met = placed.join(strips, "strip").where(F.greatest(ax, bx) >= px - tolerance)
+    crosses = ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / F.when(by == ay, 1.0).otherwise(by - ay) + ax)
+    on = segment_distance2(px, py, ax, ay, bx, by) <= tolerance * tolerance
+    tested = met.where(crosses | on).groupBy("point_id", key).agg(F.sum(crosses.cast("int")).alias("n"), F.bool_or(on).alias("on"))
+    return tested.where((F.col("n") % 2 == 1) | F.col("on")).select("point_id", key)
 
 
 def near_edges(points: DataFrame, edges: DataFrame, key: str, cell: float = 1.0) -> DataFrame:

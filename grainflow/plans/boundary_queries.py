@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from grainflow.operators import geometry, grains, mesh, polylines
+from grainflow.operators import geometry, grains, mesh, polylines, spatial
 from grainflow.plans import standard as S
 from grainflow.plans.queries import _GRAINS, _MESH_SQL, _grained, _mesh, _r, query, rounded
 
@@ -122,6 +122,14 @@ def densify_ring(spark, d):
     return rounded(geometry.densify(_outer(spark, d).withColumns({"x": 3 * F.col("x"), "y": 3 * F.col("y")}), "ring"))
 
 
+@query(f"""{_SEGMENTS}, up AS (SELECT ring, ax, least(ay, b_y) AS low FROM edges WHERE ax = bx), p AS (SELECT point_id, x + 0.5::DOUBLE AS px, y FROM points)
+SELECT point_id, ring FROM p JOIN up ON low = p.y AND ax > px GROUP BY point_id, ring HAVING count(*) % 2 = 1""")
+def point_in_polygon(spark, d):
+    """The outer rings that hold each pixel's centre: its own grain's and those of all grains around it."""
+    middle = S.event_map(spark, d).select("point_id", (F.col("x") + 0.5).alias("x"), (F.col("y") + 0.5).alias("y"))
+    return spatial.points_in_polygons(middle, _outer(spark, d), "ring", 1.0)
+
+
 # --- labels, colours, holes ----------------------------------------------------------------------------------------------
 
 

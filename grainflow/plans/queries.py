@@ -384,14 +384,6 @@ def _rings(spark, d):
     return rows.select(r.alias("ring"), k.alias("seq"), (10 * r + 5 + size * F.cos(turn)).alias("x"), (20 + size * F.sin(turn) + r).alias("y"))
 
 
-@query(f"""WITH {_RINGS_SQL}, {_EDGES_SQL}, p AS (SELECT p_partkey AS point_id, p_partkey * 0.731 - 55 * floor(p_partkey * 0.731 / 55) AS px, 14 + p_size * 0.31 AS py FROM part)
-SELECT point_id, ring FROM p, edges WHERE (ay > py) <> (b_y > py) AND px < (bx - ax) * (py - ay) / (b_y - ay) + ax GROUP BY point_id, ring HAVING count(*) % 2 = 1""")
-def point_in_polygon(spark, d):
-    x = F.col("p_partkey") * 0.731
-    points = S.table(spark, d, "part").select(F.col("p_partkey").alias("point_id"), (x - 55 * F.floor(x / 55)).alias("x"), (14 + F.col("p_size") * 0.31).alias("y"))
-    return spatial.points_in_polygons(points, _rings(spark, d), "ring", 4.0)
-
-
 @query(f"""WITH {_RINGS_SQL}, {_EDGES_SQL}, p AS (SELECT s_suppkey AS point_id, (s_suppkey % 50) * 1.1 AS px, 12 + (s_suppkey % 17) * 1.3 AS py FROM supplier),
 t AS (SELECT *, least(greatest(((px - ax) * (bx - ax) + (py - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)), 0), 1) AS t FROM p, edges),
 g AS (SELECT point_id, ring, sqrt(min((px - ax - t * (bx - ax)) * (px - ax - t * (bx - ax)) + (py - ay - t * (b_y - ay)) * (py - ay - t * (b_y - ay)))) AS dist,

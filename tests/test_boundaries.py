@@ -251,3 +251,17 @@ def test_clearance_counts_erosions(spark):
     assert got == {(x, y): 1 + min(x, y, n - 1 - x, n - 1 - y) for x in range(n) for y in range(n)}
     label = polylines.label_points(grained).first()
     assert (label["x"], label["y"], label["clearance"]) == (4, 4, 5)
+
+
+def test_numbers_in_order(spark):
+    from grainflow.operators.ranking import numbered
+
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.randrange(1000), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, v int, k int").repartition(7)
+    got = numbered(df, ["v", "k"], "n", ("g",)).collect()
+    for g in "ab":
+        assert [(r["v"], r["k"]) for r in sorted(got, key=lambda r: r["n"]) if r["g"] == g] == sorted((v, k) for h, v, k in rows if h == g)
+        assert sorted(r["n"] for r in got if r["g"] == g) == list(range(sum(h == g for h, *_ in rows)))
+    assert [r["k"] for r in sorted(numbered(df, ["k"], "n").collect(), key=lambda r: r["n"])] == list(range(500))
+    assert numbered(df.limit(0), ["k"], "n").count() == 0
