@@ -69,10 +69,19 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other. Each one's rows are written as Parquet to the folder of checkpoints and read again, so that no
-    stage runs twice and a lost executor costs no more than the stage at work; the last one's are left to the caller."""
+    stage runs twice and a lost executor costs no more than the stage at work; a stage's files go once the next one is written. The last one's rows are left to
+    the caller, and with them the files that they come from."""
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            _delete(spark, last)
+        last = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
