@@ -113,3 +113,49 @@ def geometric_conductivity(spark, d):
     """The exponential of the mean logarithm of the points' conductivities."""
     k = F.col("kappa_geometric")
     return rounded(_estimates(spark, d).where("method = 'geometric'").select(*(k[3 * i + j - 4].alias(f"k{i}{j}") for i, j in CELLS)))
+
+
+def _waves_sql() -> str:
+    """Squares of the speeds as eigenvalues of C_ijkl n_j n_l, in closed form."""
+    voigt = lambda i, j: i if i == j else 9 - i - j
+    g = lambda i, k: " + ".join(f"c[{6 * voigt(i, j) - 6 + voigt(k, m)}] * n{j} * n{m}" for j in (1, 2, 3) for m in (1, 2, 3))
+    return f"""{_BOUNDS}, density AS (SELECT avg(density) AS density FROM points JOIN phases USING (phase)), solid AS (SELECT method, list(v ORDER BY r, c) AS c FROM bound GROUP BY method),
+ij AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, pi() - i * (pi() / 200) AS p, j * (2 * pi() / 200) AS q FROM range(101) a(i), range(201) b(j)),
+way AS (SELECT i, j, sin(p) * cos(q) AS n1, sin(p) * sin(q) AS n2, cos(p) AS n3 FROM ij),
+g AS (SELECT method, i, j, n1, n2, n3, {", ".join(f"{g(i, k)} AS g{i}{k}" for i, k in ((1, 1), (2, 2), (3, 3), (1, 2), (1, 3), (2, 3)))} FROM solid, way),
+s AS (SELECT *, (g11 + g22 + g33) / 3 AS m FROM g), t AS (SELECT *, sqrt((pow(g11 - m, 2) + pow(g22 - m, 2) + pow(g33 - m, 2) + 2 * (g12 * g12 + g13 * g13 + g23 * g23)) / 6) AS s FROM s),
+u AS (SELECT *, acos(least(greatest(((g11 - m) * ((g22 - m) * (g33 - m) - g23 * g23) - g12 * (g12 * (g33 - m) - g23 * g13) + g13 * (g12 * g23 - (g22 - m) * g13)) / (2 * s * s * s), -1), 1)) / 3 AS t FROM t),
+k AS (SELECT *, m + 2 * s * cos(t) AS k1, m + 2 * s * cos(t + 2 * pi() / 3) AS k3 FROM u),
+v AS (SELECT method, i, j, sqrt(1e9 * k1 / density) AS vp, sqrt(1e9 * (3 * m - k1 - k3) / density) AS vs1, sqrt(1e9 * k3 / density) AS vs2 FROM k, density),
+w AS (SELECT *, max(vp) OVER (PARTITION BY method) AS fastest FROM v)"""
+
+
+_WAVES = _waves_sql()
+
+
+def _speeds(spark, d):
+    from grainflow.operators import waves
+
+    materials = _bounds(spark, d).select("method", F.transform("stiffness", lambda x: x * 1e9).alias("stiffness")).join(homogenize.homogenised_density(S.event_map(spark, d), S.phases(spark)))
+    return waves.wave_speeds(materials, "method")
+
+
+@query(f"{_WAVES} SELECT method, i, j, {', '.join(_r(c, c, 2) for c in ('vp', 'vs1', 'vs2'))}, {_r('(vs1 - vs2) / ((vs1 + vs2) / 2) * 100', 'avs', 5)}, {_r('1 / vs2 - 1 / vs1', 'dts', 11)}, {_r('1 / vp - 1 / fastest', 'dtp', 11)} FROM w")
+def wave_speed_bounds(spark, d):
+    """Of the map's bounds in every direction of the default grid."""
+    digits = {"vp": 2, "vs1": 2, "vs2": 2, "avs": 5, "dts": 11, "dtp": 11}
+    return _speeds(spark, d).select("method", "i", "j", *((F.round(c, n) + F.lit(0.0)).alias(c) for c, n in digits.items()))
+
+
+@query(f"{_WAVES} SELECT method, {', '.join(_r(f'(max({c}) - min({c})) / ((max({c}) + min({c})) / 2) * 100', f'a_{c}', 5) for c in ('vp', 'vs1', 'vs2'))}, {_r('max((vs1 - vs2) / ((vs1 + vs2) / 2) * 100)', 'max_avs', 5)} FROM w GROUP BY method")
+def wave_anisotropy_bounds(spark, d):
+    from grainflow.operators import waves
+
+    return rounded(waves.anisotropy(_speeds(spark, d), "method").select("method", "a_vp", "a_vs1", "a_vs2", "max_avs"), 5)
+
+
+@query(f"""WITH {S.PRESENT_SQL}, e AS (SELECT phase, i, stiffness[i + 1] AS v, stiffness[i % 6 * 6 + i // 6 + 1] AS t FROM phases, range(36) r(i)), m AS (SELECT phase, max(abs((v + t) / 2)) AS m FROM e GROUP BY phase)
+SELECT phase, CAST(i AS INTEGER) AS i, CASE WHEN abs((v + t) / 2) < 0.3 * m THEN 0 ELSE round((v + t) / 2, 6) END AS value FROM e JOIN m USING (phase)""")
+def clean_stiffness(spark, d):
+    """With a threshold high enough to act on some entries."""
+    return rounded(homogenize.cleaned(S.phases_of_map(spark, d), "stiffness", 6, 0.3).select("phase", F.posexplode("stiffness").alias("i", "value")))
