@@ -27,7 +27,7 @@ from pyspark.sql.types import IntegerType, LongType
 from grainflow.llm.common import as_schema, by_size, mix64, short_batches, table
 
 #: Characters of a pattern at most, and between the starts of two; edits allowed per character; q.
-PATTERN, STRIDE, RATE, Q = 80, 20, 0.1, 8
+PATTERN, STRIDE, RATE, Q = 69, 9, 0.1, 8
 #: Characters of a verbatim copy that are always found; patterns overlap by as many at least.
 RUN = 60
 #: Characters of items in one broadcast block.
@@ -312,7 +312,7 @@ def find(index: Index, text: str) -> list[tuple[int, int, int, int, int]]:
     best: dict[int, tuple[int, int, int]] = {}
     seen: dict[int, set[int]] = {}
     runs: dict[int, tuple[int, int]] = {}
-    overlap = 2 * max((len(t) + int(b) for t, b in zip(index.text, index.budget, strict=True)), default=0) if len(whole) > SEGMENT else 0
+    overlap = 2 * (index.longest + int(index.budget.max(initial=0)))
     exact: dict[str, int] = {}  # of each pattern, its first place or -1
 
     def there(p: int) -> bool:

@@ -166,7 +166,7 @@ def _edited(rng, text):
     return "".join(out)
 
 
-@pytest.mark.parametrize(("length", "least"), [(90, 0.95), (99, 1.0), (120, 1.0), (150, 1.0), (178, 1.0), (220, 1.0)])
+@pytest.mark.parametrize(("length", "least"), [(70, 0.9), (77, 1.0), (90, 1.0), (120, 1.0), (150, 1.0), (178, 1.0), (220, 1.0)])
 def test_recall_of_edited_parts(length, least):
     rng = random.Random(length)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
