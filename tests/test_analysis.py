@@ -107,3 +107,8 @@ def test_components_in_one_part_and_in_many(spark):
     for part in (1000, 20, 3):
         assert {r["node"]: r["component"] for r in connected_components(edges, part).collect()} == want
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_problems_of_settings():
+    found = JobConfig(map_path="", phase_paths=(), euler_column=3, wave_grid=3).problems()
+    assert set(found) == {"map_path is empty", "phase_paths must name 1 to 8 files", "columns overlap", "wave_grid must be even"}
