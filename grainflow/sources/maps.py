@@ -18,8 +18,10 @@ NUMBER = r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?"
 
 
 def _numeric_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(map_id, part): the numbers of each data line; the file's name stands for the map."""
-    lines = spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("map_id"), F.trim(F.translate("value", "\t,", "  ")).alias("line"))
+    """(map_id, part): the numbers of each data line; the file's name stands for the map, or its folder's if the file is one of a table's parts (part-...)."""
+    names = F.split(F.input_file_name(), "/")
+    own = F.element_at(names, -1)
+    lines = spark.read.text(path).select(F.when(own.startswith("part-"), F.element_at(names, -2)).otherwise(own).alias("map_id"), F.trim(F.translate("value", "\t,", "  ")).alias("line"))
     return lines.where(F.col("line").rlike(rf"^{NUMBER}(\s+{NUMBER})*$")).select("map_id", F.split("line", r"\s+").alias("part"))
 
 

@@ -16,6 +16,15 @@ def test_maps(spark, tmp_path):
     assert [(r["phase"], round(r["phi1"], 6)) for r in maps.read_ctf(spark, str(tmp_path / "c.ctf")).collect()] == [(1, 3.141593)]
 
 
+def test_parts_of_a_table_are_one_map(spark, tmp_path):
+    lines = spark.createDataFrame([(f"0 0 0 {x} {y} {y}",) for y in range(4) for x in range(3)], "value string")
+    lines.repartitionByRange(4, "value").write.text(str(tmp_path / "map.txt"))
+    assert len(list((tmp_path / "map.txt").glob("part-*"))) > 1
+    got = maps.read_plain(spark, str(tmp_path / "map.txt"))
+    assert {r["map_id"] for r in got.collect()} == {"map.txt"}
+    assert sorted((r["x"], r["y"], r["phase"]) for r in got.collect()) == sorted((float(x), 3.0 - y, y + 1) for y in range(4) for x in range(3))
+
+
 def test_properties(spark, tmp_path):
     rows = "\n".join(" ".join(str(float(i == j) * 5) for j in range(6)) for i in range(6))
     (tmp_path / "iron.txt").write_text(f"# *density 3\n*Phase\nIron  alpha\n*DENSITY\n# source: [1]\n7.8e3\n*stiffness_matrix\n{rows}\n")
