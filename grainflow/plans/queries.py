@@ -310,7 +310,7 @@ def wave_anisotropy(spark, d):
 
 
 #: The phases are isotropic about axis 3, where the speeds have a closed form: SH apart, P and SV from a quadratic equation.
-_WAVES_SQL = f"""WITH {PRESENT_SQL}, ij AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, pi() - i * (pi() / 200) AS p, j * (2 * pi() / 200) AS q FROM range(101) a(i), range(201) b(j)),
+_WAVES_SQL = f"""WITH {MAP_SQL}, {PHASES_SQL}, held AS (SELECT phase, count(*) AS points FROM points GROUP BY phase), ij AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, pi() - i * (pi() / 200) AS p, j * (2 * pi() / 200) AS q FROM range(101) a(i), range(201) b(j)),
 d AS (SELECT i, j, sin(p) * cos(q) AS x, sin(p) * sin(q) AS y, cos(p) AS z, sin(p) * sin(p) AS s, cos(p) * cos(p) AS c FROM ij),
 m AS (SELECT phase, density, i, j, x, y, z, (stiffness[1] - stiffness[2]) / 2 * s + stiffness[22] * c AS h, stiffness[1] * s + stiffness[22] * c AS a, stiffness[22] * s + stiffness[15] * c AS b, pow(stiffness[3] + stiffness[22], 2) * s * c AS k FROM phases, d),
 v AS (SELECT phase, i, j, x, y, z, sqrt(1e9 / density * (a + b + sqrt((a - b) * (a - b) + 4 * k)) / 2) AS vp, sqrt(1e9 / density * h) AS vsh, sqrt(1e9 / density * (a + b - sqrt((a - b) * (a - b) + 4 * k)) / 2) AS vsv FROM m),
@@ -318,13 +318,16 @@ w AS (SELECT *, greatest(vsh, vsv) AS vs1, least(vsh, vsv) AS vs2, max(vp) OVER
 _SPEEDS_SQL = ", ".join(_r(c, c, 3) for c in waves.SPEEDS)
 
 
-@query(f"{_WAVES_SQL} SELECT phase, i, j, {', '.join(_r(c, c) for c in 'xyz')}, {_SPEEDS_SQL}, {_r('(vs1 - vs2) / ((vs1 + vs2) / 2) * 100', 'avs')}, {_r('1 / vs2 - 1 / vs1', 'dts', 12)}, {_r('1 / vp - 1 / fastest', 'dtp', 12)} FROM w")
+@query(f"{_WAVES_SQL} SELECT phase, coalesce(points, 0) AS points, i, j, {', '.join(_r(c, c) for c in 'xyz')}, {_SPEEDS_SQL}, {_r('(vs1 - vs2) / ((vs1 + vs2) / 2) * 100', 'avs')}, {_r('1 / vs2 - 1 / vs1', 'dts', 12)}, {_r('1 / vp - 1 / fastest', 'dtp', 12)} FROM w LEFT JOIN held USING (phase)")
 def phase_wave_speeds(spark, d):
     return _rounded_waves(_phase_waves(spark, d))
 
 
 def _phase_waves(spark, d):
-    return waves.wave_speeds(S.phases_of_map(spark, d).withColumn("stiffness", F.transform("stiffness", lambda x: x * 1e9)), "phase")
+    """Of every phase, with the number of the map's points that have it, which may be none."""
+    held = S.event_map(spark, d).groupBy("phase").agg(F.count("*").alias("points"))
+    speeds = waves.wave_speeds(S.phases(spark).withColumn("stiffness", F.transform("stiffness", lambda x: x * 1e9)), "phase")
+    return speeds.join(F.broadcast(held), "phase", "left").withColumn("points", F.coalesce("points", F.lit(0)))  # eight phases at most
 
 
 def _rounded_waves(df: DataFrame) -> DataFrame:
@@ -762,11 +765,11 @@ def mesh_cleanup(spark, d):
     return rounded(mesh.corners(*mesh.cleanup(mixed, twice)).select("elem_id", *(f"{c}{i}" for i in (1, 2, 3) for c in "xy")))
 
 
-@query(f"{_WAVES_SQL} SELECT phase, i, j, {_r('x * sqrt(2 / (1 - z))', 'px')}, {_r('y * sqrt(2 / (1 - z))', 'py')}, {', '.join(_r(c, c, 3) for c in ('vp', 'vs1', 'vs2'))} FROM w")
+@query(f"{_WAVES_SQL} SELECT phase, coalesce(points, 0) AS points, i, j, {_r('x * sqrt(2 / (1 - z))', 'px')}, {_r('y * sqrt(2 / (1 - z))', 'py')}, {', '.join(_r(c, c, 3) for c in ('vp', 'vs1', 'vs2'))} FROM w LEFT JOIN held USING (phase)")
 def wave_speed_projection(spark, d):
     """Speeds at their places in the equal-area projection, for plotting."""
     px, py = T.lambert(F.col("x"), F.col("y"), F.col("z"))
-    return _rounded_waves(_phase_waves(spark, d).select("phase", "i", "j", px.alias("px"), py.alias("py"), "vp", "vs1", "vs2"))
+    return _rounded_waves(_phase_waves(spark, d).select("phase", "points", "i", "j", px.alias("px"), py.alias("py"), "vp", "vs1", "vs2"))
 
 
 @query()
