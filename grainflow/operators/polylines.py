@@ -2,11 +2,16 @@
 
 The corners of pixels have whole coordinates from 0. A boundary edge is directed, with a grain on its left, and has a number that says where it begins and which way it goes, so that the edge after it is found
 by equality of places. Chains are put in order by list ranking: every edge looks up the edge that it points to and
-takes over what that one points to, so that the rounds grow with the logarithm of the longest chain.
+takes over what that one points to, so that the rounds grow with the logarithm of the longest chain. The edges of a grain with a bounded number of them
+are ranked where they stand together, many grains in a task; only longer ones take part in rounds between tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +26,10 @@ STEPS = (WIDE, 1, -WIDE, -1)
 SIDES = ((0, 0, False, 0, 0, 0), (1, 0, True, 1, 0, 1), (0, 1, False, 1, 1, 2), (0, 0, True, 0, 1, 3))
 
 
+#: Edges of a grain that are ranked within a task, at most, and about how many a task has in all.
+WITHIN, PART = 500_000, 500_000
+
+
 def _corner(at: Column) -> Column:
     return F.floor(at / 4).cast("long")
 
@@ -80,6 +89,104 @@ def ranked(darts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return done.unionByName(ranked(cut, by).withColumn("closed", F.lit(True)))
 
 
+def _ranks(at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the last of its chain, how many follow until there, whether the chain was a circle) of each place, given the place after it, or its own where a chain ends."""
+    n = len(at)
+    hops, low, p = (to != np.arange(n)).astype(np.int64), at.copy(), to.copy()
+    ended = None
+    while True:
+        done = to[p] == p
+        state = int(done.sum())
+        low2 = np.minimum(low, low[p])
+        if state == n or (state == ended and (low2 == low).all()):
+            break
+        hops, p, low, ended = hops + hops[p], p[p], low2, state
+    round_ = ~done
+    if round_.any():  # what runs in circles is cut before its least dart
+        cut = np.flatnonzero(round_ & (at[to] == low))
+        opened = to.copy()
+        opened[cut] = cut
+        some = np.flatnonzero(round_)
+        small = np.full(n, -1)
+        small[some] = np.arange(len(some))
+        last, left, _ = _ranks(at[some], small[opened[some]])
+        p[some], hops[some] = some[last], left
+    return p, hops, round_
+
+
+def _ring_next(at: np.ndarray, own: np.ndarray, turns: tuple[int, ...]) -> np.ndarray:
+    """The place of the dart of the same grain (`own`) after each of the darts `at`, which are sorted: the first of the `turns` that is there."""
+    way = at % 4
+    target = at // 4 + np.array(STEPS)[way]
+    to = np.full(len(at), -1)
+    for k in turns:
+        there = target * 4 + (way + k) % 4
+        i = np.minimum(np.searchsorted(at, there), len(at) - 1)
+        to = np.where((to < 0) & (at[i] == there) & (own[i] == own), i, to)
+    return to
+
+
+def _near_chains(size: int, link: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (`size` columns of maps, the key, at, nxt, part) of whole keys, with the first and last dart of the chain, its number of darts, the dart's place, the sum of the parts, and whether it was a circle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).combine_chunks() if (batches := list(batches)) else None
+        if rows is None or not len(rows):
+            return
+        maps = np.zeros(len(rows), np.int64)
+        for c in range(size):
+            code = rows.column(c).combine_chunks().dictionary_encode()
+            code = code.chunk(0) if isinstance(code, pa.ChunkedArray) else code
+            maps = np.unique(maps * (len(code.dictionary) + 1) + code.indices.fill_null(len(code.dictionary)).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        read = lambda name: rows.column(name).to_numpy()
+        order = np.lexsort((read("at"), maps))
+        for mine in np.split(order, np.flatnonzero(np.diff(maps[order])) + 1):
+            at = read("at")[mine]
+            if link:
+                to = link(at, read("key")[mine])
+            else:
+                nxt = rows.column("nxt").take(pa.array(mine)).fill_null(-1).to_numpy()
+                to = np.where(nxt < 0, np.arange(len(at)), np.searchsorted(at, nxt))
+            last, left, closed = _ranks(at, to)
+            inner = np.lexsort((-left, last))
+            head = np.flatnonzero(np.diff(last[inner], prepend=-1))
+            count = np.diff(np.append(head, len(at)))
+            spread = lambda v: np.repeat(v, count)  # noqa: E731, B023
+            total = np.add.reduceat(read("part")[mine][inner], head)
+            n = spread(left[inner][head])
+            out = rows.take(pa.array(mine[inner])).combine_chunks().to_batches()[0]
+            nxt = pa.array(at[to[inner]], pa.int64(), mask=to[inner] == inner)
+            columns = [*out.columns[: size + 2], nxt, pa.array(at[spread(inner[head])]), pa.array(at[last[inner]]), pa.array(n), pa.array(n - left[inner]), pa.array(spread(total)), pa.array(closed[inner])]
+            done = pa.RecordBatch.from_arrays(columns, names=[*rows.schema.names[: size + 2], "nxt", "first", "last", "n", "seq", "total", "closed"])
+            yield from (done.slice(i, 50_000) for i in range(0, len(at), 50_000))
+
+    return run
+
+
+def chained(darts: DataFrame, by: tuple[str, ...] = (), link: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, later: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(by..., key, at, nxt, first, last, n, seq, total, closed) of darts (by..., key, at, nxt, part), whole numbers all: each dart with the first and last
+    of its chain, how many follow the first, its place from 0, the sum of the parts, and whether the chain returned to itself, as in `ranked`.
+
+    A chain lies within one key, such as a grain. The darts of a key stand together and are ranked there, if there are at most WITHIN of them; the others are ranked in rounds.
+    `link` may give the places of the next darts where a task has a key's darts; `later` then adds nxt to darts that are ranked in rounds.
+    """
+    spark = darts.sparkSession
+    size = darts.groupBy(*by, "key").agg(F.count("*").alias("__n"))
+    large = checkpointed(size.where(F.col("__n") > WITHIN).select(*by, "key"))
+    near = darts if large.isEmpty() else darts.join(large, [*by, "key"], "left_anti")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in darts.select(*by).schema]
+    shape = ", ".join([*kinds, *(f"{c} long" for c in ("key", "at", "nxt", "first", "last", "n", "seq", "total")), "closed boolean"])
+    parts = max(spark.sparkContext.defaultParallelism, -(-darts.count() // PART))
+    out = near.select(*by, "key", "at", "nxt", "part").repartition(parts, *by, "key").mapInArrow(_near_chains(len(by), link), shape)
+    if large.isEmpty():
+        return out
+    far = checkpointed((later or (lambda d: d))(darts.join(large, [*by, "key"], "left_semi")))
+    ranks = checkpointed(ranked(far.select(*by, "at", "nxt"), by).join(far, [*by, "at"]))
+    whole = ranks.groupBy(*by, "last").agg(F.max("left").alias("n"), F.max_by("at", "left").alias("first"), F.sum("part").alias("total"))
+    rows = ranks.join(whole, [*by, "last"]).withColumn("seq", F.col("n") - F.col("left"))
+    return out.unionByName(rows.select(*out.columns))
+
+
 def polylines(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., polyline_id, seq, x, y, grain_a, grain_b): the lines along which two grains meet, each once, from junction to junction.
 
@@ -92,14 +199,14 @@ def polylines(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     met = darts.select(*by, "at", "grain_b", ends.alias("e")).groupBy(*by, "e.corner")
     met = met.agg(F.count("*").alias("n"), F.bool_or(F.col("grain_b").isNull()).alias("outer"), (F.min(F.col("at") % 2) != F.max(F.col("at") % 2)).alias("turned"), F.min("e.out").alias("out"))
     through = met.where((F.col("n") == 2) & ~(F.col("outer") & F.col("turned"))).select(*by, "corner", "out")
-    linked = darts.withColumn("corner", _target(F.col("at"))).join(through, [*by, "corner"], "left").select(*by, "at", F.col("out").alias("nxt"))
-    chains = checkpointed(ranked(linked, by))
-    whole = chains.groupBy(*by, "last").agg(F.max("left").alias("n"), F.max_by("at", "left").alias("polyline_id"))
+    # Both grains stay the same along a line, so grain_a keeps its edges together.
+    linked = darts.withColumn("corner", _target(F.col("at"))).join(through, [*by, "corner"], "left").select(*by, F.col("grain_a").alias("key"), "at", F.col("out").alias("nxt"), F.lit(0).cast("long").alias("part"))
+    chains = chained(checkpointed(linked), by)
+    rows = chains.withColumnRenamed("first", "polyline_id").join(darts.select(*by, "at", "grain_a", "grain_b"), [*by, "at"])
     back = _target(F.col("last")) < _corner(F.col("polyline_id"))
-    rows = chains.join(whole, [*by, "last"]).join(darts, [*by, "at"])
     point = lambda corner, place: F.struct(corner.alias("corner"), F.when(back, F.col("n") + 1 - place).otherwise(place).alias("seq"))
-    own, end = point(_corner(F.col("at")), F.col("n") - F.col("left")), point(_target(F.col("at")), F.col("n") + 1)
-    points = F.when(F.col("left") == 0, F.array(own, end)).otherwise(F.array(own))
+    own, end = point(_corner(F.col("at")), F.col("seq")), point(_target(F.col("at")), F.col("n") + 1)
+    points = F.when(F.col("seq") == F.col("n"), F.array(own, end)).otherwise(F.array(own))
     rows = rows.select(*by, "polyline_id", F.explode(points).alias("p"), "grain_a", "grain_b")
     return rows.select(*by, "polyline_id", "p.seq", *_place(F.col("p.corner")), "grain_a", "grain_b")
 
@@ -115,18 +222,23 @@ def between_phases(lines: DataFrame, grained: DataFrame, by: tuple[str, ...] = (
 def ring_darts(grained: DataFrame, by: tuple[str, ...] = (), joined: bool = False) -> DataFrame:
     """(by..., grain_id, ring_id, seq, at, nxt, area): the rings of `rings` by their edges, with the edge after each. `joined` rings turn right where
     four edges meet, so that pixels that touch at a corner are together, and what they close in is a hole."""
-    darts = checkpointed(sides(grained, by).select(*by, "at", F.col("left").alias("grain_id")))
-    out = darts.groupBy(*by, "grain_id", _corner(F.col("at")).alias("corner")).agg(F.bit_or(_bit(F.col("at") % 4)).alias("ways"))
-    way = F.col("at") % 4
-    open_ = lambda w: F.col("ways").bitwiseAND(_bit(w)) != 0
-    turns = [(way + k) % 4 for k in ((3, 0, 1) if joined else (1, 0, 3))]
-    to = F.when(open_(turns[0]), turns[0]).when(open_(turns[1]), turns[1]).otherwise(turns[2])
-    linked = darts.withColumn("corner", _target(F.col("at"))).join(out, [*by, "grain_id", "corner"]).select(*by, "grain_id", "at", (F.col("corner") * 4 + to).alias("nxt"))
-    chains = checkpointed(ranked(linked, by).join(linked, [*by, "at"]))
+    turns = (3, 0, 1) if joined else (1, 0, 3)
     x, y = _place(_corner(F.col("at")))
     u, v = _place(_target(F.col("at")))
-    whole = chains.groupBy(*by, "last").agg(F.max("left").alias("n"), F.min("at").alias("ring_id"), (F.sum(x * v - u * y) / 2).alias("area"))
-    return chains.join(whole, [*by, "last"]).select(*by, "grain_id", "ring_id", (F.col("n") - F.col("left")).alias("seq"), "at", "nxt", "area")
+    none = F.lit(None).cast("long")
+    darts = checkpointed(sides(grained, by).select(*by, F.col("left").cast("long").alias("key"), "at", none.alias("nxt"), (x * v - u * y).alias("part")))
+
+    def later(far: DataFrame) -> DataFrame:
+        out = far.groupBy(*by, "key", _corner(F.col("at")).alias("corner")).agg(F.bit_or(_bit(F.col("at") % 4)).alias("ways"))
+        way = F.col("at") % 4
+        open_ = lambda w: F.col("ways").bitwiseAND(_bit(w)) != 0
+        first, second, third = ((way + k) % 4 for k in turns)
+        to = F.when(open_(first), first).when(open_(second), second).otherwise(third)
+        return far.drop("nxt").withColumn("corner", _target(F.col("at"))).join(out, [*by, "key", "corner"]).select(*by, "key", "at", (F.col("corner") * 4 + to).alias("nxt"), "part")
+
+    # Every ring is a circle of its grain's darts and begins at the least of them.
+    chains = chained(darts, by, lambda at, own: _ring_next(at, own, turns), later)
+    return chains.select(*by, F.col("key").alias("grain_id"), F.col("first").alias("ring_id"), "seq", "at", "nxt", (F.col("total") / 2).alias("area"))
 
 
 def rings(grained: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

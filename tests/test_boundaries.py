@@ -1,6 +1,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from grainflow.operators import grains, polylines
 
 
@@ -265,3 +267,21 @@ def test_numbers_in_order(spark):
         assert sorted(r["n"] for r in got if r["g"] == g) == list(range(sum(h == g for h, *_ in rows)))
     assert [r["k"] for r in sorted(numbered(df, ["k"], "n").collect(), key=lambda r: r["n"])] == list(range(500))
     assert numbered(df.limit(0), ["k"], "n").count() == 0
+
+
+def test_small_grains_are_ranked_where_they_stand_and_large_ones_in_rounds(spark, monkeypatch):
+    """No round is needed as long as a grain's edges fit a task; with the bound lowered to a few edges the rows stay the same."""
+    grained = points(spark, ["aabbbb", "aabcba", "acbbab", "aaabbb"])
+    forms = {"rings": polylines.rings, "lines": polylines.polylines, "holes": lambda g: polylines.ring_darts(g, joined=True)}
+    rows = lambda f: sorted(map(tuple, f(grained).collect()), key=repr)
+    rounds = polylines.ranked
+    monkeypatch.setattr(polylines, "ranked", None)
+    near = {n: rows(f) for n, f in forms.items()}
+    monkeypatch.setattr(polylines, "ranked", rounds)
+    for bound in (0, 12):
+        monkeypatch.setattr(polylines, "WITHIN", bound)
+        assert {n: rows(f) for n, f in forms.items()} == near
+    maps = grained.withColumn("m", F.lit("one")).unionByName(grained.withColumn("m", F.lit("two")))
+    monkeypatch.setattr(polylines, "WITHIN", 500_000)
+    both = sorted(map(tuple, polylines.rings(maps, ("m",)).collect()), key=repr)
+    assert both == sorted([(m, *r) for m in ("one", "two") for r in near["rings"]], key=repr)
