@@ -8,19 +8,25 @@ before and after it is distributed by element.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainflow.functions import kernels as K
 from grainflow.functions import tensors as T
+from grainflow.operators.components import checkpointed
 
 # Barycentric places and weights of the four-point rule; the weight of the centre is negative.
 PLACES = np.array([[1 / 3, 1 / 3, 1 / 3], [0.2, 0.6, 0.2], [0.2, 0.2, 0.6], [0.6, 0.2, 0.2]])
 WEIGHTS = np.array([-27 / 48, 25 / 48, 25 / 48, 25 / 48])
 SIDES = ((0, 1), (1, 2), (0, 2))
 TOLERANCE = 1e-9
+#: Elements of a map whose matrix is summed in one task, at most.
+ASSEMBLED = 20_000
 
 
 def shape_values(l: np.ndarray) -> np.ndarray:
@@ -48,8 +54,61 @@ def strain_matrix(g: np.ndarray) -> np.ndarray:
     return b
 
 
-def conjugate_gradients(stiff: np.ndarray, dofs: np.ndarray, right: np.ndarray, goal: np.ndarray, most: int = 20_000) -> np.ndarray:
-    """x (dofs, r) of the sum of element matrices (e, n, n) for right sides (dofs, r), by a diagonal preconditioner,
+def pixel_shape(dofs: np.ndarray, xy: np.ndarray) -> tuple[int, int] | None:
+    """(w, h) if the elements are the halves of w by h pixels, numbered as `pixel_cells` does it, in any order; else None."""
+    low = np.floor(xy.min(1) - xy.min((0, 1)) + 0.5).astype(np.int64)
+    w, h = low.max(0) + 1
+    if len(dofs) != 2 * w * h or dofs.max() != 4 * w * h - 1 or not np.array_equal(np.bincount((low[:, 1] * w + low[:, 0]), minlength=w * h), np.full(w * h, 2)):
+        return None
+    place = lambda u, v: (2 * low[:, 1] + v) % (2 * h) * (2 * w) + (2 * low[:, 0] + u) % (2 * w)
+    fits = []
+    for corners in _HALVES:
+        steps = [(2 * u, 2 * v) for u, v in corners] + [(corners[i][0] + corners[j][0], corners[i][1] + corners[j][1]) for i, j in SIDES]
+        fits.append((np.stack([place(u, v) for u, v in steps], 1) == dofs).all(1) & (np.abs(xy - xy.min((0, 1)) - low[:, None] - np.array(corners)) < 1e-9).all((1, 2)))
+    return (int(w), int(h)) if (fits[0] | fits[1]).all() and fits[0].sum() == w * h else None
+
+
+def uniform_inverse(stiff: np.ndarray, dofs: np.ndarray, xy: np.ndarray, width: int, shape: tuple[int, int]):
+    """A function that applies the inverse of the same cell with one material everywhere, the mean of `stiff`; translations are left out.
+
+    A uniform cell looks alike from every pixel, so its matrix falls into small ones, 4 `width` squared, for each wave of a Fourier
+    transform over the pixels.
+    """
+    w, h = shape
+    own = np.floor(xy.min(1) - xy.min((0, 1)) + 0.5).astype(np.int64)
+    lower = xy[:, 1, 1] - xy[:, 0, 1] < 0.5  # the half with its second corner beside the first
+    # Degrees of freedom as (pixel's row, pixel's column, kind): four nodes of a pixel.
+    row, column = dofs // width // (2 * w), dofs // width % (2 * w)
+    kind = ((row % 2) * 2 + column % 2) * width + dofs % width
+    size = 4 * width
+    cells = np.zeros((h, w, size, size))
+    for half in (lower, ~lower):
+        mean = stiff[half].mean(0)
+        at = np.flatnonzero(half)[0]
+        dy, dx = (row[at] // 2 - own[at, 1]) % h, (column[at] // 2 - own[at, 0]) % w
+        shift = ((dy[:, None] - dy[None, :]) % h, (dx[:, None] - dx[None, :]) % w)
+        np.add.at(cells, (*shift, np.broadcast_to(kind[at][:, None], mean.shape), np.broadcast_to(kind[at][None, :], mean.shape)), mean)
+    waves = np.fft.rfft2(cells, axes=(0, 1))
+    inverse = np.empty_like(waves)
+    flat = waves.reshape(-1, size, size)
+    inverse.reshape(-1, size, size)[1:] = np.linalg.inv(flat[1:])
+    inverse[0, 0] = np.linalg.pinv(flat[0], rcond=1e-10, hermitian=True)
+    every = np.arange(4 * w * h * width)
+    i, j = every // width // (2 * w), every // width % (2 * w)
+    order = ((i // 2) * w + j // 2) * size + ((i % 2) * 2 + j % 2) * width + every % width
+
+    def apply(residual: np.ndarray) -> np.ndarray:
+        r = residual.shape[1]
+        grid = np.empty_like(residual)
+        grid[order] = residual
+        there = np.fft.rfft2(grid.reshape(h, w, size, r), axes=(0, 1))
+        return np.fft.irfft2(inverse @ there, (h, w), axes=(0, 1)).reshape(-1, r)[order]
+
+    return apply
+
+
+def conjugate_gradients(stiff: np.ndarray, dofs: np.ndarray, right: np.ndarray, goal: np.ndarray, most: int = 20_000, near: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """x (dofs, r) of the sum of element matrices (e, n, n) for right sides (dofs, r), by the preconditioner `near`, or else a diagonal one,
     to residuals of the sizes `goal` (r,).
 
     The matrix may be singular (rigid translations) as long as the right sides are in its range.
@@ -63,9 +122,10 @@ def conjugate_gradients(stiff: np.ndarray, dofs: np.ndarray, right: np.ndarray,
         y = stiff @ x[dofs]
         return np.stack([np.bincount(flat, y[:, :, k].ravel(), n) for k in range(r)], 1)
 
+    near = near or (lambda v: scale * v)
     x = np.zeros_like(right)
     residual = right.copy()
-    z = scale * residual
+    z = near(residual)
     p, rz = z.copy(), (residual * z).sum(0)
     for _ in range(most):
         live = np.sqrt((residual * residual).sum(0)) > goal
@@ -76,7 +136,7 @@ def conjugate_gradients(stiff: np.ndarray, dofs: np.ndarray, right: np.ndarray,
         step = np.where(live & (pq > 0), rz / np.where(pq > 0, pq, 1), 0)
         x += step * p
         residual -= step * q
-        z = scale * residual
+        z = near(residual)
         new = (residual * z).sum(0)
         p = z + np.where(live, new / np.where(rz > 0, rz, 1), 0) * p
         rz = new
@@ -104,7 +164,9 @@ def solve_cell(xy: np.ndarray, dofs: np.ndarray, material: np.ndarray, extra: np
     force = np.einsum("eqni,eij->enj", wb, load)
     total = lambda f: np.stack([np.bincount(local.ravel(), f[:, :, k].ravel(), len(used)) for k in range(load.shape[2])], 1)
     # Forces that cancel leave rounding errors behind; the goal is set by what was added up.
-    chi = conjugate_gradients(stiff, local, total(force), TOLERANCE * np.linalg.norm(total(np.abs(force)), axis=0) + 1e-300)
+    shape = pixel_shape(dofs, xy)
+    near = uniform_inverse(stiff, all_dofs, xy, width, shape) if shape else None
+    chi = conjugate_gradients(stiff, local, total(force), TOLERANCE * np.linalg.norm(total(np.abs(force)), axis=0) + 1e-300, near=near)
     strain = np.einsum("eqin,enk->eqik", b, chi[local])
     hat = load[:, None] - np.einsum("eij,eqjk->eqik", material, strain)
     return weight, hat[..., : material.shape[-1]], hat[..., material.shape[-1] :], used, chi
@@ -113,28 +175,58 @@ def solve_cell(xy: np.ndarray, dofs: np.ndarray, material: np.ndarray, extra: np
 def assembled(elements: DataFrame, kind: str = "conduction") -> tuple[DataFrame, DataFrame]:
     """(map_id, row, col, value) and (map_id, row, k, value): the matrix of a cell problem and the forces of its right-hand sides, from element
     rows as for the solvers, which never build them. Rows are degrees of freedom: a node's number, or three times that and
-    0 to 2. There are three right-hand sides for conduction; for `thermoelastic` six of strain and one of temperature."""
+    0 to 2. There are three right-hand sides for conduction; for `thermoelastic` six of strain and one of temperature. A map of at most ASSEMBLED elements is summed
+    by one task; the elements of larger ones are shuffled by their entries."""
     thermal = kind == "conduction"
     columns = ["kappa"] if thermal else ["stiffness", "alpha"]
-
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            area, g = gradients(_stack(pdf["xy"], 3, 2))
-            b = np.swapaxes(g, 2, 3) if thermal else strain_matrix(g)
-            d = _stack(pdf["kappa"], 3, 3) if thermal else _stack(pdf["stiffness"], 6, 6)
-            load = d if thermal else np.concatenate([d, np.einsum("eij,ej->ei", d, _stack(pdf["alpha"], 6))[:, :, None]], 2)
-            width = 1 if thermal else 3
-            dofs = (np.array(pdf["dofs"].tolist())[:, :, None] * width + np.arange(width)).reshape(len(pdf), -1)
-            wb = (WEIGHTS * area[:, None])[:, :, None, None] * np.swapaxes(b, 2, 3)
-            stiff, force = np.einsum("eqni,eij,eqjm->enm", wb, d, b, optimize=True), np.einsum("eqni,eij->enj", wb, load)
-            n, m = dofs.shape[1], load.shape[2]
-            yield pd.DataFrame({"map_id": np.repeat(pdf["map_id"].to_numpy(), n * (n + m)), "row": np.repeat(dofs, n + m, axis=1).ravel(), "col": np.concatenate([np.repeat(dofs[:, None, :], n, 1), np.broadcast_to(-1 - np.arange(m), (len(pdf), n, m))], 2).ravel(), "value": np.concatenate([stiff, force], 2).ravel()})
-
-    parts = elements.select("map_id", "dofs", "xy", *columns).mapInPandas(run, "map_id string, row long, col long, value double")
-    summed = parts.groupBy("map_id", "row", "col").agg(F.sum("value").alias("value"))
-    return summed.where("col >= 0"), summed.where("col < 0").select("map_id", "row", (-1 - F.col("col")).cast("int").alias("k"), "value")
+    rows = elements.select("map_id", "dofs", "xy", *columns)
+    large = checkpointed(rows.groupBy("map_id").count().where(F.col("count") > ASSEMBLED).select("map_id"))
+    whole = large.isEmpty()
+
+    def values(pdf: pd.DataFrame, force: bool) -> tuple[np.ndarray, np.ndarray]:
+        area, g = gradients(_stack(pdf["xy"], 3, 2))
+        b = np.swapaxes(g, 2, 3) if thermal else strain_matrix(g)
+        d = _stack(pdf["kappa"], 3, 3) if thermal else _stack(pdf["stiffness"], 6, 6)
+        width = 1 if thermal else 3
+        dofs = (np.array(pdf["dofs"].tolist())[:, :, None] * width + np.arange(width)).reshape(len(pdf), -1)
+        wb = (WEIGHTS * area[:, None])[:, :, None, None] * np.swapaxes(b, 2, 3)
+        if not force:
+            return dofs, np.einsum("eqni,eij,eqjm->enm", wb, d, b, optimize=True)
+        load = d if thermal else np.concatenate([d, np.einsum("eij,ej->ei", d, _stack(pdf["alpha"], 6))[:, :, None]], 2)
+        return dofs, np.einsum("eqni,eij->enj", wb, load)
+
+    def pairs(dofs: np.ndarray, found: np.ndarray, force: bool) -> tuple[np.ndarray, np.ndarray]:
+        right = np.broadcast_to(np.arange(found.shape[2]), found.shape) if force else np.broadcast_to(dofs[:, None, :], found.shape)
+        return np.repeat(dofs, found.shape[2], axis=1).ravel(), right.ravel()
+
+    def form(force: bool) -> DataFrame:
+        name, shape = ("k", "map_id string, row long, k int, value double") if force else ("col", "map_id string, row long, col long, value double")
+        kind_ = pa.int32() if force else pa.int64()
+
+        def run(table: pa.Table) -> pa.Table:
+            """The sums of a whole map."""
+            dofs, found = values(table.to_pandas(), force)
+            used, local = np.unique(dofs, return_inverse=True)
+            row, col = pairs(local.reshape(dofs.shape), found, force)
+            place, at = np.unique(row * (found.shape[2] if force else len(used)) + col, return_inverse=True)
+            row, col = np.divmod(place, found.shape[2] if force else len(used))
+            sums = np.bincount(at.ravel(), found.ravel())
+            return pa.table({"map_id": pa.repeat(table.column("map_id")[0], len(place)), "row": used[row], name: pa.array(col if force else used[col], kind_), "value": sums})
+
+        def part(batches):
+            for pdf in batches:
+                if len(pdf):
+                    dofs, found = values(pdf, force)
+                    row, col = pairs(dofs, found, force)
+                    yield pd.DataFrame({"map_id": np.repeat(pdf["map_id"].to_numpy(), found[0].size), "row": row, name: col.astype(np.int32) if force else col, "value": found.ravel()})
+
+        out = (rows if whole else rows.join(large, "map_id", "left_anti")).groupBy("map_id").applyInArrow(run, shape)
+        if whole:
+            return out
+        far = rows.join(large, "map_id", "left_semi").mapInPandas(part, shape)
+        return out.unionByName(far.groupBy("map_id", "row", name).agg(F.sum("value").alias("value")))
+
+    return form(False), form(True)
 
 
 def place_elements(elements: DataFrame, nodes: DataFrame, periodic: DataFrame, material: DataFrame) -> DataFrame:
@@ -288,6 +380,15 @@ STRAIN = ("e11", "e22", "e33", "e23", "e13", "e12")
 _FIELDS = (*STRESS, "sp1", "sp2", "sp3", "s_max_shear", "s_plane_shear", *STRAIN, "ep1", "ep2", "ep3", *(f"m{e}" for e in STRAIN))
 
 
+def _local_fields(sigma: np.ndarray, c: np.ndarray, alpha: np.ndarray, temperature: float, tensor_shear: bool) -> np.ndarray:
+    """The columns _FIELDS of places with stress `sigma` (n, 6)."""
+    strain = np.linalg.solve(c, (sigma + temperature * np.einsum("nij,nj->ni", c, alpha))[:, :, None])[:, :, 0]
+    sp = np.linalg.eigvalsh(K.to_tensor(sigma))[:, ::-1]
+    ep = np.linalg.eigvalsh(K.to_tensor(strain, 2.0 if tensor_shear else 1.0))[:, ::-1]
+    plane = np.hypot((sigma[:, 0] - sigma[:, 1]) / 2, sigma[:, 5])
+    return np.column_stack([sigma, sp, (sp[:, 0] - sp[:, 2]) / 2, plane, strain, ep, strain - temperature * alpha])
+
+
 def stress_strain(localised: DataFrame, stress: tuple[float, ...], temperature: float = 0.0, tensor_shear: bool = False) -> DataFrame:
     """Local stress and strain under a mean stress and a temperature change: the columns STRESS, STRAIN, their principal values, the
     greatest shear stress in space and in the plane, and the mechanical strains (m...), which leave thermal expansion out.
@@ -304,16 +405,86 @@ def stress_strain(localised: DataFrame, stress: tuple[float, ...], temperature:
             c, alpha, hat, beta_hat = _stack(pdf["stiffness"], 6, 6), _stack(pdf["alpha"], 6), _stack(pdf["hat"], 6, 6), _stack(pdf["beta_hat"], 6)
             macro = np.linalg.solve(_stack(pdf["overall"], 6, 6), (np.array(stress) + temperature * _stack(pdf["overall_beta"], 6))[:, :, None])
             sigma = (hat @ macro)[:, :, 0] - temperature * beta_hat
-            strain = np.linalg.solve(c, (sigma + temperature * np.einsum("nij,nj->ni", c, alpha))[:, :, None])[:, :, 0]
-            sp = np.linalg.eigvalsh(K.to_tensor(sigma))[:, ::-1]
-            ep = np.linalg.eigvalsh(K.to_tensor(strain, 2.0 if tensor_shear else 1.0))[:, ::-1]
-            plane = np.hypot((sigma[:, 0] - sigma[:, 1]) / 2, sigma[:, 5])
-            values = np.column_stack([sigma, sp, (sp[:, 0] - sp[:, 2]) / 2, plane, strain, ep, strain - temperature * alpha])
+            values = _local_fields(sigma, c, alpha, temperature, tensor_shear)
             yield pd.concat([pdf[["map_id", "elem_id", "qp", "x", "y", "weight"]].reset_index(drop=True), pd.DataFrame(values, columns=list(_FIELDS))], axis=1)
 
     return both.mapInPandas(run, _POINT + ", ".join(f"{f} double" for f in _FIELDS))
 
 
+def _overall(weight: np.ndarray, local: np.ndarray) -> np.ndarray:
+    return np.tensordot(weight, local, 2) / weight.sum()
+
+
+def _conducting(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, places, kappa, weight, localised conductivity) of one map, in the order of its elements."""
+    pdf = pdf.sort_values("elem_id", ignore_index=True)
+    xy, kappa = _stack(pdf["xy"], 3, 2), _stack(pdf["kappa"], 3, 3)
+    weight, hat, *_ = solve_cell(xy, np.array(pdf["dofs"].tolist()), kappa, None)
+    return pdf, xy, kappa, weight, hat
+
+
+def _elastic(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, places, stiffness, alpha, weight, localised stiffness, localised stress per degree) of one map, in the order of its elements."""
+    pdf = pdf.sort_values("elem_id", ignore_index=True)
+    xy, c, alpha = _stack(pdf["xy"], 3, 2), _stack(pdf["stiffness"], 6, 6), _stack(pdf["alpha"], 6)
+    scale = np.abs(c).max()
+    weight, hat, beta, _, _ = solve_cell(xy, np.array(pdf["dofs"].tolist()), c / scale, np.einsum("eij,ej->ei", c, alpha) / scale)
+    return pdf, xy, c, alpha, weight, scale * hat, scale * beta[..., 0]
+
+
+def cell_conductivity(elements: DataFrame) -> DataFrame:
+    """`effective_conductivity` of element rows: a map is solved and averaged in its task, and one row of it comes out."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        *_, weight, hat = _conducting(pdf)
+        return pd.DataFrame({"map_id": pdf["map_id"].iloc[:1].tolist(), "kappa": [_overall(weight, hat).ravel()]})
+
+    return elements.select("map_id", "elem_id", "dofs", "xy", "kappa").groupBy("map_id").applyInPandas(run, "map_id string, kappa array<double>")
+
+
+def cell_heat_flux(elements: DataFrame, flux: tuple[float, float, float]) -> DataFrame:
+    """`heat_flux` of element rows: a map is solved once, in one task, and no tensors leave it."""
+    names = ["q1", "q2", "q3", "t1", "t2", "t3", "q", "t"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, xy, kappa, weight, hat = _conducting(pdf)
+        macro = -np.linalg.solve(_overall(weight, hat), np.array(flux, float))
+        q = -hat @ macro
+        t = -np.linalg.solve(kappa, np.swapaxes(q, 1, 2)).swapaxes(1, 2)
+        values = np.concatenate([q, t, np.linalg.norm(q, axis=2, keepdims=True), np.linalg.norm(t, axis=2, keepdims=True)], 2).reshape(-1, 8)
+        return pd.DataFrame(_points(pdf, xy, weight) | dict(zip(names, values.T, strict=True)))
+
+    return elements.select("map_id", "elem_id", "dofs", "xy", "kappa").groupBy("map_id").applyInPandas(run, _POINT + ", ".join(f"{n} double" for n in names))
+
+
+def cell_thermoelastic(elements: DataFrame) -> DataFrame:
+    """`effective_thermoelastic` of element rows: a map is solved and averaged in its task, and one row of it comes out."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        *_, weight, hat, beta_hat = _elastic(pdf)
+        c, beta = _overall(weight, hat), _overall(weight, beta_hat)
+        c = (c + c.T) / 2
+        return pd.DataFrame({"map_id": pdf["map_id"].iloc[:1].tolist(), "stiffness": [c.ravel()], "beta": [beta], "alpha": [np.linalg.solve(c, beta)]})
+
+    shape = "map_id string, stiffness array<double>, beta array<double>, alpha array<double>"
+    return elements.select("map_id", "elem_id", "dofs", "xy", "stiffness", "alpha").groupBy("map_id").applyInPandas(run, shape)
+
+
+def cell_stress_strain(elements: DataFrame, stress: tuple[float, ...], temperature: float = 0.0, tensor_shear: bool = False) -> DataFrame:
+    """`stress_strain` of element rows: a map is solved once, in one task, and no tensors leave it."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, xy, c, alpha, weight, hat, beta_hat = _elastic(pdf)
+        overall, beta = _overall(weight, hat), _overall(weight, beta_hat)
+        macro = np.linalg.solve((overall + overall.T) / 2, np.array(stress) + temperature * beta)
+        four = lambda m: np.repeat(m, 4, 0)
+        values = _local_fields((hat @ macro - temperature * beta_hat).reshape(-1, 6), four(c), four(alpha), temperature, tensor_shear)
+        return pd.DataFrame(_points(pdf, xy, weight) | dict(zip(_FIELDS, values.T, strict=True)))
+
+    shape = _POINT + ", ".join(f"{f} double" for f in _FIELDS)
+    return elements.select("map_id", "elem_id", "dofs", "xy", "stiffness", "alpha").groupBy("map_id").applyInPandas(run, shape)
+
+
 def jacobian() -> Column:
     """Twice the area of an element with columns x1, y1, ..., x3, y3; the same at all its points."""
     x, y = [F.col(f"x{i}") for i in (1, 2, 3)], [F.col(f"y{i}") for i in (1, 2, 3)]

@@ -121,3 +121,48 @@ def test_worst_mean_is_exact(spark):
         assert mesh.worst_mean(df, share=share).first()["mean"] == pytest.approx(np.sort(v)[:n].mean())
     assert mesh.worst_mean(df.limit(0)).count() == 0
     assert mesh.worst_mean(spark.createDataFrame([(0.5,)] * 3, "quality double")).first()["mean"] == 0.5
+
+
+def test_cells_of_pixels_need_few_rounds_and_are_solved_once(spark):
+    """The inverse of a uniform cell leaves a few rounds; fields and means that a task makes itself equal those from the localised tensors."""
+    from grainflow.plans import queries as core
+
+    points = S.event_map(spark, "/root/testdata/sf0.001").where("x < 12 and y < 9")
+    cells = fem.pixel_cells(fem.tiles(points, 6, 12, 9).join(S.phases(spark), "phase"), ("stiffness", "alpha", "kappa"), core.F.col("y") * 12 + core.F.col("x")).cache()
+    one = cells.where("map_id = '0:0'").toPandas()
+    xy, dofs, kappa = (np.array(one[c].tolist()) for c in ("xy", "dofs", "kappa"))
+    xy, kappa = xy.reshape(-1, 3, 2), kappa.reshape(-1, 3, 3)
+    assert fem.pixel_shape(dofs, xy) == (6, 5) and fem.pixel_shape(dofs[1:], xy[1:]) is None and fem.pixel_shape(dofs[::-1], xy) is None
+    area, g = fem.gradients(xy)
+    stiff = np.einsum("eq,eqni,eij,eqmj->enm", fem.WEIGHTS * area[:, None], g, kappa, g)
+    right = np.random.default_rng(1).normal(size=(dofs.max() + 1, 2))
+    right -= right.mean(0)
+    x = fem.conjugate_gradients(stiff, dofs, right, np.full(2, 1e-8), most=30, near=fem.uniform_inverse(stiff, dofs, xy, 1, (6, 5)))
+    y = np.zeros_like(right)
+    np.add.at(y, dofs, stiff @ x[dofs])
+    assert np.abs(y - right).max() < 1e-7
+    for made, plain in (
+        (fem.cell_conductivity(cells), fem.effective_conductivity(fem.solve_conduction(cells))),
+        (fem.cell_heat_flux(cells, (1.0, 0.5, 0.0)), fem.heat_flux(fem.solve_conduction(cells), (1.0, 0.5, 0.0))),
+        (fem.cell_thermoelastic(cells), fem.effective_thermoelastic(fem.solve_thermoelastic(cells))),
+        (fem.cell_stress_strain(cells, (1.0, 0, 0, 0, 0, 0.5), 2.0), fem.stress_strain(fem.solve_thermoelastic(cells), (1.0, 0, 0, 0, 0, 0.5), 2.0)),
+    ):
+        assert made.dtypes == plain.dtypes
+        keys = [c for c in ("map_id", "elem_id", "qp") if c in made.columns]
+        a, b = (df.toPandas().sort_values(keys, ignore_index=True) for df in (made, plain))
+        assert len(a) == len(b) and all(np.allclose(np.array(a[c].tolist(), float), np.array(b[c].tolist(), float), rtol=1e-7, atol=1e-7) for c in made.columns if c != "map_id")
+
+
+def test_matrices_of_small_maps_are_summed_in_their_tasks(spark, monkeypatch):
+    from grainflow.plans import queries as core
+
+    points = S.event_map(spark, "/root/testdata/sf0.001").where("x < 5 and y < 4")
+    cells = fem.pixel_cells(fem.tiles(points, 3, 5, 4).join(S.phases(spark), "phase"), ("stiffness", "alpha", "kappa"), core.F.col("y") * 5 + core.F.col("x"))
+    near = [df.toPandas() for df in fem.assembled(cells, "thermoelastic")]
+    assert "FlatMapGroupsInArrow" in fem.assembled(cells)[0]._jdf.queryExecution().toString()
+    monkeypatch.setattr(fem, "ASSEMBLED", 9)
+    far = [df.toPandas() for df in fem.assembled(cells, "thermoelastic")]
+    for a, b in zip(near, far, strict=True):
+        key = list(a.columns[:3])
+        a, b = (df.sort_values(key, ignore_index=True) for df in (a, b))
+        assert a[key].equals(b[key]) and np.allclose(a["value"], b["value"], atol=1e-9)
