@@ -86,15 +86,18 @@ def ring_edges(vertices: DataFrame, key: str) -> DataFrame:
 
 
 def points_in_polygons(points: DataFrame, vertices: DataFrame, key: str, cell: float = 1.0, tolerance: float = TOLERANCE) -> DataFrame:
-    """(point_id, key) for every polygon that a point lies in or, within `tolerance`, on: an odd number of edges crosses the ray to the right. A point meets the
-    edges of its strip of the height `cell` alone, whatever the size of the polygons."""
+    """(point_id, key) for every polygon that a point lies in or, within `tolerance`, on: an odd number of edges crosses the ray to the right. A point meets, of its strip
+    of the height `cell`, the edges of those polygons alone that pass both its sides there or its square, whatever the number of polygons and the width of the map.
+    """
     edges = ring_edges(vertices, key)
     px, py, ax, ay, bx, by = (F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by"))
     strip = lambda low, high: F.explode(F.sequence(_bucket(low - tolerance, cell), _bucket(high + tolerance, cell)))
-    strips = edges.withColumn("strip", strip(F.least(ay, by), F.greatest(ay, by)))
-    placed = points.select("point_id", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).withColumn("strip", _bucket(py, cell))
-    # Only the edges of the point's own strip that lie to its right, or at it, are looked at.
-    met = placed.join(strips, "strip").where(F.greatest(ax, bx) >= px - tolerance)
+    strips = checkpointed(edges.withColumn("strip", strip(F.least(ay, by), F.greatest(ay, by))))
+    # An edge matters from the square where its polygon begins in the strip up to its own right end.
+    begin = strips.groupBy(key, "strip").agg(F.min(F.least(ax, bx)).alias("__x"))
+    squares = F.explode(F.sequence(_bucket(F.col("__x") - tolerance, cell), _bucket(F.greatest(ax, bx) + tolerance, cell)))
+    placed = points.select("point_id", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).withColumns({"strip": _bucket(py, cell), "square": _bucket(px, cell)})
+    met = placed.join(strips.join(begin, [key, "strip"]).withColumn("square", squares).drop("__x"), ["strip", "square"]).where(F.greatest(ax, bx) >= px - tolerance)
     crosses = ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / F.when(by == ay, 1.0).otherwise(by - ay) + ax)
     on = segment_distance2(px, py, ax, ay, bx, by) <= tolerance * tolerance
     tested = met.where(crosses | on).groupBy("point_id", key).agg(F.sum(crosses.cast("int")).alias("n"), F.bool_or(on).alias("on"))

@@ -285,3 +285,16 @@ def test_small_grains_are_ranked_where_they_stand_and_large_ones_in_rounds(spark
     monkeypatch.setattr(polylines, "WITHIN", 500_000)
     both = sorted(map(tuple, polylines.rings(maps, ("m",)).collect()), key=repr)
     assert both == sorted([(m, *r) for m in ("one", "two") for r in near["rings"]], key=repr)
+
+
+def test_points_meet_the_polygons_around_them_alone(spark):
+    """A row of squares: what is looked at doesn't grow with the number of squares to the right of a point."""
+    from grainflow.operators import spatial
+
+    n = 60
+    square = [(k, s, 3.0 * k + 2 * a, 2.0 * b) for k in range(n) for s, (a, b) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))]
+    rings = spark.createDataFrame(square, "ring long, seq int, x double, y double")
+    middle = spark.createDataFrame([(k, 3.0 * k + 1, 1.0) for k in range(n)], "point_id long, x double, y double")
+    found = spatial.points_in_polygons(middle, rings, "ring")
+    assert sorted(map(tuple, found.collect())) == [(k, k) for k in range(n)]
+    assert "square" in found._jdf.queryExecution().optimizedPlan().toString()
