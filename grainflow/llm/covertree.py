@@ -58,6 +58,10 @@ class Level:
     last: np.ndarray
 
 
+#: A level's fields that are places.
+_NUMBERS = ("low", "high", "centre", "first", "last")
+
+
 @dataclass
 class Tree:
     """Vectors (scaled by powers of two), their lengths, numbers and weights in the order of the leaves, and the levels from the root down."""
@@ -366,6 +370,19 @@ def _cells(pivots: dict[int, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
+def _packed(tree: Tree) -> tuple:
+    """A tree as it is sent to its partners: vectors that single precision holds exactly take half the room, and so do the numbers of nodes."""
+    with np.errstate(over="ignore"):
+        short = tree.x.astype(np.float32)
+    levels = [[getattr(v, f).astype(np.int32) for f in _NUMBERS] + [v.radius] for v in tree.levels]
+    return (short if (short == tree.x).all() else tree.x), tree.length, tree.number, tree.weight, levels
+
+
+def _unpacked(state: bytes) -> Tree:
+    x, length, number, weight, levels = pickle.loads(state)
+    return Tree(x.astype(np.float64), length, number, weight, [Level(**dict(zip(_NUMBERS, (a.astype(np.int64) for a in v), strict=False)), radius=v[-1]) for v in levels])
+
+
 def _planted(rows: pa.Table) -> pa.Table:
     """A block's classes as one row with their tree."""
     rows = rows.combine_chunks().sort_by("number")
@@ -373,7 +390,7 @@ def _planted(rows: pa.Table) -> pa.Table:
     read = lambda name: rows.column(name).to_numpy().astype(np.int64)
     tree = build(flat.reshape(len(lengths), -1), read("number"), read("n"))
     top = tree.levels[0]
-    state = pickle.dumps((tree.x, tree.length, tree.number, tree.weight, tree.levels), protocol=5)
+    state = pickle.dumps(_packed(tree), protocol=5)
     first = [rows.column(c)[0].as_py() for c in ("block", "dim", "cell")]
     return pa.table({"block": [first[0]], "dim": pa.array([first[1]], pa.int32()), "cell": pa.array([first[2]], pa.int32()), "centre": [tree.unit[top.centre[0]].tolist()], "radius": [float(top.radius[0])], "tree": pa.array([state], pa.binary())})
 
@@ -382,7 +399,7 @@ def _traversed(cosine: float, pairs: bool) -> Callable[[pa.Table], pa.Table]:
     """One pair of blocks (one row if a block meets itself): linked classes, or pairs of them."""
 
     def run(rows: pa.Table) -> pa.Table:
-        trees = [Tree(*pickle.loads(t)) for t in rows.sort_by("side").column("tree").to_pylist()]
+        trees = [_unpacked(t) for t in rows.sort_by("side").column("tree").to_pylist()]
         found = Dual(trees[0], trees[1] if len(trees) > 1 else None, cosine, pairs).run()
         number = np.concatenate([t.number for t in trees])
         if pairs:

@@ -172,3 +172,18 @@ def test_only_the_cosine_of_single_vectors_decides(spark):
     x = np.array([v for _, v in rows])
     cos = np.einsum("ij,j->i", x, x[0]) / np.sqrt(np.einsum("ij,ij->i", x, x))
     assert got >= {i for i in range(1, 8) if cos[i] >= 0.95 + 1e-12} and got - {0} <= {i for i in range(1, 8) if cos[i] >= 0.95 - 1e-12}
+
+
+def test_trees_are_sent_small_and_come_back_whole():
+    import pickle
+
+    rng = np.random.default_rng(5)
+    for kind in (np.float32, np.float64):
+        tree = covertree.build(rng.normal(size=(500, 64)).astype(kind), np.arange(500), np.ones(500, np.int64))
+        state = pickle.dumps(covertree._packed(tree), protocol=5)
+        plain = pickle.dumps((tree.x, tree.length, tree.number, tree.weight, tree.levels), protocol=5)
+        assert len(state) < (0.6 if kind == np.float32 else 0.95) * len(plain)
+        back = covertree._unpacked(state)
+        assert np.array_equal(back.x, tree.x) and back.x.dtype == np.float64
+        for a, b in zip(back.levels, tree.levels, strict=True):
+            assert all(np.array_equal(getattr(a, f), getattr(b, f)) and getattr(a, f).dtype == getattr(b, f).dtype for f in (*covertree._NUMBERS, "radius"))
