@@ -705,11 +705,10 @@ def rectangle_distance(spark, d):
 
 @query()
 def conforming_mesh_quality(spark, d):
-    from grainflow.operators.conforming import conforming_mesh
+    from grainflow.operators.conforming import conforming_pixels, elements_of
 
     side = S.map_side(spark, d)
-    nodes, flat = conforming_mesh(spark, _grained(spark, d), side, side)
-    return mesh.statistics(mesh.corners(flat.drop("grain_id"), nodes))
+    return mesh.statistics(elements_of(conforming_pixels(spark, _grained(spark, d), side, side), side))
 
 
 @query(f"""{_GRAINS}, seeds AS (SELECT DISTINCT x, y FROM corners), g AS (SELECT x + a AS j, y + b AS i FROM points, range(2) r(a), range(2) s(b) GROUP BY ALL)
