@@ -5,10 +5,13 @@ from __future__ import annotations
 from fractions import Fraction
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from grainflow.operators.components import checkpointed
 
@@ -19,18 +22,91 @@ def _bucket(c: Column, size: float) -> Column:
     return F.floor(c / size).cast("long")
 
 
+#: Cells along a side of a tile of `nearest`, and the queries or points that a tile may hold.
+TILE, CROWD = 64, 500_000
+
+
+def _near_in_tiles(k: int, cell: float, exclude_self: bool, shape: pa.Schema):
+    """The k nearest points within `cell` of each query of a tile, from sorted buckets; queries that have fewer come out with rank 0."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (qid, qx, qy), (pid, px, py) = ([t.column(c).to_numpy() for c in (n, "x", "y")] for t, n in ((left, "query_id"), (right, "point_id")))
+        if not len(qid):
+            return shape.empty_table()
+        bucket = lambda v: np.floor(v / cell).astype(np.int64)
+        bx, by, cx, cy = bucket(px), bucket(py), bucket(qx), bucket(qy)
+        every = np.concatenate([by, cy])
+        low, tall = every.min(), np.ptp(every) + 3
+        code = bx * tall + by - low + 1
+        order = np.argsort(code, kind="stable")
+        code, pid, px, py = code[order], pid[order], px[order], py[order]
+        # The three buckets of a column stand together.
+        own = (cx[:, None] + np.arange(-1, 2)) * tall + (cy - low + 1)[:, None]
+        start, stop = np.searchsorted(code, own - 1, "left"), np.searchsorted(code, own + 1, "right")
+        size = stop - start
+        total = np.cumsum(size.sum(1))
+        out, at = [], 0
+        while at < len(qid):  # some two million pairs at once
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 2_000_000, "right")))
+            n, first = size[at:end].ravel(), start[at:end].ravel()
+            q = np.repeat(np.arange(at, end), size[at:end].sum(1))
+            p = np.arange(len(q)) + np.repeat(first - (np.cumsum(n) - n), n)
+            d2 = (qx[q] - px[p]) * (qx[q] - px[p]) + (qy[q] - py[p]) * (qy[q] - py[p])
+            good = d2 <= cell * cell
+            if exclude_self:
+                good &= qid[q] != pid[p]
+            q, p, d2 = q[good], p[good], d2[good]
+            order = np.lexsort((pid[p], d2, q))
+            q, p, d2 = q[order], p[order], d2[order]
+            found = np.bincount(q - at, minlength=end - at)
+            rank = np.arange(len(q)) - np.repeat(np.cumsum(found) - found, found) + 1
+            good = (rank <= k) & (found >= k)[q - at]
+            rest = np.flatnonzero(found < k) + at
+            q, p, d2, rank = q[good], p[good], d2[good], rank[good]
+            both, none = np.concatenate([q, rest]), np.arange(len(q) + len(rest)) >= len(q)
+            pad = lambda v: pa.array(np.concatenate([v, np.zeros(len(rest), v.dtype)]), mask=none)  # noqa: E731, B023
+            out.append(pa.table({"query_id": qid[both], "rank": np.concatenate([rank, np.zeros(len(rest), np.int64)]), "point_id": pad(pid[p]), "distance2": pad(d2), "x": qx[both], "y": qy[both]}).cast(shape))
+            at = end
+        return pa.concat_tables(out)
+
+    return run
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int = 1, cell: float = 1.0, exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, point_id, distance2): the k nearest points of each query, or all if fewer; ties go to the smaller id.
 
     Both sides are (query_id or point_id, x, y) with numbers for ids. A query looks at its own bucket of side `cell` and the eight around
-    it; it is settled if it finds k points within `cell`. The others go on with buckets twice as wide, so that few queries meet many points. Rounds
-    grow with the logarithm of the map's width.
+    it; it is settled if it finds k points within `cell`. At first these stand together in tiles, so that a query is sent once. The others, and those of crowded tiles, go on by
+    a join, with buckets twice as wide each time, so that few queries meet many points. Rounds grow with the logarithm of the map's width.
     """
     ends = queries.select("x", "y").unionByName(points.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
     span = max(ends[0] or 0.0, ends[1] or 0.0)
     best = Window.partitionBy("query_id").orderBy("distance2", "point_id")
     open_, done = queries.select("query_id", "x", "y"), []
-    while True:
+    if cell <= span:
+        side = cell * TILE
+        where_ = [F.col(c).cast("double").alias(c) for c in "xy"]
+        around = lambda c: F.explode(F.sequence(_bucket(F.col(c) - cell * 1.001, side), _bucket(F.col(c) + cell * 1.001, side)))
+        asked = open_.where("x is not null and y is not null").select(_bucket(F.col("x"), side).alias("u"), _bucket(F.col("y"), side).alias("v"), "query_id", *where_)
+        held = points.select("point_id", *where_).withColumn("u", around("x")).withColumn("v", around("y"))
+        crowd = [checkpointed(t.groupBy("u", "v").count().where(F.col("count") > CROWD).select("u", "v")) for t in (asked, held)]
+        late = None
+        if not (crowd[0].isEmpty() and crowd[1].isEmpty()):
+            full = F.broadcast(crowd[0].unionByName(crowd[1]).distinct())  # a row for CROWD rows at least
+            late = asked.join(full, ["u", "v"], "left_semi").select("query_id", "x", "y")
+            asked, held = (t.join(full, ["u", "v"], "left_anti") for t in (asked, held))
+        kinds = StructType([queries.schema["query_id"], StructField("rank", IntegerType()), points.schema["point_id"], *(StructField(c, DoubleType()) for c in ("distance2", "x", "y"))])
+        kinds = StructType([StructField(f.name, f.dataType) for f in kinds])
+        near = asked.groupBy("u", "v").cogroup(held.groupBy("u", "v")).applyInArrow(_near_in_tiles(k, cell, exclude_self, to_arrow_schema(kinds)), kinds)
+        near = checkpointed(near)
+        done.append(near.where("rank > 0").select("query_id", "rank", "point_id", "distance2"))
+        open_ = near.where("rank = 0").select("query_id", "x", "y")
+        if late is None:
+            cell *= 2
+        else:
+            open_ = open_.unionByName(late)
+        open_ = checkpointed(open_)
+    while not done or not open_.isEmpty():
         around = lambda c: F.explode(F.sequence(_bucket(F.col(c), cell) - 1, _bucket(F.col(c), cell) + 1))  # noqa: E731,B023
         placed = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), _bucket(F.col("x"), cell).alias("bx"), _bucket(F.col("y"), cell).alias("by"))
         near = open_.withColumn("bx", around("x")).withColumn("by", around("y")).join(placed, ["bx", "by"])
@@ -44,8 +120,6 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, cell: float = 1.0
         settled = ranked.where(F.col("distance2") <= cell * cell).groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
         done.append(ranked.join(settled, "query_id", "left_semi"))
         open_ = checkpointed(open_.join(settled, "query_id", "left_anti"))
-        if open_.isEmpty():
-            break
         cell *= 2
     out = done[0]
     for part in done[1:]:
@@ -56,9 +130,9 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, cell: float = 1.0
 def points_in_triangles(points: DataFrame, triangles: DataFrame, cell: float = 1.0, tolerance: float = 1e-8) -> DataFrame:
     """(point_id, elem_id): the first triangle (elem_id, x1, y1, ..., x3, y3) that holds each point, by barycentric coordinates; points in none are left out."""
     xs, ys = [F.col(f"x{i}") for i in (1, 2, 3)], [F.col(f"y{i}") for i in (1, 2, 3)]
-    boxed = triangles.select("*", F.least(*xs).alias("x0_"), F.greatest(*xs).alias("x1_"), F.least(*ys).alias("y0_"), F.greatest(*ys).alias("y1_"))
+    boxed = triangles.select("elem_id", *xs, *ys, F.least(*xs).alias("x0_"), F.greatest(*xs).alias("x1_"), F.least(*ys).alias("y0_"), F.greatest(*ys).alias("y1_"))
     span = lambda a, b: F.explode(F.sequence(_bucket(F.col(a) - tolerance, cell), _bucket(F.col(b) + tolerance, cell)))
-    cells = boxed.withColumn("bx", span("x0_", "x1_")).withColumn("by", span("y0_", "y1_"))
+    cells = boxed.withColumn("bx", span("x0_", "x1_")).withColumn("by", span("y0_", "y1_")).drop("x0_", "x1_", "y0_", "y1_")
     placed = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), _bucket(F.col("x"), cell).alias("bx"), _bucket(F.col("y"), cell).alias("by"))
     twice = (xs[1] - xs[0]) * (ys[2] - ys[0]) - (xs[2] - xs[0]) * (ys[1] - ys[0])
     px, py = F.col("px"), F.col("py")

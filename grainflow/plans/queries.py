@@ -663,8 +663,8 @@ def element_phase_nearest(spark, d):
     from grainflow.operators import elements as el
 
     side = S.map_side(spark, d)
-    nodes, flat = mesh.grid_mesh(spark, 0.0, float(side), 0.0, float(side), side, side)
-    return el.material(S.event_map(spark, d), S.phases(spark), flat, nodes).select("elem_id", "phase")
+    box = (0.0, float(side), 0.0, float(side), side, side)
+    return el.material(S.event_map(spark, d), S.phases(spark), mesh.grid_corners(spark, *box), mesh.grid_mesh(spark, *box)[0]).select("elem_id", "phase")
 
 
 @query()
@@ -672,8 +672,8 @@ def element_material_hill(spark, d):
     from grainflow.operators import elements as el
 
     side = S.map_side(spark, d)
-    nodes, flat = mesh.grid_mesh(spark, 0.0, float(side), 0.0, float(side), max(1, side // 3), max(1, side // 3))
-    return el.material(S.event_map(spark, d), S.phases(spark), flat, nodes, "hill")
+    box = (0.0, float(side), 0.0, float(side), max(1, side // 3), max(1, side // 3))
+    return el.material(S.event_map(spark, d), S.phases(spark), mesh.grid_corners(spark, *box), mesh.grid_mesh(spark, *box)[0], "hill")
 
 
 @query(f"""WITH {_RINGS_SQL}, {_EDGES_SQL}, p AS (SELECT s_suppkey AS point_id, (s_suppkey % 50) * 1.1 AS px, 12 + (s_suppkey % 17) * 1.3 AS py FROM supplier),

@@ -1,6 +1,6 @@
 import pytest
 
-from grainflow.operators import clean, geometry, grains, spatial
+from grainflow.operators import clean, geometry, grains, mesh, spatial
 from grainflow.plans.config import JobConfig
 from grainflow.sources import maps, properties, sinks
 
@@ -139,3 +139,58 @@ def test_images(spark, tmp_path):
     (tmp_path / "broken.png").write_bytes(_png(pixels)[:40])
     got = {(r["row"], r["col"]): r["colour"] for r in maps.read_images(spark, str(tmp_path)).collect()}
     assert got == {(i, j): bytes(pixels[i, j][::-1]).hex().upper() for i in range(5) for j in range(7)}
+
+
+def test_nearest_sends_each_query_once(spark, monkeypatch):
+    """In tiles, and for crowded ones by the join: against brute force, with ties, far queries and its own point left out."""
+    import random
+
+    from pyspark.sql.functions import col
+
+    draw = random.Random(3)
+    rows = [(i, draw.randrange(-80, 280) / 2, draw.randrange(40) / 2) for i in range(900)] + [(900, 400.0, -300.0)]
+    points = spark.createDataFrame(rows, "point_id long, x double, y double")
+    asked = points.withColumnRenamed("point_id", "query_id")
+    for crowd in (500_000, 60):
+        monkeypatch.setattr(spatial, "CROWD", crowd)
+        for k, own in ((1, False), (3, True)):
+            want = set()
+            for q, x, y in rows:
+                best = sorted(((x - u) ** 2 + (y - v) ** 2, i) for i, u, v in rows if not own or i != q)[:k]
+                want |= {(q, r + 1, i, d) for r, (d, i) in enumerate(best)}
+            got = [tuple(r) for r in spatial.nearest(asked, points, k, 1.0, own).collect()]
+            assert len(got) == len(want) and set(got) == want
+    monkeypatch.setattr(spatial, "CROWD", 500_000)
+    shapes = []
+    group = type(asked).groupBy
+    monkeypatch.setattr(type(asked), "groupBy", lambda df, *by: (shapes.append((by, df)), group(df, *by))[1])
+    spatial.nearest(asked, points.where(col("point_id") < 900))
+    monkeypatch.undo()
+    sent = [df for by, df in shapes if by == ("u", "v") and "query_id" in df.columns]
+    assert sent and all(df.count() == len(rows) for df in sent)  # nine copies of each before
+
+
+def test_points_of_elements_are_found_once(spark, monkeypatch):
+    """Elements that all hold points look for no nearest one, and large triangles stand in few buckets."""
+    from grainflow.operators import elements
+
+    points = spark.createDataFrame([(40 * y + x, x + 0.5, y + 0.25) for x in range(40) for y in range(40)], "point_id long, x double, y double")
+    cells, real = [], spatial.points_in_triangles
+    monkeypatch.setattr(spatial, "points_in_triangles", lambda p, t, cell: (cells.append(cell), real(p, t, cell))[1])
+    monkeypatch.setattr(spatial, "nearest", None)
+    got = elements.points_of_elements(points, mesh.grid_corners(spark, 0.0, 40.0, 0.0, 40.0, 4, 4), mesh.grid_mesh(spark, 0.0, 40.0, 0.0, 40.0, 4, 4)[0])
+    want = {((y // 10 * 4 + x // 10) * 2 + int(y % 10 + 0.25 > x % 10 + 0.5), 40 * y + x) for x in range(40) for y in range(40)}
+    assert {(r["elem_id"], r["point_id"]) for r in got.collect()} == want and got.count() == 1600
+    assert cells == [20.0]
+
+
+def test_corners_in_closed_form(spark):
+    """Bit for bit those that the joins give."""
+    read = lambda df: sorted(map(tuple, df.collect()))
+    box = (0.1, 7.3, -1.0, 2.2, 5, 3)
+    nodes, flat = mesh.grid_mesh(spark, *box)
+    assert read(mesh.grid_corners(spark, *box)) == read(mesh.corners(flat, nodes))
+    points = spark.createDataFrame([(x, y, x * y) for x in range(5) for y in range(4)], "x long, y long, phase long")
+    nodes, flat = mesh.pixel_mesh(points, 5, 0.75, 0.8)
+    assert read(mesh.pixel_corners(points, 5, 0.75, 0.8)) == read(mesh.corners(flat, nodes))
+    assert all(r["phase"] == r["elem_id"] // 2 % 5 * (r["elem_id"] // 10) for r in mesh.pixel_corners(points, 5, keep=("phase",)).collect())
