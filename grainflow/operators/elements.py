@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainflow.functions import kernels as K
 from grainflow.operators import mesh, spatial
+from grainflow.operators.components import checkpointed
 from grainflow.operators.homogenize import ANGLES
 
 METHODS = ("nearest", "voigt", "reuss", "hill", "geometric")
@@ -20,9 +21,12 @@ def points_of_elements(points: DataFrame, elements: DataFrame, nodes: DataFrame,
     """(elem_id, point_id): the points in each element, and for an element with none, the point nearest to its centre."""
     placed = mesh.corners(elements, nodes)
     at = points.select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    inside = spatial.points_in_triangles(at, placed, cell).select("elem_id", "point_id")
-    empty = elements.join(inside, "elem_id", "left_anti").select("elem_id")
-    centres = mesh.quality(placed).join(empty, "elem_id").select(F.col("elem_id").alias("query_id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    # Buckets twice as wide as triangles: few copies of a triangle, few triangles for a point.
+    wide = [F.avg(F.greatest(*(F.col(f"{v}{i}") for i in (1, 2, 3))) - F.least(*(F.col(f"{v}{i}") for i in (1, 2, 3)))) for v in "xy"]
+    inside = checkpointed(spatial.points_in_triangles(at, placed, max(cell, *(2 * (w or 0.0) for w in placed.agg(*wide).first()))).select("elem_id", "point_id"))
+    centres = checkpointed(mesh.quality(placed).join(inside, "elem_id", "left_anti").select(F.col("elem_id").alias("query_id"), F.col("cx").alias("x"), F.col("cy").alias("y")))
+    if centres.isEmpty():
+        return inside
     return inside.unionByName(spatial.nearest(centres, at, 1, cell).select(F.col("query_id").alias("elem_id"), "point_id"))
 
 
@@ -43,26 +47,29 @@ def material(points: DataFrame, phases: DataFrame, elements: DataFrame, nodes: D
     frame = np.array([[np.cos(t), -np.sin(t), 0], [np.sin(t), np.cos(t), 0], [0, 0, 1.0]])
     known = {r["phase"]: r for r in phases.select("phase", "stiffness", "alpha", "kappa").collect()}  # at most eight
     # Points of one phase and orientation in an element count as one with a weight, and an element is one row.
-    kinds = pairs.join(points.select("point_id", "phase", *ANGLES), "point_id").where(F.col("phase").isin(*known) if known else F.lit(False)).groupBy("elem_id", "phase", *ANGLES).agg(F.count("*").cast("double").alias("n"))
+    kinds = pairs.join(points.select("point_id", "phase", *ANGLES), "point_id").where(F.col("phase").isin(*known) if known else F.lit(False)).repartition("elem_id").groupBy("elem_id", "phase", *ANGLES).agg(F.count("*").cast("double").alias("n"))
     rows = kinds.groupBy("elem_id").agg(F.array_sort(F.collect_list(F.struct("phase", *ANGLES, "n"))).alias("kinds"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
+    ids = np.array(sorted(known), np.int64)
+    table = {n: np.array([known[x][n] for x in ids.tolist()], float).reshape(len(ids), *shape) for n, shape in (("stiffness", (6, 6)), ("alpha", (6,)), ("kappa", (3, 3)))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
                 continue
-            size = pdf["kinds"].map(len).to_numpy()
+            column = batch.column("kinds")
+            size = np.diff(column.offsets.to_numpy())
             start = np.cumsum(size) - size
-            flat = [k for row in pdf["kinds"] for k in row]
-            own = np.array([k["phase"] for k in flat])
-            w = np.array([k["n"] for k in flat])
+            flat = column.flatten()
+            own, w = flat.field("phase").to_numpy().astype(np.int64), flat.field("n").to_numpy()
             total = np.add.reduceat(w, start)
             mean = lambda m: np.add.reduceat(m * w.reshape(-1, *[1] * (m.ndim - 1)), start) / total.reshape(-1, *[1] * (m.ndim - 1))  # noqa: E731, B023
-            of = lambda n, *shape: np.array([known[x][n] for x in own], float).reshape(-1, *shape)  # noqa: E731, B023
-            a = frame @ K.rotations(np.array([[k[x] for x in ANGLES] for k in flat], float))
-            c = of("stiffness", 6, 6)
+            of = lambda n: table[n][np.searchsorted(ids, own)]  # noqa: E731, B023
+            a = frame @ K.rotations(np.stack([flat.field(x).to_numpy(zero_copy_only=False).astype(float) for x in ANGLES], 1))
+            c = of("stiffness")
             stiff, comply = K.rotated_stiffness(a, c), K.rotated_compliance(a, np.linalg.inv(c))
-            alpha = K.rotated_expansion(a, of("alpha", 6))
-            kappa = a @ of("kappa", 3, 3) @ a.transpose(0, 2, 1)
+            alpha = K.rotated_expansion(a, of("alpha"))
+            kappa = a @ of("kappa") @ a.transpose(0, 2, 1)
             voigt, reuss = (mean(stiff), mean(kappa)), (np.linalg.inv(mean(comply)), np.linalg.inv(mean(np.linalg.inv(kappa))))
             log = lambda m: K.symmetric_function(mean(K.symmetric_function((m + m.transpose(0, 2, 1)) / 2, K.safe_log)), np.exp)
             av, ar = np.linalg.solve(voigt[0], mean(np.einsum("nij,nj->ni", stiff, alpha))[:, :, None])[:, :, 0], mean(alpha)
@@ -70,13 +77,16 @@ def material(points: DataFrame, phases: DataFrame, elements: DataFrame, nodes: D
                 found = (log(stiff), log(kappa), ar)
             else:
                 found = {"nearest": (*voigt, ar), "voigt": (*voigt, av), "reuss": (*reuss, ar), "hill": ((voigt[0] + reuss[0]) / 2, (voigt[1] + reuss[1]) / 2, (av + ar) / 2)}[method]
-            most = {}
-            for e, x, n in zip(np.repeat(np.arange(len(pdf)), size), own, w, strict=True):
-                most.setdefault(e, {})[x] = most.setdefault(e, {}).get(x, 0) + n
-            phase = [min(v, key=lambda x: (-v[x], x)) for v in most.values()]  # noqa: B023
-            yield pd.DataFrame({"elem_id": pdf["elem_id"], "phase": np.array(phase, np.int32), "stiffness": list(found[0].reshape(-1, 36)), "alpha": list(found[2]), "kappa": list(found[1].reshape(-1, 9))})
-
-    return rows.mapInPandas(run, "elem_id long, phase int, stiffness array<double>, alpha array<double>, kappa array<double>")
+            # Kinds of a phase stand together; of each element the phase with most points, the smaller one of equals.
+            element = np.repeat(np.arange(len(size)), size)
+            runs = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(element) != 0)]))
+            count, of_run, phase = np.add.reduceat(w, runs), element[runs], own[runs]
+            order = np.lexsort((phase, -count, of_run))
+            most = phase[order[np.concatenate([[True], np.diff(of_run[order]) != 0])]]
+            lists = lambda m, n: pa.ListArray.from_arrays(np.arange(0, n * len(size) + 1, n, dtype=np.int32), np.ascontiguousarray(m, float).ravel())  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([batch.column("elem_id").cast(pa.int64()), pa.array(most.astype(np.int32)), lists(found[0], 36), lists(found[2], 6), lists(found[1], 9)], names=["elem_id", "phase", "stiffness", "alpha", "kappa"])
+
+    return rows.mapInArrow(run, "elem_id long, phase int, stiffness array<double>, alpha array<double>, kappa array<double>")
 
 
 def grain_of_elements(elements: DataFrame, nodes: DataFrame, vertices: DataFrame, grain: str, cell: float = 1.0) -> DataFrame:
