@@ -491,28 +491,46 @@ def jacobian() -> Column:
     return (x[1] - x[0]) * (y[2] - y[0]) - (x[2] - x[0]) * (y[1] - y[0])
 
 
-def quadrature_points(placed: DataFrame) -> DataFrame:
-    """(elem_id, qp, x, y, weight): places of the rule in each element (x1, y1, ..., x3, y3) and their shares of its area."""
+def quadrature_points(placed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(elem_id, qp, x, y, weight): places of the rule in each element (x1, y1, ..., x3, y3) and their shares of its area; `keep` are further columns of the element."""
     at = [F.struct(F.lit(q).alias("qp"), T.add([F.lit(float(p[i])) * F.col(f"x{i + 1}") for i in range(3)]).alias("x"), T.add([F.lit(float(p[i])) * F.col(f"y{i + 1}") for i in range(3)]).alias("y"), (F.lit(float(w)) * jacobian() / 2).alias("weight")) for q, (p, w) in enumerate(zip(PLACES, WEIGHTS, strict=True))]
-    return placed.select("elem_id", F.explode(F.array(*at)).alias("p")).select("elem_id", "p.*")
+    return placed.select("elem_id", *keep, F.explode(F.array(*at)).alias("p")).select("elem_id", "p.*", *keep)
 
 
-def conduction_matrix(placed: DataFrame) -> DataFrame:
-    """(elem_id, i, j, value): the linear triangle's conductivity matrix for plane conductivity k11, k12, k22, from its corners."""
+def conduction_matrix(placed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(elem_id, i, j, value): the linear triangle's conductivity matrix for plane conductivity k11, k12, k22, from its corners; `keep` are further columns of the element."""
     x, y = [F.col(f"x{i}") for i in (1, 2, 3)], [F.col(f"y{i}") for i in (1, 2, 3)]
     b = [y[(i + 1) % 3] - y[(i + 2) % 3] for i in range(3)]
     c = [x[(i + 2) % 3] - x[(i + 1) % 3] for i in range(3)]
     k11, k12, k22 = F.col("k11"), F.col("k12"), F.col("k22")
     entry = lambda i, j: (b[i] * k11 * b[j] + (b[i] * c[j] + c[i] * b[j]) * k12 + c[i] * k22 * c[j]) / (2 * jacobian())
     each = [F.struct(F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j"), entry(i, j).alias("value")) for i in range(3) for j in range(3)]
-    return placed.select("elem_id", F.explode(F.array(*each)).alias("e")).select("elem_id", "e.*")
+    return placed.select("elem_id", *keep, F.explode(F.array(*each)).alias("e")).select("elem_id", "e.*", *keep)
+
+
+#: Entries of element matrices that a task sums before they are shuffled, and slaves that are sent to all tasks, at most.
+ENTRIES, SLAVES = 2_000_000, 1_000_000
+
+
+def with_masters(elements: DataFrame, periodic: DataFrame) -> DataFrame:
+    """Linear elements with their slaves replaced by the masters."""
+    few = periodic.limit(SLAVES + 1).count() <= SLAVES
+    pairs = checkpointed(periodic.select("node_id", "master_id"))
+    for c in ("n1", "n2", "n3"):
+        own = pairs.withColumnsRenamed({"node_id": c, "master_id": "__master"})
+        elements = elements.join(F.broadcast(own) if few else own, c, "left").withColumn(c, F.coalesce("__master", c)).drop("__master")
+    return elements
 
 
 def assemble(matrix: DataFrame, elements: DataFrame, periodic: DataFrame | None = None) -> DataFrame:
-    """(row, col, value): element matrices (elem_id, i, j, value) summed over the nodes of linear elements, slaves standing for their masters."""
+    """(row, col, value): element matrices (elem_id, i, j, value) summed over the nodes of linear elements, slaves standing for their masters.
+
+    A matrix that has its elements' nodes n1, n2, n3 needs no join with them.
+    """
     corner = lambda c: F.element_at(F.array("n1", "n2", "n3"), F.col(c))
-    at = matrix.join(elements, "elem_id").select(corner("i").alias("row"), corner("j").alias("col"), "value")
-    if periodic is not None:
-        for c in ("row", "col"):
-            at = at.join(periodic, at[c] == periodic["node_id"], "left").withColumn(c, F.coalesce("master_id", c)).drop("node_id", "master_id")
-    return at.groupBy("row", "col").agg(F.sum("value").alias("value"))
+    if not {"n1", "n2", "n3"} <= set(matrix.columns):
+        nodes = elements.select("elem_id", "n1", "n2", "n3")
+        matrix = matrix.join(nodes if periodic is None else with_masters(nodes, periodic), "elem_id")
+    elif periodic is not None:
+        matrix = with_masters(matrix, periodic)
+    return matrix.select(corner("i").alias("row"), corner("j").alias("col"), "value").groupBy("row", "col").agg(F.sum("value").alias("value"))

@@ -194,3 +194,18 @@ def test_corners_in_closed_form(spark):
     nodes, flat = mesh.pixel_mesh(points, 5, 0.75, 0.8)
     assert read(mesh.pixel_corners(points, 5, 0.75, 0.8)) == read(mesh.corners(flat, nodes))
     assert all(r["phase"] == r["elem_id"] // 2 % 5 * (r["elem_id"] // 10) for r in mesh.pixel_corners(points, 5, keep=("phase",)).collect())
+
+
+def test_matrix_with_its_nodes_is_summed_without_joins(spark):
+    """Slaves are replaced on elements; then sums are the only shuffle, and equal those of the matrix alone."""
+    from grainflow.operators import fem
+
+    box = (0.0, 4.0, 0.0, 3.0, 4, 3)
+    nodes, placed = mesh.grid_mesh(spark, *box)[0], mesh.grid_corners(spark, *box).selectExpr("*", "2D + elem_id % 2 AS k11", "0.25D AS k12", "3D AS k22")
+    pairs = mesh.periodic_pairs(nodes)
+    own = fem.assemble(fem.conduction_matrix(fem.with_masters(placed, pairs), ("n1", "n2", "n3")), placed)
+    assert own._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    assert own.count() == 7 * 12
+    read = lambda df: {(r["row"], r["col"]): pytest.approx(r["value"]) for r in df.collect()}
+    assert read(own) == read(fem.assemble(fem.conduction_matrix(placed), placed, pairs))
+    assert all(r["t"] == pytest.approx(0) for r in own.groupBy("row").sum("value").toDF("row", "t").collect())
