@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 
 def weighted_mean(field: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -24,25 +29,90 @@ def to_nodes(field: DataFrame, elements: DataFrame, value: str) -> DataFrame:
     return each.groupBy("node_id").agg(F.avg(value).alias(value))
 
 
+#: Numbers of matrices that are solved together, and rows that wait for it, about.
+TOGETHER, WAITING = 2_000_000, 100_000
+#: Condition, by estimate, from which a matrix is solved by its singular values, those that are nothing but rounding left out.
+CONDITION = 1e9
+
+
+def _weights(a: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """The solutions of symmetric matrices a (g, n, n) for right sides f (g, n, v)."""
+    n = a.shape[1]
+    probes = np.where(np.random.default_rng(0).integers(0, 2, (n, 3)), 1.0, -1.0)
+    try:
+        both = np.linalg.solve(a, np.concatenate([f, np.broadcast_to(probes, (len(a), n, 3))], 2))
+    except np.linalg.LinAlgError:
+        both = np.full((len(a), n, f.shape[2] + 3), np.nan)
+    out = both[:, :, : f.shape[2]].copy()
+    size = np.abs(a).sum(2).max(1) * np.abs(both[:, :, f.shape[2] :]).max((1, 2))
+    for g in np.flatnonzero(~(size < CONDITION)):
+        out[g] = np.linalg.lstsq(a[g], f[g], rcond=None)[0]
+    return out
+
+
+def _interpolated(rows: pa.Table, grain: str, values: list[str], kinds: pa.Schema) -> pa.Table:
+    """Targets of whole grains that stand together, by the places of the same grain; grains with as many places and targets are solved at once."""
+    ends = pc.run_end_encode(rows.column(grain).combine_chunks()).run_ends.to_numpy()
+    own = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    target = rows.column("__target").to_numpy()
+    xy = np.stack([rows.column(c).to_numpy() for c in "xy"], 1) + 0.0  # no negative zeros
+    at, to = np.flatnonzero(~target), np.flatnonzero(target)
+    f = np.stack([rows.column(v).to_numpy() for v in values], 1)
+    # Places that repeat are averaged.
+    at = at[np.lexsort((xy[at, 1], xy[at, 0], own[at]))]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(own[at]) != 0) | (np.diff(xy[at], axis=0) != 0).any(1)])) if len(at) else np.zeros(0, int)
+    f = np.add.reduceat(f[at], new) / np.diff(np.append(new, len(at)))[:, None] if len(at) else f[:0]
+    at = at[new]
+    known, asked = np.bincount(own[at], minlength=len(ends)), np.bincount(own[to], minlength=len(ends))
+    first, start = np.cumsum(known) - known, np.cumsum(asked) - asked
+    out = np.full((len(to), len(values)), np.nan)
+    far = lambda p, q: np.sqrt(np.sqrt((p[:, :, None, 0] - q[:, None, :, 0]) ** 2 + (p[:, :, None, 1] - q[:, None, :, 1]) ** 2) + 1)
+    for n, m in np.unique(np.stack([known, asked], 1)[(known > 0) & (asked > 0)], axis=0):
+        same = np.flatnonzero((known == n) & (asked == m))
+        step = max(1, TOGETHER // int(n * max(n, m)))
+        for k in range(0, len(same), step):
+            part = same[k : k + step]
+            i, j = first[part][:, None] + np.arange(n), start[part][:, None] + np.arange(m)
+            p = xy[at[i]]
+            out[j] = far(xy[to[j]], p) @ _weights(far(p, p), f[i])
+    have = np.flatnonzero(known[own[to]] > 0)
+    found = rows.select([grain, "target_id", "x", "y"]).take(pa.array(to[have]))
+    for c, v in enumerate(values):
+        found = found.append_column(v, pa.array(out[have, c]))
+    return found.cast(kinds)
+
+
 def interpolate(field: DataFrame, targets: DataFrame, grain: str, values: list[str]) -> DataFrame:
     """(grain, target_id, x, y, values...): radial interpolation with sqrt(r + 1) inside each grain, so that fields may jump between grains.
 
     `field` has (grain, x, y, values...), `targets` (grain, target_id, x, y). All fields share one factorisation of a
-    grain's matrix; a grain is one task's work and must fit it. Places that repeat are averaged first.
+    grain's matrix; a grain is one task's work and must fit it. Places that repeat are averaged first. Grains stream through a task in their
+    order, after one shuffle, and small ones are solved together.
     """
-    kind = field.schema[grain].dataType.simpleString()
-    known = field.groupBy(grain, "x", "y").agg(*(F.avg(v).alias(v) for v in values))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in (grain, "target_id", "x", "y", *values)})
-        p, t = left[["x", "y"]].to_numpy(float), right[["x", "y"]].to_numpy(float)
-        far = lambda a, b: np.sqrt(np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1]) + 1)
-        weights = np.linalg.lstsq(far(p, p), left[values].to_numpy(float), rcond=None)[0]
-        return pd.concat([right[[grain, "target_id", "x", "y"]].reset_index(drop=True), pd.DataFrame(far(t, p) @ weights, columns=values)], axis=1)
-
-    schema = f"`{grain}` {kind}, target_id long, x double, y double, " + ", ".join(f"{v} double" for v in values)
-    return known.groupBy(grain).cogroup(targets.select(grain, F.col("target_id").cast("long").alias("target_id"), "x", "y").groupBy(grain)).applyInPandas(run, schema)
+    number = lambda c: F.col(c).cast("double").alias(c)
+    known = field.select(grain, F.lit(None).cast("long").alias("target_id"), *map(number, ("x", "y", *values)), F.lit(False).alias("__target"))
+    asked = targets.select(grain, F.col("target_id").cast("long").alias("target_id"), number("x"), number("y"), *(F.lit(None).cast("double").alias(v) for v in values), F.lit(True).alias("__target"))
+    rows = known.unionByName(asked).repartition(grain).sortWithinPartitions(grain)
+    shape = StructType([StructField(grain, field.schema[grain].dataType), StructField("target_id", LongType()), *(StructField(c, DoubleType()) for c in ("x", "y", *values))])
+    kinds = to_arrow_schema(shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, last = [], 0, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            if n >= WAITING:  # all but the last grain, which may go on, is whole
+                ends = pc.run_end_encode(batch.column(grain)).run_ends.to_numpy()
+                cut = 0 if batch.column(grain)[0] != last else int(ends[0])
+                if cut < len(batch):
+                    yield from _interpolated(pa.Table.from_batches([*held, batch.slice(0, cut)]), grain, values, kinds).to_batches()
+                    held, n, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            n, last = n + len(batch), batch.column(grain)[-1]
+        if held:
+            yield from _interpolated(pa.Table.from_batches(held), grain, values, kinds).to_batches()
+
+    return rows.mapInArrow(run, shape)
 
 
 def statistics(field: DataFrame, values: list[str]) -> DataFrame:

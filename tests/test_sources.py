@@ -209,3 +209,54 @@ def test_matrix_with_its_nodes_is_summed_without_joins(spark):
     read = lambda df: {(r["row"], r["col"]): pytest.approx(r["value"]) for r in df.collect()}
     assert read(own) == read(fem.assemble(fem.conduction_matrix(placed), placed, pairs))
     assert all(r["t"] == pytest.approx(0) for r in own.groupBy("row").sum("value").toDF("row", "t").collect())
+
+
+def test_small_grains_are_solved_together(spark, monkeypatch):
+    """As grain by grain before: repeated places, grains of one place, without targets or places, and larger than what waits."""
+    import numpy as np
+
+    from grainflow.operators import fields
+
+    draw = np.random.default_rng(5)
+    at = [(g, float(x), float(y)) for g, n in (("a", 9), ("b", 9), (None, 4), ("c", 1), ("d", 3), ("long", 50)) for x, y in draw.random((n, 2)).round(3)]
+    field = [(g, x, y, 2 * x + y, x * y) for g, x, y in at] + [("a", at[0][1], at[0][2], 7.0, 1.0)]
+    asked = [(g, i, float(x), float(y)) for i, (g, (x, y)) in enumerate(zip(["a", "b", None, "c", "long", "none", "a"] * 3, draw.random((21, 2)), strict=True))]
+    want = {}
+    for g in {r[0] for r in asked}:
+        places = {}
+        for r in field:
+            if r[0] == g:
+                places.setdefault(r[1:3], []).append(r[3:])
+        if places:
+            p, f = np.array(list(places)), np.array([np.mean(v, 0) for v in places.values()])
+            far = lambda a, b: np.sqrt(np.hypot(*(a[:, None] - b[None]).transpose(2, 0, 1)) + 1)
+            t = [r for r in asked if r[0] == g]
+            want |= {r[1]: (g, *v) for r, v in zip(t, far(np.array([r[2:] for r in t]), p) @ np.linalg.lstsq(far(p, p), f, rcond=None)[0], strict=True)}
+    known, targets = spark.createDataFrame(field, "grain string, x double, y double, f double, g double"), spark.createDataFrame(asked, "grain string, target_id long, x double, y double")
+    got = fields.interpolate(known, targets, "grain", ["f", "g"]).collect()
+    assert len(got) == len(want) == 18 and all((r["grain"], r["f"], r["g"]) == (want[r["target_id"]][0], *map(pytest.approx, want[r["target_id"]][1:])) for r in got)
+    # Well conditioned matrices need no singular values; one with two places at once does.
+    calls, real = [], np.linalg.lstsq
+    monkeypatch.setattr(np.linalg, "lstsq", lambda *a, **k: (calls.append(1), real(*a, **k))[1])
+    p = draw.random((3, 20, 2)) * 3
+    a = np.sqrt(np.hypot(*(p[:, :, None] - p[:, None]).transpose(3, 0, 1, 2)) + 1)
+    fields._weights(a, draw.random((3, 20, 1)))
+    assert not calls
+    a[1, 0], a[1, :, 0] = a[1, 1], a[1, :, 1]
+    assert np.isfinite(fields._weights(a, np.ones((3, 20, 1)))).all() and calls
+
+
+def test_grains_go_on_across_batches(spark, monkeypatch):
+    """Batches of three rows, and hardly any waiting."""
+    from grainflow.operators import fields
+
+    rows = [(i % 4, float(i // 4 % 5), float(i // 20), float(i)) for i in range(120)]
+    field = spark.createDataFrame(rows, "grain long, x double, y double, f double")
+    targets = field.selectExpr("grain", "x * 31 + y AS target_id", "x", "y")
+    monkeypatch.setattr(fields, "WAITING", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {(r["grain"], r["x"], r["y"]): r["f"] for r in fields.interpolate(field, targets, "grain", ["f"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(g, x, y): pytest.approx(f) for g, x, y, f in rows}  # at its places the field is met
