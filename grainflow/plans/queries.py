@@ -761,7 +761,7 @@ def mesh_cleanup(spark, d):
     nodes, flat = _mesh(spark, d)
     twice = nodes.unionByName(nodes.withColumn("node_id", F.col("node_id") + (1 << 40)))
     mixed = flat.select("elem_id", F.when(F.col("elem_id") % 2 == 0, F.col("n1")).otherwise(F.col("n1") + (1 << 40)).alias("n1"), F.col("n3").alias("n2"), F.col("n2").alias("n3"))
-    return rounded(mesh.corners(*mesh.cleanup(mixed, twice)).select("elem_id", *(f"{c}{i}" for i in (1, 2, 3) for c in "xy")))
+    return rounded(mesh.cleanup(mixed, twice, placed=True)[0].select("elem_id", *(f"{c}{i}" for i in (1, 2, 3) for c in "xy")))
 
 
 @query(f"{_WAVES_SQL} SELECT phase, coalesce(points, 0) AS points, i, j, {_r('x * sqrt(2 / (1 - z))', 'px')}, {_r('y * sqrt(2 / (1 - z))', 'py')}, {', '.join(_r(c, c, 3) for c in ('vp', 'vs1', 'vs2'))} FROM w LEFT JOIN held USING (phase)")

@@ -260,3 +260,15 @@ def test_grains_go_on_across_batches(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {(g, x, y): pytest.approx(f) for g, x, y, f in rows}  # at its places the field is met
+
+
+def test_cleanup_keeps_the_places(spark):
+    """Merged, turned round, without flat elements and those of unknown nodes; the corners meet their nodes twice, and their places come along."""
+    nodes = spark.createDataFrame([(5, 0.0, 0.0), (7, 1.0, 0.0), (9, 1.0, 1.0), (11, 0.0, 1.0), (20, 0.0, 0.0), (21, 1.0, 1.0), (30, 4.0, 4.0)], "node_id long, x double, y double")
+    flat = spark.createDataFrame([(0, 20, 9, 7), (1, 5, 21, 11), (2, 5, 20, 7), (3, 5, 7, 99), (4, 5, 9, 21)], "elem_id long, n1 long, n2 long, n3 long")
+    elements, kept = mesh.cleanup(flat, nodes, placed=True)
+    assert sorted(map(tuple, elements.collect())) == [(0, 0, 1, 2, 0.0, 0.0, 1.0, 0.0, 1.0, 1.0), (1, 0, 2, 3, 0.0, 0.0, 1.0, 1.0, 0.0, 1.0)]
+    assert sorted(map(tuple, kept.collect())) == [(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 1.0, 1.0), (3, 0.0, 1.0)]
+    plain = mesh.cleanup(flat, nodes)[0]
+    assert plain.columns == ["elem_id", "n1", "n2", "n3"]
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 3  # each corner by node and by element
