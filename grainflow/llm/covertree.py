@@ -12,7 +12,9 @@ Unit vectors with cosine s lie sqrt(2 - 2 s) apart, so a threshold of cosine is
    trees at a time, from the roots down: a pair of nodes farther apart than threshold and both radii is dropped with all below it; a pair so
    close that everything below it must link is counted whole; others are replaced by the pairs of their children. Single vectors are
    decided by their cosine in double precision, so rounding in the bounds, which keep a margin, decides nothing.
-5. A pair of blocks returns each linked class with its number of links and one edge of a spanning forest, never all its pairs; components follow
+5. Trees are written once. Where radii prove most pairs apart, a tree is sent to its few partners by a shuffle; else tasks read the trees of two
+   partitions each where they were written, so that disk grows with the vectors and not with the pairs.
+6. A task returns each linked class with its number of links and one edge of a spanning forest, never all its pairs; components follow
    by union-find. `threshold_pairs` returns the pairs themselves.
 
 Where vectors have no structure (independent directions in many dimensions) no bound can prune, and the work is that of all pairs
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType
 
@@ -40,6 +42,10 @@ COSINE = 0.95
 BLOCK, PIVOTS, SAMPLE = 4096, 1024, 4096
 #: Rows of a class from which its rows meet its result by broadcast.
 HOT = 4096
+#: Times that a tree is sent by shuffle at most, on average; partitions of trees at least (if there are so many), and bytes of one about.
+SENT, PARTS, PART_BYTES = 2, 32, 32 << 20
+#: Rows of results that a task holds until it sums them up.
+SUMMED = 500_000
 #: Rows of a tile of distances, which has four times as many columns, and pairs of nodes held at once.
 TILE, HELD = 512, 1_000_000
 #: The least radius of a level; vectors that are closer are told apart at the last level, which has them all.
@@ -395,19 +401,51 @@ def _planted(rows: pa.Table) -> pa.Table:
     return pa.table({"block": [first[0]], "dim": pa.array([first[1]], pa.int32()), "cell": pa.array([first[2]], pa.int32()), "centre": [tree.unit[top.centre[0]].tolist()], "radius": [float(top.radius[0])], "tree": pa.array([state], pa.binary())})
 
 
+def _traversal(trees: list[Tree], cosine: float, pairs: bool) -> pa.Table:
+    """One pair of blocks (one tree if a block meets itself): linked classes, or pairs of them."""
+    found = Dual(trees[0], trees[1] if len(trees) > 1 else None, cosine, pairs).run()
+    number = np.concatenate([t.number for t in trees])
+    if pairs:
+        i, j = (np.concatenate(x) for x in zip(*found.met, strict=True)) if found.met else (np.zeros(0, np.int64),) * 2
+        a, b = number[i], number[j + found.shift]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": found._cosine(i, j) if len(i) else np.zeros(0)})
+    linked = np.flatnonzero(found.links)
+    return pa.table({"number": number[linked], "links": found.links[linked], "other": number[found.label[linked]]})
+
+
 def _traversed(cosine: float, pairs: bool) -> Callable[[pa.Table], pa.Table]:
-    """One pair of blocks (one row if a block meets itself): linked classes, or pairs of them."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        trees = [_unpacked(t) for t in rows.sort_by("side").column("tree").to_pylist()]
-        found = Dual(trees[0], trees[1] if len(trees) > 1 else None, cosine, pairs).run()
-        number = np.concatenate([t.number for t in trees])
-        if pairs:
-            i, j = (np.concatenate(x) for x in zip(*found.met, strict=True)) if found.met else (np.zeros(0, np.int64),) * 2
-            a, b = number[i], number[j + found.shift]
-            return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": found._cosine(i, j) if len(i) else np.zeros(0)})
-        linked = np.flatnonzero(found.links)
-        return pa.table({"number": number[linked], "links": found.links[linked], "other": number[found.label[linked]]})
+    return lambda rows: _traversal([_unpacked(t) for t in rows.sort_by("side").column("tree").to_pylist()], cosine, pairs)
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    """Linked classes of several pairs of blocks, each once: links add up, and what is joined by any of them is joined."""
+    number, links, other = (np.concatenate([t.column(c).to_numpy() for t in tables]) for c in ("number", "links", "other"))
+    names, at = np.unique(np.concatenate([number, other]), return_inverse=True)
+    total, label = np.zeros(len(names), np.int64), np.arange(len(names))
+    np.add.at(total, at[: len(number)], links)
+    hook(label, at[: len(number)], at[len(number) :])
+    return pa.table({"number": names, "links": total, "other": names[label]})
+
+
+def _traversed_rows(cosine: float, pairs: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (tree, with), each a pair of blocks; without `with` a block meets itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                both = [_unpacked(c[i].as_py()) for c in batch.columns if c[i].is_valid]
+                got = _traversal(both, cosine, pairs)
+                if pairs:
+                    yield from got.to_batches(65536)
+                    continue
+                held.append(got)
+                rows += len(got)
+                if rows > SUMMED:
+                    held = [_summed(held)]
+                    rows = 0
+        if held:
+            yield from _summed(held).to_batches(65536)
 
     return run
 
@@ -456,7 +494,14 @@ def _blocks(found: DataFrame, block: int) -> tuple[DataFrame, dict[int, np.ndarr
     part = F.pmod(F.xxhash64("number"), F.col("parts"))
     named = dealt.join(small(parts), ["dim", "cell"]).withColumn("block", F.concat_ws("/", "dim", "cell", part))
     shape = "block string, dim int, cell int, centre array<double>, radius double, tree binary"
-    return materialise(named.select("block", "dim", "cell", "number", "n", "v").groupBy("block").applyInArrow(_planted, shape)), pivots, cells
+    count = max(min(PARTS, sum(-(-r["size"] // block) for r in cells)), -(-sum(r["size"] * (8 * r["dim"] + 48) for r in cells) // PART_BYTES), 1)
+    return materialise(named.select("block", "dim", "cell", "number", "n", "v").repartition(count, "block").groupBy("block").applyInArrow(_planted, shape)), pivots, cells
+
+
+def _hopeful(limit: float) -> Column:
+    """Whether blocks a (centre p, radius r) and b (q, s), a <= b, may hold a link."""
+    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.aggregate(F.zip_with("p", "q", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)))
+    return (F.col("a") <= F.col("b")) & ((F.col("a") == F.col("b")) | (apart <= limit + F.col("r") + F.col("s") + 1e-5))
 
 
 def _pairs_of_blocks(trees: DataFrame, pivots: dict[int, np.ndarray], cells: list, limit: float) -> DataFrame:
@@ -475,8 +520,7 @@ def _pairs_of_blocks(trees: DataFrame, pivots: dict[int, np.ndarray], cells: lis
     hoped = spark.createDataFrame(near, "dim int, cell int, cell_b int")
     a = trees.select("dim", "cell", F.col("block").alias("a"), F.col("centre").alias("p"), F.col("radius").alias("r"))
     b = trees.select("dim", F.col("cell").alias("cell_b"), F.col("block").alias("b"), F.col("centre").alias("q"), F.col("radius").alias("s"))
-    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.aggregate(F.zip_with("p", "q", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)))
-    met = hoped.join(a, ["dim", "cell"]).join(b, ["dim", "cell_b"]).where((F.col("a") <= F.col("b")) & ((F.col("a") == F.col("b")) | (apart <= limit + F.col("r") + F.col("s") + 1e-5)))
+    met = hoped.join(a, ["dim", "cell"]).join(b, ["dim", "cell_b"]).where(_hopeful(limit))
     return materialise(met.select(F.concat_ws("|", "a", "b").alias("pair"), "a", "b"))
 
 
@@ -484,11 +528,18 @@ def _traverse(found: DataFrame, cosine: float, block: int, pairs: bool) -> DataF
     if not 0 < cosine < 1:
         raise ValueError("the cosine must be between 0 and 1")
     trees, pivots, cells = _blocks(found, block)
-    meet = _pairs_of_blocks(trees, pivots, cells, float(_distance(np.array(cosine))))
-    sides = meet.select("pair", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(meet.where("a <> b").select("pair", F.col("b").alias("block"), F.lit(1).alias("side")))
-    tasks = max(1, min(10_000, meet.count()))
-    sent = sides.join(trees.select("block", "tree"), "block").select("pair", "side", "tree").repartition(tasks, "pair")
+    limit = float(_distance(np.array(cosine)))
+    meet = _pairs_of_blocks(trees, pivots, cells, limit)
+    count, blocks = meet.count(), trees.count()
     shape = "a long, b long, cosine double" if pairs else "number long, links long, other long"
+    if 2 * count > SENT * blocks + blocks:
+        # Every partition of trees meets every other where they were written; nothing is shuffled.
+        a = trees.select("dim", F.col("block").alias("a"), F.col("centre").alias("p"), F.col("radius").alias("r"), "tree")
+        b = trees.select(F.col("dim").alias("dim_b"), F.col("block").alias("b"), F.col("centre").alias("q"), F.col("radius").alias("s"), F.col("tree").alias("with"))
+        both = a.hint("shuffle_replicate_nl").join(b, (F.col("dim") == F.col("dim_b")) & _hopeful(limit))
+        return both.select("tree", F.when(F.col("a") != F.col("b"), F.col("with")).alias("with")).mapInArrow(_traversed_rows(cosine, pairs), shape)
+    sides = meet.select("pair", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(meet.where("a <> b").select("pair", F.col("b").alias("block"), F.lit(1).alias("side")))
+    sent = sides.join(trees.select("block", "tree"), "block").select("pair", "side", "tree").repartition(max(1, min(10_000, count)), "pair")
     return sent.groupBy("pair").applyInArrow(_traversed(cosine, pairs), shape)
 
 

@@ -187,3 +187,21 @@ def test_trees_are_sent_small_and_come_back_whole():
         assert np.array_equal(back.x, tree.x) and back.x.dtype == np.float64
         for a, b in zip(back.levels, tree.levels, strict=True):
             assert all(np.array_equal(getattr(a, f), getattr(b, f)) and getattr(a, f).dtype == getattr(b, f).dtype for f in (*covertree._NUMBERS, "radius"))
+
+
+def test_disk_grows_with_the_vectors_and_not_with_the_pairs(spark, monkeypatch):
+    """Independent directions, where all blocks meet: no tree is shuffled to its partners, and a task sums up what its pairs find."""
+    rng = random.Random(7)
+    rows = list(enumerate([rng.gauss(0, 1) for _ in range(16)] for _ in range(200))) + [(500 + i, [1.0 + i / 1000] + [1.0] * 15) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    _, classes = covertree.classes(df, "vec_id", "embedding")
+    met = covertree._traverse(classes, 0.95, 10, False)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    want = brute(rows)
+    for held, parts in ((500_000, 32), (1, 3)):
+        monkeypatch.setattr(covertree, "SUMMED", held)
+        monkeypatch.setattr(covertree, "PARTS", parts)
+        assert found(spark, rows, block=10) == want
+    monkeypatch.setattr(covertree, "SENT", 10**6)
+    assert found(spark, rows, block=10) == want
